@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,3 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def id_remainder(column: str, mod: int) -> Column:
     """crc32 of the id as text, mod `mod`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
+
+
+def extended(schema: StructType, added: str) -> StructType:
+    """schema with the columns of a DDL string behind its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])

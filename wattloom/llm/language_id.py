@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import id_remainder, read
+from wattloom.llm.common import extended, id_remainder, read
 
 #: Documents of a language that its dictionary is cut from, and the characters each may give. These bound the sample.
 DOCS_PER_LANG = 256
@@ -83,10 +83,7 @@ def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *clash])
 
-    schema = base.schema
-    for f in SCHEMA.split(", "):
-        schema = schema.add(*f.split())
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, extended(base.schema, SCHEMA))
 
 
 def trained_on(docs: DataFrame) -> DataFrame:

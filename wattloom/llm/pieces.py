@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm.common import read
+from wattloom.llm.common import extended, read
 
 MARK = "▁"
 #: Encoded words that a worker remembers, at most.
@@ -199,10 +199,7 @@ def encoded(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False)
                 new.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, *dict(added)])
 
-    schema = base.select(keep).schema
-    for f in added:
-        schema = schema.add(*f)
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, extended(base.select(keep).schema, ", ".join(map(" ".join, added))))
 
 
 def model_path() -> str:

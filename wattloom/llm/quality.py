@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import id_remainder, read
+from wattloom.llm.common import extended, id_remainder, read
 
 #: Labelled rows that the trees are fitted on, at most (chosen by a hash of the id); bounds what the driver gathers.
 MAX_TRAIN_ROWS = 20_000
@@ -93,7 +93,7 @@ def featurised(docs: DataFrame) -> DataFrame:
             rows = [statistics(t, packer) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(kind))], names=["doc_id", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("features", "array<double>"))
+    return docs.select("doc_id", "text").mapInArrow(run, extended(docs.select("doc_id").schema, "features array<double>"))
 
 
 @dataclass
@@ -181,7 +181,7 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
             score = sent.value.score(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("score", "double").add("predicted", "int"))
+    return docs.select("doc_id", "text").mapInArrow(run, extended(docs.select("doc_id").schema, "score double, predicted int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wattloom.llm import language_id, pieces, quality, token_files
+from wattloom.llm import language_id, licenses, media, mixing, neighbours, ngram_join, personal_data, pieces, quality, token_files
 
-MODULES = (quality, token_files, pieces, language_id)
+MODULES = (ngram_join, mixing, quality, licenses, token_files, neighbours, personal_data, pieces, media, language_id)
 
 
 def queries() -> dict:

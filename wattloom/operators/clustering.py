@@ -71,9 +71,9 @@ def davies_bouldin(rows: DataFrame, columns: list[str], cluster: str = "cluster"
 def calinski_harabasz(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
     """One row (score): between to within sums of squares, each by its degrees of freedom."""
     centre = centroids(rows, columns, cluster)
-    whole = rows.agg(F.count(F.lit(1)).alias("_N"), *(F.avg(c).alias(f"_g_{c}") for c in columns))
+    whole = rows.agg(F.count(F.lit(1)).alias("_total"), *(F.avg(c).alias(f"_g_{c}") for c in columns))
     means = [F.col(f"_m_{c}") for c in columns]
-    between = centre.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("_n") * squared(means, [F.col(f"_g_{c}") for c in columns])).alias("b"), F.count(F.lit(1)).alias("k"), F.max("_N").alias("n"))
+    between = centre.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("_n") * squared(means, [F.col(f"_g_{c}") for c in columns])).alias("b"), F.count(F.lit(1)).alias("k"), F.max("_total").alias("n"))
     inside = rows.join(F.broadcast(centre), cluster).agg(F.sum(squared([F.col(c) for c in columns], means)).alias("w"))
     both = between.crossJoin(F.broadcast(inside))
     return both.select((F.try_divide("b", "w") * F.try_divide(F.col("n") - F.col("k"), F.col("k") - 1)).alias("score"))

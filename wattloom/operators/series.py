@@ -47,7 +47,8 @@ def beside(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
     grid = minute_grid(samples, axis).select(*axis.key, "g", F.lit(None).cast(rows.schema["s"].dataType).alias("s"), F.lit(1).alias("grid"))
     w = Window.partitionBy(*axis.key).orderBy("g")
     both = rows.unionByName(grid)
-    both = both.withColumns({"p": F.last("s", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "q": F.first("s", True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    back = Window.partitionBy(*axis.key).orderBy(F.desc("g"))  # a frame that only grows, as one that shrinks is worked out anew for each row
+    both = both.withColumns({"p": F.last("s", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "q": F.last("s", True).over(back.rangeBetween(Window.unboundedPreceding, 0))})
     return both.where("grid = 1").select(*axis.key, "g", F.col("p.t").alias("t0"), F.col("p.x").alias("x0"), F.col("q.t").alias("t1"), F.col("q.x").alias("x1"))
 
 
@@ -65,7 +66,8 @@ def resample_linear(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
     marks = on.where("_on is not null").groupBy(*axis.key, F.col(axis.time).alias("g")).agg(F.max_by("_on", F.struct(*axis.tie) if axis.tie else F.lit(0)).alias("x"))
     grid = minute_grid(samples, axis).join(marks, [*axis.key, "g"], "left")
     at = F.when(F.col("x").isNotNull(), F.struct("g", "x"))
-    both = grid.withColumns({"p": F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "q": F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    back = Window.partitionBy(*axis.key).orderBy(F.desc("g"))
+    both = grid.withColumns({"p": F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "q": F.last(at, True).over(back.rowsBetween(Window.unboundedPreceding, 0))})
     line = F.col("p.x") + (F.col("q.x") - F.col("p.x")) * F.coalesce(F.try_divide(gap("p.g", "g"), gap("p.g", "q.g")), F.lit(0.0))
     return both.select(*axis.key, F.col("g").alias("minute"), F.coalesce(line, F.col("p.x")).alias("value"))
 

@@ -43,7 +43,7 @@ def gaussian(signal: Column, w: WindowSpec, sigma: float = 0.5) -> Column:
     total = F.lit(0.0)
     for k, x in zip(range(-radius, radius + 1), raw, strict=True):
         mirrored = F.lit(None)
-        rn, left = F.row_number().over(w), F.count(F.lit(1)).over(w.rowsBetween(0, Window.unboundedFollowing))
+        rn, left = F.row_number().over(w), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.row_number().over(w) + 1
         for place in range(1, radius + 1):
             if k < 0:
                 mirrored = F.when(rn == place, F.lag(signal, -(-k - 2 * place + 1)).over(w)).otherwise(mirrored)
@@ -67,14 +67,18 @@ def centred(signal: Column, w: WindowSpec, length: int = 5) -> Column:
 def slid(values: Column, width: int, rule: Callable[..., Column]) -> Column:
     """An array after `rule` has rewritten each window of `width` samples in turn; a window sees what those before it wrote."""
     keep = width - 1
-    start = F.struct(F.slice(values, 1, 0).alias("out"), F.slice(values, 1, keep).alias("held"))
 
-    def step(state: Column, x: Column) -> Column:
-        window = rule(*(state["held"][k] for k in range(keep)), x)
-        return F.struct(F.concat(state["out"], F.slice(window, 1, 1)).alias("out"), F.slice(window, 2, keep).alias("held"))
+    def over(v: Column) -> Column:
+        start = F.struct(F.slice(v, 1, 0).alias("out"), F.slice(v, 1, keep).alias("held"))
 
-    later = F.slice(values, width, F.greatest(F.size(values) - keep, F.lit(0)))
-    return F.when(F.size(values) < width, values).otherwise(F.aggregate(later, start, step, lambda s: F.concat(s["out"], s["held"])))
+        def step(state: Column, x: Column) -> Column:
+            window = rule(*(state["held"][k] for k in range(keep)), x)
+            return F.transform(F.array(window), lambda new: F.struct(F.concat(state["out"], F.slice(new, 1, 1)).alias("out"), F.slice(new, 2, keep).alias("held")))[0]
+
+        later = F.slice(v, width, F.greatest(F.size(v) - keep, F.lit(0)))
+        return F.when(F.size(v) < width, v).otherwise(F.aggregate(later, start, step, lambda s: F.concat(s["out"], s["held"])))
+
+    return F.transform(F.array(values), over)[0]  # named once, so that passes do not multiply
 
 
 def repaired(values: Column, trigger: float = 1.0, delta: float = 1.0) -> Column:

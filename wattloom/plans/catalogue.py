@@ -70,7 +70,7 @@ def unit_scale_abs(spark, sf):
 
 
 @query("""WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%m.%d.%Y %H:%M') ELSE strftime(ts, '%m.%d.%y %H:%M') END AS s FROM events)
-SELECT event_id, coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%m.%d.%Y %H:%M'), try_strptime(s, '%m.%d.%y %H:%M')) AS t FROM s""")
+SELECT event_id, coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%m.%d.%y %H:%M'), try_strptime(s, '%m.%d.%Y %H:%M')) AS t FROM s""")
 def parse_mixed_timestamps(spark, sf):
     text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "MM.dd.yyyy HH:mm")).otherwise(F.date_format("ts", "MM.dd.yy HH:mm"))
     return table(spark, sf, "events").select("event_id", meter.parsed(text).alias("t"))
@@ -369,7 +369,7 @@ def window_accuracy(spark, sf):
 
 
 def part_sql(name: str, lo: str, hi: str) -> str:
-    return f"""{name} AS (SELECT pump, vid, coalesce(bool_or(d > 0.1), false) AS found, arg_max(t, struct_pack(d := d, k := -epoch_us(t))) AS at, stddev_samp(d) AS sd, avg(d) AS mean FROM
+    return f"""{name} AS (SELECT pump, vid, coalesce(bool_or(d > 0.1), false) AS found, arg_max(t, struct_pack(d := coalesce(d, -1), k := -epoch_us(t))) AS at, stddev_samp(d) AS sd, avg(d) AS mean FROM
     (SELECT ev.kind AS pump, vid, t, abs(x - lag(x) OVER (PARTITION BY ev.kind, vid ORDER BY t)) AS d FROM tv JOIN ev ON t BETWEEN {lo} AND {hi}) GROUP BY 1, 2)"""
 
 

@@ -27,6 +27,8 @@ NUM, DEN = 75, 100
 MIN_HASHES = 4
 #: Shingles that come last in the order, at most; they only make groups smaller, whichever they are.
 MAX_FREQUENT, LEAST_FREQUENT = 200_000, 3
+#: Bits of a bitmap for each element, at least (up to a width of 2 ** 20).
+BITS = 8
 #: Members of one block of a group, and of a leaf of the tree.
 GROUP_BLOCK, LEAF = 4096, 8
 
@@ -47,9 +49,9 @@ def size_code(n: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A set's bitmap, of 2 to 4 bits for each element; a narrower one is its halves ORed together."""
-    width = 1 << max(6, int(2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
-    bits = np.zeros(min(width, 1 << 17), bool)
+    """A set's bitmap, of 8 to 16 bits for each element; a narrower one is its halves ORed together."""
+    width = 1 << max(6, int(BITS * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    bits = np.zeros(min(width, 1 << 20), bool)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -246,38 +248,42 @@ def candidates(a: Node, b: Node) -> Iterator[tuple[int, int]]:
 
 
 def traversed(members: DataFrame) -> DataFrame:
-    """(a, b) of members (group, left, right, side, class, n, bits, component): each block pair of a group by its trees."""
+    """(a, b) of members (group, left, right, side, class, n, bits, component, groups): each block pair of a group by its trees.
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        classes = [r[0] for r in rows]
+    A pair of classes that meets in several groups is given by the first of them only.
+    """
+    columns = ("group", "left", "right", "class", "side", "n", "bits", "component", "groups")
+
+    def pairs(group: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        classes, shared = [r[0] for r in rows], [frozenset(r[5]) for r in rows]
         sides: dict[int, list[Node]] = {}
-        for k, (_, side, n, bits, component) in enumerate(rows):
+        for k, (_, side, n, bits, component, _) in enumerate(rows):
             sides.setdefault(side, []).append(Node.leaf(k, n, np.frombuffer(bits, np.uint8), component))
         trees = [tree(s) for s in sides.values()]
         for x, y in candidates(trees[0], trees[-1]):
-            yield min(classes[x], classes[y]), max(classes[x], classes[y])
+            if min(shared[x] & shared[y]) == group:
+                yield min(classes[x], classes[y]), max(classes[x], classes[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], set()
+        now, rows, out = None, [], []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("group", "left", "right", "class", "side", "n", "bits", "component")]
-            for g, left, right, *row in zip(*cols, strict=True):
+            for g, left, right, *row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if (g, left, right) != now:
-                    out.update(pairs(rows) if rows else ())
+                    out += pairs(now[0], rows) if rows else ()
                     now, rows = (g, left, right), []
                 rows.append(tuple(row))
             if len(out) > 50_000:
                 yield as_batch(out)
-                out = set()
-        out.update(pairs(rows) if rows else ())
+                out = []
+        out += pairs(now[0], rows) if rows else ()
         yield as_batch(out)
 
-    def as_batch(out: set) -> pa.RecordBatch:
-        both = np.array(sorted(out), np.int64).reshape(-1, 2)
+    def as_batch(out: list) -> pa.RecordBatch:
+        both = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     keys = ["group", "left", "right"]
-    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return members.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def set_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -368,11 +374,13 @@ def linked(docs: DataFrame) -> DataFrame:
     members = written(members.withColumn("component", F.coalesce("component", "class")), "groups")
     several = members.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 < c1")
     several = several.select("group", F.ceil(F.col("m") / GROUP_BLOCK).cast("int").alias("blocks"))
-    inside = members.join(several, "group").join(facts, "class")
+    inside = members.join(several, "group")
+    own = inside.groupBy("class").agg(F.collect_list("group").alias("groups"))  # no more than the class's first shingles
+    inside = inside.join(facts, "class").join(own, "class")
     inside = inside.withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # A group beyond a block's size meets block by block.
     inside = inside.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"left": F.least("side", "other"), "right": F.greatest("side", "other")})
-    rest = written(traversed(inside.select("group", "left", "right", "side", "class", "n", "bits", "component")), "tree-pairs")
+    rest = written(traversed(inside), "tree-pairs")
     edges = first.unionByName(verified(rest, docs, ids))
     roots = components(edges)
 
@@ -395,3 +403,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_join": query}
+ORACLES = {
+    "op1_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+k AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS s FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+}

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it; a cluster gets it by --py-files."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in (have := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *have]))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -27,6 +27,7 @@ NUM, DEN = 75, 100
 MIN_HASHES = 4
 #: Shingles that come last in the order, at most; they only make groups smaller, whichever they are.
 MAX_FREQUENT, LEAST_FREQUENT = 200_000, 3
+PART_ROWS = 2500
 #: Bits of a bitmap for each element, at least (up to a width of 2 ** 20).
 BITS = 8
 #: Members of one block of a group, and of a leaf of the tree.
@@ -60,12 +61,19 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, size), 0)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to PART_ROWS, which bounds what a worker holds of their shingles."""
+    for b in batches:
+        for k in range(0, b.num_rows, PART_ROWS):
+            yield b.slice(k, PART_ROWS)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, n, class, bits, keys, frequent) of docs (doc_id, text): set size, hash of the set (null for an empty set),
     bitmap, minimum hashes, and (on one row of each batch) the shingles that several of the batch hold, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             n, cls, bits, keys, everything = [], [], [], [], []
             for _, h, at in shingles.sets(b.column("text").to_pylist()):
                 size = np.diff(at)
@@ -105,7 +113,7 @@ def posted(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
-        for b in batches:
+        for b in parts(batches):
             key, cls, code = [], [], []
             for _, h, at in shingles.sets(b.column("text").to_pylist()):
                 size = np.diff(at)

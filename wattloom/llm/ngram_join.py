@@ -29,7 +29,9 @@ MIN_HASHES = 4
 MAX_FREQUENT, LEAST_FREQUENT = 200_000, 3
 PART_ROWS = 2500
 #: Bits of a bitmap for each element, at least (up to a width of 2 ** 20).
-BITS = 8
+BITS = 4
+#: Groups of a class, smallest first, that its rows carry: a pair met in an earlier one of both is not given again.
+EARLIER = 16
 #: Members of one block of a group, and of a leaf of the tree.
 GROUP_BLOCK, LEAF = 4096, 8
 
@@ -50,7 +52,7 @@ def size_code(n: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A set's bitmap, of 8 to 16 bits for each element; a narrower one is its halves ORed together."""
+    """A set's bitmap, of BITS to twice as many bits for each element; a narrower one is its halves ORed together."""
     width = 1 << max(6, int(BITS * len(hashes) - 1).bit_length()) if len(hashes) else 64
     bits = np.zeros(min(width, 1 << 20), bool)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
@@ -258,7 +260,8 @@ def candidates(a: Node, b: Node) -> Iterator[tuple[int, int]]:
 def traversed(members: DataFrame) -> DataFrame:
     """(a, b) of members (group, left, right, side, class, n, bits, component, groups): each block pair of a group by its trees.
 
-    A pair of classes that meets in several groups is given by the first of them only.
+    A pair of classes that meets in several groups is given by the first of them; where that is not among the smallest
+    groups (`groups`) of both, others give it too, and the repeats are dropped.
     """
     columns = ("group", "left", "right", "class", "side", "n", "bits", "component", "groups")
 
@@ -269,7 +272,7 @@ def traversed(members: DataFrame) -> DataFrame:
             sides.setdefault(side, []).append(Node.leaf(k, n, np.frombuffer(bits, np.uint8), component))
         trees = [tree(s) for s in sides.values()]
         for x, y in candidates(trees[0], trees[-1]):
-            if min(shared[x] & shared[y]) == group:
+            if min(shared[x] & shared[y], default=group) >= group:
                 yield min(classes[x], classes[y]), max(classes[x], classes[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +294,7 @@ def traversed(members: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     keys = ["group", "left", "right"]
-    return members.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return members.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def set_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -383,7 +386,7 @@ def linked(docs: DataFrame) -> DataFrame:
     several = members.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 < c1")
     several = several.select("group", F.ceil(F.col("m") / GROUP_BLOCK).cast("int").alias("blocks"))
     inside = members.join(several, "group")
-    own = inside.groupBy("class").agg(F.collect_list("group").alias("groups"))  # no more than the class's first shingles
+    own = inside.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("group")), 1, EARLIER).alias("groups"))  # of no more than its first shingles
     inside = inside.join(facts, "class").join(own, "class")
     inside = inside.withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # A group beyond a block's size meets block by block.

@@ -28,8 +28,8 @@ MIN_HASHES = 4
 #: Shingles that come last in the order, at most; they only make groups smaller, whichever they are.
 MAX_FREQUENT, LEAST_FREQUENT = 200_000, 3
 PART_ROWS = 2500
-#: Bits of a bitmap for each element, at least (up to a width of 2 ** 20).
-BITS = 4
+#: Bits of a bitmap for each element, at least (up to a width of 2 ** 20); those of short sets, where a width of SHORT allows it.
+BITS, MORE_BITS, SHORT = 4, 32, 1 << 12
 #: Groups of a class, smallest first, that its rows carry: a pair met in an earlier one of both is not given again.
 EARLIER = 16
 #: Members of one block of a group, and of a leaf of the tree.
@@ -52,8 +52,9 @@ def size_code(n: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A set's bitmap, of BITS to twice as many bits for each element; a narrower one is its halves ORed together."""
-    width = 1 << max(6, int(BITS * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    """A set's bitmap, of BITS (a short set's: MORE_BITS) to twice as many bits for each element; a narrower one is its halves ORed together."""
+    wanted = max(BITS * len(hashes), min(MORE_BITS * len(hashes), SHORT), 64)
+    width = 1 << (wanted - 1).bit_length()
     bits = np.zeros(min(width, 1 << 20), bool)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()

@@ -26,6 +26,23 @@ def test_language(spark, odd_docs, no_docs, folder):
     assert language_id.stage(spark, odd_docs, "").columns == odd_docs.columns and language_id.stage(spark, no_docs, "").count() == 0
 
 
+def test_short_clean_texts_pass_the_language_stage(spark):
+    rng = random.Random(5)
+    rows = [(k, speech(rng, EN if k % 2 else FR, rng.randrange(15, 60)), "en" if k % 2 else "fr") for k in range(300)]
+    short = {1000 + k: f"{w.title()}." for k, w in enumerate(f"{EN} {FR}".split())}
+    docs = spark.createDataFrame(rows + [(k, w, None) for k, w in short.items()] + [(2000, "12 !?", None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.stage(spark, docs, "").collect()}
+    assert kept == {*range(300), *short}
+
+
+def test_a_tie_of_languages_is_a_rejection_only_where_a_lead_would_show():
+    rng = random.Random(6)
+    raw = "\n".join(speech(rng, EN, 40) for _ in range(100)).encode()
+    models = language_id.compressors({"a": raw, "b": raw})
+    assert language_id.classify("The.", models) == ("a", 0.0, False)
+    assert language_id.classify(" ".join(f"{rng.getrandbits(64):x}" for _ in range(100)), models)[1:] == (0.0, True)
+
+
 def test_quality(spark, odd_docs, no_docs, folder):
     rng = random.Random(2)
     rows = [(k, speech(rng, EN, 60) if k % 3 else " | ".join(speech(rng, EN, 40).split()).upper() + "!!", int(k % 3 > 0)) for k in range(400)]

@@ -1,12 +1,14 @@
 """Language identification by compression.
 
 Every language gets a raw-content zstandard dictionary cut from its own training documents.
-A text belongs to the language whose dictionary compresses it best; a narrow lead is a rejection.
+A text belongs to the language whose dictionary compresses it best. Sizes are whole bytes, so a narrow lead on a short
+text is measured again on a finer scale, and is a rejection only where the scale is fine enough to show a lead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import zstandard
@@ -26,6 +28,10 @@ LEVEL, MIN_MATCH = 6, 3
 PIECE_BYTES = 8192
 #: A lead under this share of the second best size is a rejection.
 MIN_MARGIN = 0.002
+#: Leads of at most SLACK bytes on texts whose sizes are too small to show MIN_MARGIN are measured again: the sizes by CUTS
+#: parts of each dictionary (of CUT_BYTES at least) are summed, of the text repeated up to REPEAT_BYTES, as the format stores
+#: a few bytes as they are.
+SLACK, CUTS, CUT_BYTES, REPEAT_BYTES = 4, 16, 1024, 64
 UNDETERMINED = "und"
 
 SCHEMA = "lang_pred string, score double, rejected boolean"
@@ -48,22 +54,43 @@ def fit(train: DataFrame) -> dict[str, bytes]:
     return {lang: "\n".join(x for _, x in sorted(rows)).lower().encode() for (_, lang), rows in sorted(texts.items())}
 
 
-def compressors(model: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+def compressor(raw: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_checksum=0, write_content_size=0, write_dict_id=0)
-    return [(lang, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)) for lang, raw in model.items()]
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
 
 
-def classify(text: str | None, models: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, bool]:
+class Language:
+    """A language's compressor, and those of the cuts of its dictionary (made when first needed)."""
+
+    def __init__(self, name: str, raw: bytes):
+        self.name, self.raw, self.whole = name, raw, compressor(raw)
+
+    @cached_property
+    def cuts(self) -> list[zstandard.ZstdCompressor]:
+        size = min(len(self.raw), max(len(self.raw) // CUTS, CUT_BYTES))
+        return [compressor(self.raw[k * (len(self.raw) - size) // (CUTS - 1) :][:size]) for k in range(CUTS)]
+
+
+def compressors(model: dict[str, bytes]) -> list[Language]:
+    return [Language(lang, raw) for lang, raw in model.items()]
+
+
+def classify(text: str | None, models: list[Language]) -> tuple[str, float, bool]:
     """Language, score and whether it is rejected. Score: the lead over the second best, as a share of the latter's size."""
     if not models or text is None or not any(c.isalpha() for c in text):
         return UNDETERMINED, 0.0, True
     data = text.lower().encode()
     pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-    sizes = sorted((sum(len(z.compress(p)) for p in pieces), k) for k, (_, z) in enumerate(models))
+    sizes = sorted((sum(len(m.whole.compress(p)) for p in pieces), k) for k, m in enumerate(models))
     if len(sizes) == 1:
-        return models[0][0], 1.0, False
+        return models[0].name, 1.0, False
+    if sizes[1][0] * MIN_MARGIN < 1 and sizes[1][0] - sizes[0][0] <= SLACK:
+        if len(data) < REPEAT_BYTES:
+            pieces = [(data + b" ") * (1 + REPEAT_BYTES // len(data))]
+        near = [k for size, k in sizes if size - sizes[0][0] <= SLACK]
+        sizes = sorted((sum(len(z.compress(p)) for z in models[k].cuts for p in pieces), k) for k in near)
     margin = 1 - sizes[0][0] / sizes[1][0]
-    return models[sizes[0][1]][0], margin, margin < MIN_MARGIN
+    return models[sizes[0][1]].name, margin, margin < MIN_MARGIN and sizes[1][0] * MIN_MARGIN >= 1
 
 
 def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from wattloom.llm import licenses, personal_data
@@ -60,6 +61,15 @@ def test_redaction_leaves_the_rest(spark, odd_docs, no_docs):
     assert personal_data.stage(spark, no_docs, "").count() == 0 and personal_data.stage(spark, odd_docs, "").count() == odd_docs.count()
 
 
+def test_long_secrets_are_whole(spark, folder):
+    rng = random.Random(8)
+    made = {k: "".join(rng.choices("ABCDEFabcdef0123456789+/", k=(40, 200, 201, 700)[k % 4])) for k in range(40)}
+    docs = spark.createDataFrame([(k, f"here api_key = {x}, then more") for k, x in made.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in personal_data.query(spark, folder(documents=docs)).collect()}
+    assert all(found[k] == f"secret:5:{15 + len(x)}" for k, x in made.items())
+    assert {r["text"] for r in personal_data.stage(spark, docs, "").collect()} == {"here [SECRET], then more"}
+
+
 def plain_scan(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hits = sorted((k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())

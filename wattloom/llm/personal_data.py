@@ -25,7 +25,7 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"~\+[0-9]"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"~[A-Z]{2}[0-9]{2}[ A-Z0-9]"),
     "local_phone": (r"(?<![0-9+(.-])(?<![0-9+] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"~[0-9]{3}[ .-][0-9]{4}"),
-    "secret": (r"(?<![A-Za-z])(?:(?i:token|secret|password|passwd|api[_-]?key))\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9_+/-]{16,200}", r"~(?i)(?:token|secret|passw|api[_-]?key)"),
+    "secret": (r"(?<![A-Za-z])(?:(?i:token|secret|password|passwd|api[_-]?key))\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9_+/-]{16,}+", r"~(?i)(?:token|secret|passw|api[_-]?key)"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"~[0-9]-[0-9]{2}-[0-9]"),
 }
 KINDS = tuple(PATTERNS)

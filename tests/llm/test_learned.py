@@ -43,6 +43,21 @@ def test_a_tie_of_languages_is_a_rejection_only_where_a_lead_would_show():
     assert language_id.classify(" ".join(f"{rng.getrandbits(64):x}" for _ in range(100)), models)[1:] == (0.0, True)
 
 
+def test_every_language_is_learned_within_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} of language {k % 300}", f"l{k % 300}") for k in range(900)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs)) == 300
+    monkeypatch.setattr(language_id, "MODEL_CHARS", 300 * 8)
+    assert len(small := language_id.fit(docs)) == 300 and sum(map(len, small.values())) <= 300 * 8
+    assert language_id.classify("word", language_id.compressors(dict(list(small.items())[:3])))[0] in small
+
+
+def test_dictionaries_hold_more_than_a_shared_opening(spark):
+    rng, opening = random.Random(7), "x9 " * 400
+    rows = [(k, opening + speech(rng, EN if k % 2 else FR, 500), "en" if k % 2 else "fr") for k in range(60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["en"].count(b"water") > 20 and model["fr"].count(b"maison") > 20
+
+
 def test_quality(spark, odd_docs, no_docs, folder):
     rng = random.Random(2)
     rows = [(k, speech(rng, EN, 60) if k % 3 else " | ".join(speech(rng, EN, 40).split()).upper() + "!!", int(k % 3 > 0)) for k in range(400)]

@@ -18,11 +18,11 @@ from pyspark.sql.window import Window
 
 from wattloom.llm.common import extended, id_remainder, read
 
-#: Documents of a language that its dictionary is cut from, and the characters each may give. These bound the sample.
+#: Documents of a language that its dictionary is cut from, and the characters each may give.
 DOCS_PER_LANG = 256
 CHARS_PER_DOC = 1024
-#: Languages beyond this many (the most frequent stay) are not learned; bounds the model's size.
-MAX_LANGS = 256
+#: Characters of all dictionaries together. Beyond, the languages share them: each gives fewer documents, then shorter pieces.
+MODEL_CHARS = 256 * DOCS_PER_LANG * CHARS_PER_DOC
 LEVEL, MIN_MATCH = 6, 3
 #: Texts are compressed in pieces of this many bytes, so a long text does not become its own dictionary.
 PIECE_BYTES = 8192
@@ -37,20 +37,29 @@ UNDETERMINED = "und"
 SCHEMA = "lang_pred string, score double, rejected boolean"
 
 
+def shares(languages: int) -> tuple[int, int]:
+    """Documents that each language gives, and the characters of each document."""
+    docs = min(DOCS_PER_LANG, max(1, MODEL_CHARS // (CHARS_PER_DOC * max(languages, 1))))
+    return docs, min(CHARS_PER_DOC, max(1, MODEL_CHARS // (docs * max(languages, 1))))
+
+
 def fit(train: DataFrame) -> dict[str, bytes]:
     """Raw dictionaries by language, the most frequent language first, from `train` (doc_id, text, lang).
 
-    Rows with a null text, null lang or no letter teach nothing. The sample is fixed by a hash of the row, so reruns agree.
-    No usable row gives an empty model.
+    Rows with a null text, null lang or no letter teach nothing. The sample is fixed by a hash of the row, so reruns agree;
+    so is the place of a document that its piece is cut at, as many may open alike. No usable row gives an empty model.
     """
     usable = train.select("doc_id", "text", "lang").where("lang is not null and text rlike '\\\\p{L}'")
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang", "count")
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row for each language, as in the model
+    docs, chars = shares(len(counts))
+    places = F.greatest(F.length("text") - chars + 1, F.lit(1))
+    piece = F.substring("text", (F.pmod(F.xxhash64(F.lit("place"), "doc_id", "text"), places) + 1).cast("int"), F.lit(chars))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "piece")
-    pieces = usable.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, CHARS_PER_DOC).alias("piece"))
-    sample = pieces.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANG).join(F.broadcast(top), "lang")
+    pieces = usable.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"), piece.alias("piece"))
+    sample = pieces.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs)
     texts: dict[tuple[int, str], list[tuple[int, str]]] = {}
-    for row in sample.select("count", "lang", "rank", "piece").collect():  # at most MAX_LANGS * DOCS_PER_LANG short pieces
-        texts.setdefault((-row["count"], row["lang"]), []).append((row["rank"], row["piece"]))
+    for row in sample.select("lang", "rank", "piece").collect():  # at most MODEL_CHARS, or a character for each language
+        texts.setdefault((-counts[row["lang"]], row["lang"]), []).append((row["rank"], row["piece"]))
     return {lang: "\n".join(x for _, x in sorted(rows)).lower().encode() for (_, lang), rows in sorted(texts.items())}
 
 
@@ -101,7 +110,7 @@ def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     """
     clash = [f.split()[0] for f in SCHEMA.split(", ")]
     base = docs.select([docs[c] for c in docs.columns if c not in clash])
-    sent = base.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS dictionaries of bounded size
+    sent = base.sparkSession.sparkContext.broadcast(model)  # at most about MODEL_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = compressors(sent.value)

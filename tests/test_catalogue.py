@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__
 from wattloom.plans import catalogue
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -24,13 +24,14 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 3) + 0.0
+        return None if math.isnan(v) else v + 0.0
     return v.isoformat() if isinstance(v, dt.datetime) else v
 
 
 def rows(names, data):
     order = sorted(range(len(names)), key=lambda k: names[k])
-    return sorted([tuple(plain(r[k]) for k in order) for r in data], key=repr), [names[k] for k in order]
+    exact = lambda r: [v if not isinstance(v, float) else round(v, 3) for v in r]
+    return sorted([tuple(plain(r[k]) for k in order) for r in data], key=lambda r: (repr([v for v in r if not isinstance(v, float)]), repr(exact(r)))), [names[k] for k in order]
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
@@ -44,7 +45,7 @@ def test_query(spark, duck, name):
     want, names = rows([d[0] for d in cur.description], cur.fetchall())
     assert columns == names and len(got) == len(want)
     for a, b in zip(got, want, strict=True):
-        assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 0.002) for x, y in zip(a, b, strict=True)), (a, b)
+        assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)) for x, y in zip(a, b, strict=True)), (a, b)
 
 
 def test_entry(spark):

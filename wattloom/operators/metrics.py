@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.functions.columns import inverse_score
+from wattloom.functions.columns import inverse_score, known
 
 WEIGHTS = {"start_detection_rate": 0.3, "end_detection_rate": 0.3, "time_accuracy": 0.2, "avg_power_pattern_similarity": 0.2}
 
 
 def aligned(pred: DataFrame, val: DataFrame, by: list[str]) -> DataFrame:
-    """(by, p, v): both series side by side; a missing side is null, so that comparisons with it are not true."""
-    return pred.select(*by, F.col("value").alias("p")).join(val.select(*by, F.col("value").alias("v")), by, "full_outer")
+    """(by, p, v): both series side by side; a missing side or a NaN is null, so that comparisons with it are not true."""
+    value = known(F.col("value").cast("double"))
+    return pred.select(*by, value.alias("p")).join(val.select(*by, value.alias("v")), by, "full_outer")
 
 
 def metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -77,28 +78,29 @@ def pump_matches(truth: DataFrame, signal: DataFrame, pump: str = "pump", thresh
     """
     hour = F.expr("interval 1 hour")
     x = signal.select(pump, "t", "value")
-
-    def changes(side: str, lo: Column, hi: Column) -> DataFrame:
-        rows = within(truth.select("vid", "vs", "ve"), x, F.col("t"), lo, hi)
-        w = Window.partitionBy(pump, "vid").orderBy("t")
-        steps = rows.withColumn("d", F.abs(F.col("value") - F.lag("value").over(w)))
-        return steps.groupBy(pump, "vid").agg(
-            F.coalesce(F.bool_or(F.col("d") > threshold), F.lit(False)).alias(f"{side}_found"),
-            (F.min("t") if literal else F.max_by("t", F.struct("d", -F.timestamp_diff("MICROSECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("t"))))).alias(f"{side}_at"),
-            F.stddev_samp("d").alias(f"{side}_sd"), F.avg("d").alias(f"{side}_mean"),
-        )
-
-    pairs = x.select(pump).distinct().crossJoin(truth.select("vid", "vs", "ve"))  # both are short lists
-    parts = pairs
-    for side, lo, hi in (("s", F.col("vs") - hour, F.col("vs")), ("e", F.col("ve") - hour, F.col("ve")), ("w", F.col("vs"), F.col("ve"))):
-        parts = parts.join(changes(side, lo, hi), [pump, "vid"], "left")
-    off = lambda a, b: F.abs(F.timestamp_diff("MICROSECOND", F.col(a), F.col(b))) / 6e7
-    alike = 1 - F.col("w_sd") / (F.col("w_mean") + 1e-6)
-    rate = lambda c: F.count_if(F.coalesce(c, F.lit(False))) / F.count(F.lit(1))
-    return parts.groupBy(pump).agg(
-        rate(F.col("s_found")).alias("start_detection_rate"), rate(F.col("e_found")).alias("end_detection_rate"),
-        F.avg(F.when(F.col("s_found"), off("s_at", "vs"))).alias("avg_start_time_diff"), F.avg(F.when(F.col("e_found"), off("e_at", "ve"))).alias("avg_end_time_diff"),
-        (F.coalesce(F.sum(alike), F.lit(0.0)) / F.count(F.lit(1))).alias("avg_power_pattern_similarity"),
+    rows = within(truth.select("vid", "vs", "ve"), x, F.col("t"), F.col("vs") - hour, F.col("ve"))
+    sides = F.array(F.when(F.col("t") <= F.col("vs"), "s"), F.when(F.col("t") >= F.col("ve") - hour, "e"), F.when(F.col("t") >= F.col("vs"), "w"))
+    rows = rows.withColumn("side", F.explode(F.array_compact(sides)))
+    keys = [pump, "vid", "side"]
+    steps = rows.withColumn("d", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy(*keys).orderBy("t"))))
+    early = -F.timestamp_diff("MICROSECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("t"))
+    windows = steps.groupBy(*keys, F.when(F.col("side") == "s", F.col("vs")).otherwise(F.col("ve")).alias("edge")).agg(
+        F.coalesce(F.bool_or(F.col("d") > threshold), F.lit(False)).alias("found"),
+        (F.min("t") if literal else F.max_by("t", F.struct("d", early))).alias("at"), F.stddev_samp("d").alias("sd"), F.avg("d").alias("mean"),
+    )
+    start, end, whole = (F.col("side") == c for c in "sew")
+    off = F.when(F.col("found"), F.abs(F.timestamp_diff("MICROSECOND", F.col("at"), F.col("edge"))) / 6e7)
+    counts = windows.groupBy(pump).agg(
+        F.count_if(start & F.col("found")).alias("_s"), F.count_if(end & F.col("found")).alias("_e"),
+        F.avg(F.when(start, off)).alias("avg_start_time_diff"), F.avg(F.when(end, off)).alias("avg_end_time_diff"),
+        F.sum(F.when(whole, 1 - F.col("sd") / (F.col("mean") + 1e-6))).alias("_alike"),
+    )
+    total = truth.agg(F.count(F.lit(1)).alias("_n"))
+    out = x.select(pump).distinct().join(counts, pump, "left").crossJoin(F.broadcast(total))  # one row
+    rate = lambda c: F.try_divide(F.coalesce(F.col(c), F.lit(0)), F.col("_n"))
+    return out.select(
+        pump, rate("_s").alias("start_detection_rate"), rate("_e").alias("end_detection_rate"),
+        "avg_start_time_diff", "avg_end_time_diff", rate("_alike").alias("avg_power_pattern_similarity"),
     )
 
 

@@ -59,7 +59,7 @@ def in_ranges(samples: DataFrame, ranges: DataFrame, time: str = "t") -> DataFra
 def pump_bound(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
     """(key, levels): distinct levels of the signal that lie more than 1 apart, at least 1."""
     w = Window.partitionBy(*axis.key).orderBy(signal)
-    gaps = samples.withColumn("_gap", F.col(signal) - F.lag(signal).over(w))
+    gaps = samples.where(known(F.col(signal).cast("double")).isNotNull()).withColumn("_gap", F.col(signal) - F.lag(signal).over(w))
     return gaps.groupBy(*axis.key).agg((F.count_if(F.coalesce(F.col("_gap") > 1, F.lit(False))) + 1).alias("levels"))
 
 

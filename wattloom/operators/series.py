@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis, known
 
-MINUTE = 60_000_000
+#: Microseconds of a minute, minutes of a day.
+MINUTE, DAY = 60_000_000, 1440
 
 
 def gap(a: str | Column, b: str | Column) -> Column:
@@ -19,19 +20,28 @@ def gap(a: str | Column, b: str | Column) -> Column:
 def minute_series(records: DataFrame, powers: DataFrame, cluster: str = "clusterId", start: str = "starttime", end: str = "endtime") -> DataFrame:
     """(cluster, minute, signal): each cluster's events add its power on a minute grid that starts at its first start.
 
-    Both ends count. A sweep: one row up and one down for each event, summed along the grid; nothing grows with length x events.
+    Both ends count. A sweep by day: one step up and one down for each event; what runs at a day's start is carried from
+    the days before, so that no task holds more than a day of a cluster, and events are counted before power is multiplied.
     """
-    rows = records.join(powers.select(F.col("cluster").alias(cluster), "power"), cluster)
+    rows = records.join(powers.select(F.col("cluster").alias(cluster)), cluster)
     ends = rows.groupBy(cluster).agg(F.min(start).alias("first"), F.max(end).alias("last"))
     both = rows.join(ends, cluster)
     up = F.ceil(gap("first", start) / MINUTE).cast("long")
     down = F.floor(gap("first", end) / MINUTE).cast("long") + 1
-    steps = both.select(cluster, F.explode(F.array(F.struct(up.alias("k"), F.col("power").alias("p")), F.struct(down.alias("k"), (-F.col("power")).alias("p")))).alias("s"))
-    steps = steps.groupBy(cluster, F.col("s.k").alias("k")).agg(F.sum("s.p").alias("p"))
-    grid = ends.select(cluster, "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(gap("first", "last") / MINUTE).cast("long"))).alias("k"))
-    w = Window.partitionBy(cluster).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(steps, [cluster, "k"], "left").withColumn("signal", F.sum(F.coalesce("p", F.lit(0.0))).over(w))
-    return filled.select(F.col(cluster).alias("cluster"), F.timestamp_add("MINUTE", F.col("k"), F.col("first")).alias("minute"), "signal")
+    steps = both.select(cluster, F.explode(F.array(F.struct(up.alias("k"), F.lit(1).alias("n")), F.struct(down.alias("k"), F.lit(-1).alias("n")))).alias("s"))
+    day = F.floor(F.col("k") / DAY).cast("long")
+    steps = steps.groupBy(cluster, F.col("s.k").alias("k")).agg(F.sum("s.n").alias("n")).withColumn("day", day)
+    minutes = F.floor(gap("first", "last") / MINUTE).cast("long")
+    days = ends.select(cluster, "first", minutes.alias("minutes"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(minutes / DAY).cast("long"))).alias("day"))
+    earlier = Window.partitionBy(cluster).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.join(steps.groupBy(cluster, "day").agg(F.sum("n").alias("n")), [cluster, "day"], "left")
+    days = days.withColumn("carried", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    inside = F.sequence(F.col("day") * DAY, F.least(F.col("day") * DAY + (DAY - 1), F.col("minutes")))
+    grid = days.select(cluster, "first", "day", "carried", F.explode(inside).alias("k"))
+    w = Window.partitionBy(cluster, "day").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.join(steps, [cluster, "day", "k"], "left").withColumn("running", F.col("carried") + F.sum(F.coalesce("n", F.lit(0))).over(w))
+    filled = filled.join(powers.select(F.col("cluster").alias(cluster), "power"), cluster)
+    return filled.select(F.col(cluster).alias("cluster"), F.timestamp_add("MINUTE", F.col("k"), F.col("first")).alias("minute"), (F.col("running") * F.col("power")).alias("signal"))
 
 
 def minute_grid(samples: DataFrame, axis: Axis) -> DataFrame:
@@ -94,7 +104,8 @@ def truth_events(counter: DataFrame, axis: Axis, quantity: str, descending: bool
     or at the series' last. Descending (files with the newest row first): it ends at its last changed row, and a missing
     value counts as a change.
     """
-    rows = counter if descending else counter.where(known(F.col(quantity).cast("double")).isNotNull())
+    rows = counter.withColumn(quantity, known(F.col(quantity).cast("double")))
+    rows = rows if descending else rows.where(F.col(quantity).isNotNull())
     w = axis.window()
     before = F.lag(quantity).over(w)
     change = (F.row_number().over(w) > 1) & ~F.coalesce(F.col(quantity) == before, F.lit(False))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis, power_estimate
 from wattloom.operators import blocks, clustering, features, metrics, segments, series, smoothing
@@ -46,8 +47,8 @@ def r4(c: str | Column, name: str | None = None) -> Column:
 
 
 def runs_sql(threshold: float) -> str:
-    """CTEs up to `runs`: the rows of finished runs, with seg."""
-    return f"""{EV}, m AS (SELECT *, x >= {threshold} AS ison, coalesce(lag(x >= {threshold}) OVER w, false) AS was, lead(1) OVER w IS NULL AS islast FROM ev WINDOW w AS (PARTITION BY device ORDER BY t, event_id)),
+    """CTEs from `ev` up to `runs`: the rows of finished runs, with seg."""
+    return f"""m AS (SELECT *, x >= {threshold} AS ison, coalesce(lag(x >= {threshold}) OVER w, false) AS was, lead(1) OVER w IS NULL AS islast FROM ev WINDOW w AS (PARTITION BY device ORDER BY t, event_id)),
     n AS (SELECT *, sum(CASE WHEN ison AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS seg FROM m),
     o AS (SELECT *, max(islast::INT) OVER (PARTITION BY device, seg) AS isopen FROM n WHERE ison),
     runs AS (SELECT device, t, event_id, x, seg FROM o WHERE isopen = 0)"""
@@ -63,10 +64,10 @@ def dedup_keep_first(spark, sf):
     return meter.keep_first(readings(spark, sf), ["device", "kind"], "event_id").select("device", "kind", "event_id")
 
 
-@query('SELECT event_id, round(value / 1000, 4) AS "realP_A", round(abs(-value / 500), 4) AS "factor_A", value AS "volt_A" FROM events')
+@query('SELECT event_id, value / 1000 AS "realP_A", abs(-value / 500) AS "factor_A", value AS "volt_A" FROM events')
 def unit_scale_abs(spark, sf):
     raw = table(spark, sf, "events").select("event_id", F.col("value").alias("realP_A"), (-F.col("value") / 500).alias("factor_A"), F.col("value").alias("volt_A"))
-    return meter.scaled(raw).select("event_id", r4("realP_A"), r4("factor_A"), "volt_A")
+    return meter.scaled(raw).select("event_id", "realP_A", "factor_A", "volt_A")
 
 
 @query("""WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%m.%d.%Y %H:%M') ELSE strftime(ts, '%m.%d.%y %H:%M') END AS s FROM events)
@@ -82,12 +83,12 @@ def device_file_groups(spark, sf):
     return meter.transformer_files(table(spark, sf, "pages"), "url").select("device", F.array_join("files", " ").alias("files"))
 
 
-@query(f"WITH {segments_sql(20, 10)} SELECT device, seg, t_start, t_end, round(duration_min, 4) AS duration_min, n, round(variance, 4) AS variance FROM segs")
+@query(f"WITH {EV}, {segments_sql(20, 10)} SELECT device, seg, t_start, t_end, duration_min, n, variance FROM segs")
 def active_segments(spark, sf):
-    return segments.segments(readings(spark, sf), DEVICE, "x", 20.0).select("device", "seg", "t_start", "t_end", r4("duration_min"), "n", r4("variance"))
+    return segments.segments(readings(spark, sf), DEVICE, "x", 20.0)
 
 
-@query(f"WITH {segments_sql(20, 10)} SELECT device, seg, n FROM segs JOIN (SELECT device, seg FROM runs GROUP BY device, seg HAVING NOT bool_and(x < 150)) USING (device, seg)")
+@query(f"WITH {EV}, {segments_sql(20, 10)} SELECT device, seg, n FROM segs JOIN (SELECT device, seg FROM runs GROUP BY device, seg HAVING NOT bool_and(x < 150)) USING (device, seg)")
 def segments_factor_filter(spark, sf):
     rows = readings(spark, sf).withColumn("factor_B", F.when(F.col("x") < 150, 1.0).otherwise(0.5))
     return segments.segments(rows, DEVICE, "x", 20.0, factors=("factor_B",)).select("device", "seg", "n")
@@ -97,12 +98,12 @@ PULSES = """, steps AS (SELECT *, lag(x) OVER w AS b FROM runs WINDOW w AS (PART
     p AS (SELECT device, seg, x > b AND x > lead(x) OVER (PARTITION BY device, seg ORDER BY t, event_id) AND x >= 5 AS peak FROM c), pulses AS (SELECT device, seg, count(*) FILTER (peak) AS pulses FROM p GROUP BY device, seg)"""
 
 
-@query(f"WITH {runs_sql(20)} {PULSES} SELECT * FROM pulses")
+@query(f"WITH {EV}, {runs_sql(20)} {PULSES} SELECT * FROM pulses")
 def pulse_count(spark, sf):
     return segments.pulses(segments.runs(readings(spark, sf), DEVICE, "x", 20.0), DEVICE, "x")
 
 
-@query(f"WITH {segments_sql(20, 10)} {PULSES} SELECT device, seg, pulses, variance < 500 OR pulses = 1 AS is_mono FROM segs JOIN pulses USING (device, seg)")
+@query(f"WITH {EV}, {segments_sql(20, 10)} {PULSES} SELECT device, seg, pulses, variance < 500 OR pulses = 1 AS is_mono FROM segs JOIN pulses USING (device, seg)")
 def mono_vs_other(spark, sf):
     rows = readings(spark, sf)
     events = segments.segments(rows, DEVICE, "x", 20.0)
@@ -111,13 +112,13 @@ def mono_vs_other(spark, sf):
 
 
 @query("""WITH b AS (SELECT *, (l_discount + l_tax + l_discount) / 3 AS pf, 3 * ((l_quantity + l_linenumber) / 2) * ((l_extendedprice + l_extendedprice + l_quantity) / 3) / 1000 AS iv FROM lineitem)
-SELECT l_orderkey, l_linenumber, round(pf * iv, 3) AS real_power, round(CASE WHEN pf <= 1 THEN sqrt(1 - pf * pf) * iv END, 3) AS reactive_power FROM b""")
+SELECT l_orderkey, l_linenumber, pf * iv AS real_power, CASE WHEN pf <= 1 THEN sqrt(1 - pf * pf) * iv END AS reactive_power FROM b""")
 def power_proxy(spark, sf):
     real, reactive = power_estimate(["l_discount", "l_tax", "l_discount"], ["l_quantity", "l_linenumber"], ["l_extendedprice", "l_extendedprice", "l_quantity"])
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(real, 3).alias("real_power"), F.round(reactive, 3).alias("reactive_power"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", real.alias("real_power"), reactive.alias("reactive_power"))
 
 
-FEATURES = f"""WITH {runs_sql(5)}, r AS (SELECT *, row_number() OVER (PARTITION BY device, seg ORDER BY t, event_id) AS rn FROM runs),
+FEATURES = f"""WITH {EV}, {runs_sql(5)}, r AS (SELECT *, row_number() OVER (PARTITION BY device, seg ORDER BY t, event_id) AS rn FROM runs),
     s AS (SELECT *, min(t) FILTER (rn > 5) OVER (PARTITION BY device, seg) AS t0 FROM r),
     f AS (SELECT device, seg, stddev_pop(x) FILTER (rn > 5) AS std_x, avg(x) FILTER (rn > 5) AS ave_x, regr_slope(x, date_diff('microsecond', t0, t) / 60e6) FILTER (rn > 5) AS trend_x, max(x) FILTER (rn <= 5) AS max_x
     FROM s GROUP BY device, seg HAVING count(*) FILTER (rn > 5) >= 10)"""
@@ -128,9 +129,9 @@ def made_features(spark, sf):
     return features.event_features(rows, DEVICE, {"x": "x"}, "x")
 
 
-@query(f"{FEATURES} SELECT device, seg, round(std_x, 4) AS std_x, round(ave_x, 4) AS ave_x, round(trend_x, 6) AS trend_x, round(max_x, 4) AS max_x FROM f")
+@query(f"{FEATURES} SELECT device, seg, std_x, ave_x, trend_x, max_x FROM f")
 def event_features(spark, sf):
-    return made_features(spark, sf).select("device", "seg", r4("std_x"), r4("ave_x"), (F.round("trend_x", 6) + 0.0).alias("trend_x"), r4("max_x"))
+    return made_features(spark, sf).select("device", "seg", "std_x", "ave_x", "trend_x", "max_x")
 
 
 @query("""WITH c AS (SELECT o_custkey AS device, month(o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1, 2)
@@ -265,7 +266,7 @@ def made_records(spark, sf):
     return found.select((F.col("device") % 5).alias("clusterId"), F.col("t_start").alias("starttime"), F.col("t_end").alias("endtime"))
 
 
-@query(f"""WITH {RECORDS}, e AS (SELECT "clusterId", min(starttime) AS a, max(endtime) AS b FROM records GROUP BY 1), g AS (SELECT "clusterId" AS cluster, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS minute FROM e)
+@query(f"""WITH {EV}, {RECORDS}, e AS (SELECT "clusterId", min(starttime) AS a, max(endtime) AS b FROM records GROUP BY 1), g AS (SELECT "clusterId" AS cluster, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS minute FROM e)
 SELECT g.cluster, g.minute, round(coalesce(sum(r.p), 0), 4) AS signal FROM g LEFT JOIN (SELECT *, ("clusterId" + 1) * 10.5 AS p FROM records) r ON r."clusterId" = g.cluster AND g.minute BETWEEN r.starttime AND r.endtime GROUP BY 1, 2""")
 def minute_series(spark, sf):
     rows = made_records(spark, sf)
@@ -285,45 +286,47 @@ def resample_nearest(spark, sf):
 
 @query(f"""{GRID}, m AS (SELECT kind, date_trunc('minute', t) AS t, arg_max(x, event_id) AS x FROM ev WHERE second(t) < 20 GROUP BY 1, 2),
     p AS (SELECT g.kind, g.g, m.t AS t0, m.x AS x0 FROM g ASOF LEFT JOIN m ON g.kind = m.kind AND g.g >= m.t), q AS (SELECT p.*, m.t AS t1, m.x AS x1 FROM p ASOF LEFT JOIN m ON p.kind = m.kind AND p.g <= m.t)
-SELECT kind, g AS minute, round(coalesce(x0 + (x1 - x0) * coalesce(date_diff('microsecond', t0, g) / nullif(date_diff('microsecond', t0, t1), 0), 0), x0), 4) AS value FROM q""")
+SELECT kind, g AS minute, coalesce(x0 + (x1 - x0) * coalesce(date_diff('microsecond', t0, g) / nullif(date_diff('microsecond', t0, t1), 0), 0), x0) AS value FROM q""")
 def resample_linear(spark, sf):
     rows = readings(spark, sf).withColumn("t", F.when(F.second("t") < 20, F.date_trunc("minute", "t").cast("timestamp_ntz")).otherwise(F.col("t")))
-    return series.resample_linear(rows, KIND, "x").select("kind", "minute", r4("value"))
+    return series.resample_linear(rows, KIND, "x")
 
 
-COUNTER = f"{EV}, q AS (SELECT *, sum(CASE WHEN x > 150 THEN x ELSE 0 END) OVER (PARTITION BY kind ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS q FROM ev)"
+#: A counter in whole hundredths, so that sums are exact in both engines.
+COUNTER = f"{EV}, q AS (SELECT *, sum(CASE WHEN x > 150 THEN round(x * 100)::BIGINT ELSE 0 END) OVER (PARTITION BY device ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS q FROM ev)"
 
 
 def counter(spark, sf):
-    up = F.sum(F.when(F.col("x") > 150, F.col("x")).otherwise(0.0)).over(KIND.window().rowsBetween(-(1 << 63), 0))
-    return readings(spark, sf).withColumn("q", up)
+    up = F.when(F.col("x") > 150, F.round(F.col("x") * 100).cast("long")).otherwise(0)
+    return readings(spark, sf).withColumn("q", F.sum(up).over(DEVICE.window().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@query(f"""WITH {COUNTER} SELECT event_id, round(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE 10 * (q - lag(q) OVER w) / nullif(date_diff('microsecond', lag(t) OVER w, t) / 3.6e9, 0) END, 2) AS power FROM q WINDOW w AS (PARTITION BY kind ORDER BY t, event_id)""")
+@query(f"""WITH {COUNTER} SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE 10 * (q - lag(q) OVER w) / nullif(date_diff('microsecond', lag(t) OVER w, t) / 3.6e9, 0) END AS power FROM q WINDOW w AS (PARTITION BY device ORDER BY t, event_id)""")
 def working_power(spark, sf):
-    return series.working_power(counter(spark, sf), KIND, "q").select("event_id", (F.round("power", 2) + 0.0).alias("power"))
+    return series.working_power(counter(spark, sf), DEVICE, "q").select("event_id", "power")
 
 
 def truth_sql(end: str) -> str:
-    return f"""{COUNTER}, c AS (SELECT *, row_number() OVER w > 1 AND q <> lag(q) OVER w AS ch, lead(t) OVER w AS nx FROM q WINDOW w AS (PARTITION BY kind ORDER BY t, event_id)),
-    s AS (SELECT *, sum((coalesce(ch, false) AND NOT coalesce(lag(ch) OVER w2, false))::INT) OVER w3 AS run FROM (SELECT *, lag(ch) OVER (PARTITION BY kind ORDER BY t, event_id) AS lch FROM c) WINDOW w2 AS (PARTITION BY kind ORDER BY t, event_id), w3 AS (PARTITION BY kind ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
-    truth AS (SELECT kind, run, min(t) AS starttime, {end} AS endtime FROM s WHERE ch GROUP BY kind, run)""".replace("sum((coalesce(ch, false) AND NOT coalesce(lag(ch) OVER w2, false))::INT)", "sum((coalesce(ch, false) AND NOT coalesce(lch, false))::INT)").replace("WINDOW w2 AS (PARTITION BY kind ORDER BY t, event_id), w3", "WINDOW w3")
+    return f"""{COUNTER}, c AS (SELECT *, row_number() OVER w > 1 AND q <> lag(q) OVER w AS ch, lead(t) OVER w AS nx FROM q WINDOW w AS (PARTITION BY device ORDER BY t, event_id)),
+    l AS (SELECT *, lag(ch) OVER (PARTITION BY device ORDER BY t, event_id) AS before FROM c),
+    s AS (SELECT *, sum((coalesce(ch, false) AND NOT coalesce(before, false))::INT) OVER (PARTITION BY device ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM l),
+    truth AS (SELECT device, run, min(t) AS starttime, {end} AS endtime FROM s WHERE ch GROUP BY device, run)"""
 
 
 ASCENDING = truth_sql("max(coalesce(nx, t))")
 
 
-@query(f"WITH {ASCENDING} SELECT kind, starttime, endtime FROM truth")
+@query(f"WITH {ASCENDING} SELECT device, starttime, endtime FROM truth")
 def truth_events_asc(spark, sf):
-    return series.truth_events(counter(spark, sf), KIND, "q")
+    return series.truth_events(counter(spark, sf), DEVICE, "q")
 
 
-@query(f"WITH {truth_sql('max(t)')} SELECT kind, starttime, endtime FROM truth")
+@query(f"WITH {truth_sql('max(t)')} SELECT device, starttime, endtime FROM truth")
 def truth_events_desc(spark, sf):
-    return series.truth_events(counter(spark, sf), KIND, "q", descending=True)
+    return series.truth_events(counter(spark, sf), DEVICE, "q", descending=True)
 
 
-METRICS = """WITH a AS (SELECT event_id // 2 AS k, greatest(value - 150, 0) AS p FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id // 2 AS k, greatest(value - 150, 0) AS v FROM events WHERE event_id % 2 = 1 AND event_id % 7 <> 0),
+METRICS = """WITH a AS (SELECT event_id // 2 AS k, greatest(value - 150, 0) AS p FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id // 2 + 1 AS k, greatest(value - 150, 0) AS v FROM events WHERE event_id % 2 = 1),
     j AS (SELECT coalesce(a.k, b.k) % 10 AS series, p, v FROM a FULL JOIN b ON a.k = b.k),
     m AS (SELECT series, 1 - coalesce(sum(v) FILTER (p < v), 0) / nullif(sum(v), 0) AS inclusion, (sum(v) - coalesce(sum(v) FILTER (p < v), 0)) / nullif(sum(p), 0) AS matching,
     1 - count(*) FILTER (p < v) / nullif(count(*) FILTER (v > 0), 0) AS time_inclusion, count(*) FILTER (p > 0 AND v > 0) / nullif(count(*) FILTER (p > 0 OR v > 0), 0) AS time_matching,
@@ -335,8 +338,8 @@ NAMES = ["inclusion", "matching", "time_inclusion", "time_matching", "time_match
 def made_metrics(spark, sf):
     over = F.greatest(F.col("value") - 150, F.lit(0.0)).alias("value")
     rows = table(spark, sf, "events")
-    k = F.floor(F.col("event_id") / 2).alias("k")
-    pairs = metrics.aligned(rows.where("event_id % 2 = 0").select(k, over), rows.where("event_id % 2 = 1 and event_id % 7 <> 0").select(k, over), ["k"])
+    k = F.floor(F.col("event_id") / 2)
+    pairs = metrics.aligned(rows.where("event_id % 2 = 0").select(k.alias("k"), over), rows.where("event_id % 2 = 1").select((k + 1).alias("k"), over), ["k"])
     return metrics.metrics(pairs.withColumn("series", F.col("k") % 10), ["series"])
 
 
@@ -350,19 +353,18 @@ def best_signal(spark, sf):
     return metrics.best(made_metrics(spark, sf), -F.col("mse"), ["series"]).select("series", r4("mse"))
 
 
-TRUTH = f"{ASCENDING}, tv AS (SELECT row_number() OVER (ORDER BY starttime, endtime, kind) AS vid, starttime AS vs, endtime AS ve FROM truth WHERE kind = (SELECT min(kind) FROM truth))"
+TRUTH = f"{ASCENDING}, tv AS (SELECT row_number() OVER (ORDER BY starttime, endtime, device) AS vid, starttime AS vs, endtime AS ve FROM truth)"
 
 
 def made_truth(spark, sf):
-    found = series.truth_events(counter(spark, sf), KIND, "q")
-    first = found.agg(F.min("kind").alias("kind"))
-    return found.join(F.broadcast(first), "kind").select(F.xxhash64("starttime", "endtime").alias("vid"), F.col("starttime").alias("vs"), F.col("endtime").alias("ve"))
+    found = series.truth_events(counter(spark, sf), DEVICE, "q")
+    return found.select(F.xxhash64("device", "starttime", "endtime").alias("vid"), F.col("starttime").alias("vs"), F.col("endtime").alias("ve"))
 
 
-@query(f"""WITH {TRUTH}, {RECORDS.replace(EV + ",", "")}, u AS (SELECT DISTINCT "clusterId" AS cluster FROM records),
+@query(f"""WITH {TRUTH}, {RECORDS}, u AS (SELECT DISTINCT "clusterId" AS cluster FROM records),
     h AS (SELECT u.cluster, tv.vid, EXISTS (SELECT 1 FROM records r WHERE r."clusterId" = u.cluster AND r.starttime BETWEEN tv.vs - INTERVAL 1 HOUR AND tv.vs) AS s,
     EXISTS (SELECT 1 FROM records r WHERE r."clusterId" = u.cluster AND r.endtime BETWEEN tv.ve - INTERVAL 2 HOUR AND tv.ve - INTERVAL 1 HOUR) AS e FROM u, tv)
-SELECT cluster, round(count(*) FILTER (s) / count(*), 4) AS start_accuracy, round(count(*) FILTER (e) / count(*), 4) AS end_accuracy, count(*) AS total_validation_events, count(*) FILTER (s) AS correct_starts, count(*) FILTER (e) AS correct_ends FROM h GROUP BY cluster""".replace("), m AS (SELECT *, x >=", "), m AS (SELECT *, x >="))
+SELECT cluster, round(count(*) FILTER (s) / count(*), 4) AS start_accuracy, round(count(*) FILTER (e) / count(*), 4) AS end_accuracy, count(*) AS total_validation_events, count(*) FILTER (s) AS correct_starts, count(*) FILTER (e) AS correct_ends FROM h GROUP BY cluster""")
 def window_accuracy(spark, sf):
     found = metrics.window_accuracy(made_records(spark, sf).withColumnRenamed("clusterId", "cluster"), made_truth(spark, sf))
     return found.select("cluster", r4("start_accuracy"), r4("end_accuracy"), "total_validation_events", "correct_starts", "correct_ends")

@@ -47,6 +47,43 @@ def test_ward_and_dbscan_find_the_blobs(blobs):
     assert sorted(k for k in found if k is not None) == [0, 12, 24] and all(len(found[k]) == 1 for k in (0, 12, 24))
 
 
+def plain_ward(x, k):
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        def cost(pair):
+            a, b = (x[groups[j]] for j in pair)
+            return len(a) * len(b) / (len(a) + len(b)) * ((a.mean(0) - b.mean(0)) ** 2).sum()
+
+        i, j = min(((i, j) for j in range(len(groups)) for i in range(j)), key=cost)
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("block", [20, 2000])
+def test_ward_equals_a_plain_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(clustering, "WARD_BLOCK", block)
+    x = np.random.default_rng(4).normal(size=(40, 2))
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "id long, a double, b double")
+    for k in (4,):
+        found = {}
+        for r in clustering.ward(rows, COLUMNS, k).collect():
+            found.setdefault(r["cluster"], set()).add(r["id"])
+        assert set(map(frozenset, found.values())) == plain_ward(x, k)
+
+
+def test_density_search_leaves_noise_out(spark, blobs):
+    rows = blobs.unionByName(spark.createDataFrame([(100, 50.0, 50.0)], "id long, a double, b double"))
+    labelled, score, (eps, least) = clustering.density_search(rows, COLUMNS, (0.01, 0.5), (3,))
+    assert (eps, least) == (0.5, 3) and score > 0.9 and labelled.where("cluster is null").count() == 1
+    assert clustering.silhouettes(labelled, COLUMNS).count() == 36
+    assert clustering.density_search(rows, COLUMNS, (1000.0,), (2,)) == (None, -1.0, None)
+
+
+def test_two_stage_with_wards_criterion(blobs):
+    labelled, mapping = clustering.two_stage(blobs, COLUMNS, COLUMNS, 2, repeats=1, max_k=3, clusterer=clustering.ward)
+    assert labelled.count() == 36 and len(mapping) == 3
+
+
 def test_two_stage_labels_follow_ids(blobs):
     labelled, mapping = clustering.two_stage(blobs, ["a"], ["b", "a"], 1, repeats=1, max_k=3)
     assert labelled.count() == 36 and sorted(c for cs in mapping.values() for c in cs) == list(range(sum(map(len, mapping.values()))))

@@ -35,6 +35,28 @@ def test_counter_needs_its_columns(spark, tmp_path):
         meter.read_counter(spark, str(tmp_path / "d.csv"))
 
 
+def test_predictions_without_the_files_of_errors(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",UTC Time,workingPower\n0,2024-01-01 00:00:00,1.5\n")
+    (tmp_path / "a_error.csv").write_text(",UTC Time,workingPower\n0,2024-01-01 00:00:00,9.5\n")
+    assert [tuple(r) for r in meter.read_prediction(spark, str(tmp_path)).collect()] == [(dt.datetime(2024, 1, 1), 1.5)]
+
+
+def test_series_lie_by_cluster(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    meter.write_series(spark.createDataFrame([(0, t, 1.0), (1, t, 2.0)], "cluster int, minute timestamp_ntz, signal double"), str(tmp_path / "s"))
+    back = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "s"))
+    assert sorted((r["cluster"], r["signal"]) for r in back.collect()) == [(0, 1.0), (1, 2.0)]
+
+
+def test_truth_is_numbered_over_ranges(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    times = [t + dt.timedelta(minutes=(37 * k) % 101) for k in range(101)]
+    meter.write_truth(spark.createDataFrame([(x, x) for x in times], "starttime timestamp_ntz, endtime timestamp_ntz").repartition(7), str(tmp_path / "t"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "t")).collect()
+    assert [r["starttime"] for r in sorted(rows, key=lambda r: int(r["recordId"]))] == [f"{x:%Y-%m-%d %H:%M:%S}" for x in sorted(times)]
+    assert sorted(int(r["recordId"]) for r in rows) == list(range(1, 102))
+
+
 def test_events_round_trip(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, 0, 3, t, t, 0), (2, 1, 3, t, t, 1)], meter.EVENT_SCHEMA)
@@ -42,5 +64,7 @@ def test_events_round_trip(spark, tmp_path):
     assert sorted(meter.read_events(spark, str(tmp_path / "e")).collect()) == sorted(df.collect())
     meter.write_events(df, str(tmp_path / "by"), by_cluster=True)
     assert sorted(p.name for p in (tmp_path / "by").glob("clusterId=*")) == ["clusterId=0", "clusterId=1"]
+    back = spark.read.option("header", True).csv(str(tmp_path / "by"))
+    assert sorted((int(r["recordId"]), int(r["clusterId"])) for r in back.collect()) == [(1, 0), (2, 1)]
     meter.write_truth(df.select("starttime", "endtime"), str(tmp_path / "t"))
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).columns == ["recordId", "starttime", "endtime"]

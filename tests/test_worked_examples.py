@@ -114,6 +114,64 @@ def test_truth_events(spark):
     assert [minutes(r["starttime"]) for r in series.truth_events(gap, AXIS, "q").collect()] == [3]
 
 
+def test_missing_values_in_a_descending_counter_change(spark):
+    nan = float("nan")
+    got = series.truth_events(counter(spark, [5.0, nan, nan, 5.0, 5.0, 5.0]), AXIS, "q", True).collect()
+    assert [(minutes(r["starttime"]), minutes(r["endtime"])) for r in got] == [(1, 3)]
+
+
+def test_nan_is_missing_in_metrics(spark):
+    pred = spark.createDataFrame([(1, 2.0), (2, float("nan"))], "k int, value double")
+    val = spark.createDataFrame([(1, 4.0), (2, 4.0)], "k int, value double")
+    got = metrics.metrics(metrics.aligned(pred, val, ["k"]).withColumn("s", F.lit(0)), ["s"]).first()
+    assert got["inclusion"] == 0.5 and got["mse"] == 4
+
+
+def test_a_series_that_ends_is_exactly_off(spark):
+    spans = [(1, at(3 * k), at(3 * k + 2 + k % 5)) for k in range(1000)]
+    records = spark.createDataFrame(spans, "clusterId int, starttime timestamp_ntz, endtime timestamp_ntz")
+    rows = series.minute_series(records, spark.createDataFrame([(1, 0.1)], "cluster int, power double")).collect()
+    assert len(rows) == max(int(minutes(e)) for _, _, e in spans) + 1
+    want = {}
+    for _, a, b in spans:
+        for k in range(int(minutes(a)), int(minutes(b)) + 1):
+            want[k] = want.get(k, 0) + 1
+    assert all(r["signal"] == want.get(int(minutes(r["minute"])), 0) * 0.1 for r in rows)
+
+
+def test_index_ranges_of_events(spark):
+    rows = spark.createDataFrame([(d, s, at(0), 1.0) for d in (1, 2) for s in (3, 5, 9)], "device int, seg int, t timestamp_ntz, x double")
+    assert sorted((r["device"], r["seg"]) for r in blocks.in_index_range(rows, EVENT, 1, 2).collect()) == [(1, 5), (2, 5)]
+    assert blocks.in_index_range(rows, EVENT, 2).count() == 2
+    with pytest.raises(ValueError):
+        blocks.in_index_range(rows, EVENT, 3, 1)
+
+
+def test_reports(spark):
+    scores = spark.createDataFrame([("a", 0.5, 0.25, None, 1.0, 0.5, 2.0, 0.0, 4.0, 1.5)], "name string, information_ratio double, inclusion double, matching double, time_inclusion double, time_matching double, active_error double, inactive_error double, mse double, mae double")
+    lines = [r["line"] for r in metrics.report_lines(scores, "name").orderBy("place").collect()]
+    assert lines[:4] == ["evaluation of a", "  - vp_ratio: 0.500", "  - inc: 25.000%", "  - mat: none"] and len(lines) == 10
+    found = spark.createDataFrame([(1, 0.9, 0.5, 0.7, 10, 9, 5), (2, 0.2, 0.2, 0.2, 10, 2, 2)], "cluster int, start_accuracy double, end_accuracy double, avg_accuracy double, total_validation_events int, correct_starts int, correct_ends int")
+    last = metrics.accuracy_lines(found).orderBy("place", "cluster").collect()
+    assert [r["line"] for r in last] == ["1 | 90.00% | 50.00% | 70.00%", "2 | 20.00% | 20.00% | 20.00%", "best: 1 | 90.00% | 50.00% | 70.00%; events 10, starts 9, ends 5"]
+    rates = spark.createDataFrame([(0.9, 0.5, 3.0, None, 0.7)], ", ".join(f"{c} double" for c in metrics.ANALYSED))
+    assert [(a["value"], a["label"]) for a in metrics.analysis(rates).first()["analysis"]] == [("90.0%", "good"), ("50.0%", "needs improvement"), ("3.0 minutes", "good"), ("none", "needs improvement"), ("0.70", "good")]
+
+
+def test_ranges_keep_both_ends(spark):
+    ranges = spark.createDataFrame([("a", at(1), at(2)), ("b", at(2), at(3))], "name string, range_start timestamp_ntz, range_end timestamp_ntz")
+    got = segments.in_ranges(signal(spark, range(6)), ranges).collect()
+    assert sorted((r["name"], r["x"]) for r in got) == [("a", 1), ("a", 2), ("b", 2), ("b", 3)]
+
+
+def test_selectors_with_a_label(spark):
+    rng = random.Random(1)
+    rows = [(k, float(k % 3) + rng.gauss(0, 0.1), rng.gauss(0, 1), float(k % 3) * 2 + rng.gauss(0, 0.5), k % 3) for k in range(90)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, label int")
+    assert features.select_features(df, ["id"], ["a", "b", "c"], "kbest", label="label", k=2).columns == ["id", "a", "c"]
+    assert "b" not in features.by_lasso(df, ["a", "b", "c"], "label", 0.2)
+
+
 def test_working_power(spark):
     got = series.working_power(counter(spark, [1.0, 2.0, 2.0, 5.0]), AXIS, "q").orderBy("t").collect()
     assert [r["power"] for r in got] == pytest.approx([0, 600, 0, 1800])
@@ -188,6 +246,45 @@ def test_repairs(spark):
     assert all(abs(r["smoothed"] - 5) < 1e-9 for r in got)
 
 
+def my2_repair(s, trigger=3, delta=1):
+    s = list(s)
+    for _ in range(2):
+        for i in range(len(s) - 2):
+            a, b, c = s[i : i + 3]
+            if b - a < -trigger and b - c < -trigger:
+                s[i + 1] = c
+            elif b - a > trigger and b - c > trigger:
+                s[i + 1] = a
+            elif abs(c - a) < delta and abs(b - a) < delta:
+                s[i : i + 3] = [(a + b + c) / 3] * 3
+        for i in range(len(s) - 3):
+            a, b, c, d = s[i : i + 4]
+            if abs(a - d) < trigger and abs(b - a) > trigger and abs(b - c) > trigger:
+                s[i + 1 : i + 3] = [(a + d) / 2] * 2
+    return s
+
+
+def test_repairs_stream_through_small_batches(spark):
+    rng = random.Random(4)
+    series_ = {d: [float(rng.choice([0, 0.4, 5, 5.5, 9, 14])) for _ in range(n)] for d, n in enumerate((1, 2, 3, 50, 7, 80))}
+    rows = None
+    for d, values in series_.items():
+        part = signal(spark, values, d)
+        rows = part if rows is None else rows.unionByName(part)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for method, plain in (("my", my_repair), ("my2", my2_repair)):
+            got = {}
+            for r in smoothing.smoothed(rows, AXIS, "x", method).orderBy("device", "t").collect():
+                got.setdefault(r["device"], []).append(r["smoothed"])
+            assert all(got[d] == pytest.approx(plain(values)) for d, values in series_.items())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    gap = smoothing.smoothed(signal(spark, [5, 5, None, 5, 5]), AXIS, "x", "my").orderBy("t").collect()
+    assert [r["smoothed"] for r in gap] == [5, 5, None, 5, 5]
+
+
 def test_smoothers_keep_a_constant(spark):
     for method in ("savgol", "gaussian", "centred"):
         got = smoothing.smoothed(signal(spark, [7.0] * 9), AXIS, "x", method).collect()

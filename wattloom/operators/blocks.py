@@ -68,11 +68,23 @@ def on_off_records(deltas: DataFrame, axis: Axis, centres: list[tuple[int, float
     )
 
 
-def decomposed(samples: DataFrame, others: DataFrame, axis: Axis, signal: str, centres: list[tuple[int, float]], threshold: float = 10.0, second: float = 3.0) -> DataFrame:
+def in_index_range(samples: DataFrame, axis: Axis, first: int = 0, last: int | None = None) -> DataFrame:
+    """Samples of a series' events from index `first` up to, not including, `last` (counted from 0 in the events' order)."""
+    if first < 0 or (last is not None and last < first):
+        raise ValueError("a range of event indices runs from 0 upwards")
+    *series, event = axis.key
+    order = Window.partitionBy(*series).orderBy(event)
+    index = samples.select(*axis.key).distinct().withColumn("_index", F.row_number().over(order) - 1)
+    return samples.join(index.where((F.col("_index") >= first) & (F.lit(True) if last is None else F.col("_index") < last)).drop("_index"), list(axis.key), "left_semi")
+
+
+def decomposed(samples: DataFrame, others: DataFrame, axis: Axis, signal: str, centres: list[tuple[int, float]], threshold: float = 10.0, second: float = 3.0, first: int = 0, last: int | None = None) -> DataFrame:
     """Records of all events, then (second pass) of the `others` again with a lower threshold, numbered in each series.
 
-    axis.key is the series and, last, the event.
+    axis.key is the series and, last, the event. The other events are those with an index from `first` up to `last`.
     """
+    if first or last is not None:
+        others = in_index_range(others, axis, first, last)
     passes = []
     for n, (rows, thr) in enumerate(((samples, threshold), (others, second)), 1):
         found = on_off_records(block_deltas(change_blocks(rows, axis, signal, thr), axis), axis, centres)
@@ -89,10 +101,14 @@ def cluster_power(features: DataFrame, cluster: str, feature: str) -> DataFrame:
 
 def residual_combinations(events: DataFrame, signal: str, powers: list[float], most: int = 3) -> DataFrame:
     """events with counts (pumps of each power, up to `most` each) whose sum comes nearest to the signal, and the residual share."""
-    combos = F.lit(None)
     sets = "array(array())"
     for _ in powers:
         sets = f"flatten(transform({sets}, c -> transform(sequence(0, {most}), n -> concat(c, array(n)))))"
     total = " + ".join(f"c[{k}] * {p!r}D" for k, p in enumerate(powers))
     combos = F.expr(f"array_min(transform({sets}, c -> named_struct('d', abs({total} - {signal}), 'counts', c)))")
     return events.withColumn("_best", combos).withColumn("counts", F.col("_best.counts")).withColumn("residual", F.try_divide("_best.d", F.abs(signal))).drop("_best")
+
+
+def mean_residues(events: DataFrame, by: list[str], signal: str, powers: list[float], most: int = 3) -> DataFrame:
+    """(by, residual): the mean residual share of each event's samples; by names the event."""
+    return residual_combinations(events, signal, powers, most).groupBy(*by).agg(F.avg("residual").alias("residual"))

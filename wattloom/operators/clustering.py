@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ from wattloom.functions.session import with_checkpoints
 from wattloom.operators.features import assembled, pca_scores
 
 MAX_K = 20
-#: Rows that fit in one group of the sequential clusterers; more are refused.
-MAX_SEQUENTIAL = 5000
+#: Clusters that Ward's criterion merges in one task, and those of a block that meet.
+WARD_BLOCK = 2000
 
 
 def squared(a: list[Column], b: list[Column]) -> Column:
@@ -25,21 +25,21 @@ def squared(a: list[Column], b: list[Column]) -> Column:
 
 
 def silhouettes(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """(row columns, silhouette): euclidean, from the distances of all pairs; 0 in a cluster of one.
+    """(id, cluster, silhouette): euclidean, from the distances of all pairs; 0 in a cluster of one. Rows without a cluster (noise) are left out.
 
     Quadratic in rows, as the score is; rows are events of one kind and are paired in blocks of equal size.
     """
-    base = rows.select("id", cluster, F.array(*columns).alias("x"))
+    base = rows.where(F.col(cluster).isNotNull()).select("id", F.col(cluster).alias("_c"), *(F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)))
+    own_x, other_x = [F.col(f"_x{k}") for k in range(len(columns))], [F.col(f"_y{k}") for k in range(len(columns))]
     blocks = max(1, math.ceil(base.count() / 2000))
     left = base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = base.select(F.col("id").alias("id2"), F.col(cluster).alias("other"), F.col("x").alias("y"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
-    apart = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    sums = left.join(right, "_b").where("id <> id2").groupBy("id", cluster, "other").agg(F.sum(apart).alias("d"), F.count(F.lit(1)).alias("n"))
-    own = F.max(F.when(F.col("other") == F.col(cluster), F.col("d") / F.col("n"))).alias("a")
-    near = F.min(F.when(F.col("other") != F.col(cluster), F.col("d") / F.col("n"))).alias("b")
-    both = sums.groupBy("id", cluster).agg(own, near)
+    right = base.select(F.col("id").alias("_id2"), F.col("_c").alias("_other"), *(x.alias(f"_y{k}") for k, x in enumerate(own_x)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
+    sums = left.join(right, "_b").where("id <> _id2").groupBy("id", "_c", "_other").agg(F.sum(F.sqrt(squared(own_x, other_x))).alias("d"), F.count(F.lit(1)).alias("n"))
+    own = F.max(F.when(F.col("_other") == F.col("_c"), F.col("d") / F.col("n"))).alias("a")
+    near = F.min(F.when(F.col("_other") != F.col("_c"), F.col("d") / F.col("n"))).alias("b")
+    both = sums.groupBy("id", "_c").agg(own, near)
     value = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return both.select("id", cluster, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+    return both.select("id", F.col("_c").alias(cluster), F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 
 def silhouette_score(rows: DataFrame, columns: list[str], weights: tuple[float, float] = (1.0, 0.0), per_cluster: bool = True, cluster: str = "cluster") -> DataFrame:
@@ -118,7 +118,7 @@ def search(rows: DataFrame, columns: list[str], score: str = "si", repeats: int
     return best
 
 
-def gaussian_mixture(rows: DataFrame, columns: list[str], ks: range = range(2, 6), seed: int = 0) -> tuple[DataFrame, float, int]:
+def gaussian_mixture(rows: DataFrame, columns: list[str], ks: range = range(2, 11), seed: int = 0) -> tuple[DataFrame, float, int]:
     """Full-covariance mixture by the mean of silhouette, Calinski-Harabasz / 1000, -BIC / 10000 and -AIC / 10000, on features
     standardised and then robustly scaled."""
     v = assembled(rows, columns)
@@ -167,31 +167,82 @@ def two_stage(rows: DataFrame, first: list[str], second: list[str], components:
     return out, mapping
 
 
+def merge_order(x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float]]:
+    """(kept, gone, height) of Ward's merges of clusters with centres x and sizes n, by chains of nearest neighbours."""
+    left, x, n = np.ones(len(n), bool), x.astype(float).copy(), n.astype(float).copy()
+    out, chain = [], []
+    for _ in range(len(n) - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(left)[0])]
+        while True:
+            k = chain[-1]
+            d = n * n[k] / (n + n[k]) * ((x - x[k]) ** 2).sum(1)
+            d[~left] = np.inf
+            d[k] = np.inf
+            j = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        a, b = min(k, j), max(k, j)
+        out.append((a, b, float(d[j])))
+        x[a] = (n[a] * x[a] + n[b] * x[b]) / (n[a] + n[b])
+        n[a] += n[b]
+        left[b] = False
+    return out
+
+
+def nearest_clusters(clusters: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, other, height) of clusters (c, n, columns): the cheapest partner by Ward's criterion, the smallest of equal ones."""
+    blocks = max(1, math.ceil(clusters.count() / WARD_BLOCK))
+    left = clusters.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = clusters.select(F.col("c").alias("other"), F.col("n").alias("_n2"), *(F.col(c).alias(f"_r_{c}") for c in columns), F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("_b"))
+    height = F.col("n") * F.col("_n2") / (F.col("n") + F.col("_n2")) * squared([F.col(c) for c in columns], [F.col(f"_r_{c}") for c in columns])
+    pairs = left.join(right, "_b").where("c <> other").select("c", F.struct(height.alias("height"), "other").alias("m"))
+    return pairs.groupBy("c").agg(F.min("m").alias("m")).select("c", "m.other", "m.height")
+
+
 def ward(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFrame:
-    """Agglomerative clusters by Ward's criterion. Sequential: takes at most MAX_SEQUENTIAL rows, all in one task."""
-    if rows.limit(MAX_SEQUENTIAL + 1).count() > MAX_SEQUENTIAL:
-        raise ValueError(f"more than {MAX_SEQUENTIAL} rows")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(batches)).sort_values("id")
-        x = data[columns].to_numpy(float)
-        n = len(x)
-        d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        np.fill_diagonal(d, np.inf)
-        size, label = np.ones(n), np.arange(n)
-        for _ in range(max(n - k, 0)):
-            i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-            si, sj = size[i], size[j]
-            new = ((si + size) * d[i] + (sj + size) * d[j] - size * d[i, j]) / (si + sj + size)
-            new[i] = np.inf
-            d[i], d[:, i] = new, new
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += sj
-            label[label == j] = i
-        yield pd.DataFrame({"id": data["id"].to_numpy(), "cluster": np.unique(label, return_inverse=True)[1].astype(np.int32)})
-
-    labels = rows.select("id", *columns).coalesce(1).mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, cluster int")
-    return rows.join(labels, "id")
+    """rows with cluster: agglomerative clusters by Ward's criterion, numbered by their first row.
+
+    While there are many clusters, all pairs that are each other's nearest are merged in a round of joins, which Ward's
+    criterion allows in any order; the last WARD_BLOCK clusters are merged in one task. The k - 1 highest merges are undone.
+    """
+    with_checkpoints(rows.sparkSession)
+    base = rows.dropna(subset=columns)
+    now = base.select(F.col("id").cast("long").alias("c"), F.lit(1.0).alias("n"), *(F.col(c).cast("double").alias(c) for c in columns)).checkpoint()
+    merges = None
+    while now.count() > WARD_BLOCK:
+        near = nearest_clusters(now, columns).checkpoint()
+        back = near.select(F.col("c").alias("other"), F.col("other").alias("c"))
+        mutual = near.join(back, ["c", "other"]).where("c < other").checkpoint()
+        merges = mutual if merges is None else merges.unionByName(mutual)
+        into = mutual.select(F.col("other").alias("c"), F.col("c").alias("_to"))
+        moved = now.join(into, "c", "left").withColumn("c", F.coalesce("_to", "c"))
+        now = moved.groupBy("c").agg(F.sum("n").alias("_n"), *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in columns)).withColumnRenamed("_n", "n").checkpoint()
+
+    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data = pd.concat(list(parts)).sort_values("c")
+        ids = data["c"].to_numpy()
+        found = merge_order(data[columns].to_numpy(float), data["n"].to_numpy(float))
+        yield pd.DataFrame([(ids[a], ids[b], h) for a, b, h in found], columns=["c", "other", "height"]).astype({"c": "int64", "other": "int64", "height": "float64"})
+
+    last = now.select("c", "n", *columns).coalesce(1).mapInPandas(finish, "c long, other long, height double")  # WARD_BLOCK rows at most
+    merges = (last if merges is None else merges.unionByName(last)).checkpoint()
+    undone = merges.orderBy(F.desc("height"), F.desc("other")).limit(max(k - 1, 0))
+    kept = merges.join(F.broadcast(undone.select("other")), "other", "left_anti")  # k - 1 rows
+    # A cluster goes into another once at most: roots by doubling.
+    up = base.select(F.col("id").cast("long").alias("c")).join(kept.select(F.col("other").alias("c"), F.col("c").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("to")).checkpoint()
+    while True:
+        further = up.join(up.select(F.col("c").alias("to"), F.col("to").alias("_next")), "to").select("c", F.col("_next").alias("to")).checkpoint()
+        if further.join(up, ["c", "to"], "left_anti").isEmpty():
+            break
+        up = further
+    roots = sorted((r["first"], r["to"]) for r in up.groupBy("to").agg(F.min("c").alias("first")).collect())  # k rows
+    names = rows.sparkSession.createDataFrame([(to, i) for i, (_, to) in enumerate(roots)], "to long, cluster int")
+    labels = up.join(F.broadcast(names), "to").select(F.col("c").alias("id"), "cluster")
+    return base.join(labels, "id")
 
 
 def dbscan(rows: DataFrame, columns: list[str], eps: float, min_samples: int) -> DataFrame:
@@ -224,3 +275,24 @@ def dbscan(rows: DataFrame, columns: list[str], eps: float, min_samples: int) ->
         before = now
     border = near.join(labels.select(F.col("id").alias("id2"), "cluster"), "id2").groupBy("id").agg(F.min("cluster").alias("cluster"))
     return rows.join(border, "id", "left")
+
+
+def density_search(rows: DataFrame, columns: list[str], eps: Iterable[float] = tuple(k / 100 for k in range(1, 100)), min_samples: Iterable[int] = range(2, 11), weights: tuple[float, float] = (1.0, 0.0)) -> tuple[DataFrame | None, float, tuple[float, int] | None]:
+    """(labelled rows, score, (eps, min_samples)): the best of all pairs by the silhouette of the rows that are no noise.
+
+    Labellings with fewer than two clusters, or in which nearly every row is a cluster of its own, are skipped. Every fit
+    is a Spark job; the loop is over parameters.
+    """
+    min_samples = list(min_samples)
+    n = rows.count()
+    best: tuple[DataFrame | None, float, tuple[float, int] | None] = (None, -1.0, None)
+    for e in eps:
+        for m in min_samples:
+            labelled = dbscan(rows, columns, e, m)
+            groups = labelled.groupBy("cluster").count().select(F.count("cluster").alias("k"), F.count(F.lit(1)).alias("with_noise")).first()
+            if groups["k"] < 2 or groups["with_noise"] >= n - 1:
+                continue
+            found = silhouette_score(labelled, columns, weights, per_cluster=False).first()["score"]
+            if found is not None and found > best[1]:
+                best = (labelled, found, (e, m))
+    return best

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,7 +88,36 @@ def by_variance(features: DataFrame, columns: list[str], threshold: float = 0.01
     return [c for c in columns if row[c] is not None and row[c] > threshold]
 
 
-SELECTORS: dict[str, Callable] = {"selected": selected, "remove": dropped, "corr": by_correlation, "variance": by_variance}
+def variance_ratios(features: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(name, score): the F value of the analysis of variance of each column by the classes of `label`; null without spread inside the classes."""
+    rows = features.where(F.col(label).isNotNull())
+    classes = rows.groupBy(label).agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))))
+    whole = rows.agg(*(F.avg(c).alias(f"_g_{c}") for c in columns))
+    both = classes.crossJoin(F.broadcast(whole))  # one row
+    scores = []
+    for c in columns:
+        n, mean, grand = F.col(f"_n_{c}"), F.col(f"_m_{c}"), F.col(f"_g_{c}")
+        between, inside = F.sum(n * (mean - grand) * (mean - grand)), F.sum(n * F.col(f"_v_{c}"))
+        scores.append(F.try_divide(F.try_divide(between, F.count(mean) - 1), F.try_divide(inside, F.sum(n) - F.count(mean))).alias(c))
+    row = both.agg(*scores)
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("score")) for c in columns))).alias("r")).select("r.*")
+
+
+def by_best(features: DataFrame, columns: list[str], label: str, k: int = 5) -> list[str]:
+    """The k columns with the highest variance ratios by the classes of `label`, in their order; of equal ones the first."""
+    scores = {r["name"]: r["score"] for r in variance_ratios(features, columns, label).collect()}  # at most the columns
+    best = sorted(columns, key=lambda c: (scores[c] is None, -(scores[c] or 0.0), columns.index(c)))[:k]
+    return [c for c in columns if c in best]
+
+
+def by_lasso(features: DataFrame, columns: list[str], label: str, alpha: float = 0.1) -> list[str]:
+    """The columns with a weight in the L1 regression of the number `label` on them."""
+    rows = assembled(features.where(F.col(label).isNotNull()), columns)
+    model = LinearRegression(featuresCol="_v", labelCol=label, regParam=alpha, elasticNetParam=1.0, standardization=False).fit(rows)
+    return [c for c, w in zip(columns, model.coefficients.toArray(), strict=True) if w != 0]
+
+
+SELECTORS: dict[str, Callable] = {"selected": selected, "remove": dropped, "corr": by_correlation, "variance": by_variance, "kbest": by_best, "lasso": by_lasso}
 
 
 def select_features(features: DataFrame, keys: list[str], columns: list[str], method: str, **how) -> DataFrame:

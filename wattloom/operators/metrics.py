@@ -111,8 +111,54 @@ def pump_scores(matches: DataFrame) -> DataFrame:
     return scored.withColumn("total_score", sum((F.col(c) * w for c, w in WEIGHTS.items()), F.lit(0.0)))
 
 
+#: The analysed metrics: what they are called, how they are shown, from where (or up to where) they are good.
+ANALYSED = {
+    "start_detection_rate": ("start detection rate", "%.1f%%", 0.8, True),
+    "end_detection_rate": ("end detection rate", "%.1f%%", 0.8, True),
+    "avg_start_time_diff": ("mean start time difference", "%.1f minutes", 5.0, False),
+    "avg_end_time_diff": ("mean end time difference", "%.1f minutes", 5.0, False),
+    "avg_power_pattern_similarity": ("power pattern similarity", "%.2f", 0.7, True),
+}
+
+
+def analysis(matches: DataFrame) -> DataFrame:
+    """matches with `analysis`: for each metric its name, its value as text, and whether it is good. A missing value needs improvement."""
+    parts = []
+    for c, (name, form, edge, up) in ANALYSED.items():
+        value = F.col(c) * 100 if "%%" in form else F.col(c)
+        good = F.coalesce(F.col(c) >= edge if up else F.col(c) <= edge, F.lit(False))
+        parts.append(F.struct(F.lit(name).alias("metric"), F.when(value.isNull(), "none").otherwise(F.format_string(form, value)).alias("value"), F.when(good, "good").otherwise("needs improvement").alias("label")))
+    return matches.withColumn("analysis", F.array(*parts))
+
+
+#: Metrics of a report, in its order, each with its short name and unit.
+REPORTED = (
+    ("information_ratio", "vp_ratio", ""), ("inclusion", "inc", "%"), ("matching", "mat", "%"), ("time_inclusion", "t_inc", "%"), ("time_matching", "t_mat", "%"),
+    ("active_error", "act_mae", ""), ("inactive_error", "inact_mae", ""), ("mse", "mse", ""), ("mae", "mae", ""),
+)
+
+
+def report_lines(scores: DataFrame, name: str) -> DataFrame:
+    """(name, place, line): a heading and a line for each metric of every row; rates in percent, three digits."""
+    rows = [F.struct(F.lit(0).alias("place"), F.concat(F.lit("evaluation of "), F.col(name).cast("string")).alias("line"))]
+    for k, (c, short, unit) in enumerate(REPORTED, 1):
+        text = F.format_string(f"  - {short}: %.3f{'%%' if unit else ''}", F.col(c) * (100 if unit else 1))
+        rows.append(F.struct(F.lit(k).alias("place"), F.when(F.col(c).isNull(), F.lit(f"  - {short}: none")).otherwise(text).alias("line")))
+    return scores.select(name, F.inline(F.array(*rows)))
+
+
+def accuracy_lines(accuracies: DataFrame) -> DataFrame:
+    """(place, cluster, line): window accuracies as a table by cluster, then the best cluster's counts (the first of equal ones)."""
+    share = lambda c: F.format_string("%.2f%%", F.coalesce(c, F.lit(0.0)) * 100)
+    rates = [share(F.col(c)) for c in ("start_accuracy", "end_accuracy", "avg_accuracy")]
+    table = accuracies.select(F.lit(0).alias("place"), "cluster", F.concat_ws(" | ", F.col("cluster").cast("string"), *rates).alias("line"))
+    top = best(accuracies, F.col("avg_accuracy"), ["cluster"])
+    counts = F.concat_ws(", ", *(F.concat(F.lit(f"{n} "), F.col(c).cast("string")) for n, c in (("events", "total_validation_events"), ("starts", "correct_starts"), ("ends", "correct_ends"))))
+    return table.unionByName(top.select(F.lit(1).alias("place"), "cluster", F.concat(F.lit("best: "), F.concat_ws(" | ", F.col("cluster").cast("string"), *rates), F.lit("; "), counts).alias("line")))
+
+
 def verdict(matches: DataFrame) -> DataFrame:
-    """matches with level (good, fair, poor) and suggestions."""
+    """matches with level (good, fair, poor), suggestions, and the analysis of each metric."""
     rate = F.least("start_detection_rate", "end_detection_rate")
     off = F.greatest(*(F.coalesce(c, F.lit(float("inf"))) for c in ("avg_start_time_diff", "avg_end_time_diff")))
     level = F.when((rate >= 0.8) & (off <= 5), "good").when((rate >= 0.6) & (off <= 10), "fair").otherwise("poor")
@@ -123,4 +169,4 @@ def verdict(matches: DataFrame) -> DataFrame:
         "check the extracted power pattern": F.col("avg_power_pattern_similarity") < 0.7,
     }
     found = F.filter(F.array(*(F.when(c, F.lit(t)) for t, c in tips.items())), lambda t: t.isNotNull())
-    return matches.withColumn("level", level).withColumn("suggestions", F.array_join(found, "; "))
+    return analysis(matches).withColumn("level", level).withColumn("suggestions", F.array_join(found, "; "))

@@ -63,6 +63,11 @@ def pump_bound(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
     return gaps.groupBy(*axis.key).agg((F.count_if(F.coalesce(F.col("_gap") > 1, F.lit(False))) + 1).alias("levels"))
 
 
+def most_pumps(event_samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
+    """(key, levels): the most levels that the signal has in one event of a series; axis.key is the series and, last, the event."""
+    return pump_bound(event_samples, axis, signal).groupBy(*axis.key[:-1]).agg(F.max("levels").alias("levels"))
+
+
 def quartiles(events: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact quartiles and extremes of a value."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from wattloom.functions.columns import Axis, clipped
@@ -64,66 +66,134 @@ def centred(signal: Column, w: WindowSpec, length: int = 5) -> Column:
     return F.avg(signal).over(w.rowsBetween(-half, half))
 
 
-def slid(values: Column, width: int, rule: Callable[..., Column]) -> Column:
-    """An array after `rule` has rewritten each window of `width` samples in turn; a window sees what those before it wrote."""
-    keep = width - 1
+Rule = Callable[..., tuple[float, ...]]
 
-    def over(v: Column) -> Column:
-        start = F.struct(F.slice(v, 1, 0).alias("out"), F.slice(v, 1, keep).alias("held"))
 
-        def step(state: Column, x: Column) -> Column:
-            window = rule(*(state["held"][k] for k in range(keep)), x)
-            return F.transform(F.array(window), lambda new: F.struct(F.concat(state["out"], F.slice(new, 1, 1)).alias("out"), F.slice(new, 2, keep).alias("held")))[0]
+class Slide:
+    """Rewrites each window of `width` values in turn by `rule`; a window sees what those before it wrote. One with a missing value stays as it is."""
 
-        later = F.slice(v, width, F.greatest(F.size(v) - keep, F.lit(0)))
-        return F.when(F.size(v) < width, v).otherwise(F.aggregate(later, start, step, lambda s: F.concat(s["out"], s["held"])))
+    def __init__(self, width: int, rule: Rule):
+        self.width, self.rule, self.held = width, rule, []
 
-    return F.transform(F.array(values), over)[0]  # named once, so that passes do not multiply
+    def push(self, x: float | None) -> list[float | None]:
+        """What no later window can change."""
+        self.held.append(x)
+        if len(self.held) < self.width:
+            return []
+        if not any(v is None or v != v for v in self.held):
+            self.held = list(self.rule(*self.held))
+        return [self.held.pop(0)]
 
+    def flush(self) -> list[float | None]:
+        out, self.held = self.held, []
+        return out
 
-def repaired(values: Column, trigger: float = 1.0, delta: float = 1.0) -> Column:
-    """In-place repair of outliers: first single samples, then pairs, that stand off from near ends of their window."""
 
-    def single(a: Column, b: Column, c: Column) -> Column:
-        hit = (F.abs(c - a) < trigger) & (F.abs(c + a - 2 * b) > delta)
-        return F.array(a, F.when(hit, a + (c - a) / 2).otherwise(b), c)
+class Chain:
+    """Slides one behind the other."""
 
-    def double(a: Column, b: Column, c: Column, d: Column) -> Column:
-        hit = (F.abs(d - a) < trigger) & (F.abs(d + a - (b + c) / 2) > delta)
+    def __init__(self, passes: list[tuple[int, Rule]]):
+        self.slides = [Slide(width, rule) for width, rule in passes]
+
+    def push(self, values: list[float | None]) -> list[float | None]:
+        for s in self.slides:
+            values = [y for x in values for y in s.push(x)]
+        return values
+
+    def flush(self) -> list[float | None]:
+        left: list[float | None] = []
+        for s in self.slides:
+            left = [*(y for x in left for y in s.push(x)), *s.flush()]
+        return left
+
+
+def single(trigger: float, delta: float) -> Rule:
+    def rule(a: float, b: float, c: float) -> tuple[float, ...]:
+        hit = abs(c - a) < trigger and abs(c + a - 2 * b) > delta
+        return a, a + (c - a) / 2 if hit else b, c
+
+    return rule
+
+
+def double(trigger: float, delta: float) -> Rule:
+    def rule(a: float, b: float, c: float, d: float) -> tuple[float, ...]:
         middle = a + (d - a) / 2
-        return F.array(a, F.when(hit, middle).otherwise(b), F.when(hit, middle).otherwise(c), d)
+        return (a, middle, middle, d) if abs(d - a) < trigger and abs(d + a - (b + c) / 2) > delta else (a, b, c, d)
 
-    return slid(slid(values, 3, single), 4, double)
+    return rule
 
 
-def levelled(values: Column, trigger: float = 3.0, delta: float = 1.0, rounds: int = 2) -> Column:
-    """Rounds of: dips take the next sample, spikes the one before, near-flat triples their mean; then pairs that stand off are bridged."""
+def triple(trigger: float, delta: float) -> Rule:
+    def rule(a: float, b: float, c: float) -> tuple[float, ...]:
+        if b - a < -trigger and b - c < -trigger:
+            return a, c, c
+        if b - a > trigger and b - c > trigger:
+            return a, a, c
+        if abs(c - a) < delta and abs(b - a) < delta:
+            mean = (a + b + c) / 3
+            return mean, mean, mean
+        return a, b, c
+
+    return rule
+
 
-    def triple(a: Column, b: Column, c: Column) -> Column:
-        dip, spike = (b - a < -trigger) & (b - c < -trigger), (b - a > trigger) & (b - c > trigger)
-        flat = (F.abs(c - a) < delta) & (F.abs(b - a) < delta)
-        mean = (a + b + c) / 3
-        return F.when(dip, F.array(a, c, c)).when(spike, F.array(a, a, c)).when(flat, F.array(mean, mean, mean)).otherwise(F.array(a, b, c))
+def bridged(trigger: float) -> Rule:
+    def rule(a: float, b: float, c: float, d: float) -> tuple[float, ...]:
+        hit = abs(a - d) < trigger and abs(b - a) > trigger and abs(b - c) > trigger
+        return (a, (a + d) / 2, (a + d) / 2, d) if hit else (a, b, c, d)
 
-    def quad(a: Column, b: Column, c: Column, d: Column) -> Column:
-        hit = (F.abs(a - d) < trigger) & (F.abs(b - a) > trigger) & (F.abs(b - c) > trigger)
-        return F.when(hit, F.array(a, (a + d) / 2, (a + d) / 2, d)).otherwise(F.array(a, b, c, d))
+    return rule
 
-    for _ in range(rounds):
-        values = slid(slid(values, 3, triple), 4, quad)
-    return values
+
+def repaired(trigger: float = 1.0, delta: float = 1.0) -> list[tuple[int, Rule]]:
+    """Repair of outliers: first single samples, then pairs, that stand off from near ends of their window."""
+    return [(3, single(trigger, delta)), (4, double(trigger, delta))]
+
+
+def levelled(trigger: float = 3.0, delta: float = 1.0, rounds: int = 2) -> list[tuple[int, Rule]]:
+    """Rounds of: dips take the next sample, spikes the one before, near-flat triples their mean; then pairs that stand off are bridged."""
+    return [(3, triple(trigger, delta)), (4, bridged(trigger))] * rounds
 
 
 REPAIRS: dict[str, Callable] = {"my": repaired, "my2": levelled}
 REDUCERS: dict[str, Callable] = {"savgol": savgol, "gaussian": gaussian, "conv": moving, "moving average": moving, "centred": centred}
 
 
+def streamed(samples: DataFrame, axis: Axis, signal: str, passes: list[tuple[int, Rule]]) -> DataFrame:
+    """samples with `smoothed`: the passes one behind the other along each series. A task holds a batch and the few rows that a pass waits with."""
+    schema = StructType([*samples.schema.fields, StructField("smoothed", DoubleType())])
+    keys = list(axis.key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, now, waiting = Chain(passes), None, None  # waiting: rows whose values the chain still holds
+
+        def given(rows: pa.Table, done: list[float | None]) -> Iterator[pa.RecordBatch]:
+            yield from rows.slice(0, len(done)).append_column("smoothed", pa.array(done, pa.float64())).combine_chunks().to_batches()
+
+        for b in batches:
+            done: list[float | None] = []
+            series = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            values = b.column(signal).cast(pa.float64()).to_pylist()
+            edges = [k for k in range(len(series)) if not k or series[k] != series[k - 1]]
+            for lo, hi in zip(edges, [*edges[1:], len(series)], strict=True):
+                if series[lo] != now:
+                    done += chain.flush()
+                    now = series[lo]
+                done += chain.push(values[lo:hi])
+            rows = pa.Table.from_batches([b]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([b])])
+            yield from given(rows, done)
+            waiting = rows.slice(len(done))
+        if waiting is not None:
+            yield from given(waiting, chain.flush())
+
+    rows = samples.repartition(*keys).sortWithinPartitions(*keys, axis.time, *axis.tie)
+    return rows.mapInArrow(run, schema)
+
+
 def smoothed(samples: DataFrame, axis: Axis, signal: str, method: str, threshold: float = 3.0, **how) -> DataFrame:
     """samples with `smoothed`, and `clipped` (the same, 0 at or under the threshold); each series of the key on its own."""
     if method in REPAIRS:
-        rows = samples.groupBy(*axis.key).agg(F.sort_array(F.collect_list(F.struct(axis.time, *axis.tie, F.col(signal).cast("double").alias(signal)))).alias("_rows"))
-        fixed = rows.withColumn("_rows", F.arrays_zip("_rows", REPAIRS[method](F.transform("_rows", lambda r: r[signal]), **how).alias("smoothed")))
-        flat = fixed.select(*axis.key, F.explode("_rows").alias("_r")).select(*axis.key, "_r._rows.*", "_r.smoothed")
+        flat = streamed(samples, axis, signal, REPAIRS[method](**how))
     else:
         flat = samples.withColumn("smoothed", REDUCERS[method](F.col(signal).cast("double"), axis.window(), **how))
     return flat.withColumn("clipped", clipped("smoothed", threshold))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis, power_estimate
 from wattloom.operators import blocks, clustering, features, metrics, segments, series, smoothing
+from wattloom.plans import pipeline
 from wattloom.sources import meter
 
 QUERIES: dict = {}
@@ -460,13 +461,13 @@ def kmeans_fit(spark, sf):
 
 @query()
 def kmeans_search(spark, sf):
-    labelled, score, k = clustering.search(points(spark, sf).drop("cluster"), COORDINATES, repeats=1, max_k=4)
+    labelled, score, k = clustering.search(points(spark, sf).drop("cluster"), COORDINATES, "ch", repeats=1)
     return labelled.select("id", "cluster", F.lit(score).alias("score"), F.lit(k).alias("k"))
 
 
 @query()
 def gmm_fit(spark, sf):
-    labelled, score, k = clustering.gaussian_mixture(points(spark, sf).drop("cluster"), COORDINATES, range(2, 4))
+    labelled, score, k = clustering.gaussian_mixture(points(spark, sf).drop("cluster"), COORDINATES)
     return labelled.select("id", "cluster", F.lit(score).alias("score"), F.lit(k).alias("k"))
 
 
@@ -477,7 +478,7 @@ def pca_scores(spark, sf):
 
 @query()
 def two_stage_fit(spark, sf):
-    labelled, _ = clustering.two_stage(points(spark, sf).drop("cluster"), COORDINATES[:2], COORDINATES[1:], 2, repeats=1, max_k=2)
+    labelled, _ = clustering.two_stage(points(spark, sf).drop("cluster"), COORDINATES[:2], COORDINATES[1:], 2, score="ch", repeats=1)
     return labelled.select("id", "stage1", "cluster")
 
 
@@ -486,6 +487,88 @@ def hac_fit(spark, sf):
     return clustering.ward(points(spark, sf).drop("cluster"), COORDINATES, 5).select("id", "cluster")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, near AS (SELECT a.id, b.id AS id2 FROM p a, p b WHERE {APART} <= 0.12::DOUBLE * 0.12::DOUBLE), cores AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 4),
+    e AS (SELECT near.* FROM near WHERE id IN (SELECT id FROM cores) AND id2 IN (SELECT id FROM cores)), r AS (SELECT id, id AS root FROM cores UNION SELECT e.id2, r.root FROM r JOIN e ON e.id = r.id),
+    l AS (SELECT id, min(root) AS cluster FROM r GROUP BY id) SELECT p.id, min(l.cluster) AS cluster FROM p LEFT JOIN near ON near.id = p.id LEFT JOIN l ON l.id = near.id2 GROUP BY p.id""")
 def dbscan_fit(spark, sf):
     return clustering.dbscan(points(spark, sf).drop("cluster"), COORDINATES, 0.12, 4).select("id", "cluster")
+
+
+@query()
+def dbscan_search(spark, sf):
+    labelled, score, found = clustering.density_search(points(spark, sf).drop("cluster"), COORDINATES, (0.08, 0.12, 0.16), (4, 8))
+    return labelled.select("id", "cluster", F.lit(score).alias("score"), F.lit(found[0]).alias("eps"), F.lit(found[1]).alias("min_samples"))
+
+
+CLASSES = "SELECT label AS class, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM embeddings WHERE label IS NOT NULL"
+
+
+@query(f"""WITH v AS (UNPIVOT ({CLASSES}) ON x0, x1, x2, x3 INTO NAME name VALUE x), g AS (SELECT name, class, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM v GROUP BY 1, 2), w AS (SELECT name, avg(x) AS m FROM v GROUP BY 1)
+SELECT name, sum(n * (g.m - w.m) ** 2) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) AS score FROM g JOIN w USING (name) GROUP BY name""")
+def variance_ratios(spark, sf):
+    return features.variance_ratios(points(spark, sf).withColumnRenamed("cluster", "class"), COORDINATES, "class")
+
+
+@query()
+def label_selectors(spark, sf):
+    rows = points(spark, sf)
+    found = [("kbest", c) for c in features.by_best(rows, COORDINATES, "cluster", 2)] + [("lasso", c) for c in features.by_lasso(rows, COORDINATES, "cluster", 0.01)]
+    return spark.createDataFrame(found, "method string, name string")
+
+
+#: Three phases made of the readings, with the estimated powers.
+PHASED = """ev AS (SELECT user_id AS device, ts AS t, event_id, value AS x, value / 10 AS i, (1.5 + (event_id % 40) * 3 / 100) / 3 AS pf, 3 * ((value / 10 + value / 12) / 2) * 220 / 1000 AS base FROM events)"""
+
+
+def phased(spark, sf):
+    phases = {f"factor_{p}": 0.5 + (F.col("event_id") % 40) / 100 for p in "ABC"} | {f"volt_{p}": F.lit(220.0) for p in "ABC"}
+    return pipeline.with_proxy(readings(spark, sf).withColumns(phases | {"curnt_B": F.col("x") / 10, "curnt_C": F.col("x") / 12}))
+
+
+MEASURES = {"real": "realP_proxy", "reac": "reacP_proxy", "curnt": "curnt_B"}
+
+
+def features_sql(column: str, name: str) -> str:
+    return f"""stddev_pop({column}) FILTER (rn > 5) AS std_{name}, avg({column}) FILTER (rn > 5) AS ave_{name}, regr_slope({column}, date_diff('microsecond', t0, t) / 60e6) FILTER (rn > 5) AS trend_{name}, max({column}) FILTER (rn <= 5) AS max_{name}"""
+
+
+@query(f"""WITH {PHASED}, {runs_sql(5)}, r AS (SELECT device, seg, t, row_number() OVER (PARTITION BY device, seg ORDER BY t, event_id) AS rn, pf * base AS a, sqrt(greatest(1 - pf * pf, 0)) * base AS b, i AS c FROM runs JOIN (SELECT event_id, i, pf, base FROM ev) USING (event_id)),
+    s AS (SELECT *, min(t) FILTER (rn > 5) OVER (PARTITION BY device, seg) AS t0 FROM r)
+SELECT device, seg, {features_sql("a", "real")}, {features_sql("b", "reac")}, {features_sql("c", "curnt")} FROM s GROUP BY device, seg HAVING count(*) FILTER (rn > 5) >= 10""")
+def features12(spark, sf):
+    return features.event_features(segments.runs(phased(spark, sf), DEVICE, "x", 5.0), DEVICE, MEASURES, "x")
+
+
+def chain(spark, sf):
+    """Prepared events with labels by size of their mean, and their records."""
+    ready = pipeline.prepared(phased(spark, sf), DEVICE, "x", MEASURES, 5.0, variance=20000.0)
+    labels = ready.features.select("device", "seg", F.when(F.col("ave_real") < 3, 0).when(F.col("ave_real") < 5, 1).otherwise(2).alias("cluster"))
+    return ready, *pipeline.records_of(ready, DEVICE, "x", labels, "ave_curnt")
+
+
+@query()
+def decomposed_chain(spark, sf):
+    return chain(spark, sf)[1]
+
+
+@query()
+def evaluated_chain(spark, sf):
+    _, records, powers = chain(spark, sf)
+    truth = readings(spark, sf).groupBy(F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute")).agg(F.avg("x").alias("value"))
+    return pipeline.evaluated(records, powers, truth)
+
+
+@query()
+def evaluated_report(spark, sf):
+    return metrics.report_lines(made_metrics(spark, sf), "series")
+
+
+@query(f"""WITH {EV}, {runs_sql(20)}, g AS (SELECT device, seg, x - lag(x) OVER (PARTITION BY device, seg ORDER BY x) AS gap FROM runs), l AS (SELECT device, seg, count(*) FILTER (gap > 1) + 1 AS levels FROM g GROUP BY 1, 2) SELECT device, max(levels) AS levels FROM l GROUP BY device""")
+def most_pumps(spark, sf):
+    return segments.most_pumps(segments.runs(readings(spark, sf), DEVICE, "x", 20.0), EVENT, "x")
+
+
+@query("""WITH c AS (SELECT a, b, c FROM range(4) x(a), range(4) y(b), range(4) z(c)), d AS (SELECT event_id, any_value(user_id) AS device, min(abs(a * 37.5 + b * 110.25 + c * 240.125 - value)) / nullif(abs(any_value(value)), 0) AS residual FROM events, c GROUP BY event_id)
+SELECT device, avg(residual) AS residual FROM d GROUP BY device""")
+def mean_residues(spark, sf):
+    return blocks.mean_residues(readings(spark, sf), ["device"], "x", [37.5, 110.25, 240.125])

@@ -35,21 +35,20 @@ def prepared(samples: DataFrame, axis: Axis, signal: str, measures: dict[str, st
     events = segments.classified(found, segments.pulses(rows, axis, signal), axis, variance)
     mono = rows.join(events.where("is_mono").select(*axis.key, "seg"), [*axis.key, "seg"], "left_semi")
     made = features.event_features(mono, axis, measures, next(iter(measures.values())))
-    made = made.join(features.modal_month(mono, axis), [*axis.key, "seg"])
     if dry_only:
-        made = made.where("dry")
-    made = made.drop("month", "dry")
+        dry = features.modal_month(mono, axis).where("dry").select(*axis.key, "seg")
+        made = made.join(dry, [*axis.key, "seg"], "left_semi")
     names = [c for c in made.columns if c not in (*axis.key, "seg")]
     return Prepared(rows, events, made, features.min_max(made, names))
 
 
-def records_of(ready: Prepared, axis: Axis, signal: str, labels: DataFrame, power: str, threshold: float = 10.0, second: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """(records, powers): every event decomposed into on/off records, the other events twice; labels: (key, seg, cluster)."""
+def records_of(ready: Prepared, axis: Axis, signal: str, labels: DataFrame, power: str, threshold: float = 10.0, second: float = 3.0, first: int = 0, last: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, powers): every event decomposed into on/off records, the other events (from index `first` up to `last`) twice; labels: (key, seg, cluster)."""
     powers = blocks.cluster_power(ready.features.join(labels, [*axis.key, "seg"]), "cluster", power)
     centres = [(r["cluster"], r["power"]) for r in powers.collect()]  # a row for each cluster
     event = Axis((*axis.key, "seg"), axis.time, axis.tie)
     others = ready.samples.join(ready.events.where("not is_mono").select(*axis.key, "seg"), [*axis.key, "seg"], "left_semi")
-    return blocks.decomposed(ready.samples, others, event, signal, centres, threshold, second), powers
+    return blocks.decomposed(ready.samples, others, event, signal, centres, threshold, second, first, last), powers
 
 
 def evaluated(records: DataFrame, powers: DataFrame, truth: DataFrame) -> DataFrame:
@@ -61,11 +60,11 @@ def evaluated(records: DataFrame, powers: DataFrame, truth: DataFrame) -> DataFr
     return metrics.metrics(pairs, ["cluster"])
 
 
-def auto_test(samples: DataFrame, axis: Axis, signal: str, measures: dict[str, str], truth: DataFrame, power: str, **how) -> DataFrame:
+def auto_test(samples: DataFrame, axis: Axis, signal: str, measures: dict[str, str], truth: DataFrame, power: str, score: str = "si", **how) -> DataFrame:
     """From readings to the clusters' metrics: k-means search on the scaled features, decomposition, evaluation."""
     ready = prepared(samples, axis, signal, measures, **how)
     names = [c for c in ready.scaled.columns if c not in (*axis.key, "seg")]
     rows = ready.scaled.select(*axis.key, "seg", *names).fillna(0.0, names).withColumn("id", F.xxhash64(*axis.key, "seg"))
-    labelled, _, _ = clustering.search(rows, names)
+    labelled, _, _ = clustering.search(rows, names, score)
     records, powers = records_of(ready, axis, signal, labelled.select(*axis.key, "seg", "cluster"), power)
     return evaluated(records, powers, truth)

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-PHASES = ("A", "B", "C")
-MEASURES = (
-    [f"volt_{p}" for p in ("A", "B", "C", "AB", "BC", "CA")]
-    + [f"curnt_{p}" for p in PHASES]
-    + [f"{m}_{p}" for m in ("realP", "reacP", "aprntP") for p in (*PHASES, "tot")]
-    + [f"factor_{p}" for p in (*PHASES, "tot")]
-)
-# The file's column order has phase CA before BC.
-FILE_ORDER = ["T", *MEASURES[:4], "volt_CA", "volt_BC", *MEASURES[6:]]
+from wattloom.functions.session import with_checkpoints
+
+# The columns of a meter file, in the file's order.
+FILE_ORDER = [
+    "T",
+    "volt_A", "volt_B", "volt_C", "volt_AB", "volt_CA", "volt_BC",
+    "curnt_A", "curnt_B", "curnt_C",
+    "realP_A", "realP_B", "realP_C", "realP_tot",
+    "reacP_A", "reacP_B", "reacP_C", "reacP_tot",
+    "aprntP_A", "aprntP_B", "aprntP_C", "aprntP_tot",
+    "factor_A", "factor_B", "factor_C", "factor_tot",
+]
+MEASURES = FILE_ORDER[1:]
 POWERS = [c for c in MEASURES if c.startswith(("realP", "reacP", "aprntP"))]
 FACTORS = [c for c in MEASURES if c.startswith("factor")]
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "M.d.yyyy H:mm", "M.d.yy H:mm")
@@ -103,10 +107,24 @@ def write_events(records: DataFrame, path: str, by_cluster: bool = False) -> Non
     (out.partitionBy("clusterId") if by_cluster else out).csv(path)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number from 1 in an order: within each range of it, from the counts of the ranges before; no task sees all."""
+    spark = rows.sparkSession
+    with_checkpoints(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())  # a row for each partition
+    before = [(k, sum(c for j, c in counts if j < k)) for k, _ in counts]
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = dealt.join(F.broadcast(spark.createDataFrame(before, "_range int, _before long")), "_range")
+    return placed.withColumn(name, F.col("_before") + at).drop("_range", "_before")
+
+
 def write_truth(events: DataFrame, path: str) -> None:
     """Validation events with ids from 1 and formatted times."""
-    numbered = events.select(F.row_number().over(Window.orderBy("starttime", "endtime")).alias("recordId"), *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("starttime", "endtime")))
-    numbered.write.mode("overwrite").option("header", True).csv(path)
+    placed = numbered(events.select("starttime", "endtime"), ["starttime", "endtime"], "recordId")
+    rows = placed.select("recordId", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("starttime", "endtime")))
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_series(series: DataFrame, path: str) -> None:

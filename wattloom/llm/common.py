@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Rows of an Arrow batch of whole texts, which both sides of a Python worker hold.
+BATCH_ROWS = 2000
+
+
 def reachable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it; a cluster gets it by --py-files."""
+    """Lets Python workers import this package from where the driver has it (a cluster gets it by --py-files), in batches of BATCH_ROWS at most."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in (have := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *have]))
@@ -37,11 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    reachable(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and whose consumers are all written by now."""
+    for table in tables:
+        spark = table.sparkSession
+        if files := table.inputFiles():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def id_remainder(column: str, mod: int) -> Column:
     """crc32 of the id as text, mod `mod`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
@@ -50,3 +67,25 @@ def id_remainder(column: str, mod: int) -> Column:
 def extended(schema: StructType, added: str) -> StructType:
     """schema with the columns of a DDL string behind its own."""
     return StructType([*schema.fields, *StructType.fromDDL(added).fields])
+
+
+class Remembered(dict):
+    """What `make` gives for a key, remembered in two generations of at most `most` keys each: when the younger is full, the older is
+    forgotten. Keys longer than `longest` are not remembered, which bounds the bytes as well."""
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import extended, id_remainder, read
+from wattloom.llm.common import extended, id_remainder, reachable, read
 
 #: Documents of a language that its dictionary is cut from, and the characters each may give.
 DOCS_PER_LANG = 256
@@ -137,6 +137,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without what is rejected: no letter, or no language clearly ahead."""
+    reachable(spark)
     verdict = identify(docs, fit(trained_on(docs)))
     return verdict.where(~F.col("rejected")).select(docs.columns)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -18,30 +18,15 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm.common import extended, read
+from wattloom.llm.common import Remembered, extended, reachable, read
 
 MARK = "▁"
-#: Encoded words that a worker remembers, at most.
-REMEMBERED = 500_000
+#: Encoded words, parts of words and tested pairs that a worker remembers, at most twice so many of each (about 40 MB each when full).
+REMEMBERED = 150_000
 INFINITE = float("inf")
 PROBE = f" a  béａÅﬁ\t\r\n{MARK}<s>中\U0001f600 "
 
 
-class Remembered(dict):
-    """What `make` gives for a key, remembered up to a bound."""
-
-    def __init__(self, make: Callable):
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self.make(key)
-        if len(key) <= 64:
-            self[key] = found
-        return found
-
-
 class Coder:
     """Encodes and decodes as the library does with the model at `path` (BPE, byte fallback, identity normaliser, dummy prefix)."""
 
@@ -69,12 +54,12 @@ class Coder:
             self.raw[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
-        self.packed = Remembered(lambda t: np.array([self.ids[t]] if t in self.ids else [self.bytes[b] for b in t.encode()], "<u4").tobytes())
-        self.traces: dict[str, tuple | None] = {}
-        self.pairs = Remembered(lambda pair: self.compatible(*pair))
-        self.stretches = Remembered(self.stretch_ids)
-        self.known = Remembered(self.word_ids)
-        self.after_space = Remembered(lambda word: self.word_ids(MARK + word))
+        self.packed = Remembered(lambda t: np.array([self.ids[t]] if t in self.ids else [self.bytes[b] for b in t.encode()], "<u4").tobytes(), REMEMBERED)
+        self.traces: dict[str, tuple | None] = {}  # a vocabulary's at most
+        self.pairs = Remembered(lambda pair: self.compatible(*pair), REMEMBERED)
+        self.stretches = Remembered(self.stretch_ids, REMEMBERED)
+        self.known = Remembered(self.word_ids, REMEMBERED)
+        self.after_space = Remembered(lambda word: self.word_ids(MARK + word), REMEMBERED)
 
     def merged(self, text: str) -> list[str]:
         """The definition: merge the neighbours whose union ranks first, leftmost first, until none is a token."""
@@ -214,6 +199,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs (without the text) with their token ids and digests."""
+    reachable(spark)
     return encoded(docs, model_path(), [c for c in docs.columns if c != "text"], with_ids=True)
 
 

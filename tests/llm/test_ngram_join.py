@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from wattloom.llm import ngram_join, shingles
-from wattloom.llm.ngram_join import Node
 
 
 def shingle_set(text):
@@ -46,7 +45,9 @@ def test_odd_rows(odd_docs, no_docs):
 @pytest.mark.parametrize("frequent", [0, 200_000])
 def test_near_copies_at_the_threshold(spark, monkeypatch, frequent):
     monkeypatch.setattr(ngram_join, "MAX_FREQUENT", max(frequent, 1))
-    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BITS_BLOCK", 600)
+    monkeypatch.setattr(ngram_join, "SETS_BLOCK", 400)
+    monkeypatch.setattr(ngram_join, "HOT", 4)
     monkeypatch.setattr(ngram_join, "MIN_HASHES", 1)  # leaves links to the trees
     rng = random.Random(5)
     passage = [f"p{k}" for k in range(25)]
@@ -71,12 +72,14 @@ def test_shingles_count_distinct_runs():
     assert sizes == [len(shingle_set(t)) for t in texts]
 
 
-def test_the_tree_loses_no_pair():
+@pytest.mark.parametrize("bottom", [1, 5, 32])
+def test_the_tree_loses_no_pair(monkeypatch, bottom):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: rng.integers(40, 400)], rng.integers(0, 1 << 63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(60)]
-    leaves = [Node.leaf(k, len(s), np.frombuffer(ngram_join.bitmap(s), np.uint8), k) for k, s in enumerate(sets)]
-    top = ngram_join.tree(leaves)
+    monkeypatch.setattr(ngram_join, "BOTTOM", bottom)
+    monkeypatch.setattr(ngram_join, "PAIR_BYTES", 1000)
+    top = ngram_join.tree([(k, len(s), ngram_join.bitmap(s), k) for k, s in enumerate(sets)])
     got = {tuple(sorted(p)) for p in ngram_join.candidates(top, top)}
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
     assert want and want <= got and len(got) < 60 * 59 // 2

@@ -12,7 +12,9 @@ import hashlib
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import read, written
+from wattloom.llm.common import Remembered, read, written
 
 MAGIC = b"WLTOKEN1"
 HEAD = struct.Struct("<8s16sBI")
@@ -31,10 +33,10 @@ HEAD = struct.Struct("<8s16sBI")
 FILE_BYTES = 4 << 20
 #: Documents, and bytes of each, that the dictionary is trained on, at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 65536
-LEVEL = 6
+LEVEL = 3
 END_ID = 0
-#: Encoded units, and words, that a worker remembers, at most (and those of 256 texts).
-REMEMBERED = 500_000
+#: Encoded units, and words, that a worker remembers, at most twice so many of each (about 75 MB each when full).
+REMEMBERED = 250_000
 # The code points of Unicode's White_Space property, where the tokenizer's pattern always cuts.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
@@ -47,49 +49,56 @@ UNITS = re.compile(
 UNUSUAL = re.compile("[\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+#: One part of the pattern, whole: what the library's model takes without its pattern.
+ALONE = re.compile(f" ?(?:[{LETTERS}]+|[0-9]+|[{MARKS}]+)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Words:
-    """Serialized ids by unit of text; the tokenizers library encodes the units that are new, a batch at a time."""
+    """Serialized ids by word and by unit of text. The tokenizers library encodes what is new; no token crosses a unit's edge."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.units: dict[str, bytes] = {}  # by unit
-        self.words: dict[str, bytes] = {}  # by word that a space precedes
-
-    def learn(self, new: list[str], before: str, known: dict[str, bytes]) -> None:
-        """Adds the ids of `before` + x for each x in new. Short ones are encoded as lines of one text, whose feeds are tokens of their own."""
-        lines = [x for x in new if "\n" not in x] if before else []
-        rest = [x for x in new if "\n" in x] if before else new
-        for k in range(0, len(lines), 2048):
-            part = lines[k : k + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([f"{before}{x}\n" for x in part])], add_special_tokens=False)[0].ids, self.dtype)
-            ends, raw, start = np.flatnonzero(ids == self.feed) * self.dtype.itemsize, ids.tobytes(), 0
-            for x, end in zip(part, ends.tolist(), strict=True):
-                known[x] = raw[start:end]
-                start = end + self.dtype.itemsize
-        for k in range(0, len(rest), 2048):
-            for x, e in zip(rest[k : k + 2048], self.tokenizer.encode_batch_fast([before + x for x in rest[k : k + 2048]], add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """All ids of each text and the end id, serialized. No token crosses a unit's edge, so units are encoded on their own."""
-        for lo in range(0, len(texts), 256):
-            rows = [t or "" for t in texts[lo : lo + 256]]
-            plain = [bool(t) and t[0] != " " and t[-1] != " " and not ("  " in t or " \n" in t or "\n " in t or UNUSUAL.search(t)) for t in rows]
-            heads = [t[: t.find(" ")] if p and " " in t else t for t, p in zip(rows, plain, strict=True)]
-            firsts = [UNITS.findall(t) for t in heads]
-            tails = [t[len(h) + 1 :].split(" ") if len(h) < len(t) else [] for t, h in zip(rows, heads, strict=True)]
-            for of, before, known in ((firsts, "", self.units), (tails, " ", self.words)):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                self.learn(list(set().union(*of).difference(known)), before, known)
-            for a, b in zip(firsts, tails, strict=True):
-                yield b"".join(map(self.units.__getitem__, a)) + b"".join(map(self.words.__getitem__, b)) + self.end
+        self.units = Remembered(self.unit, REMEMBERED)
+        self.words = Remembered(self.word, REMEMBERED)  # each behind a space
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def alone(self, unit: str) -> bytes:
+        return self.packed([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))])
+
+    def unit(self, unit: str) -> bytes:
+        return self.alone(unit) if ALONE.fullmatch(unit) else self.packed(self.tokenizer.encode(unit, add_special_tokens=False).ids)
+
+    def word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.alone(f" {word}")
+        return b"".join(map(self.units.__getitem__, UNITS.findall(f" {word}")))
+
+    def encode(self, text: str | None) -> bytes:
+        """All ids of a text and the end id, serialized."""
+        t = text or ""
+        if not t or t[0] == " " or t[-1] == " " or "  " in t or " \n" in t or "\n " in t or UNUSUAL.search(t):
+            return b"".join(map(self.units.__getitem__, UNITS.findall(t))) + self.end
+        head, _, tail = t.partition(" ")
+        return b"".join(map(self.units.__getitem__, UNITS.findall(head))) + (b"".join(map(self.words.__getitem__, tail.split(" "))) if tail else b"") + self.end
 
 
 @lru_cache(maxsize=2)
@@ -137,7 +146,7 @@ def write_files(docs: DataFrame, path: str) -> tuple[DataFrame, bytes]:
     """Writes the ids of docs (doc_id, text) and gives (part, seq, n_tokens, file) and the dictionary.
 
     Null texts are empty documents of one end id. Documents lie in ascending doc_id order (null first; rows of one id in
-    the order of their text), dealt by range, so no task holds more than its range.
+    the order of a hash of their text), dealt by range, so no task holds more than its range.
     """
     docs = docs.select("doc_id", "text")
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
@@ -145,7 +154,7 @@ def write_files(docs: DataFrame, path: str) -> tuple[DataFrame, bytes]:
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([ids[:SAMPLE_BYTES] for ids in words(path).encode(b.column("text").to_pylist())], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([words(path).encode(t)[:SAMPLE_BYTES] for t in b.column("text").to_pylist()], pa.binary())], names=["ids"])
 
     dictionary = trained(sorted(bytes(r["ids"]) for r in some.mapInArrow(serialize, "ids binary").collect()))
     sent = docs.sparkSession.sparkContext.broadcast(dictionary)  # at most DICT_BYTES
@@ -161,7 +170,8 @@ def write_files(docs: DataFrame, path: str) -> tuple[DataFrame, bytes]:
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("file", pa.binary())]))
 
         for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), w.encode(b.column("text").to_pylist()), strict=True):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids = w.encode(text)
                 held.append((doc, len(ids) // w.dtype.itemsize, frame := z.compress(ids)))
                 size += len(frame)
                 if size >= FILE_BYTES:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wattloom.llm import language_id, mixing, quality
@@ -91,37 +92,72 @@ def test_flat_trees_equal_a_walk():
     assert np.allclose(model.score(x[:40]), total) and ((model.score(x) > 0.5) == (x[:, 0] + x[:, 1] > 0)).mean() > 0.95
 
 
-def test_targets_reach_the_whole_and_no_cap():
-    for sizes in ([100, 10, 1], [1, 1, 1000, 5], [0, 7, 0, 3], [50]):
-        weights = [mixing.WEIGHTS[k % 3] for k in range(len(sizes))]
-        t = mixing.targets(sizes, weights)
-        assert abs(sum(t) - sum(sizes)) < 1e-6 and all(x <= 3 * s + 1e-9 for x, s in zip(t, sizes, strict=True))
-        free = [(x / w) for x, s, w in zip(t, sizes, weights, strict=True) if x < 3 * s - 1e-9]
-        assert not free or max(free) - min(free) < 1e-6
-    assert mixing.targets([10, 10, 10], [5.0, 2.0, 1.0]) == [18.75, 7.5, 3.75]
+def plain_targets(sizes, weights):
+    """The level at which min(3 * size, level * weight) add up to all sizes, by bisection."""
+    lo, hi = 0.0, 3.0 * max(sizes) / min(weights) + 1
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(3 * s, level * w) for s, w in zip(sizes, weights, strict=True)) < sum(sizes) else (lo, level)
+    return [min(3 * s, hi * w) for s, w in zip(sizes, weights, strict=True)]
 
 
-def test_split_keeps_quotas():
-    q = np.array([13, 0, 5, 1000])
-    parts = mixing.split_quotas(q, 7, 1)
-    assert (parts.sum(0) == q).all() and parts.sum(1).max() - parts.sum(1).min() <= 3 and (parts == mixing.split_quotas(q, 7, 1)).all()
+@pytest.mark.parametrize("sizes", [[100, 10, 1], [1, 1, 1000, 5], [0, 7, 0, 3], [50], [10, 10, 10], [0, 0], [1] * 40 + [900], list(range(1, 60))])
+def test_targets(spark, sizes):
+    names = [chr(0x41 + 37 * k) for k in range(len(sizes) - 1)] + [None]
+    random.Random(1).shuffle(order := list(range(len(sizes))))
+    rows = spark.createDataFrame([("-" if names[k] is None else "=" + names[k], sizes[k]) for k in order], "_source string, _source_size long")
+    got = {r["_source"]: r["_target"] for r in mixing.targeted(mixing.weighed(rows)).collect()}
+    want = plain_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))])
+    assert all(abs(got["-" if n is None else "=" + n] - w) < 1e-6 * max(1, w) for n, w in zip(names, want, strict=True))
 
 
-def test_mix(spark, odd_docs, no_docs, folder, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+def test_split_keeps_quotas(monkeypatch):
+    q, sizes = np.array([13, 0, 5, 1000]), np.diff(np.arange(8) * 1018 // 7)
+    for most in (10**9, 1):
+        monkeypatch.setattr(mixing, "MOST_DRAWN", most)
+        parts = mixing.split_quotas(q, sizes, [1])
+        assert (parts.sum(0) == q).all() and (parts.sum(1) == sizes).all() and (parts >= 0).all()
+        assert (parts == mixing.split_quotas(q, sizes, [1])).all()
+
+
+def test_shards_draw_disjoint_runs_of_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNKS", 3)
+    n = {f"={k}": 1 + 7 * k for k in range(20)}
+    got = {r["_source"]: r["ends"] for r in mixing.sharded(spark.createDataFrame(list(n.items()), "_source string, n long"), 5, 9).collect()}
+    assert set(got) == set(n) and all(e == sorted(e) and e[-1] == n[s] for s, e in got.items())
+    totals = np.diff(np.array([[0, *e] for e in got.values()]).sum(0))
+    assert totals.max() - totals.min() <= 1
+
+
+@pytest.mark.parametrize("blocks", [4, 1024])
+def test_mix(spark, odd_docs, no_docs, folder, monkeypatch, blocks):
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
     rng = random.Random(4)
     rows = [(k, speech(rng, EN, rng.randrange(0, 30)), rng.choice(["a", "a", "a", "b", "c", None])) for k in range(200)]
+    rows += [(500, "one row that stands here twice", "c")] * 2
     path = folder(documents=spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got = mixing.query(spark, path).collect()
-    assert sorted(map(str, got)) == sorted(map(str, mixing.query(spark, path).collect())) and len(got) == 200
+    assert sorted(map(str, got)) == sorted(map(str, mixing.query(spark, path).collect())) and len(got) == 202
     sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s))
     size = {s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in sources}
-    want = dict(zip(sources, mixing.targets([size[s] for s in sources], [5, 2, 1, 5][: len(sources)]), strict=True))
-    of = {r[0]: r[2] for r in rows}
+    want = dict(zip(sources, plain_targets([size[s] for s in sources], [5, 2, 1, 5][: len(sources)]), strict=True))
+    of, text = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
     for s in sources:
         mine = [r for r in got if of[r["doc_id"]] == s]
-        assert abs(sum(r["taken"] for r in mine) - want[s]) <= 1 and all(abs(r["target"] - want[s]) < 1e-9 and r["source_size"] == size[s] for r in mine)
-    assert all(0 <= r["taken"] <= 3 * r["size"] and r["size"] == len(rows[r["doc_id"]][1].split()) for r in got)
-    assert all(len(r["shards"]) >= -(-r["taken"] // r["size"]) for r in got if r["size"])
+        assert -2 <= sum(r["taken"] for r in mine) - want[s] <= 1 and all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == size[s] for r in mine)
+        cut = [r for r in mine if r["size"] and r["taken"] % r["size"]]
+        assert len(cut) <= 2  # the document that the target cuts, or two equal rows
+    assert all(0 <= r["taken"] <= 3 * r["size"] and r["size"] == len(text[r["doc_id"]].split()) for r in got)
+    assert all(len(r["shards"]) == -(-r["taken"] // r["size"]) for r in got if r["size"])
+    kept = mixing.stage(spark, spark.read.parquet(f"{path}/documents.parquet"), "").groupBy("doc_id").count().collect()
+    kept = {r["doc_id"]: r["count"] for r in kept}
+    assert all(kept.get(r["doc_id"], 0) == (round(r["taken"] / r["size"] + 1e-9) if r["size"] else 1) for r in got if r["doc_id"] != 500)
+
+
+def test_mix_of_odd_rows(spark, odd_docs, no_docs, folder):
+    got = mixing.query(spark, folder(documents=odd_docs)).collect()
+    assert len(got) == odd_docs.count() and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert mixing.mixed(no_docs).count() == 0
     out = mixing.stage(spark, odd_docs, "")
     assert out.columns == odd_docs.columns and mixing.stage(spark, no_docs, "").count() == 0
+    assert out.where("text is null or trim(text) = ''").count() >= 2

@@ -2,11 +2,15 @@
 
 A text is reduced to its words with single spaces. Rules whose keyword occurs are matched; every match is an interval of
 words. Intervals that lie inside one of the same or a stronger tier are suppressed; the weakest tier, which names no
-license, speaks only where nothing else is left. All of it stays within a row: no shuffle.
+license, speaks only where nothing else is left. A statement that something is not under a license suppresses the name in
+it and gives no label. All of it stays within a row: no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,48 +77,185 @@ FAMILIES = {
     "llama": ("llama", "llama community", "llama 2 community", "llama 3 community"),
     "openrail": ("openrail", "open rail", "bigscience rail", "creativeml open rail m"),
 }
-#: Sentences that belong to one license's text: label, keyword, words.
-SENTENCES = (
-    ("mit", "hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "free software foundation", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "free software foundation", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("apache", "except in compliance", "you may not use this file except in compliance with the license"),
-    ("mpl", "source code form is subject", "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "altered source versions", "altered source versions must be plainly marked as such"),
-    ("wtfpl", "what the fuck you want", "you just do what the fuck you want to"),
-    ("cc0", "waived all copyright", "waived all copyright and related or neighboring rights"),
-    ("public-domain", "public domain", "(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
-    ("public-domain", "public domain", "(?:is|are|was) in the public domain"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-)
+#: Rules written by hand for notices and sentences of single licenses: keyword, label, words (a pattern over single-spaced words).
+NOTICES = """
+granted free of charge | mit | permission is hereby granted free of charge to any person obtaining a copy
+without limitation the rights | mit | without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+substantial portions | mit | (?:copyright notice|permission notice) shall be included in all copies or substantial portions
+opensource org | mit | (?:www )?opensource org licenses? mit(?: license)?(?: php)?
+mit | mit | mit style licen[cs]e
+with or without fee | isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+with or without fee | isc | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
+opensource org | isc | (?:www )?opensource org licenses? isc
+redistribution and use | bsd | redistribution and use in source and binary forms with or without modification are permitted
+redistributions | bsd | redistributions of source code must retain the above copyright notice
+redistributions | bsd | redistributions in binary form must reproduce the above copyright notice
+endorse or promote | bsd | neither the name of (?:the )?[^ ]+(?: [^ ]+){0,8}? nor the names of (?:its|the|any) contributors may be used to endorse or promote products
+advertising materials | bsd | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+regents | bsd | the regents of the university of california
+opensource org | bsd | (?:www )?opensource org licenses? bsd(?: [0-9] clause| license)?(?: php)?
+bsd | bsd | bsd style licen[cs]e
+bsd | bsd | (?:two|three|four|2|3|4) clause bsd(?: licen[cs]e)?
+bsd | bsd | bsd (?:2|3|4) clause(?: (?:new|simplified|original|revised|clear))?(?: or [^ ]+)?(?: licen[cs]e)?
+any purpose with or without fee | 0bsd | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is
+compliance with the license | apache | you may not use this (?:file|work|software|product|project|library|package) except in compliance with the license
+obtain a copy of the license | apache | you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses
+apache org | apache | (?:https? )?(?:www )?apache org licenses license [0-9](?: [0-9])?(?: (?:txt|html))?
+distributed on an | apache | distributed on an as is basis without warranties or conditions of any kind
+apache | apache | contributor license agreements? see the notice file
+apache | apache | licensed to the apache software foundation asf
+apache | apache | (?:the )?apache 2(?: 0)? licen[cs]e
+apache | apache | apache software foundation licen[cs]e
+llvm exception | apache-llvm-exception | apache(?: license)?(?: version)? 2 0 with llvm exceptions?
+published by the free software foundation | gpl | under the terms of the gnu general public license(?: version [0-9](?: [0-9])?)? as published by the free software foundation
+either version | gpl | gnu general public license as published by the free software foundation either version [0-9](?: [0-9])? of the license or at your option any later version
+version 2 | gpl | gnu general public license(?: as published by the free software foundation)? (?:only )?version 2(?: only| as published)?
+version 3 | gpl | gnu general public license(?: as published by the free software foundation)? version 3(?: only| or later)?
+copy of the gnu general public | gpl | you should have received a copy of the gnu general public license along with
+gnu org | gpl | (?:www )?gnu org licenses? (?:old licenses )?gpl(?: [0-9](?: [0-9])?)?(?: (?:html|txt))?
+gpl | gpl | (?:gnu )?gplv?[ ]?[123](?: [0-9])?(?: or (?:any )?later| only| plus)?
+gpl | gpl | licen[cs]ed under (?:the )?(?:gnu )?gpl(?:v?[123])?
+linking exception | gpl-linking-exception | as a special exception (?:[^ ]+ ){0,12}?permission to link
+classpath | gpl-classpath-exception | gpl(?: [0-9]( [0-9])?)?(?: only| or later)? with classpath exception(?: [0-9] [0-9])?
+classpath exception | gpl-classpath-exception | classpath exception as provided by
+gcc runtime | gpl-gcc-exception | gcc runtime library exception
+bison exception | gpl-bison-exception | (?:with )?bison exception(?: 2 2)?
+autoconf exception | gpl-autoconf-exception | (?:with )?autoconf (?:configure script )?exception
+font exception | gpl-font-exception | gpl(?: [0-9]( [0-9])?)? with font exception
+published by the free software foundation | lgpl | under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation
+copy of the gnu lesser | lgpl | you should have received a copy of the gnu (?:lesser|library) general public license along with
+gnu org | lgpl | (?:www )?gnu org licenses? (?:old licenses )?lgpl(?: [0-9](?: [0-9])?)?(?: (?:html|txt))?
+lgpl | lgpl | (?:gnu )?lgplv?[ ]?[23](?: [0-9])?(?: or (?:any )?later| only| plus)?
+published by the free software foundation | agpl | under the terms of the gnu affero general public license as published by the free software foundation
+copy of the gnu affero | agpl | you should have received a copy of the gnu affero general public license along with
+gnu org | agpl | (?:www )?gnu org licenses? agpl(?: 3(?: 0)?)?(?: html)?
+agpl | agpl | (?:gnu )?agplv?[ ]?[13](?: 0)?(?: or (?:any )?later| only| plus)?
+remote network interaction | agpl | remote network interaction use with the gnu general public license
+free documentation | gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+invariant sections | gfdl | with no invariant sections no front cover texts and no back cover texts
+gnu org | gfdl | (?:www )?gnu org licenses? (?:old licenses )?fdl(?: 1 [0-9])?(?: html)?
+source code form is subject | mpl | this source code form is subject to the terms of the mozilla public license
+mozilla org | mpl | (?:www )?mozilla org (?:en us )?mpl(?: [0-9] [0-9])?
+incompatible with secondary | mpl-no-copyleft-exception | this source code form is incompatible with secondary licenses
+contents of this file are subject | mpl | the contents of this file are subject to the mozilla public license
+contents of this file are subject | npl | the contents of this file are subject to the netscape public license
+contents of this file are subject | cddl | the contents of this file are subject to the terms of the common development and distribution license
+accompanying materials | epl | this program and the accompanying materials are made available under the terms of the eclipse public license
+eclipse org | epl | (?:www )?eclipse org legal epl(?: v?[12]0| [12] 0| 2 0| v[12] 0)?(?: html)?
+accompanying materials | cpl | this program and the accompanying materials are made available under the terms of the common public license
+european union public | eupl | licensed under the eupl(?: version)?(?: 1 [0-9])?(?: or as soon they will be approved by the european commission)?
+altered source versions | zlib | altered source versions must be plainly marked as such
+origin of this software | zlib | the origin of this software must not be misrepresented
+boost software | boost | distributed under the boost software license version 1 0
+boost org | boost | (?:www )?boost org license 1 0 txt
+machine executable object | boost | machine executable object code generated by a source language processor
+unencumbered software | unlicense | this is free and unencumbered software released into the public domain
+unlicense org | unlicense | (?:https? )?(?:www )?unlicense org
+what the fuck you want | wtfpl | you just do what the fuck you want to
+wtfpl net | wtfpl | (?:www )?wtfpl net
+artistic | artistic | (?:the )?artistic licen[cs]e(?: version)? [12](?: 0)?
+same terms as perl | perl | under the same terms as perl(?: itself| 5)?
+same terms as ruby | ruby | under the same terms as ruby(?: itself)?
+same license as python | psf | under the same licen[cs]e as python(?: itself)?
+python software foundation | psf | python software foundation license(?: version 2)?
+beer in return | beerware | you can buy me a beer in return
+this stuff is worth it | beerware | if we meet some day and you think this stuff is worth it
+used for good not evil | json | the software shall be used for good not evil
+openssl toolkit | openssl | this product includes software developed by the openssl project for use in the openssl toolkit
+eric young | openssl | this product includes cryptographic software written by eric young
+reserved font name | ofl | with reserved font name
+sil open font | ofl | this font software is licensed under the sil open font license(?: version 1 1)?
+scripts sil org | ofl | (?:scripts sil org|openfontlicense org) ?(?:ofl)?
+postgresql | postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee
+w3c | w3c | (?:www )?w3 org consortium legal (?:[0-9]+ )?copyright software
+unicode | unicode | (?:www )?unicode org (?:copyright|license)(?: html| txt)?
+waived all copyright | cc0 | waived all copyright and related or neighboring rights
+publicdomain zero | cc0 | (?:https? )?creativecommons org publicdomain zero(?: 1 0)?
+publicdomain mark | public-domain | (?:https? )?creativecommons org publicdomain mark(?: 1 0)?
+creativecommons org | cc-by | (?:https? )?creativecommons org licenses by(?: [1-4] [05])?
+creativecommons org | cc-by-sa | (?:https? )?creativecommons org licenses by sa(?: [1-4] [05])?
+creativecommons org | cc-by-nc | (?:https? )?creativecommons org licenses by nc(?: [1-4] [05])?
+creativecommons org | cc-by-nd | (?:https? )?creativecommons org licenses by nd(?: [1-4] [05])?
+creativecommons org | cc-by-nc-sa | (?:https? )?creativecommons org licenses by nc sa(?: [1-4] [05])?
+creativecommons org | cc-by-nc-nd | (?:https? )?creativecommons org licenses by nc nd(?: [1-4] [05])?
+cc by | cc-by | cc by (?:[1-4] [05]|international|unported)
+cc by sa | cc-by-sa | cc by sa (?:[1-4] [05]|international|unported)
+cc by nc | cc-by-nc | cc by nc (?:[1-4] [05]|international|unported)
+cc by nc sa | cc-by-nc-sa | cc by nc sa (?:[1-4] [05]|international|unported)
+share alike | cc-by-sa | creative commons attribution share ?alike [1-4] [05](?: (?:international|unported|generic))?(?: public)?(?: license)?
+creative commons | cc-by | this work is licensed under a creative commons attribution [1-4] [05](?: (?:international|unported|generic))?(?: public)? license
+creative commons | creative-commons | (?:a|the|under|some) creative commons licen[cs]e
+some rights reserved | creative-commons | some rights reserved
+opendatacommons org | odbl | (?:www )?opendatacommons org licenses? odbl(?: [^ ]+)?
+opendatacommons org | odc-by | (?:www )?opendatacommons org licenses? by(?: [^ ]+)?
+opendatacommons org | pddl | (?:www )?opendatacommons org licenses? pddl(?: [^ ]+)?
+open government | ogl-uk | contains public sector information licensed under the open government licence(?: v[123](?: 0)?)?
+licence ouverte | etalab | licence ouverte(?: open licence)?(?: version)?(?: [12] 0)?
+change date | busl | change (?:date|license) (?:[^ ]+ ){0,8}?business source license
+additional use grant | busl | additional use grant
+commons clause | commons-clause | (?:the )?commons clause(?: license condition)?(?: v?1 0)?
+mongodb | sspl | server side public license(?: version 1| v1)?
+elastic | elastic | elastic license(?: version)?(?: 2 0| v2)
+polyform | polyform | polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use)(?: license)?(?: 1 0 0)?
+open rail | openrail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: licen[cs]e)?
+llama | llama | llama [23](?: [123])? community license(?: agreement)?
+gemma | gemma | gemma (?:terms of use|license)
+public domain | public-domain | (?:released|placed|dedicated|put|given|donated) (?:in|into|to) the public domain
+public domain | public-domain | (?:is|are|was|were) (?:hereby )?(?:in|part of) the public domain
+public domain | public-domain | public domain (?:dedication|software|work|notice)
+no copyright | public-domain | no (?:known )?copyright (?:restrictions|is claimed)
+us government work | public-domain | work of the (?:us|u s|united states) government
+all rights reserved | proprietary | all rights reserved
+confidential | proprietary | (?:proprietary and confidential|confidential and proprietary)
+unauthorized copying | proprietary | unauthorized copying of this file(?: via any medium)? is strictly prohibited
+may not be reproduced | proprietary | may not be reproduced (?:distributed )?(?:in whole or in part )?without (?:the )?(?:prior |express |written )*permission
+commercial license | commercial | (?:a )?commercial licen[cs]e (?:is|must be|can be|may be) (?:required|obtained|purchased|available)
+end user | eula | end user licen[cs]e agreement
+personal use | non-commercial | (?:for )?(?:personal|educational|academic|research)(?: and| or)? (?:[^ ]+ )?(?:non ?commercial )?use only
+non commercial | non-commercial | for non ?commercial (?:use|purposes)(?: only)?
+freeware | freeware | (?:is|as|this) freeware
+shareware | shareware | (?:is|as|this) shareware
+dual licensed | dual-licensed | (?:is |are )?dual licen[cs]ed
+"""
+#: Statements that suppress the license that they name: keyword, words.
+DENIALS = """
+not | (?:is|are|was) not (?:licen[cs]ed|released|distributed|available|covered|published) under (?:the |an? )?(?:[^ ]+ ){1,6}?licen[cs]e
+no longer | no longer (?:licen[cs]ed|released|distributed|available|covered) under (?:the |an? )?(?:[^ ]+ ){1,6}?licen[cs]e
+incompatible | (?:in|not )compatible with (?:the )?(?:[^ ]+ ){1,6}?licen[cs]e
+unlike | unlike the (?:[^ ]+ ){1,4}?licen[cs]e
+instead of | instead of the (?:[^ ]+ ){1,4}?licen[cs]e
+"""
+DENIED = "-"
 VERSION = r"(?: version| v)?(?: v?[0-9]+(?: [0-9]+)?)?(?: or (?:any )?later(?: version)?)?"
 UNDER = r"(?:released|licensed|used|distributed|available|provided|published|offered|shared|covered|redistributed|dual licensed|sublicensed) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 #: Tiers from strong to weak.
 IDENTIFIED, NOTICED, TITLED, GENERIC = range(4)
 CONFIDENCE = (0.99, 0.95, 0.9, 0.5)
 #: A text that holds none of these is not scanned further.
-KEYWORDS = ("licen", "public domain", "spdx", "hereby granted", "all rights reserved", "redistribution and use", "unencumbered", "fuck you want", "with or without fee", "altered source", "neighboring rights", "under ")
+KEYWORDS = ("licen", "public domain", "spdx", "all rights reserved", "(?:d|available) under ")
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_RULE = f"(?<= )(?:{'|'.join(BASE)})(?= )"
 MARK = "\u0001"
 
 
+def lines(table: str) -> list[list[str]]:
+    return [[part.strip() for part in line.split(" | ")] for line in table.strip().splitlines()]
+
+
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, pattern, tier) in order. Patterns match whole words of a text with single spaces around each word."""
-    out = []
+    out = [(DENIED, key, words, IDENTIFIED) for key, words in lines(DENIALS)]
+    out += [(label, key, words, IDENTIFIED) for key, label, words in lines(NOTICES)]
     for label, names in FAMILIES.items():
         short = names[0]
-        out.append((label, "spdx", rf"spdx license identifier {short}(?: [0-9]+(?: [0-9]+)?)?(?: or later| only)?", IDENTIFIED))
+        spdx = rf"{short}(?: [0-9]+(?: [0-9]+)?)?(?: or later| only)?(?: with [^ ]+(?: [^ ]+)? exception(?: [0-9] [0-9])?)?"
+        out.append((label, "spdx", rf"spdx license identifier {spdx}", IDENTIFIED))
+        out.append((label, "spdx", rf"(?<=spdx license identifier [^ ]{{1,20}} ?[0-9]{{0,2}} ?[0-9]{{0,2}} (?:and|or) ){spdx}", IDENTIFIED))
         out.append((label, f"license {short}", rf"(?<!this )(?<!the )license {short}{VERSION}(?: license)?", TITLED))
     for label, names in FAMILIES.items():
         for name in names:
             out.append((label, f" {name} ", rf"{UNDER}{name}(?: international)?(?: public)?(?: licen[cs]e)?{VERSION}", NOTICED))
             out.append((label, f" {name} ", rf"{name} (?:public )?licen[cs]e[ds]?{VERSION}", TITLED))
-    out += [(label, key, words, IDENTIFIED) for label, key, words in SENTENCES]
     out.append(("other", "licen", rf"{UNDER}(?:a|an|the|this) [^ ]+ licen[cs]e", GENERIC))
     return [(label, key, f"(?<= ){pattern}(?= )", tier) for label, key, pattern, tier in out]
 
@@ -136,10 +277,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     A null text is empty: no words, no labels (empty strings), score 0. Score: the confidence of the strongest match left.
     """
     table = [F.struct(F.lit(a).alias("label"), F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(t).alias("tier")) for a, k, p, t in rules()]
-    low = docs.withColumn("_body", F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
+    text = F.coalesce("text", F.lit(""))
+    lower = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(text))  # A-Z only
+    low = docs.withColumn("_body", F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
     low = low.withColumn("_words", F.concat(F.lit(" "), F.col("_body"), F.lit(" ")))
     words = F.col("_words")
-    gate = words.rlike("|".join(KEYWORDS))
+    gate = words.rlike("|".join([*KEYWORDS, *dict.fromkeys(re.escape(key) for key, *_ in lines(NOTICES) if not any(k in key for k in KEYWORDS[:4]))]))
     base = low.withColumn("_base", F.when(F.contains(words, F.lit(" license ")), places(words, F.lit(BASE_RULE))).otherwise(F.expr("cast(array() as array<struct<start:bigint,text:string>>)")))
     base = base.withColumn("_rules", F.when(gate, F.filter(F.array(*table), lambda r: F.contains(words, r["key"]))))
 
@@ -151,8 +294,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     state = "named_struct('ends', array(-1L, -1L, -1L, -1L), 'labels', cast(array() as array<string>), 'tier', 9)"
     step = """(s, d) -> if(array_max(slice(s.ends, 1, d.tier + 1)) >= -d.minus_end, s, named_struct(
         'ends', transform(s.ends, (e, k) -> if(k = d.tier, greatest(e, -d.minus_end), e)),
-        'labels', array_union(s.labels, if(d.tier = 3, cast(array() as array<string>), array(d.label))),
-        'tier', least(s.tier, d.tier)))"""
+        'labels', array_union(s.labels, if(d.tier = 3 or d.label = '-', cast(array() as array<string>), array(d.label))),
+        'tier', if(d.label = '-', s.tier, least(s.tier, d.tier))))"""
     kept = found.withColumn("_kept", F.expr(f"aggregate(coalesce(_found, cast(array() as array<struct<start:bigint,minus_end:bigint,tier:int,label:string>>)), {state}, {step})"))
     names = F.create_map(*(F.lit(x) for pair in BASE.items() for x in pair))
     kept = kept.withColumn("_labels", F.array_sort(F.array_distinct(F.transform("_base", lambda m: names[m["text"]]))))

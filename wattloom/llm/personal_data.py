@@ -1,19 +1,23 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Patterns propose spans. Labelers (format, gazetteer, context, borders) vote on each span. Votes are counted over the whole
-corpus by pattern of votes; expectation-maximisation over these counts estimates each labeler's reliability and the odds
-of each pattern, and a logistic classifier of spans is trained on them. The base kinds' valid spans always stay; the other
-spans stay where the classifier says so. Finding and scoring spans stays within a row.
+Patterns propose spans; those of further kinds are sought in what the base kinds' valid spans leave. Labelers (format,
+gazetteer, context, borders) vote on each span. Votes are counted over the whole corpus; expectation-maximisation over
+these counts estimates each labeler's reliability and the odds of each pattern of votes. With these odds as soft labels a
+logistic classifier is trained on what spans look like (length, characters, what stands beside them), not on the votes.
+The base kinds' valid spans always stay; the other spans stay where the classifier says so. Finding and scoring spans
+stays within a row and takes time in proportion to its text.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import read
+from wattloom.llm.common import read, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Pattern and gate (a cheap test that any text with a match passes) by kind. Same matches as the plain patterns, written
@@ -59,27 +63,44 @@ GAZETTEER = {
 LABELERS = ("format", "gazetteer", "context", "borders")
 BEFORE = 48
 ROUNDS, STEPS, STEP, DECAY = 50, 300, 0.5, 1e-3
-SPAN = "struct<kind:string,start:bigint,end:bigint,valid:boolean,votes:array<int>,size:int>"
+#: What a span looks like, each with so many values: length, share of digits, other characters than letters and digits, what stands before and after.
+LOOKS = {"size": 8, "digits": 5, "marks": 4, "lead": 5, "tail": 5}
+SPAN = f"struct<kind:string,start:bigint,end:bigint,valid:boolean,votes:array<int>,{','.join(f'{c}:int' for c in LOOKS)}>"
 NO_SPANS = f"cast(array() as array<{SPAN}>)"
+#: Matches whose lengths are added up at a time.
+BLOCK = 64
+#: Stands for each character of a span that is taken.
+TAKEN = "\u0001"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text, before, after) of each match, in code points."""
-    pieces = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    kind = "array<struct<start:bigint,end:bigint,text:string,before:string,after:string>>"
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
 
-    def place(x: Column) -> Column:
-        def step(state: Column, k: Column) -> Column:
-            piece, match = x["p"][k - 1], x["m"][k - 1]
-            start = state["at"] + F.length(piece)
-            end = start + F.length(match)
-            one = F.struct(start.alias("start"), end.alias("end"), match.alias("text"), F.right(piece, F.lit(BEFORE)).alias("before"), F.left(x["p"][k], F.lit(1)).alias("after"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-        ks = F.when(F.size(x["m"]) > 0, F.sequence(F.lit(1), F.size(x["m"]))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.aggregate(ks, F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {kind})").alias("out")), step, lambda s: s["out"])
+def pieces(text: Column, pattern: str) -> Column:
+    """m: the matches; p: what stands between them, before the first and after the last; k: 1 up to their number."""
+    found = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return once(found, lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.when(F.size(x["m"]) > 0, F.sequence(F.lit(1), F.size(x["m"]))).otherwise(F.expr("cast(array() as array<int>)")).alias("k")))
 
-    return F.transform(F.array(pieces), place)[0]
+
+def starts(lengths: Column) -> Column:
+    """The sums of the elements before each. Sums of whole blocks first, so that no element adds up more than a block."""
+
+    def block_sum(b: Column) -> Column:
+        return F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def step(state: Column, b: Column) -> Column:
+        return F.struct((state["at"] + block_sum(b)).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+    first = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")), step, lambda s: s["out"])
+
+    def start(k: Column, before: Column) -> Column:
+        b = F.floor(k / BLOCK).cast("int")
+        return before[b] + F.aggregate(F.slice(lengths, b * BLOCK + 1, k - b * BLOCK), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    return once(first, lambda before: F.transform(lengths, lambda x, k: start(k, before)))
 
 
 def luhn(digits: Column) -> Column:
@@ -102,38 +123,73 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def beside(c: Column) -> Column:
+    """What a character is: none or a line's end, blank, an opening or assigning mark, a letter or digit, any other."""
+    return F.when((c == "") | c.isin("\n", "\r"), 0).when(c.rlike(r"^\s"), 1).when(c.isin(*":=\"'([{<"), 2).when(c.rlike(r"^[\p{L}\p{N}]"), 3).otherwise(4)
+
+
+def described(kind: str, text: Column, before: Column, after: Column, start: Column) -> Column:
+    """A span (SPAN) from its text and the text before and after it."""
+    vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    ok, cues, last, first = valid(kind, text), F.lower(F.right(before, F.lit(BEFORE))), F.right(before, F.lit(1)), F.left(after, F.lit(1))
+    glued = last.rlike(r"[\p{L}\p{N}]") | first.rlike(r"[\p{L}\p{N}]")
+    votes = F.array(
+        vote(ok, ~ok),
+        vote(text.rlike(GAZETTEER[kind]), ~text.rlike(GAZETTEER[kind])),
+        vote(cues.rlike(rf"(?:{CUES[kind]})"), cues.rlike(rf"(?:{COUNTER_CUES})")),
+        vote(~glued, glued),
+    )
+    length = F.length(text)
+    looks = {
+        "size": F.least(F.lit(7), F.floor(length / 6)),
+        "digits": F.floor(4 * F.length(F.regexp_replace(text, "[^0-9]", "")) / length),
+        "marks": F.least(F.lit(3), F.length(F.regexp_replace(text, r"[\p{L}\p{N}]", ""))),
+        "lead": beside(last),
+        "tail": beside(first),
+    }
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + length).alias("end"), ok.alias("valid"), votes.alias("votes"), *(v.cast("int").alias(c) for c, v in looks.items()))
+
+
+def gated(kind: str, text: Column) -> Column:
+    gate = PATTERNS[kind][1]
+    return text.rlike(gate[1:]) if gate[0] == "~" else F.contains(text, F.lit(gate))
+
+
 def spans_of(kind: str, text: Column) -> Column:
-    pattern, gate = PATTERNS[kind]
-    passes = text.rlike(gate[1:]) if gate[0] == "~" else F.contains(text, F.lit(gate))
-
-    def span(m: Column) -> Column:
-        vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-        ok = valid(kind, m["text"])
-        before = F.lower(m["before"])
-        glued = F.right(m["before"], F.lit(1)).rlike(r"[\p{L}\p{N}]") | m["after"].rlike(r"[\p{L}\p{N}]")
-        votes = F.array(
-            vote(ok, ~ok),
-            vote(m["text"].rlike(GAZETTEER[kind]), ~m["text"].rlike(GAZETTEER[kind])),
-            vote(before.rlike(rf"(?:{CUES[kind]})"), before.rlike(rf"(?:{COUNTER_CUES})")),
-            vote(~glued, glued),
-        )
-        size = F.least(F.lit(7), F.floor(F.length(m["text"]) / 6)).cast("int")
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), ok.alias("valid"), votes.alias("votes"), size.alias("size"))
-
-    return F.when(passes, F.transform(matches(text, pattern), span)).otherwise(F.expr(NO_SPANS))
+    def spans(x: Column) -> Column:
+        lengths = F.transform(x["k"], lambda k: (F.length(x["p"][k - 1]) + F.length(x["m"][k - 1])).cast("long"))
+        placed = once(starts(lengths), lambda at: F.transform(x["k"], lambda k: described(kind, x["m"][k - 1], x["p"][k - 1], x["p"][k], at[k - 1] + F.length(x["p"][k - 1]))))
+        return F.when(F.size(x["m"]) > 0, placed).otherwise(F.expr(NO_SPANS))
+
+    return F.when(gated(kind, text), once(pieces(text, PATTERNS[kind][0]), spans)).otherwise(F.expr(NO_SPANS))
+
+
+def replaced(kind: str, text: Column, new: Callable[[Column, Column, Column], Column]) -> Column:
+    """text with each match m of a kind as new(m, what stands before, what stands after)."""
+
+    def put(x: Column) -> Column:
+        parts = F.transform(x["k"], lambda k: F.concat(x["p"][k - 1], new(x["m"][k - 1], x["p"][k - 1], x["p"][k])))
+        return F.when(F.size(x["m"]) > 0, F.concat(F.array_join(parts, ""), x["p"][F.size(x["m"])])).otherwise(text)
+
+    return F.when(gated(kind, text), once(pieces(text, PATTERNS[kind][0]), put)).otherwise(text)
 
 
 def proposed(docs: DataFrame) -> DataFrame:
     """docs with _text (null: empty) and _spans: all proposed spans by kind as listed, then start."""
-    base = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return base.withColumn("_spans", F.concat(*(spans_of(k, F.col("_text")) for k in KINDS)))
+    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = out.withColumn("_spans", F.concat(*(spans_of(k, F.col("_text")) for k in BASE_KINDS))).withColumn("_left", F.col("_text"))
+    for kind in BASE_KINDS:
+        held = F.exists("_spans", lambda s: s["valid"] & (s["kind"] == kind))  # noqa: B023
+        taken = replaced(kind, F.col("_left"), lambda m, *_: F.when(valid(kind, m), F.repeat(F.lit(TAKEN), F.length(m))).otherwise(m))  # noqa: B023
+        out = out.withColumn("_left", F.when(held, taken).otherwise(F.col("_left")))
+    return out.withColumn("_spans", F.concat("_spans", *(spans_of(k, F.col("_left")) for k in KINDS if k not in BASE_KINDS))).drop("_left")
 
 
 def estimate(counts: dict[tuple, int]) -> dict[tuple, float]:
-    """Expectation-maximisation: the probability that a span is personal data, by (kind, votes, size).
+    """Expectation-maximisation: the probability that a span is personal data, by (kind, votes).
 
     Each labeler has a chance of each vote for true and for false spans; each kind a share of true ones. The start trusts
-    the majority of votes. There are at most kinds x 3 ** labelers x 8 patterns, however large the corpus.
+    the majority of votes. There are at most kinds x 3 ** labelers patterns, however large the corpus.
     """
     p = {key: 1 / (1 + math.exp(-1.5 * sum(key[1]))) for key in counts}
     for _ in range(ROUNDS):
@@ -159,46 +215,48 @@ def estimate(counts: dict[tuple, int]) -> dict[tuple, float]:
 
 
 def inputs(key: tuple) -> list[float]:
-    kind, votes, size = key
-    return [1.0, *(float(kind == k) for k in KINDS), *map(float, votes), *(float(v == 0) for v in votes), size / 7]
+    """One of each: 1, the kind, and what a span of (kind, *LOOKS) looks like."""
+    return [1.0, *(float(key[0] == k) for k in KINDS), *(float(v == k) for v, n in zip(key[1:], LOOKS.values(), strict=True) for k in range(n))]
 
 
-def train(counts: dict[tuple, int]) -> list[float]:
-    """Weights of the span classifier: logistic regression on the patterns, weighted by count, with the estimates as soft labels."""
-    rows = [(inputs(key), math.log1p(counts[key]), q) for key, q in estimate(counts).items()]
-    total, w = sum(n for _, n, _ in rows), [0.0] * len(inputs((KINDS[0], (0,) * len(LABELERS), 0)))
-    for _ in range(STEPS if rows else 0):
-        slope = [DECAY * x for x in w]
-        for x, n, q in rows:
-            err = n / total * (1 / (1 + math.exp(-max(-40, min(40, sum(a * b for a, b in zip(w, x, strict=True)))))) - q)
-            slope = [s + err * v for s, v in zip(slope, x, strict=True)]
-        w = [a - STEP * s for a, s in zip(w, slope, strict=True)]
-    return w
+def train(rows: dict[tuple, tuple[int, float]]) -> list[float]:
+    """Weights of the span classifier: logistic regression on the looks, each weighted by the logarithm of its count, with the mean odds as labels."""
+    if not rows:
+        return [0.0] * (1 + len(KINDS) + sum(LOOKS.values()))
+    keys = sorted(rows)
+    x = np.array([inputs(k) for k in keys])
+    n, q = np.log1p([rows[k][0] for k in keys]), np.array([rows[k][1] / rows[k][0] for k in keys])
+    w = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        error = n / n.sum() * (1 / (1 + np.exp(-np.clip(x @ w, -40, 40))) - q)
+        w -= STEP * (x.T @ error + DECAY * w)
+    return w.tolist()
 
 
 def fit(spans: DataFrame) -> list[float]:
-    """Counts all proposed spans by pattern of votes and trains the classifier on the counts; the driver gets one row for each pattern."""
-    flat = spans.select(F.explode("_spans").alias("s")).groupBy("s.kind", "s.votes", "s.size").agg(F.count(F.lit(1)).alias("n"))
-    return train({(r["kind"], tuple(r["votes"]), r["size"]): r["n"] for r in flat.collect()})
+    """Trains the classifier on all of _spans; the driver gets a row for each pattern of votes and for each look."""
+    flat = spans.select(F.explode("_spans").alias("s")).select("s.*")
+    counts = {(r["kind"], tuple(r["votes"])): r["n"] for r in flat.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # 648 at most
+    if not counts:
+        return train({})
+    odds = spans.sparkSession.createDataFrame([(k, list(v), q) for (k, v), q in estimate(counts).items()], "kind string, votes array<int>, odds double")
+    seen = flat.join(F.broadcast(odds), ["kind", "votes"]).groupBy("kind", *LOOKS).agg(F.count(F.lit(1)).alias("n"), F.sum("odds").alias("odds"))
+    return train({tuple(r[c] for c in ("kind", *LOOKS)): (r["n"], r["odds"]) for r in seen.collect()})  # 32,000 at most
+
+
+def score(s: Column, weights: list[float]) -> Column:
+    """The classifier's log odds of a span."""
+    parts = iter(weights)
+    out = F.lit(next(parts)) + F.create_map(*(x for k in KINDS for x in (F.lit(k), F.lit(next(parts)))))[s["kind"]]
+    for c, n in LOOKS.items():
+        out = out + F.get(F.array(*(F.lit(next(parts)) for _ in range(n))), s[c])
+    return out
 
 
 def chosen(spans: DataFrame, weights: list[float]) -> DataFrame:
-    """spans with _base and _all: the base kinds' valid spans, and with them the others that the classifier keeps and that overlap none."""
-    parts = iter(weights)
-    bias = F.lit(next(parts))
-    kinds = F.create_map(*(x for k in KINDS for x in (F.lit(k), F.lit(next(parts)))))
-    by_vote = [next(parts) for _ in LABELERS]
-    by_none = [next(parts) for _ in LABELERS]
-    by_size = next(parts)
-
-    def score(s: Column) -> Column:
-        out = bias + kinds[s["kind"]] + s["size"] / 7 * by_size
-        for k in range(len(LABELERS)):
-            out = out + s["votes"][k] * by_vote[k] + F.when(s["votes"][k] == 0, by_none[k]).otherwise(0.0)
-        return out
-
+    """spans with _base and _all: the base kinds' valid spans, and with them the others that the classifier keeps."""
     with_base = spans.withColumn("_base", F.filter("_spans", lambda s: s["kind"].isin(*BASE_KINDS) & s["valid"]))
-    more = F.filter("_spans", lambda s: ~s["kind"].isin(*BASE_KINDS) & s["valid"] & (score(s) > 0) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.filter("_spans", lambda s: ~s["kind"].isin(*BASE_KINDS) & s["valid"] & (score(s, weights) > 0))
     return with_base.withColumn("_all", F.concat("_base", more))
 
 
@@ -207,8 +265,8 @@ def joined(spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null and empty texts have no spans. A vote pattern that the corpus does not hold cannot occur: the fit sees every span."""
-    spans = proposed(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Null and empty texts have no spans. The fit sees every span, so the texts are searched once."""
+    spans = written(proposed(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_spans"), "spans")
     out = chosen(spans, fit(spans))
 
     def count(kind: str) -> Column:
@@ -219,15 +277,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every found span in the text replaced by its kind in brackets (overlapping ones by the first's); null texts stay null."""
-    spans = proposed(docs)
-    out = chosen(spans, fit(spans))
-    state = "named_struct('at', 0L, 'out', '')"
-    step = """(s, x) -> named_struct(
-        'at', greatest(s.at, x.end),
-        'out', if(x.start < s.at, s.out, concat(s.out, substring(_text, int(s.at) + 1, int(x.start - s.at)), '[', upper(x.kind), ']')))"""
-    clean = F.expr(f"aggregate(array_sort(_all, (a, b) -> if(a.start = b.start, b.end - a.end, a.start - b.start)), {state}, {step}, s -> concat(s.out, substring(_text, int(s.at) + 1)))".replace("b.end - a.end, a.start - b.start", "int(b.end - a.end), int(a.start - b.start)"))
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.when(F.size("_all") > 0, clean).otherwise(F.col("_text")))).select(docs.columns)
+    """docs with every found span in the text replaced by its kind in brackets, kind by kind as listed; null texts stay null."""
+    weights = fit(written(proposed(docs.select("text")).select("_spans"), "spans"))
+    text = "_redacted"
+    out = docs.withColumn(text, F.col("text").cast("string"))
+    for kind in KINDS:
+
+        def new(m: Column, before: Column, after: Column, kind: str = kind) -> Column:
+            keep = valid(kind, m)
+            if kind not in BASE_KINDS:
+                keep = keep & (score(described(kind, m, before, after, F.lit(0).cast("long")), weights) > 0)
+            return F.when(keep, F.lit(f"[{kind.upper()}]")).otherwise(m)
+
+        out = out.withColumn(text, replaced(kind, F.col(text), new))
+    return out.withColumn("text", F.col(text)).select(docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def brute_force(vectors, query, top=20):
 
 def test_recall_and_exact_scores(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_NODES", 700)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(neighbours, "TOGETHER", 40)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 32))
     x = (centres[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 32)) * 0.6).astype(np.float32) * rng.uniform(0.3, 2, (2000, 1)).astype(np.float32)
@@ -34,10 +34,26 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     assert hits / total >= 0.95
 
 
+def test_recall_of_a_graph_that_is_grown_by_search(monkeypatch):
+    monkeypatch.setattr(neighbours, "EXACT", 1024)
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(40, 24))[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 24)) * 0.7).astype(np.float32)
+    graph, q = neighbours.build(x), x[::400]
+    found = np.concatenate([neighbours.search(graph, part, 20)[0] for part in np.split(q, 2)])
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), best.tolist(), strict=True)]) >= 0.95
+
+
+def test_rows_of_one_id_are_candidates_each(spark):
+    df = table(spark, [(0, [1.0, 0.0], 1, 1, 1.0), (0, [2.0, 0.0], 1, 1, 1.0), (1, [5.0, 0.0], 1, 1, 1.0), (1, [4.0, 0.0], 1, 1, 1.0)])
+    got = sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id = 0")).collect())
+    assert got == [(0, 1, 1, 5.0), (0, 1, 1, 10.0), (0, 2, 1, 4.0), (0, 2, 1, 8.0), (0, 3, 0, 2.0), (0, 3, 0, 2.0)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1, 1, 1.0), (20, [0.0, 2.0], None, None, None), (1, [3.0, 1.0], 1, 1, 1.0), (2, [0.0, 0.0], 1, 1, 1.0), (3, None, 1, 1, 1.0), (4, [nan, 1.0], 1, 1, 1.0), (5, [inf, 1.0], 1, 1, 1.0), (6, [None, 1.0], 1, 1, 1.0), (7, [], 1, 1, 1.0), (None, [1.0, 1.0], 1, 1, 1.0), (1, [3.0, 1.0], 1, 1, 1.0), (40, [1.0, 2.0, 3.0], 1, 1, 1.0), (60, None, 1, 1, 1.0), (9, [3.0, 1.0], 1, 1, 1.0)]
     df = table(spark, rows)
     got = sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect())
-    assert got == [(0, 1, 1, 3.0), (0, 2, 9, 3.0), (0, 3, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 9, 2.0), (20, 3, 0, 0.0)]
+    assert got == [(0, 1, 1, 3.0), (0, 2, 1, 3.0), (0, 3, 9, 3.0), (0, 4, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 1, 2.0), (20, 3, 9, 2.0), (20, 4, 0, 0.0)]
     assert neighbours.nearest(df.where(F.lit(False)), df.where(F.lit(False))).count() == 0

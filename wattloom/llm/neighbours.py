@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, as flat neighbour arrays.
 
-Equal vectors are one node that carries its smallest ids, so a hot vector costs one node. Shards have a bounded number of
-nodes. Queries go to all shards in blocks; the shards' results are merged. Nearness is the inner product: vectors get one
-more component so that all of a shard have the same length, which makes the largest inner product the nearest neighbour.
+Equal vectors are one node that carries its smallest ids, so a hot vector costs one node. There are as many shards as
+shuffle partitions at most; beyond, shards grow. A task loads a shard once and answers the queries that stream by; the
+shards' results are merged. Nearness is the inner product: vectors get one more component so that all of a shard have the
+same length, which makes the largest inner product the nearest neighbour.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.llm.common import read, written
 
 TOP = 20
-#: Nodes of a shard and queries of a block, about.
-SHARD_NODES, QUERY_BLOCK = 8192, 2048
+#: Nodes of a shard, about, while there are fewer shards than shuffle partitions; queries that are answered at a time.
+SHARD_NODES, TOGETHER = 8192, 256
+#: Nodes of a layer whose candidates are found by products with all; later ones search the graph of those before, in batches
+#: that grow it by a quarter, beside products with the others of their part of PART.
+EXACT, PART = 16384, 1024
 #: Links of a node (twice as many on the ground), candidates for them, nodes kept in a search, and nodes expanded in a step.
 LINKS, CANDIDATES, BEAM, STEP = 16, 48, 96, 4
 SEED = 7
@@ -42,34 +46,54 @@ def diverse(x: np.ndarray, nodes: np.ndarray, near: np.ndarray, sim: np.ndarray,
     return out
 
 
+def nearest_of(sim: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` candidates with the largest similarities in each row, best first."""
+    keep = np.argpartition(-sim, min(most, sim.shape[1]) - 1, axis=1)[:, :most]
+    s = np.take_along_axis(sim, keep, 1)
+    by = np.argsort(-s, axis=1, kind="stable")
+    return np.take_along_axis(np.take_along_axis(near, keep, 1), by, 1), np.take_along_axis(s, by, 1)
+
+
 def layer(x: np.ndarray, members: np.ndarray, most: int) -> np.ndarray:
     """Links (members, most) among members, in the order in which they enter: each takes diverse near ones of those that have
-    entered by the end of its batch, batches double; free places go to the nearest that have taken it."""
-    n = len(members)
+    entered before its batch or stand in its part of it; free places go to the nearest that have taken it."""
+    n, pts = len(members), x[members]
     own = np.full((n, most), -1, np.int32)
     done, size = 0, 64
     while done < n:
         end = min(n, max(size, done + 1))
-        for lo in range(done, end, 1024):
-            part = np.arange(lo, min(end, lo + 1024))
-            sim = x[members[part]] @ x[members[:end]].T
-            sim[np.arange(len(part)), part] = -np.inf
-            c = min(CANDIDATES, end)
-            near = np.argpartition(-sim, c - 1, axis=1)[:, :c]
-            s = np.take_along_axis(sim, near, 1)
-            by = np.argsort(-s, axis=1, kind="stable")
-            own[part, : most // 2] = diverse(x[members], part, np.take_along_axis(near, by, 1), np.take_along_axis(s, by, 1), most // 2)
-        done, size = end, 2 * end
+        links = returned(pts, own[:done], most) if end > EXACT else None
+        for lo in range(done, end, PART):
+            part = np.arange(lo, min(end, lo + PART))
+            if links is None:
+                near = np.broadcast_to(np.arange(end), (len(part), end))
+                sim = pts[part] @ pts[:end].T
+                sim[np.arange(len(part)), part] = -np.inf
+            else:
+                entry = np.zeros((TOGETHER, 1), np.int64)
+                seen = [descend(pts, np.arange(done), links, pts[q], entry[: len(q)], CANDIDATES) for q in np.split(part, range(TOGETHER, len(part), TOGETHER))]
+                mates = pts[part] @ pts[part].T
+                np.fill_diagonal(mates, -np.inf)
+                near = np.concatenate([np.concatenate([f for f, _ in seen]), np.broadcast_to(part, (len(part), len(part)))], 1)
+                sim = np.concatenate([np.concatenate([v for _, v in seen]), mates], 1)
+            found, value = nearest_of(sim, near, min(CANDIDATES, near.shape[1]))
+            own[part, : most // 2] = diverse(pts, part, found, value, most // 2)
+        done, size = end, 2 * end if 2 * end <= EXACT else max(EXACT, end + end // 4)
+    return returned(pts, own, most)
+
+
+def returned(pts: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+    """Each node's own links, then as many of the nearest nodes that have taken it as there is place for."""
     a, k = np.nonzero(own >= 0)
     b = own[a, k]
     pairs = np.unique(np.stack([np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([np.zeros_like(a), np.ones_like(a)])], 1), axis=0)
     first = np.concatenate([[True], (np.diff(pairs[:, :2], axis=0) != 0).any(1)]) if len(pairs) else np.zeros(0, bool)
     pairs = pairs[first]  # a link of one's own stands before the same one as a return
-    sim = np.einsum("ij,ij->i", x[members[pairs[:, 0]]], x[members[pairs[:, 1]]])
+    sim = np.einsum("ij,ij->i", pts[pairs[:, 0]], pts[pairs[:, 1]])
     pairs = pairs[np.lexsort((-sim, pairs[:, 2], pairs[:, 0]))]
     place = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
     fits = place < most
-    links = np.full((n, most), -1, np.int32)
+    links = np.full((len(own), most), -1, np.int32)
     links[pairs[fits, 0], place[fits]] = pairs[fits, 1]
     return links
 
@@ -147,67 +171,82 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding): one row for each id, its smallest vector. Null ids and vectors that are null, empty, zero or hold
-    null or non-finite components take no part."""
+    """(vec_id, embedding) of the rows that take part: null ids and vectors that are null, empty, zero or hold null or non-finite components do not."""
     fine = "vec_id is not null and size(embedding) > 0 and exists(embedding, x -> x != 0) and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    return vectors.select("vec_id", "embedding").where(fine).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(fine)
 
 
-def index(vectors: DataFrame, top: int) -> DataFrame:
-    """(dim, shard, shards, graph, ids): the graphs of all usable vectors, in a table. ids: the smallest top + 1 of each node."""
+def index(vectors: DataFrame, top: int) -> tuple[DataFrame, dict[int, int]]:
+    """(dim, shard, graph, ids): the graphs of all usable vectors, in a table; and the number of shards by dim. ids: of each node, the
+    smallest top + 1 of its rows."""
     first = Window.partitionBy("embedding").orderBy("vec_id")
     nodes = vectors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1)
-    nodes = written(nodes.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")  # at most top + 1 ids
-    sizes = nodes.groupBy(F.size("embedding").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / SHARD_NODES).cast("int").alias("shards"))
-    dealt = nodes.withColumn("dim", F.size("embedding")).join(sizes, "dim")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
+    nodes = written(nodes.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("embedding")), "nodes")  # at most top + 1 ids
+    most = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = {r["dim"]: min(most, -(-r["count"] // SHARD_NODES)) for r in nodes.groupBy("dim").count().collect()}  # a row for each length of vectors
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), of_dim(shards)).cast("int"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
         graph = build(x.astype(np.float32)) | {"vectors": x}
-        return pd.DataFrame({"dim": part["dim"][:1], "shard": part["shard"][:1], "shards": part["shards"][:1], "graph": [packed(graph)], "ids": [part["ids"].tolist()]})
+        return pd.DataFrame({"dim": part["dim"][:1], "shard": part["shard"][:1], "graph": [packed(graph)], "ids": [part["ids"].tolist()]})
+
+    dealt = dealt.repartition(max(1, sum(shards.values())), "dim", "shard")  # a number of its own, so that builds are not merged into one task
+    return written(dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, graph binary, ids array<array<long>>"), "graphs"), shards
 
-    return written(dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, shards int, graph binary, ids array<array<long>>"), "graphs")
+
+def of_dim(shards: dict[int, int]) -> Column:
+    """The number of shards of a row's dim."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))[F.col("dim")], F.lit(1)) if shards else F.lit(1)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query (vec_id, embedding) the `top` nearest found, without its own id.
+    """(query_id, rank, vec_id, score): for each query (vec_id, embedding) the `top` nearest found among all rows but its own.
 
-    Ties go to the smaller id. Queries that take no part give no rows; with fewer candidates than `top`, all found. Vectors
-    of different lengths do not meet. An empty table gives no rows.
+    Ties go to the smaller id. Rows that share an id are candidates each; equal query rows are one, others with one id
+    are answered each. Queries that take no part give no rows; with fewer candidates than `top`, all found. Vectors of
+    different lengths do not meet. An empty table gives no rows.
     """
-    graphs = index(usable(vectors), top)
-    asked = usable(queries).withColumn("dim", F.size("embedding"))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("dim", "block").agg(F.collect_list("vec_id").alias("query_ids"), F.collect_list("embedding").alias("asked"))  # about QUERY_BLOCK
-    shards = graphs.select("dim", "shard")
-    pairs = asked.join(shards, "dim")  # every block to every shard, each pair of bounded size
-    work = pairs.join(graphs.select("dim", "shard", "graph", "ids"), ["dim", "shard"]).repartition(F.col("dim"), F.col("shard"), F.col("block"))
+    graphs, shards = index(usable(vectors), top)
+    asked = usable(queries).distinct().withColumn("dim", F.size("embedding"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), (of_dim(shards) - 1).cast("int"))))  # every query to every shard
+    asked = asked.select("dim", "shard", F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("graph"), F.lit(None).cast("array<array<long>>").alias("ids"), "vec_id", "embedding")
+    loaded = graphs.select("dim", "shard", F.lit(0).alias("turn"), "graph", "ids", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    work = loaded.unionByName(asked.withColumn("vec_id", F.col("vec_id").cast("long")))
+    work = work.repartition(max(1, sum(shards.values())), "dim", "shard").sortWithinPartitions("dim", "shard", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, ids = None, []
         for b in batches:
-            for r in range(b.num_rows):
-                graph = unpacked(b.column("graph")[r].as_py())
-                ids = b.column("ids")[r].as_py()
-                of = np.array(b.column("query_ids")[r].as_py(), np.int64)
-                q = np.array(b.column("asked")[r].as_py(), np.float64)
-                for lo in range(0, len(q), 256):
-                    yield found(graph, ids, of[lo : lo + 256], q[lo : lo + 256])
+            turns = b.column("turn").to_numpy()
+            edges = np.unique(np.concatenate([[0], np.flatnonzero(turns == 0), np.flatnonzero(turns == 0) + 1, [b.num_rows]]))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if turns[lo] == 0:
+                    graph, ids = unpacked(b.column("graph")[lo].as_py()), b.column("ids")[lo].as_py()
+                    continue
+                for k in range(lo, hi, TOGETHER):
+                    part = b.slice(k, min(TOGETHER, hi - k))
+                    q = np.array(part.column("embedding").to_pylist(), np.float64)
+                    yield found(graph, ids, part.column("vec_id").to_numpy(), q)
 
     def found(graph: dict[str, np.ndarray], ids: list[list[int]], of: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         nodes, _ = search(graph, q, top + 1)
         exact = np.einsum("qkd,qd->qk", graph["vectors"][nodes], q)
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, bytes, int, float]] = []
         for k, query in enumerate(of.tolist()):
-            best = sorted((-s, v) for s, node in zip(exact[k].tolist(), nodes[k].tolist(), strict=True) if node >= 0 for v in ids[node] if v != query)
-            out += [(query, v, -s) for s, v in best[:top]]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
-
-    merged = work.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            best = []
+            for s, node in zip(exact[k].tolist(), nodes[k].tolist(), strict=True):
+                if node >= 0:
+                    own = list(ids[node])
+                    if query in own and np.array_equal(graph["vectors"][node], q[k]):
+                        own.remove(query)  # its own row
+                    best += [(-s, v) for v in own]
+            out += [(query, q[k].tobytes(), v, -s) for s, v in sorted(best)[:top]]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["query_id", "asked", "vec_id", "score"])
+
+    merged = work.mapInArrow(run, "query_id long, asked binary, vec_id long, score double").withColumn("asked", F.xxhash64("asked"))
+    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

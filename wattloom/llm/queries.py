@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wattloom.llm import centroids, language_id, licenses, media, mixing, neighbours, ngram_join, personal_data, pieces, quality, token_files, vector_codes
+from wattloom.llm import centroids, language_id, licenses, media, mixing, neighbours, ngram_join, personal_data, pieces, quality, repeats, token_files, vector_codes
 
-MODULES = (ngram_join, mixing, quality, licenses, token_files, neighbours, personal_data, pieces, media, language_id, vector_codes, centroids)
+MODULES = (ngram_join, mixing, quality, licenses, token_files, neighbours, personal_data, pieces, media, language_id, repeats, vector_codes, centroids)
 
 
 def queries() -> dict:

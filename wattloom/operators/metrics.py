@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import inverse_score, known
+from wattloom.operators import scans
 
 WEIGHTS = {"start_detection_rate": 0.3, "end_detection_rate": 0.3, "time_accuracy": 0.2, "avg_power_pattern_similarity": 0.2}
 
@@ -43,60 +44,116 @@ def best(scores: DataFrame, score: Column, by: list[str]) -> DataFrame:
     return scores.withColumn("_score", score).orderBy(F.desc_nulls_last("_score"), *by).limit(1).drop("_score")
 
 
-def within(left: DataFrame, right: DataFrame, at: Column, lo: Column, hi: Column, hours: int = 1) -> DataFrame:
-    """left joined to the rows of right whose time `at` lies between lo and hi (on left), by buckets of `hours`."""
-    width = hours * 3_600_000_000
-    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), c)
-    a = left.withColumn("_b", F.explode(F.sequence(F.floor(micros(lo) / width), F.floor(micros(hi) / width))))
-    b = right.withColumn("_b", F.floor(micros(at) / width))
-    return a.join(b, "_b").where(at.between(lo, hi)).drop("_b")
-
-
 def window_accuracy(records: DataFrame, truth: DataFrame) -> DataFrame:
     """(cluster, start_accuracy, end_accuracy, avg_accuracy, total_validation_events, correct_starts, correct_ends).
 
     A truth event's start is right if the cluster starts within the hour before it, its end if the cluster ends one to two
-    hours before it. truth: (vid, vs, ve); records: (cluster, starttime, endtime).
+    hours before it: one look at the cluster's latest start (end) up to then answers it. truth: (vid, vs, ve); records:
+    (cluster, starttime, endtime). Clusters are as many as are scored, each against all truth events.
     """
     hour = F.expr("interval 1 hour")
-    starts = within(truth.select("vid", "vs"), records.select("cluster", "starttime"), F.col("starttime"), F.col("vs") - hour, F.col("vs"))
-    ends = within(truth.select("vid", "ve"), records.select("cluster", "endtime"), F.col("endtime"), F.col("ve") - hour - hour, F.col("ve") - hour)
-    right = starts.select("cluster", "vid", F.lit("s").alias("side")).unionByName(ends.select("cluster", "vid", F.lit("e").alias("side"))).distinct()
-    counts = right.groupBy("cluster").agg(F.count_if(F.col("side") == "s").alias("correct_starts"), F.count_if(F.col("side") == "e").alias("correct_ends"))
+    marks = records.select("cluster", F.inline(F.array(F.struct(F.lit("s").alias("side"), F.col("starttime").alias("t")), F.struct(F.lit("e").alias("side"), F.col("endtime").alias("t")))))
+    marks = marks.where("t is not null").groupBy("cluster", "side", "t").agg(F.lit(0).cast("long").alias("n"))
+    names = records.agg(F.collect_set("cluster").alias("cluster"))  # one row
+    asked = truth.select(F.inline(F.array(F.struct(F.lit("s").alias("side"), F.col("vs").alias("t")), F.struct(F.lit("e").alias("side"), (F.col("ve") - hour).alias("t")))))
+    asked = asked.groupBy("side", "t").agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.crossJoin(F.broadcast(names)).select(F.explode("cluster").alias("cluster"), "side", "t", "n")
+    rows = marks.withColumn("mark", F.struct("t")).unionByName(asked, allowMissingColumns=True)
+    seen = scans.with_neighbours(rows, ["cluster", "side"], "t", "mark").where("n > 0")
+    right = F.col("_before")["t"] >= F.col("t") - hour
+    counts = seen.groupBy("cluster").agg(*(F.sum(F.when((F.col("side") == c) & right, F.col("n")).otherwise(0)).alias(n) for c, n in (("s", "correct_starts"), ("e", "correct_ends"))))
     total = truth.agg(F.count(F.lit(1)).alias("total_validation_events"))
     out = records.select("cluster").distinct().join(counts, "cluster", "left").fillna(0).crossJoin(F.broadcast(total))  # one row
     s, e = (F.try_divide(c, F.col("total_validation_events")) for c in ("correct_starts", "correct_ends"))
     return out.select("cluster", s.alias("start_accuracy"), e.alias("end_accuracy"), ((s + e) / 2).alias("avg_accuracy"), "total_validation_events", "correct_starts", "correct_ends")
 
 
+def running_steps(signal: DataFrame, pump: str) -> DataFrame:
+    """(pump, t, mark) of each sample, from which any window of steps |value - the one before| follows by differences.
+
+    mark: hour, the running count, sum and sum of squares of the hour's steps up to the sample and in all, those of all hours before, and
+    the largest step (struct of size, earliest time) of the hour up to the sample, the same without the hour's first
+    sample, and after the sample. Sums run within an hour and over hours apart, which keeps differences precise.
+    """
+    steps = scans.with_lag(signal.select(pump, "t", F.col("value").cast("double").alias("value")), [pump], ["t"], "value", "_p", scans.HOUR)
+    steps = steps.withColumn("d", F.abs(F.col("value") - F.col("_p")))
+    hour = Window.partitionBy(pump, "_bucket").orderBy("t")
+    upto, whole = hour.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(pump, "_bucket")
+    big = F.when(F.col("d").isNotNull(), F.struct("d", (-scans.micros("t")).alias("early"), "t"))
+    d2 = F.col("d") * F.col("d")
+    sums = {"n": F.count("d"), "s": F.coalesce(F.sum("d"), F.lit(0.0)), "q": F.coalesce(F.sum(d2), F.lit(0.0))}
+    rows = steps.withColumns({f"{k}_at": v.over(upto) for k, v in {"n": F.count("d"), "s": F.sum("d"), "q": F.sum(d2)}.items()} | {f"{k}_all": v.over(whole) for k, v in {"n": F.count("d"), "s": F.sum("d"), "q": F.sum(d2)}.items()})
+    rows = rows.fillna(0.0, ["s_at", "q_at", "s_all", "q_all"])
+    rows = rows.withColumns({
+        "_k": F.row_number().over(hour), "top": F.max(big).over(upto),
+        "later": F.max(big).over(Window.partitionBy(pump, "_bucket").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    rows = rows.withColumn("inner", F.max(F.when(F.col("_k") > 1, big)).over(upto))
+    hours = steps.groupBy(pump, "_bucket").agg(*(v.alias(k) for k, v in sums.items()))
+    before = Window.partitionBy(pump).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(pump, "_bucket", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_past") for k in sums))
+    rows = rows.join(hours, [pump, "_bucket"])
+    parts = [f"{k}_{w}" for k in "nsq" for w in ("at", "all", "past")]
+    return rows.select(pump, "t", F.struct(F.col("t").alias("t"), F.col("_bucket").alias("hour"), *parts, "top", "inner", "later").alias("mark"))
+
+
+def window_steps(first: Column, last: Column) -> dict[str, Column]:
+    """(n, s, q) of the steps after the sample `first` up to the sample `last` (marks of running_steps)."""
+    same = first["hour"] == last["hour"]
+
+    def between(k: str) -> Column:
+        across = (first[f"{k}_all"] - first[f"{k}_at"]) + (last[f"{k}_past"] - first[f"{k}_past"] - first[f"{k}_all"]) + last[f"{k}_at"]
+        near = (first[f"{k}_all"] - first[f"{k}_at"]) + last[f"{k}_at"]  # neighbouring hours: no difference of long sums
+        return F.when(same, last[f"{k}_at"] - first[f"{k}_at"]).when(last["hour"] == first["hour"] + 1, near).otherwise(across)
+
+    return {k: between(k) for k in "nsq"}
+
+
+def largest_step(first: Column, last: Column, at: Column) -> Column:
+    """The largest step (d, early, t) after `first` up to `last`, of a window that begins `at` and lasts an hour: what is left of the hour
+    that it begins in, and the beginning of the next one."""
+    begins = scans.bucket(at, scans.HOUR)
+    left = F.when(first["hour"] == begins, first["later"])
+    right = F.when(last["hour"] > begins, F.when(first["hour"] == begins, last["top"]).otherwise(last["inner"]))
+    return F.greatest(left, right)
+
+
 def pump_matches(truth: DataFrame, signal: DataFrame, pump: str = "pump", threshold: float = 0.1, literal: bool = False) -> DataFrame:
     """(pump, start_detection_rate, end_detection_rate, avg_start_time_diff, avg_end_time_diff, avg_power_pattern_similarity).
 
     A start (end) is detected if power changes by more than the threshold within the hour up to it; its time is that of the
     largest change, or with `literal` the window's first sample. Pattern similarity: 1 less the changes' sample deviation by
     their mean within the event. Events without a sample add 0; undefined similarities count as missing ones.
+
+    Every pump meets every event, at four times each: looks at running sums and maxima there give all windows, so that
+    rows grow with samples and with events times pumps, however many samples an event has.
     """
     hour = F.expr("interval 1 hour")
-    x = signal.select(pump, "t", "value")
-    rows = within(truth.select("vid", "vs", "ve"), x, F.col("t"), F.col("vs") - hour, F.col("ve"))
-    sides = F.array(F.when(F.col("t") <= F.col("vs"), "s"), F.when(F.col("t") >= F.col("ve") - hour, "e"), F.when(F.col("t") >= F.col("vs"), "w"))
-    rows = rows.withColumn("side", F.explode(F.array_compact(sides)))
-    keys = [pump, "vid", "side"]
-    steps = rows.withColumn("d", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy(*keys).orderBy("t"))))
-    early = -F.timestamp_diff("MICROSECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("t"))
-    windows = steps.groupBy(*keys, F.when(F.col("side") == "s", F.col("vs")).otherwise(F.col("ve")).alias("edge")).agg(
-        F.coalesce(F.bool_or(F.col("d") > threshold), F.lit(False)).alias("found"),
-        (F.min("t") if literal else F.max_by("t", F.struct("d", early))).alias("at"), F.stddev_samp("d").alias("sd"), F.avg("d").alias("mean"),
-    )
-    start, end, whole = (F.col("side") == c for c in "sew")
-    off = F.when(F.col("found"), F.abs(F.timestamp_diff("MICROSECOND", F.col("at"), F.col("edge"))) / 6e7)
-    counts = windows.groupBy(pump).agg(
-        F.count_if(start & F.col("found")).alias("_s"), F.count_if(end & F.col("found")).alias("_e"),
-        F.avg(F.when(start, off)).alias("avg_start_time_diff"), F.avg(F.when(end, off)).alias("avg_end_time_diff"),
-        F.sum(F.when(whole, 1 - F.col("sd") / (F.col("mean") + 1e-6))).alias("_alike"),
+    marks = running_steps(signal, pump)
+    names = signal.agg(F.collect_set(pump).alias("pumps"))  # one row
+    points = F.array(*(F.struct(F.lit(k).alias("point"), c.alias("t")) for k, c in (("a", F.col("vs") - hour), ("b", F.col("vs")), ("c", F.col("ve") - hour), ("d", F.col("ve")))))
+    asked = truth.select("vid", "vs", "ve", F.inline(points)).crossJoin(F.broadcast(names)).select(F.explode("pumps").alias(pump), "t", "vid", "vs", "ve", "point")
+    rows = marks.unionByName(asked, allowMissingColumns=True)
+    seen = scans.with_neighbours(rows, [pump], "t", "mark", scans.HOUR).where("point is not null")
+    at = lambda point, side: F.max(F.when(F.col("point") == point, F.struct(side))).getField(side)
+    each = seen.groupBy(pump, "vid").agg(F.max("vs").alias("vs"), F.max("ve").alias("ve"), *(at(p, s).alias(p + s) for p, s in (("a", "_after"), ("b", "_before"), ("b", "_after"), ("c", "_after"), ("d", "_before"))))
+    out = {}
+    for side, first, last, begin, end in (("s", "a_after", "b_before", F.col("vs") - hour, "vs"), ("e", "c_after", "d_before", F.col("ve") - hour, "ve")):
+        inside = (F.col(first)["t"] <= F.col(last)["t"]) & (F.col(first)["t"] <= F.col(end)) & (F.col(last)["t"] >= begin)
+        top = F.when(inside, largest_step(F.col(first), F.col(last), begin))
+        found = F.coalesce(top["d"] > threshold, F.lit(False))
+        when = F.col(first)["t"] if literal else top["t"]
+        out |= {f"found_{side}": found, f"off_{side}": F.when(found, F.abs(F.timestamp_diff("MICROSECOND", when, F.col(end))) / 6e7)}
+    first, last = F.col("b_after"), F.col("d_before")
+    w = window_steps(first, last)
+    spread = F.when(w["n"] > 1, F.sqrt(F.greatest((w["q"] - w["s"] * w["s"] / w["n"]) / (w["n"] - 1), F.lit(0.0))))
+    inside = (first["t"] <= last["t"]) & (first["t"] <= F.col("ve")) & (last["t"] >= F.col("vs"))
+    alike = F.when(inside, 1 - spread / (F.try_divide(w["s"], w["n"]) + 1e-6))
+    counts = each.select(pump, *(c.alias(k) for k, c in out.items()), alike.alias("alike")).groupBy(pump).agg(
+        F.count_if("found_s").alias("_s"), F.count_if("found_e").alias("_e"), F.avg("off_s").alias("avg_start_time_diff"), F.avg("off_e").alias("avg_end_time_diff"), F.sum("alike").alias("_alike"),
     )
     total = truth.agg(F.count(F.lit(1)).alias("_n"))
-    out = x.select(pump).distinct().join(counts, pump, "left").crossJoin(F.broadcast(total))  # one row
+    out = signal.select(pump).distinct().join(counts, pump, "left").crossJoin(F.broadcast(total))  # one row
     rate = lambda c: F.try_divide(F.coalesce(F.col(c), F.lit(0)), F.col("_n"))
     return out.select(
         pump, rate("_s").alias("start_detection_rate"), rate("_e").alias("end_detection_rate"),

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from wattloom.plans import pipeline
 from wattloom.sources import meter
 
 
@@ -20,6 +21,34 @@ def test_meter_files(spark, tmp_path):
     assert rows[0]["realP_A"] == 1 and rows[0]["factor_tot"] == 0.8 and rows[2]["realP_A"] is None and len(rows[0]) == 27
 
 
+def test_a_device_with_files_of_two_formats(spark, tmp_path):
+    meter_file(tmp_path / "a-b-1.csv", ["2017-11-01 00:00:00", "2017-11-01 00:05:00", "2017-11-01 00:10:00"])
+    meter_file(tmp_path / "a-b-2.csv", ["11.1.2017 0:15", "11.1.2017 0:20", "11.1.2017 0:25", "11.1.2017 0:30"])
+    rows = meter.read_meter(spark, str(tmp_path)).orderBy("T").collect()
+    assert [r["T"].minute for r in rows] == [0, 5, 10, 15, 20, 25, 30] and {r["device"] for r in rows} == {"a-b"}
+
+
+def test_the_first_file_wins_and_unfit_times_raise(spark, tmp_path):
+    meter_file(tmp_path / "a-b-1.csv", ["2017-11-01 00:00:00"], "1000")
+    meter_file(tmp_path / "a-b-2.csv", ["11.1.2017 0:00"], "5000")
+    assert [r["realP_A"] for r in meter.read_meter(spark, str(tmp_path)).collect()] == [1]
+    meter_file(tmp_path / "a-b-3.csv", ["11.1.2017 0:00", "2017-11-01 00:00:00"])
+    with pytest.raises(Exception, match="does not fit"):
+        meter.read_meter(spark, str(tmp_path)).collect()
+
+
+def test_a_folder_of_predictions_in_one_job(spark, tmp_path):
+    for name, values in (("x.csv", (1.0, 2.0, 0.0)), ("y.csv", (0.0, 0.0, 4.0)), ("y_error.csv", (9.0, 9.0, 9.0))):
+        (tmp_path / name).write_text(",UTC Time,workingPower\n" + "".join(f"{k},2024-01-01 00:0{k + 1}:00,{v}\n" for k, v in enumerate(values)))
+    truth = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), v) for m, v in ((0, 3.0), (1, 1.0), (2, 0.0), (4, 2.0))], "minute timestamp_ntz, value double")
+    got = {r["file"]: r for r in pipeline.evaluated_files(meter.read_predictions(spark, str(tmp_path)), truth).collect()}
+    assert set(got) == {"x.csv", "y.csv"}
+    x, y = got["x.csv"], got["y.csv"]  # minutes 0, 1, 2, 4 of the truth; 3 has no truth
+    assert (x["mae"], y["mae"], x["mse"]) == ((3 + 0 + 2 + 2) / 4, (3 + 1 + 0 + 2) / 4, (9 + 0 + 4 + 4) / 4)
+    assert (x["inclusion"], x["time_inclusion"], x["time_matching"], y["time_matching"]) == (1 - 5 / 6, 1 - 2 / 3, 1 / 4, 0 / 4)
+    assert (x["active_error"], x["inactive_error"], y["information_ratio"]) == (5 / 3, 2.0, 6 / 4)
+
+
 def test_unknown_format_raises(spark, tmp_path):
     meter_file(tmp_path / "a-b.csv", ["1st of May"])
     with pytest.raises(Exception, match="unknown time format"):

@@ -18,25 +18,56 @@ def aligned(pred: DataFrame, val: DataFrame, by: list[str]) -> DataFrame:
     return pred.select(*by, value.alias("p")).join(val.select(*by, value.alias("v")), by, "full_outer")
 
 
+def parts(p: Column, v: Column) -> dict[str, Column]:
+    """Sums from which all metrics of (p, v) follow; they add up over rows."""
+    short, pa, va = F.coalesce(p < v, F.lit(False)), F.coalesce(p > 0, F.lit(False)), F.coalesce(v > 0, F.lit(False))
+    inactive, both = F.coalesce(v <= 0, F.lit(False)), (p - v).isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return {
+        "known": F.count(v), "total": total(v), "missed": total(F.when(short, v)), "short": F.count_if(short), "p": total(p),
+        "np": F.count_if(pa), "nv": F.count_if(va), "either": F.count_if(pa | va), "both": F.count_if(pa & va),
+        "active": total(F.when(va, F.abs(p - v))), "n_active": F.count_if(va & both), "inactive": total(F.when(inactive, F.abs(p - v))), "n_inactive": F.count_if(inactive & both),
+        "square": total((p - v) * (p - v)), "off": total(F.abs(p - v)), "n": F.count_if(both),
+    }
+
+
+def from_parts(sums: dict[str, Column]) -> dict[str, Column]:
+    """All metrics from their sums. Divisions by zero give null."""
+    x = sums
+    total = F.when(x["known"] > 0, x["total"])
+    return {
+        "inclusion": 1 - F.try_divide(x["missed"], total),
+        "matching": F.try_divide(total - x["missed"], x["p"]),
+        "time_inclusion": 1 - F.try_divide(x["short"], x["nv"]),
+        "time_matching": F.try_divide(x["both"], x["either"]),
+        "time_matching_ratio": F.try_divide(F.least(x["nv"], x["np"]), x["np"]),
+        "information_ratio": F.try_divide(total, x["p"]),
+        "active_error": F.try_divide(x["active"], x["n_active"]),
+        "inactive_error": F.try_divide(x["inactive"], x["n_inactive"]),
+        "mse": F.try_divide(x["square"], x["n"]),
+        "mae": F.try_divide(x["off"], x["n"]),
+    }
+
+
 def metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     """All metrics of (p, v) in one aggregate. Divisions by zero give null."""
-    p, v = F.col("p"), F.col("v")
-    short, pa, va = p < v, F.coalesce(p > 0, F.lit(False)), F.coalesce(v > 0, F.lit(False))
-    missed, total = F.sum(F.when(short, v)), F.sum(v)
-    missed = F.coalesce(missed, F.lit(0.0))
-    np_, nv = F.count_if(pa), F.count_if(va)
-    return pairs.groupBy(*by).agg(
-        (1 - F.try_divide(missed, total)).alias("inclusion"),
-        F.try_divide(total - missed, F.sum(p)).alias("matching"),
-        (1 - F.try_divide(F.count_if(F.coalesce(short, F.lit(False))), nv)).alias("time_inclusion"),
-        F.try_divide(F.count_if(pa & va), F.count_if(pa | va)).alias("time_matching"),
-        F.try_divide(F.least(nv, np_), np_).alias("time_matching_ratio"),
-        F.try_divide(total, F.sum(p)).alias("information_ratio"),
-        F.avg(F.when(v > 0, F.abs(p - v))).alias("active_error"),
-        F.avg(F.when(v <= 0, F.abs(p - v))).alias("inactive_error"),
-        F.avg((p - v) * (p - v)).alias("mse"),
-        F.avg(F.abs(p - v)).alias("mae"),
-    )
+    return pairs.groupBy(*by).agg(*(c.alias(k) for k, c in from_parts(parts(F.col("p"), F.col("v"))).items()))
+
+
+def keyed_metrics(pred: DataFrame, truth: DataFrame, by: list[str], minute: str = "minute") -> DataFrame:
+    """All metrics of many predicted series (by, minute, value) against one true series (minute, value), on every minute of either.
+
+    A minute that a series does not have counts as 0 there. The truth is not copied for each series: its sums against 0
+    are worked out once, and corrected for the minutes that a series has. A series has a minute once.
+    """
+    value = known(F.col("value").cast("double"))
+    true = truth.select(minute, value.alias("v"))
+    mine = pred.select(*by, minute, F.coalesce(value, F.lit(0.0)).alias("p")).join(true, minute, "left")
+    zero = F.lit(0.0)
+    own = mine.groupBy(*by).agg(*(c.alias(f"own_{k}") for k, c in parts(F.col("p"), F.col("v")).items()), *(c.alias(f"less_{k}") for k, c in parts(zero, F.col("v")).items()))
+    base = true.agg(*(c.alias(f"base_{k}") for k, c in parts(zero, F.col("v")).items()))
+    sums = {k: F.col(f"base_{k}") - F.col(f"less_{k}") + F.col(f"own_{k}") for k in parts(zero, zero)}
+    return own.crossJoin(F.broadcast(base)).select(*by, *(c.alias(k) for k, c in from_parts(sums).items()))  # one row
 
 
 def best(scores: DataFrame, score: Column, by: list[str]) -> DataFrame:

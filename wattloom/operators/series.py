@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis, known
+from wattloom.operators import scans
 
 #: Microseconds of a minute, minutes of a day.
 MINUTE, DAY = 60_000_000, 1440
@@ -45,21 +46,22 @@ def minute_series(records: DataFrame, powers: DataFrame, cluster: str = "cluster
 
 
 def minute_grid(samples: DataFrame, axis: Axis) -> DataFrame:
-    """(key, g): every whole minute from a series' first to its last sample."""
+    """(key, g): every whole minute from a series' first to its last sample, made day by day."""
     ends = samples.groupBy(*axis.key).agg(F.date_trunc("minute", F.min(axis.time)).cast("timestamp_ntz").alias("a"), F.date_trunc("minute", F.max(axis.time)).cast("timestamp_ntz").alias("b"))
-    return ends.select(*axis.key, F.explode(F.expr("sequence(a, b, interval 1 minute)")).alias("g"))
+    days = ends.select(*axis.key, "a", "b", F.explode(F.sequence(scans.bucket("a"), scans.bucket("b"))).alias("_day"))
+    start = F.timestamp_add("DAY", F.col("_day"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    first, last = F.greatest("a", start), F.least("b", F.timestamp_add("MINUTE", F.lit(DAY - 1), start))
+    minutes = F.sequence(F.lit(0), F.floor(gap(first, last) / MINUTE).cast("int"))
+    return days.repartition(*axis.key, "_day").select(*axis.key, first.alias("_first"), F.explode(minutes).alias("_m")).select(*axis.key, F.timestamp_add("MINUTE", F.col("_m"), F.col("_first")).alias("g"))
 
 
 def beside(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
-    """(key, g, t0, x0, t1, x1): the samples at or before, and at or after, each minute."""
+    """(key, g, t0, x0, t1, x1): the samples at or before, and at or after, each minute; no task holds more than a day of a series."""
     at = F.struct(F.col(axis.time).alias("t"), F.col(signal).alias("x"))
     rows = samples.select(*axis.key, F.col(axis.time).alias("g"), at.alias("s"), F.lit(0).alias("grid"))
     grid = minute_grid(samples, axis).select(*axis.key, "g", F.lit(None).cast(rows.schema["s"].dataType).alias("s"), F.lit(1).alias("grid"))
-    w = Window.partitionBy(*axis.key).orderBy("g")
-    both = rows.unionByName(grid)
-    back = Window.partitionBy(*axis.key).orderBy(F.desc("g"))  # a frame that only grows, as one that shrinks is worked out anew for each row
-    both = both.withColumns({"p": F.last("s", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "q": F.last("s", True).over(back.rangeBetween(Window.unboundedPreceding, 0))})
-    return both.where("grid = 1").select(*axis.key, "g", F.col("p.t").alias("t0"), F.col("p.x").alias("x0"), F.col("q.t").alias("t1"), F.col("q.x").alias("x1"))
+    both = scans.with_neighbours(rows.unionByName(grid), list(axis.key), "g", "s").where("grid = 1")
+    return both.select(*axis.key, "g", F.col("_before.t").alias("t0"), F.col("_before.x").alias("x0"), F.col("_after.t").alias("t1"), F.col("_after.x").alias("x1"))
 
 
 def resample_nearest(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
@@ -72,21 +74,21 @@ def resample_nearest(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
 def resample_linear(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
     """(key, minute, value): linear between the samples that lie on a whole minute; the others are lost. After the last such, its value."""
     on = samples.withColumn("_on", F.when(F.date_trunc("minute", F.col(axis.time)).cast("timestamp_ntz") == F.col(axis.time), F.col(signal)))
-    w = Window.partitionBy(*axis.key).orderBy("g")
     marks = on.where("_on is not null").groupBy(*axis.key, F.col(axis.time).alias("g")).agg(F.max_by("_on", F.struct(*axis.tie) if axis.tie else F.lit(0)).alias("x"))
-    grid = minute_grid(samples, axis).join(marks, [*axis.key, "g"], "left")
-    at = F.when(F.col("x").isNotNull(), F.struct("g", "x"))
-    back = Window.partitionBy(*axis.key).orderBy(F.desc("g"))
-    both = grid.withColumns({"p": F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "q": F.last(at, True).over(back.rowsBetween(Window.unboundedPreceding, 0))})
-    line = F.col("p.x") + (F.col("q.x") - F.col("p.x")) * F.coalesce(F.try_divide(gap("p.g", "g"), gap("p.g", "q.g")), F.lit(0.0))
-    return both.select(*axis.key, F.col("g").alias("minute"), F.coalesce(line, F.col("p.x")).alias("value"))
-
-
-def aligned_to_zero(pred: DataFrame, val: DataFrame, minute: str = "minute") -> DataFrame:
-    """(minute, value) of pred on every minute of both series' extent, 0 where it has none."""
-    ends = pred.select(minute).unionByName(val.select(minute)).agg(F.min(minute).alias("a"), F.max(minute).alias("b"))
-    calendar = ends.select(F.explode(F.expr("sequence(a, b, interval 1 minute)")).alias(minute))
-    return calendar.join(pred.select(minute, "value"), minute, "left").fillna(0.0, ["value"])
+    grid = minute_grid(samples, axis).join(marks, [*axis.key, "g"], "left").withColumn("_mark", F.when(F.col("x").isNotNull(), F.struct("g", "x")))
+    both = scans.with_neighbours(grid, list(axis.key), "g", "_mark")
+    p, q = F.col("_before"), F.col("_after")
+    line = p["x"] + (q["x"] - p["x"]) * F.coalesce(F.try_divide(gap(p["g"], F.col("g")), gap(p["g"], q["g"])), F.lit(0.0))
+    return both.select(*axis.key, F.col("g").alias("minute"), F.coalesce(line, p["x"]).alias("value"))
+
+
+def aligned_to_zero(pred: DataFrame, val: DataFrame, minute: str = "minute", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, minute, value) of pred on every minute of its own (by `by`) and val's extent, 0 where it has none."""
+    ends = pred.groupBy(*by).agg(F.min(minute).alias("_a"), F.max(minute).alias("_b"))
+    all_ = val.agg(F.min(minute).alias("_va"), F.max(minute).alias("_vb"))
+    extent = ends.crossJoin(F.broadcast(all_)).select(*by, F.explode(F.array(F.least("_a", "_va"), F.greatest("_b", "_vb"))).alias(minute))  # one row
+    calendar = minute_grid(extent, Axis(tuple(by), minute)).withColumnRenamed("g", minute)
+    return calendar.join(pred.select(*by, minute, "value"), [*by, minute], "left").fillna(0.0, ["value"])
 
 
 def working_power(counter: DataFrame, axis: Axis, quantity: str) -> DataFrame:

@@ -558,7 +558,35 @@ def evaluated_chain(spark, sf):
     return pipeline.evaluated(records, powers, truth)
 
 
-@query()
+#: The readings of a kind as the prediction of a file; the truth: the mean of all readings of a minute, in whole hundredths.
+FILES = f"""{GRID}, p AS (SELECT g.kind, g.g, ev.t AS t0, ev.x AS x0 FROM g ASOF LEFT JOIN ev ON g.kind = ev.kind AND g.g >= ev.t),
+    q AS (SELECT p.*, ev.t AS t1, ev.x AS x1 FROM p ASOF LEFT JOIN ev ON p.kind = ev.kind AND p.g <= ev.t),
+    pr AS (SELECT kind AS file, g AS minute, CASE WHEN t0 IS NULL OR (t1 IS NOT NULL AND t1 - g < g - t0) THEN x1 ELSE x0 END AS p FROM q),
+    tr AS (SELECT date_trunc('minute', ts) AS minute, greatest(max(value) - 150, 0) AS v FROM events GROUP BY 1),
+    a AS (SELECT file, minute FROM (SELECT DISTINCT file FROM pr), tr UNION SELECT file, minute FROM pr),
+    j AS (SELECT a.file, coalesce(p, 0) AS p, v FROM a LEFT JOIN pr USING (file, minute) LEFT JOIN tr USING (minute)),
+    m AS (SELECT file, 1 - coalesce(sum(v) FILTER (p < v), 0) / nullif(sum(v), 0) AS inclusion, (sum(v) - coalesce(sum(v) FILTER (p < v), 0)) / nullif(sum(p), 0) AS matching,
+    1 - count(*) FILTER (p < v) / nullif(count(*) FILTER (v > 0), 0) AS time_inclusion, count(*) FILTER (p > 0 AND v > 0) / nullif(count(*) FILTER (p > 0 OR v > 0), 0) AS time_matching,
+    least(count(*) FILTER (p > 0), count(*) FILTER (v > 0)) / nullif(count(*) FILTER (p > 0), 0) AS time_matching_ratio, sum(v) / nullif(sum(p), 0) AS information_ratio,
+    avg(abs(p - v)) FILTER (v > 0) AS active_error, avg(abs(p - v)) FILTER (v <= 0) AS inactive_error, avg((p - v) * (p - v)) AS mse, avg(abs(p - v)) AS mae FROM j GROUP BY file)"""
+
+
+@query(f"{FILES} SELECT file, {', '.join(f'round({c}, 4) AS {c}' for c in NAMES)} FROM m")
+def evaluated_files(spark, sf):
+    rows = readings(spark, sf)
+    pred = rows.select(F.col("kind").alias("file"), "t", F.col("x").alias("workingPower"))
+    truth = rows.groupBy(F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute")).agg(F.greatest(F.max("x") - 150, F.lit(0.0)).alias("value"))
+    return pipeline.evaluated_files(pred, truth).select("file", *(r4(c) for c in NAMES))
+
+
+def report_sql() -> str:
+    lines = [" SELECT series, 0 AS place, 'evaluation of ' || series AS line FROM m"]
+    for k, (c, short, unit) in enumerate(metrics.REPORTED, 1):
+        lines.append(f"SELECT series, {k}, coalesce(printf('  - {short}: %.3f{'%%' if unit else ''}', {c}::DOUBLE{' * 100' if unit else ''}), '  - {short}: none') FROM m")
+    return METRICS + " UNION ALL ".join(lines)
+
+
+@query(report_sql())
 def evaluated_report(spark, sf):
     return metrics.report_lines(made_metrics(spark, sf), "series")
 

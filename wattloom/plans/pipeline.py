@@ -54,10 +54,16 @@ def records_of(ready: Prepared, axis: Axis, signal: str, labels: DataFrame, powe
 def evaluated(records: DataFrame, powers: DataFrame, truth: DataFrame) -> DataFrame:
     """Metrics of each cluster's rebuilt series against the true one (minute, value), on every minute of both."""
     rebuilt = series.minute_series(records, powers).select("cluster", "minute", F.col("signal").alias("value"))
-    clusters = rebuilt.select("cluster").distinct()
-    val = clusters.crossJoin(truth.select("minute", "value"))  # a copy for each cluster, of which there are few
-    pairs = metrics.aligned(rebuilt, val, ["cluster", "minute"]).fillna(0.0, ["p"])
-    return metrics.metrics(pairs, ["cluster"])
+    return metrics.keyed_metrics(rebuilt, truth, ["cluster"])
+
+
+def evaluated_files(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Metrics of each prediction file (file, t, workingPower) against the true series (minute, value), in one job.
+
+    A file's samples are brought to whole minutes by the nearest one; a minute that it does not have counts as 0.
+    """
+    by_minute = series.resample_nearest(predictions, Axis(("file",), "t"), "workingPower")
+    return metrics.keyed_metrics(by_minute, truth, ["file"])
 
 
 def auto_test(samples: DataFrame, axis: Axis, signal: str, measures: dict[str, str], truth: DataFrame, power: str, score: str = "si", **how) -> DataFrame:

@@ -32,10 +32,10 @@ def parsed(text: Column, formats: tuple[str, ...] = FORMATS) -> Column:
 
 
 def file_format(rows: DataFrame, time: str, line: str) -> DataFrame:
-    """(device, format): each device's format is the first that its first row fits. No format at all raises when it is used."""
-    first = rows.groupBy("device").agg(F.min_by(time, line).alias("text"))
+    """(_file, format): each file's format is the first that its first row fits. No format at all raises when it is used."""
+    first = rows.groupBy("_file").agg(F.min_by(time, line).alias("text"))
     fits = F.coalesce(*(F.when(F.try_to_timestamp("text", F.lit(f)).isNotNull(), F.lit(f)) for f in FORMATS))
-    return first.select("device", F.coalesce(fits, F.raise_error(F.concat(F.lit("unknown time format: "), "text"))).alias("format"))
+    return first.select("_file", F.coalesce(fits, F.raise_error(F.concat(F.lit("unknown time format: "), "text"))).alias("format"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
@@ -58,15 +58,18 @@ def with_line(rows: DataFrame) -> DataFrame:
 def read_meter(spark: SparkSession, path: str) -> DataFrame:
     """(device, T, the 25 measures) of meter files: names by position, the first row of a time, scaled units.
 
-    The device is the file's name up to its second dash part. One time format holds for a file.
+    The device is the file's name up to its second dash part; it may have many files, which count in the order of their
+    names. One time format holds for a file; a later row that does not fit it raises.
     """
     width = len(FILE_ORDER) + 7
     schema = StructType([StructField(FILE_ORDER[k] if k < len(FILE_ORDER) else f"_unused{k}", StringType()) for k in range(width)])
     raw = with_line(spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path))
-    raw = raw.withColumn("device", device_of("_file")).select("device", *FILE_ORDER, "_line")
-    known = raw.join(F.broadcast(file_format(raw, "T", "_line")), "device")  # a row for each file
+    raw = raw.withColumn("device", device_of("_file")).select("device", *FILE_ORDER, "_file", "_line")
+    known = raw.join(file_format(raw, "T", "_line"), "_file")
     when = F.coalesce(*(F.when(F.col("format") == f, F.try_to_timestamp("T", F.lit(f))) for f in FORMATS)).cast("timestamp_ntz")
-    return scaled(keep_first(known.withColumn("T", when), ["device", "T"], "_line")).select("device", "T", *MEASURES)
+    unfit = F.raise_error(F.concat_ws(" ", F.lit("a time does not fit the format of its file:"), "T", "_file")).cast("timestamp_ntz")
+    rows = known.withColumn("T", F.when(F.col("T").isNull() | when.isNotNull(), when).otherwise(unfit)).withColumn("_line", F.struct("_file", "_line"))
+    return scaled(keep_first(rows, ["device", "T"], "_line")).select("device", "T", *MEASURES)
 
 
 def device_of(path: str) -> Column:
@@ -79,10 +82,16 @@ def transformer_files(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(device_of(path).alias("device"), path).groupBy("device").agg(F.sort_array(F.collect_list(path)).alias("files"))
 
 
-def read_prediction(spark: SparkSession, path: str) -> DataFrame:
-    """(t, workingPower) of a prediction file; its index column is dropped. Files of errors are left out."""
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(file, t, workingPower) of prediction files, by the file's name; their index column is dropped. Files of errors are left out."""
     raw = spark.read.option("header", True).csv(path)
-    return raw.where(~F.col("_metadata.file_name").endswith("_error.csv")).select(parsed(F.col("`UTC Time`")).alias("t"), F.col("workingPower").cast("double"))
+    name = F.col("_metadata.file_name")
+    return raw.where(~name.endswith("_error.csv")).select(name.alias("file"), parsed(F.col("`UTC Time`")).alias("t"), F.col("workingPower").cast("double"))
+
+
+def read_prediction(spark: SparkSession, path: str) -> DataFrame:
+    """(t, workingPower) of a prediction file."""
+    return read_predictions(spark, path).drop("file")
 
 
 def read_counter(spark: SparkSession, path: str) -> DataFrame:

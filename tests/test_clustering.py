@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from wattloom.operators import clustering
+from wattloom.operators import clustering, density, mixture
 
 COLUMNS = ["a", "b"]
 
@@ -90,5 +90,159 @@ def test_two_stage_labels_follow_ids(blobs):
 
 
 def test_mixture(blobs):
-    labelled, score, k = clustering.gaussian_mixture(blobs, COLUMNS, range(2, 4))
+    labelled, score, k = mixture.gaussian_mixture(blobs, COLUMNS, range(2, 4))
     assert labelled.count() == 36 and k in (2, 3)
+
+
+def plain_forest(x, m):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, 1)[:, m - 1] if m <= len(x) else np.full(len(x), np.inf)
+    return d, core
+
+
+def plain_dbscan(x, eps, m):
+    """The smallest core reached; None for noise."""
+    d, core = plain_forest(x, m)
+    cores = [i for i in range(len(x)) if core[i] <= eps]
+    label = {}
+    for i in cores:
+        if i in label:
+            continue
+        todo, label[i] = [i], i
+        while todo:
+            a = todo.pop()
+            for b in cores:
+                if b not in label and d[a, b] <= eps:
+                    label[b] = i
+                    todo.append(b)
+    return [label.get(i, min((label[j] for j in cores if d[i, j] <= eps), default=None)) for i in range(len(x))]
+
+
+@pytest.fixture(scope="module")
+def lumps():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, s, (n, 2)) for c, s, n in (((0, 0), 0.05, 25), ((1, 0), 0.1, 20), ((0.4, 0.8), 0.2, 25))])
+    x[5:15] = x[5]  # equal rows
+    return np.round(x, 3)
+
+
+def as_rows(spark, x):
+    return spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "id long, a double, b double")
+
+
+@pytest.mark.parametrize("block", [1000, 16])
+def test_one_forest_gives_every_dbscan(spark, monkeypatch, lumps, block):
+    monkeypatch.setattr("wattloom.operators.blockwise.ROWS", block)
+    forest = density.Forest(as_rows(spark, lumps), COLUMNS, (2, 4, 11))
+    points = {r["id"]: tuple(r[c] for c in COLUMNS) for r in forest.points.collect()}
+    assert sum(r["weight"] for r in forest.points.collect()) == 70 and len(points) < 70
+    found = {}
+    for r in forest.labellings((0.02, 0.05, 0.1, 0.3, 2.0)).collect():
+        found[r["m"], r["eps"], points[r["id"]]] = r["cluster"]
+    for m in (2, 4, 11):
+        for eps in (0.02, 0.05, 0.1, 0.3, 2.0):
+            want = plain_dbscan(lumps, eps, m)
+            assert [found.get((m, eps, tuple(v))) for v in lumps.tolist()] == want, (m, eps)
+
+
+def test_the_order_of_optics(spark, monkeypatch, lumps):
+    monkeypatch.setattr("wattloom.operators.blockwise.ROWS", 16)
+    forest = density.Forest(as_rows(spark, lumps), COLUMNS, (4,))
+    got = sorted(forest.orders().collect(), key=lambda r: r["place"])
+    d, core = plain_forest(lumps, 4)
+    reach = np.maximum(np.maximum(d, core[:, None]), core)
+    ids = [r["id"] for r in got]
+    assert ids[0] == 0 and len(set(ids)) == len(ids)
+    for k in range(1, len(ids)):  # each is the nearest of those that are left
+        left = [i for i in ids[k:]]
+        nearest = reach[np.ix_(ids[:k], left)].min(0)
+        assert got[k]["reach"] == pytest.approx(nearest.min()) and nearest[left.index(ids[k])] == pytest.approx(nearest.min())
+
+
+def test_clusters_of_a_reachability_plot():
+    inf = float("inf")
+    plot = np.array([inf, 0.1, 0.1, 0.1, 0.11, 1.0, 0.2, 0.2, 0.2, 0.21, 2.0, 0.3, 0.3, 0.3])
+    found = density.steep_clusters(plot, 0.3, 3)
+    assert {(0, 4), (5, 9), (10, 13)} <= set(found)
+    label = density.innermost(found, len(plot))
+    assert label.tolist() == [label[0]] * 5 + [label[5]] * 5 + [label[10]] * 4 and len(set(label.tolist())) == 3
+    assert density.steep_clusters(np.full(9, 1.0), 0.3, 3) == [] or (density.innermost(density.steep_clusters(np.full(9, 1.0), 0.3, 3), 9) <= 0).all()
+
+
+def test_optics_finds_the_blobs(spark, blobs):
+    found = groups(clustering.optics(blobs, COLUMNS, 0.5, 4))
+    assert len([k for k in found if k is not None]) == 3 and all(len(v) == 1 for k, v in found.items() if k is not None)
+    labelled, score, (_, least) = clustering.optics_search(blobs, COLUMNS, (0.05, 0.5), (3, 4), noise=True)
+    assert score > 0.5 and labelled.count() == 36
+
+
+def test_fits_together_equal_fits_one_by_one(spark, lumps):
+    rows = as_rows(spark, lumps)
+    first = [lumps[:3].astype(float), lumps[[0, 30, 60, 69]].astype(float), lumps[5:8].astype(float)]
+    fits = clustering.all_kmeans(rows, COLUMNS, first)
+    for begin, centres, sizes, within in zip(first, fits.centres, fits.sizes, fits.within, strict=True):
+        c = begin.copy()
+        for _ in range(100):
+            own = ((lumps[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.array([lumps[own == k].mean(0) if (own == k).any() else c[k] for k in range(len(c))])
+        assert np.allclose(np.sort(centres, 0), np.sort(c, 0)) and sorted(sizes) == sorted(np.bincount(own, minlength=len(c)))
+        assert within.sum() == pytest.approx(((lumps - c[own]) ** 2).sum())
+    for score in ("si", "db", "ch"):
+        got = clustering.fit_scores(rows, COLUMNS, fits, score, (1.0, 0.0))
+        for c, value in zip(fits.centres[:2], got, strict=False):
+            want = clustering.SCORES[score](clustering.assign(rows, COLUMNS, c.tolist()), COLUMNS, (1.0, 0.0))
+            assert value == pytest.approx(want)
+
+
+def test_ward_merges_equal_and_tied_rows_in_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "WARD_BLOCK", 8)
+    rounds = []
+    real = clustering.nearest_clusters
+    monkeypatch.setattr(clustering, "nearest_clusters", lambda *a: rounds.append(1) or real(*a))
+    same = spark.createDataFrame([(k, 1.0, 2.0) for k in range(500)] + [(900, 5.0, 5.0)], "id long, a double, b double")
+    assert sorted(r["count"] for r in clustering.ward(same, COLUMNS, 2).groupBy("cluster").count().collect()) == [1, 500] and not rounds
+    grid = spark.createDataFrame([(k, float(k % 8), float(k // 8)) for k in range(64)], "id long, a double, b double")  # neighbours equally far apart
+    assert clustering.ward(grid, COLUMNS, 3).count() == 64 and len(rounds) <= 12
+
+
+def plain_em(x, parts, family, rounds):
+    for _ in range(rounds):
+        logs = parts.logs(x)
+        r = np.exp(logs - mixture.log_sum(logs)[:, None])
+        n = r.sum(0)
+        mu = (r.T @ x) / n[:, None]
+        cov = np.stack([((x - m).T * w) @ (x - m) / w.sum() for m, w in zip(mu, r.T, strict=True)])
+        if family == "tied":
+            cov = np.broadcast_to((cov * n[:, None, None]).sum(0) / n.sum(), cov.shape)
+        elif family == "diag":
+            cov = cov * np.eye(x.shape[1])
+        elif family == "spherical":
+            cov = (np.trace(cov, axis1=1, axis2=2) / x.shape[1])[:, None, None] * np.eye(x.shape[1])
+        parts = mixture.Parts(n / n.sum(), mu, cov + mixture.FLOOR * np.eye(x.shape[1]))
+    return parts
+
+
+def test_families_and_folds_together_equal_plain_em(spark, lumps, monkeypatch):
+    monkeypatch.setattr(mixture, "ROUNDS", 6)
+    monkeypatch.setattr(mixture, "TOLERANCE", -1.0)
+    rng = np.random.default_rng(1)
+    x = lumps + rng.normal(size=lumps.shape) * 0.02
+    fold = np.arange(70) % 3
+    points = spark.createDataFrame([(k, v.tolist(), int(f)) for k, (v, f) in enumerate(zip(x, fold, strict=True))], "id long, x array<double>, fold int")
+    begin = x[[0, 30, 60]]
+    fits = [mixture.Fit(f, 3, fold) for f in mixture.FAMILIES for fold in (0, 2, -1)]
+    got = mixture.fit_all(points, 2, fits, {f: {3: begin} for f in (0, 2, -1)})
+    for f, parts in zip(fits, got, strict=True):
+        part = x[fold != f.fold]
+        own = np.eye(3)[((part[:, None] - begin) ** 2).sum(2).argmin(1)]
+        want = mixture.shaped(f.family, own.sum(0), own.T @ part, np.einsum("nk,ni,nj->kij", own, part, part), None)
+        want = plain_em(part, want, f.family, 6)
+        assert np.allclose(parts.means, want.means) and np.allclose(parts.covariances, want.covariances) and np.allclose(parts.shares, want.shares)
+
+
+def test_a_mixture_labels_new_rows(spark, blobs):
+    model = mixture.fit_mixture(blobs, COLUMNS, (2, 3), ("tied", "spherical"), 3)
+    assert len(model.parts.shares) == 3
+    new = spark.createDataFrame([(1, 0.0, 0.1), (2, 5.1, 0.0), (3, 0.1, 5.0), (4, None, 1.0), (5, 0.05, 0.0)], "id long, a double, b double")
+    got = {r["id"]: r["cluster"] for r in model.predict(new).collect()}
+    assert got[1] == got[5] and len({got[1], got[2], got[3]}) == 3 and got[4] is None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,10 @@ def with_checkpoints(spark: SparkSession) -> None:
     if not found and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(found or f"{tempfile.gettempdir()}/wattloom-checkpoints")
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it (a cluster gets it by --py-files)."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in (have := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *have]))

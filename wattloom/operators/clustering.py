@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import RobustScaler, StandardScaler
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wattloom.functions.session import with_checkpoints
+from wattloom.functions.session import reachable, with_checkpoints
+from wattloom.operators.blockwise import Block, against_all, all_silhouettes, blocked, distances
+from wattloom.operators.density import dbscan, density_search, optics, optics_search  # noqa: F401
 from wattloom.operators.features import assembled, pca_scores
 
 MAX_K = 20
 #: Clusters that Ward's criterion merges in one task, and those of a block that meet.
 WARD_BLOCK = 2000
+#: Rows among which a start chooses each of its centres.
+SEEN = 10
 
 
 def squared(a: list[Column], b: list[Column]) -> Column:
@@ -27,19 +35,12 @@ def squared(a: list[Column], b: list[Column]) -> Column:
 def silhouettes(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
     """(id, cluster, silhouette): euclidean, from the distances of all pairs; 0 in a cluster of one. Rows without a cluster (noise) are left out.
 
-    Quadratic in rows, as the score is; rows are events of one kind and are paired in blocks of equal size.
+    cluster is a whole number, an id one row. Quadratic in rows, as the score is: blocks of rows meet as matrices.
     """
-    base = rows.where(F.col(cluster).isNotNull()).select("id", F.col(cluster).alias("_c"), *(F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)))
-    own_x, other_x = [F.col(f"_x{k}") for k in range(len(columns))], [F.col(f"_y{k}") for k in range(len(columns))]
-    blocks = max(1, math.ceil(base.count() / 2000))
-    left = base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = base.select(F.col("id").alias("_id2"), F.col("_c").alias("_other"), *(x.alias(f"_y{k}") for k, x in enumerate(own_x)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
-    sums = left.join(right, "_b").where("id <> _id2").groupBy("id", "_c", "_other").agg(F.sum(F.sqrt(squared(own_x, other_x))).alias("d"), F.count(F.lit(1)).alias("n"))
-    own = F.max(F.when(F.col("_other") == F.col("_c"), F.col("d") / F.col("n"))).alias("a")
-    near = F.min(F.when(F.col("_other") != F.col("_c"), F.col("d") / F.col("n"))).alias("b")
-    both = sums.groupBy("id", "_c").agg(own, near)
-    value = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return both.select("id", F.col("_c").alias(cluster), F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+    base = rows.where(F.col(cluster).isNotNull()).select("id", F.col(cluster).alias("_c"), *columns, F.lit(1).alias("weight"))
+    labels = base.select(F.lit(0).alias("labelling"), F.col("id").cast("long").alias("id"), F.col("_c").alias("cluster"))
+    found = all_silhouettes(base.select(F.col("id").cast("long").alias("id"), "weight", *columns), columns, labels)
+    return found.select(F.col("id").cast(rows.schema["id"].dataType).alias("id"), F.col("cluster").cast(rows.schema[cluster].dataType).alias(cluster), "silhouette")
 
 
 def silhouette_score(rows: DataFrame, columns: list[str], weights: tuple[float, float] = (1.0, 0.0), per_cluster: bool = True, cluster: str = "cluster") -> DataFrame:
@@ -58,14 +59,24 @@ def centroids(rows: DataFrame, columns: list[str], cluster: str = "cluster") ->
 
 
 def davies_bouldin(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """One row (score): mean over clusters of the largest ratio of spreads to distance of centres."""
+    """One row (score): mean over clusters (whole numbers) of the largest ratio of spreads to distance of centres."""
     centre = centroids(rows, columns, cluster)
     means = [F.col(f"_m_{c}") for c in columns]
-    spread = rows.join(F.broadcast(centre), cluster).groupBy(cluster, *(f"_m_{c}" for c in columns)).agg(F.avg(F.sqrt(squared([F.col(c) for c in columns], means))).alias("s"))
-    a, b = (spread.select(F.col(cluster).alias(f"{k}_c"), F.col("s").alias(f"{k}_s"), *(F.col(f"_m_{c}").alias(f"{k}_{c}") for c in columns)) for k in "ab")
-    apart = F.sqrt(squared([F.col(f"a_{c}") for c in columns], [F.col(f"b_{c}") for c in columns]))
-    ratios = a.join(F.broadcast(b), F.col("a_c") != F.col("b_c")).withColumn("r", F.try_divide(F.col("a_s") + F.col("b_s"), apart))  # at most MAX_K clusters
-    return ratios.groupBy("a_c").agg(F.max("r").alias("r")).agg(F.avg("r").alias("score"))
+    spread = rows.join(centre, cluster).groupBy(cluster, *(f"_m_{c}" for c in columns)).agg(F.avg(F.sqrt(squared([F.col(c) for c in columns], means))).alias("s"))
+    blocks = blocked(spread.withColumnRenamed(cluster, "id"), [f"_m_{c}" for c in columns], {"s": F.col("s")})
+
+    def step(kept, other: Block) -> None:
+        own, best = kept
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (own.more["s"].to_numpy()[:, None] + other.more["s"].to_numpy()) / distances(own.x, other.x)
+        ratio[~np.isfinite(ratio) | (own.ids[:, None] == other.ids)] = -np.inf
+        np.maximum(best, ratio.max(1), out=best)
+
+    def finish(kept) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.where(np.isfinite(kept[1]), kept[1], np.nan), pa.float64())], names=["r"])
+
+    ratios = against_all(blocks, lambda own: (own, np.full(len(own.ids), -np.inf)), step, finish, "r double")
+    return ratios.agg(F.avg(F.nanvl("r", F.lit(None).cast("double"))).alias("score"))
 
 
 def calinski_harabasz(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
@@ -74,16 +85,17 @@ def calinski_harabasz(rows: DataFrame, columns: list[str], cluster: str = "clust
     whole = rows.agg(F.count(F.lit(1)).alias("_total"), *(F.avg(c).alias(f"_g_{c}") for c in columns))
     means = [F.col(f"_m_{c}") for c in columns]
     between = centre.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("_n") * squared(means, [F.col(f"_g_{c}") for c in columns])).alias("b"), F.count(F.lit(1)).alias("k"), F.max("_total").alias("n"))
-    inside = rows.join(F.broadcast(centre), cluster).agg(F.sum(squared([F.col(c) for c in columns], means)).alias("w"))
+    inside = rows.join(centre, cluster).agg(F.sum(squared([F.col(c) for c in columns], means)).alias("w"))
     both = between.crossJoin(F.broadcast(inside))
     return both.select((F.try_divide("b", "w") * F.try_divide(F.col("n") - F.col("k"), F.col("k") - 1)).alias("score"))
 
 
-def assign(rows: DataFrame, columns: list[str], centres: list[list[float]]) -> DataFrame:
-    """rows with cluster: the nearest of fixed centres, the first on ties."""
+def assign(rows: DataFrame, columns: list[str], centres: list[list[float]], only: bool = False) -> DataFrame | Column:
+    """rows with cluster: the nearest of fixed centres, the first on ties; with `only` that column alone."""
     x = [F.col(c) for c in columns]
     far = [F.struct(squared(x, [F.lit(float(v)) for v in c]).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres)]
-    return rows.withColumn("cluster", F.array_min(F.array(*far))["k"])
+    found = F.array_min(F.array(*far))["k"]
+    return found if only else rows.withColumn("cluster", found)
 
 
 def kmeans(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFrame:
@@ -98,47 +110,151 @@ SCORES = {
 }
 
 
-def search(rows: DataFrame, columns: list[str], score: str = "si", repeats: int = 3, min_samples: int = 2, weights: tuple[float, float] = (1.0, 0.0), max_k: int = MAX_K, clusterer=kmeans) -> tuple[DataFrame | None, float, int]:
-    """(labelled rows, score, k): the best of k = 2 .. min(ceil(sqrt n), max_k), each from several starts; labellings with a
-    small cluster are skipped. Every fit is a Spark job; the loop is over candidates, not rows."""
-    rows = rows.dropna(subset=columns).cache()
+def starts(rows: DataFrame, columns: list[str], k: int, n: int) -> np.ndarray:
+    """(n, k, columns): of each of n starts, k rows apart from one another (k-means++) among SEEN * k rows that a hash of the id and the start picks."""
+    at = F.array(*(F.col(c).cast("double") for c in columns)).alias("x")
+    each = rows.select("id", at, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")).withColumn("h", F.xxhash64("s", F.col("id").cast("string")))
+    first = Window.partitionBy("s").orderBy("h", "x")
+    found = each.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SEEN * k).select("s", "_n", "x").collect()  # n * SEEN * k rows
+    out = np.zeros((n, k, len(columns)))
+    for s in range(n):
+        x = np.array([r["x"] for r in sorted((r for r in found if r["s"] == s), key=lambda r: r["_n"])])
+        rng = np.random.default_rng(s)
+        out[s, 0] = x[0]
+        far = ((x - x[0]) ** 2).sum(1)
+        for j in range(1, k):
+            pick = int(np.searchsorted(np.cumsum(far), rng.random() * far.sum(), "right")) if far.sum() > 0 else j
+            out[s, j] = x[min(pick, len(x) - 1)]
+            far = np.minimum(far, ((x - out[s, j]) ** 2).sum(1))
+    return out
+
+
+class Fits(NamedTuple):
+    """Fits of Lloyd's rounds: of each its centres, and by centre the rows, the sum of their squared distances and of their distances."""
+
+    centres: list[np.ndarray]
+    sizes: list[np.ndarray]
+    within: list[np.ndarray]
+    apart: list[np.ndarray]
+
+
+def all_kmeans(rows: DataFrame, columns: list[str], first: list[np.ndarray], rounds: int = 100) -> Fits:
+    """Lloyd's rounds of many fits together: a round is one pass over the rows and one aggregate. Ties go to the first centre, a centre
+    without rows stays. The driver holds the centres."""
+    reachable(rows.sparkSession)
+    centres, done = [c.copy() for c in first], [False] * len(first)
+    edges = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
+    sizes, within, apart = ([np.zeros(len(c)) for c in centres] for _ in range(3))
+    base = rows.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    d = len(columns)
+    sums = [f"s{j}" for j in range(d)]
+    for _ in range(rounds + 1):
+        todo = [k for k, over in enumerate(done) if not over]
+        if not todo:
+            break
+        now = [(int(edges[k]), centres[k]) for k in todo]
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = {at: np.zeros((len(c), d + 3)) for at, c in now}
+            for b in batches:
+                x = np.array(b.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
+                for k in range(0, len(x), 4096):
+                    part = x[k : k + 4096]
+                    for at, c in now:
+                        far = ((part[:, None] - c) ** 2).sum(2)
+                        own = far.argmin(1)
+                        near = far[np.arange(len(part)), own]
+                        stats = np.concatenate([np.ones((len(part), 1)), near[:, None], np.sqrt(near)[:, None], part], 1)
+                        np.add.at(total[at], own, stats)
+            where = np.concatenate([np.arange(at, at + len(c)) for at, c in now])
+            values = np.concatenate(list(total.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *(pa.array(values[:, j]) for j in range(d + 3))], names=["c", "n", "w", "a", *sums])
+
+        stats = base.mapInArrow(run, ", ".join(["c int", "n double", "w double", "a double", *(f"{s} double" for s in sums)]))
+        found = np.array([list(r) for r in stats.groupBy("c").agg(*(F.sum(v).alias(v) for v in ("n", "w", "a", *sums))).collect()])  # a row for each centre
+        found = found[np.argsort(found[:, 0])]
+        for k in todo:
+            mine = found[(found[:, 0] >= edges[k]) & (found[:, 0] < edges[k + 1])]
+            sizes[k], within[k], apart[k] = mine[:, 1], mine[:, 2], mine[:, 3]
+            new = np.where(mine[:, 1:2] > 0, mine[:, 4:] / np.maximum(mine[:, 1:2], 1), centres[k])
+            done[k] = bool(np.abs(new - centres[k]).max() <= 1e-12 * (1 + np.abs(new).max()))
+            centres[k] = centres[k] if done[k] else new
+    return Fits(centres, sizes, within, apart)
+
+
+def fit_scores(rows: DataFrame, columns: list[str], fits: Fits, score: str, weights: tuple[float, float]) -> list[float | None]:
+    """The score of each fit; those of one group, or where it is not defined, have none."""
+    if score == "si":
+        labels, base = None, rows.select(F.col("id").cast("long").alias("id"), *columns)
+        marks = [F.struct(F.lit(k).alias("labelling"), assign(base, columns, c.tolist(), only=True).alias("cluster")) for k, c in enumerate(fits.centres)]
+        labels = base.select("id", F.inline(F.array(*marks)))
+        each = all_silhouettes(base.withColumn("weight", F.lit(1)), columns, labels)
+        parts = each.groupBy("labelling", "cluster").agg(F.sum("silhouette").alias("s"), F.count(F.lit(1)).alias("n"), F.stddev_pop("silhouette").alias("sd"))
+        value = weights[0] * F.sum("s") / F.sum("n") - weights[1] * F.avg("sd")
+        found = {r["labelling"]: r["v"] for r in parts.groupBy("labelling").agg(value.alias("v")).collect()}  # a row for each fit
+        return [found.get(k) for k in range(len(fits.centres))]
+    out: list[float | None] = []
+    for c, n, w, a in zip(*fits, strict=True):
+        k, total = len(c), n.sum()
+        if score == "ch":
+            middle = (n[:, None] * c).sum(0) / total
+            between, inside = float((n * ((c - middle) ** 2).sum(1)).sum()), float(w.sum())
+            out.append(between / inside * (total - k) / (k - 1) if inside > 0 and k > 1 else None)
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                spread = a / n
+                ratio = (spread[:, None] + spread) / np.sqrt(((c[:, None] - c) ** 2).sum(2))
+            ratio[np.arange(k), np.arange(k)] = -np.inf
+            worst = ratio.max(1)
+            out.append(-float(worst.mean()) if np.isfinite(worst).all() else None)
+    return out
+
+
+def search(rows: DataFrame, columns: list[str], score: str = "si", repeats: int = 50, min_samples: int = 2, weights: tuple[float, float] = (1.0, 0.0), max_k: int = MAX_K, clusterer=None) -> tuple[DataFrame | None, float, int]:
+    """(labelled rows, score, k): the best of k = 2 .. min(ceil(sqrt n), max_k), each from `repeats` starts; labellings with a small
+    cluster are skipped, of equal ones the first (k, start) is taken.
+
+    The fits of all k and starts run together: one pass over the rows for each of Lloyd's rounds, and one for their scores.
+    With a clusterer (rows, columns, k, seed) of one's own the fits are one by one, without repeats if they cannot differ.
+    """
+    rows = rows.dropna(subset=columns)
     n = rows.count()
     if n < 2:
         raise ValueError("at least two rows are needed")
+    ks = range(2, min(math.ceil(math.sqrt(n)), max_k) + 1)
     best: tuple[DataFrame | None, float, int] = (None, -math.inf, 0)
-    for k in range(2, min(math.ceil(math.sqrt(n)), max_k) + 1):
-        for seed in range(repeats):
-            labelled = clusterer(rows, columns, k, seed=seed)
-            sizes = [r["count"] for r in labelled.groupBy("cluster").count().collect()]  # at most k
-            if len(sizes) < k or min(sizes) < min_samples:
-                continue
-            found = SCORES[score](labelled, columns, weights)
-            if found is not None and found > best[1]:
-                best = (labelled, found, k)
-    return best
-
-
-def gaussian_mixture(rows: DataFrame, columns: list[str], ks: range = range(2, 11), seed: int = 0) -> tuple[DataFrame, float, int]:
-    """Full-covariance mixture by the mean of silhouette, Calinski-Harabasz / 1000, -BIC / 10000 and -AIC / 10000, on features
-    standardised and then robustly scaled."""
-    v = assembled(rows, columns)
-    z = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(v).transform(v)
-    z = RobustScaler(inputCol="_s", outputCol="_z", withCentering=True, relativeError=0.0).fit(z).transform(z).drop("_v", "_s").cache()
-    n, d = z.count(), len(columns)
-    best: tuple[DataFrame | None, float, int] = (None, -math.inf, 0)
-    for k in ks:
-        model = GaussianMixture(k=k, seed=seed, featuresCol="_z", predictionCol="cluster", probabilityCol="_p").fit(z)
-        labelled = model.transform(z).drop("_z", "_p")
-        if labelled.select("cluster").distinct().count() < 2:
-            continue
-        free = k * d + k * d * (d + 1) / 2 + k - 1
-        like = model.summary.logLikelihood
-        bic, aic = free * math.log(n) - 2 * like, 2 * free - 2 * like
-        sil, ch = silhouette_score(labelled, columns).first()["mean_silhouette"], calinski_harabasz(labelled, columns).first()["score"] or 0.0
-        found = (sil + ch / 1000 - bic / 10000 - aic / 10000) / 4
-        if found > best[1]:
-            best = (labelled, found, k)
-    return best
+    if clusterer is not None:
+        for k in ks:
+            for seed in range(1 if clusterer is ward else repeats):
+                labelled = clusterer(rows, columns, k, seed=seed)
+                sizes = [r["count"] for r in labelled.groupBy("cluster").count().collect()]  # at most k
+                if len(sizes) < k or min(sizes) < min_samples:
+                    continue
+                found = SCORES[score](labelled, columns, weights)
+                if found is not None and found > best[1]:
+                    best = (labelled, found, k)
+        return best
+    if not len(ks):
+        return best
+    with_checkpoints(rows.sparkSession)
+    points = rows.select("id", *columns).checkpoint()
+    first = starts(points, columns, ks[-1], repeats)
+    fits = all_kmeans(points, columns, [first[s, :k] for k in ks for s in range(repeats)])
+    fine = [k for k, size in enumerate(fits.sizes) if size.min() >= min_samples]
+    # Starts that end in the same groups are scored once.
+    seen: dict[tuple, int] = {}
+    for k in fine:
+        seen.setdefault(tuple(sorted(map(tuple, np.round(fits.centres[k], 9).tolist()))), k)
+    chosen = list(seen.values())
+    if not chosen:
+        return best
+    scores = fit_scores(points, columns, Fits(*([v[k] for k in chosen] for v in fits)), score, weights)
+    for k, found in zip(chosen, scores, strict=True):
+        if found is not None and found > best[1] + 1e-12 * abs(found):
+            best = (k, found, len(fits.centres[k]))
+    if best[0] is None:
+        return best
+    return assign(rows, columns, fits.centres[best[0]].tolist()), best[1], best[2]
 
 
 def two_stage(rows: DataFrame, first: list[str], second: list[str], components: int = 3, **how) -> tuple[DataFrame, dict[int, list[int]]]:
@@ -150,7 +266,8 @@ def two_stage(rows: DataFrame, first: list[str], second: list[str], components:
     top, _, _ = search(rows, first, **how)
     if top is None:
         top = rows.withColumn("cluster", F.lit(0))
-    top = top.withColumnRenamed("cluster", "stage1").cache()
+    with_checkpoints(rows.sparkSession)
+    top = top.withColumnRenamed("cluster", "stage1").checkpoint()
     out, mapping, used = None, {}, 0
     for r in top.groupBy("stage1").count().orderBy("stage1").collect():  # at most MAX_K
         part = top.where(F.col("stage1") == r["stage1"])
@@ -193,25 +310,56 @@ def merge_order(x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order of pairs that is the same from both sides and spreads them."""
+    h = np.minimum(a, b).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.maximum(a, b).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(27))
+
+
 def nearest_clusters(clusters: DataFrame, columns: list[str]) -> DataFrame:
-    """(c, other, height) of clusters (c, n, columns): the cheapest partner by Ward's criterion, the smallest of equal ones."""
-    blocks = max(1, math.ceil(clusters.count() / WARD_BLOCK))
-    left = clusters.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = clusters.select(F.col("c").alias("other"), F.col("n").alias("_n2"), *(F.col(c).alias(f"_r_{c}") for c in columns), F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("_b"))
-    height = F.col("n") * F.col("_n2") / (F.col("n") + F.col("_n2")) * squared([F.col(c) for c in columns], [F.col(f"_r_{c}") for c in columns])
-    pairs = left.join(right, "_b").where("c <> other").select("c", F.struct(height.alias("height"), "other").alias("m"))
-    return pairs.groupBy("c").agg(F.min("m").alias("m")).select("c", "m.other", "m.height")
+    """(c, other, height) of clusters (c, n, columns): the cheapest partner by Ward's criterion; of equal ones that whose pair comes first
+    in an order by hash, so that many pairs choose each other even where all are equally far apart."""
+    blocks = blocked(clusters.withColumnRenamed("c", "id"), columns, {"n": F.col("n")})
+
+    def start(own: Block):
+        return own, [np.full(len(own.ids), np.inf), np.full(len(own.ids), np.iinfo(np.uint64).max, np.uint64), np.full(len(own.ids), -1)]
+
+    def step(kept, other: Block) -> None:
+        own, (height, order, which) = kept
+        n, m = own.more["n"].to_numpy()[:, None], other.more["n"].to_numpy()[None]
+        cost = n * m / (n + m) * distances(own.x, other.x) ** 2
+        cost[own.ids[:, None] == other.ids] = np.inf
+        least = cost.min(1)
+        r, k = np.nonzero((cost == least[:, None]) & np.isfinite(cost) & (least <= height)[:, None])
+        h = pair_hash(own.ids[r], other.ids[k])
+        first = np.lexsort((h, r))
+        at, once = np.unique(r[first], return_index=True)
+        new, which_new = h[first][once], other.ids[k[first][once]]
+        better = (least[at] < height[at]) | (new < order[at])
+        at, new, which_new = at[better], new[better], which_new[better]
+        height[at], order[at], which[at] = least[at], new, which_new
+
+    def finish(kept) -> pa.RecordBatch:
+        own, (height, _, which) = kept
+        has = which >= 0
+        return pa.RecordBatch.from_arrays([pa.array(own.ids[has]), pa.array(which[has]), pa.array(height[has])], names=["c", "other", "height"])
+
+    return against_all(blocks, start, step, finish, "c long, other long, height double")
 
 
 def ward(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFrame:
     """rows with cluster: agglomerative clusters by Ward's criterion, numbered by their first row.
 
-    While there are many clusters, all pairs that are each other's nearest are merged in a round of joins, which Ward's
-    criterion allows in any order; the last WARD_BLOCK clusters are merged in one task. The k - 1 highest merges are undone.
+    Equal rows are one cluster from the beginning, so that there are no more clusters than different rows. While there are
+    many clusters, all pairs that are each other's nearest are merged in a round of joins, which Ward's criterion allows
+    in any order; the last WARD_BLOCK clusters are merged in one task. The k - 1 highest merges are undone.
     """
     with_checkpoints(rows.sparkSession)
+    reachable(rows.sparkSession)
     base = rows.dropna(subset=columns)
-    now = base.select(F.col("id").cast("long").alias("c"), F.lit(1.0).alias("n"), *(F.col(c).cast("double").alias(c) for c in columns)).checkpoint()
+    same = base.groupBy(*(F.col(c).cast("double").alias(c) for c in columns)).agg(F.min(F.col("id").cast("long")).alias("c"), F.count(F.lit(1)).cast("double").alias("n"))
+    now = points = same.select("c", "n", *columns).checkpoint()
     merges = None
     while now.count() > WARD_BLOCK:
         near = nearest_clusters(now, columns).checkpoint()
@@ -233,7 +381,7 @@ def ward(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFram
     undone = merges.orderBy(F.desc("height"), F.desc("other")).limit(max(k - 1, 0))
     kept = merges.join(F.broadcast(undone.select("other")), "other", "left_anti")  # k - 1 rows
     # A cluster goes into another once at most: roots by doubling.
-    up = base.select(F.col("id").cast("long").alias("c")).join(kept.select(F.col("other").alias("c"), F.col("c").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("to")).checkpoint()
+    up = points.select("c").join(kept.select(F.col("other").alias("c"), F.col("c").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("to")).checkpoint()
     while True:
         further = up.join(up.select(F.col("c").alias("to"), F.col("to").alias("_next")), "to").select("c", F.col("_next").alias("to")).checkpoint()
         if further.join(up, ["c", "to"], "left_anti").isEmpty():
@@ -241,58 +389,6 @@ def ward(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFram
         up = further
     roots = sorted((r["first"], r["to"]) for r in up.groupBy("to").agg(F.min("c").alias("first")).collect())  # k rows
     names = rows.sparkSession.createDataFrame([(to, i) for i, (_, to) in enumerate(roots)], "to long, cluster int")
-    labels = up.join(F.broadcast(names), "to").select(F.col("c").alias("id"), "cluster")
-    return base.join(labels, "id")
-
-
-def dbscan(rows: DataFrame, columns: list[str], eps: float, min_samples: int) -> DataFrame:
-    """rows with cluster: the smallest core id reachable through cores at most eps apart; noise is null.
-
-    Near pairs come from a grid of eps cells over the first two columns, so no row meets all others.
-    """
-    with_checkpoints(rows.sparkSession)
-    grid = columns[:2]
-    base = rows.select("id", *columns)
-    cells = [F.floor(F.col(c) / eps) for c in grid]
-    left = base.withColumns({f"_g{k}": c for k, c in enumerate(cells)})
-    right = left
-    for k in range(len(grid)):
-        right = right.withColumn(f"_g{k}", F.explode(F.sequence(F.col(f"_g{k}") - 1, F.col(f"_g{k}") + 1)))
-    right = right.select(F.col("id").alias("id2"), *(F.col(c).alias(f"_r_{c}") for c in columns), *(f"_g{k}" for k in range(len(grid))))
-    near = left.join(right, [f"_g{k}" for k in range(len(grid))])
-    near = near.where(squared([F.col(c) for c in columns], [F.col(f"_r_{c}") for c in columns]) <= eps * eps).select("id", "id2").cache()
-    cores = near.groupBy("id").count().where(F.col("count") >= min_samples).select("id")
-    edges = near.join(cores, "id").join(cores.select(F.col("id").alias("id2")), "id2").cache()
-    labels = cores.withColumn("cluster", F.col("id"))
-    before = None
-    while True:
-        step = edges.join(labels.select(F.col("id").alias("id2"), "cluster"), "id2").groupBy("id").agg(F.min("cluster").alias("cluster"))
-        jump = step.join(step.select(F.col("id").alias("cluster"), F.col("cluster").alias("_c")), "cluster").select("id", F.col("_c").alias("cluster"))
-        labels = jump.checkpoint()
-        now = labels.agg(F.sum(F.col("cluster").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if now == before:
-            break
-        before = now
-    border = near.join(labels.select(F.col("id").alias("id2"), "cluster"), "id2").groupBy("id").agg(F.min("cluster").alias("cluster"))
-    return rows.join(border, "id", "left")
-
-
-def density_search(rows: DataFrame, columns: list[str], eps: Iterable[float] = tuple(k / 100 for k in range(1, 100)), min_samples: Iterable[int] = range(2, 11), weights: tuple[float, float] = (1.0, 0.0)) -> tuple[DataFrame | None, float, tuple[float, int] | None]:
-    """(labelled rows, score, (eps, min_samples)): the best of all pairs by the silhouette of the rows that are no noise.
-
-    Labellings with fewer than two clusters, or in which nearly every row is a cluster of its own, are skipped. Every fit
-    is a Spark job; the loop is over parameters.
-    """
-    min_samples = list(min_samples)
-    n = rows.count()
-    best: tuple[DataFrame | None, float, tuple[float, int] | None] = (None, -1.0, None)
-    for e in eps:
-        for m in min_samples:
-            labelled = dbscan(rows, columns, e, m)
-            groups = labelled.groupBy("cluster").count().select(F.count("cluster").alias("k"), F.count(F.lit(1)).alias("with_noise")).first()
-            if groups["k"] < 2 or groups["with_noise"] >= n - 1:
-                continue
-            found = silhouette_score(labelled, columns, weights, per_cluster=False).first()["score"]
-            if found is not None and found > best[1]:
-                best = (labelled, found, (e, m))
-    return best
+    labels = up.join(F.broadcast(names), "to").join(points, "c").select(*(F.col(c).alias(f"_p_{c}") for c in columns), "cluster")  # k rows
+    on = [F.col(c).cast("double") == F.col(f"_p_{c}") for c in columns]
+    return base.drop("cluster").join(labels, reduce(and_, on)).drop(*(f"_p_{c}" for c in columns))

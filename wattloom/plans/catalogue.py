@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis, power_estimate
-from wattloom.operators import blocks, clustering, features, metrics, segments, series, smoothing
+from wattloom.operators import blocks, clustering, features, metrics, mixture, segments, series, smoothing
 from wattloom.plans import pipeline
 from wattloom.sources import meter
 
@@ -461,13 +461,13 @@ def kmeans_fit(spark, sf):
 
 @query()
 def kmeans_search(spark, sf):
-    labelled, score, k = clustering.search(points(spark, sf).drop("cluster"), COORDINATES, "ch", repeats=1)
+    labelled, score, k = clustering.search(points(spark, sf).drop("cluster"), COORDINATES)
     return labelled.select("id", "cluster", F.lit(score).alias("score"), F.lit(k).alias("k"))
 
 
 @query()
 def gmm_fit(spark, sf):
-    labelled, score, k = clustering.gaussian_mixture(points(spark, sf).drop("cluster"), COORDINATES)
+    labelled, score, k = mixture.gaussian_mixture(points(spark, sf).drop("cluster"), COORDINATES)
     return labelled.select("id", "cluster", F.lit(score).alias("score"), F.lit(k).alias("k"))
 
 
@@ -478,7 +478,7 @@ def pca_scores(spark, sf):
 
 @query()
 def two_stage_fit(spark, sf):
-    labelled, _ = clustering.two_stage(points(spark, sf).drop("cluster"), COORDINATES[:2], COORDINATES[1:], 2, score="ch", repeats=1)
+    labelled, _ = clustering.two_stage(points(spark, sf).drop("cluster"), COORDINATES[:2], COORDINATES[1:], 2)
     return labelled.select("id", "stage1", "cluster")
 
 
@@ -496,10 +496,21 @@ def dbscan_fit(spark, sf):
 
 @query()
 def dbscan_search(spark, sf):
-    labelled, score, found = clustering.density_search(points(spark, sf).drop("cluster"), COORDINATES, (0.08, 0.12, 0.16), (4, 8))
+    labelled, score, found = clustering.density_search(points(spark, sf).drop("cluster"), COORDINATES)
     return labelled.select("id", "cluster", F.lit(score).alias("score"), F.lit(found[0]).alias("eps"), F.lit(found[1]).alias("min_samples"))
 
 
+@query()
+def optics_fit(spark, sf):
+    return clustering.optics(points(spark, sf).drop("cluster"), COORDINATES, 0.03, 4).select("id", "cluster")
+
+
+@query()
+def optics_search(spark, sf):
+    labelled, score, found = clustering.optics_search(points(spark, sf).drop("cluster"), COORDINATES, noise=True)
+    return labelled.select("id", "cluster", F.lit(score).alias("score"), F.lit(found[0]).alias("xi"), F.lit(found[1]).alias("min_samples"))
+
+
 CLASSES = "SELECT label AS class, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM embeddings WHERE label IS NOT NULL"
 
 

@@ -182,12 +182,25 @@ def all_kmeans(rows: DataFrame, columns: list[str], first: list[np.ndarray], rou
     return Fits(centres, sizes, within, apart)
 
 
+def labelled_by(rows: DataFrame, columns: list[str], centres: list[np.ndarray]) -> DataFrame:
+    """(labelling, id, cluster) of rows by the nearest centre of each fit, the first on ties."""
+    d = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, ids = np.array(b.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, d), b.column("id")
+            for k, c in enumerate(centres):
+                far = sum((x[:, j, None] - c[None, :, j]) ** 2 for j in range(d))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), ids, pa.array(far.argmin(1), pa.int64())], names=["labelling", "id", "cluster"])
+
+    return rows.select("id", F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).mapInArrow(run, "labelling int, id long, cluster long")
+
+
 def fit_scores(rows: DataFrame, columns: list[str], fits: Fits, score: str, weights: tuple[float, float]) -> list[float | None]:
     """The score of each fit; those of one group, or where it is not defined, have none."""
     if score == "si":
-        labels, base = None, rows.select(F.col("id").cast("long").alias("id"), *columns)
-        marks = [F.struct(F.lit(k).alias("labelling"), assign(base, columns, c.tolist(), only=True).alias("cluster")) for k, c in enumerate(fits.centres)]
-        labels = base.select("id", F.inline(F.array(*marks)))
+        base = rows.select(F.col("id").cast("long").alias("id"), *columns)
+        labels = labelled_by(base, columns, fits.centres).checkpoint()
         each = all_silhouettes(base.withColumn("weight", F.lit(1)), columns, labels)
         parts = each.groupBy("labelling", "cluster").agg(F.sum("silhouette").alias("s"), F.count(F.lit(1)).alias("n"), F.stddev_pop("silhouette").alias("sd"))
         value = weights[0] * F.sum("s") / F.sum("n") - weights[1] * F.avg("sd")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis
+from wattloom.functions.session import reachable
 
 MEAN_OF = 5
 
@@ -99,13 +104,62 @@ def cluster_power(features: DataFrame, cluster: str, feature: str) -> DataFrame:
     return features.groupBy(F.col(cluster).alias("cluster")).agg(F.avg(feature).alias("power"), F.count(F.lit(1)).alias("size"))
 
 
+#: Combinations that are tried for each row as they are; of more, halves meet in the middle.
+TRIED = 4096
+
+
+def half_sums(powers: list[float], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, sums) of all combinations, by ascending counts."""
+    counts = np.array(list(itertools.product(range(most + 1), repeat=len(powers))), np.int64).reshape(-1, len(powers))
+    return counts, counts @ np.array(powers)
+
+
+def nearest_combinations(x: np.ndarray, powers: list[float], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, distance) of the combination nearest to each of x, the smallest counts on ties: for every sum of one half of the powers
+    the nearest sum of the other half."""
+    half = len(powers) // 2
+    first, a = half_sums(powers[:half], most)
+    second, b = half_sums(powers[half:], most)
+    order = np.lexsort((np.arange(len(b)), np.round(b, 9)))
+    once = np.concatenate([[True], np.diff(np.round(b, 9)[order]) > 0])  # of equal sums the smallest counts
+    second, b = second[order][once], b[order][once]
+    out, off = np.zeros((len(x), len(powers)), np.int64), np.zeros(len(x))
+    exact = lambda c: np.array([sum((int(n) * p for n, p in zip(row[1:], powers[1:], strict=True)), int(row[0]) * powers[0]) for row in c])
+    for k, v in enumerate(x.tolist()):
+        at = np.searchsorted(b, v - a)
+        near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(b) - 1)])
+        d = np.abs(a + b[near] - v)
+        side, i = np.nonzero(d <= d.min() + 1e-9 * (1 + abs(v)))
+        c = np.concatenate([first[i], second[near[side, i]]], 1)
+        miss = np.abs(exact(c) - v)
+        best = min(range(len(c)), key=lambda j: (miss[j], c[j].tolist()))
+        out[k], off[k] = c[best], miss[best]
+    return out, off
+
+
 def residual_combinations(events: DataFrame, signal: str, powers: list[float], most: int = 3) -> DataFrame:
-    """events with counts (pumps of each power, up to `most` each) whose sum comes nearest to the signal, and the residual share."""
-    sets = "array(array())"
-    for _ in powers:
-        sets = f"flatten(transform({sets}, c -> transform(sequence(0, {most}), n -> concat(c, array(n)))))"
-    total = " + ".join(f"c[{k}] * {p!r}D" for k, p in enumerate(powers))
-    combos = F.expr(f"array_min(transform({sets}, c -> named_struct('d', abs({total} - {signal}), 'counts', c)))")
+    """events with counts (pumps of each power, up to `most` each) whose sum comes nearest to the signal, and the residual share.
+
+    Of many powers, sums of one half meet sums of the other: (most + 1) ** (n / 2) looks a row instead of (most + 1) ** n.
+    """
+    if (most + 1) ** len(powers) > TRIED:
+        reachable(events.sparkSession)
+
+        @F.pandas_udf("struct<d:double,counts:array<int>>")
+        def best(x: pd.Series) -> pd.DataFrame:
+            v = x.to_numpy(float)
+            fine = np.isfinite(v)
+            counts, off = nearest_combinations(v[fine], powers, most)
+            found = iter(zip(off.tolist(), counts.tolist(), strict=True))
+            return pd.DataFrame([next(found) if ok else (None, None) for ok in fine], columns=["d", "counts"])
+
+        combos = F.when(F.col(signal).isNotNull(), best(F.col(signal).cast("double")))
+    else:
+        sets = "array(array())"
+        for _ in powers:
+            sets = f"flatten(transform({sets}, c -> transform(sequence(0, {most}), n -> concat(c, array(n)))))"
+        total = " + ".join(f"c[{k}] * {p!r}D" for k, p in enumerate(powers))
+        combos = F.expr(f"array_min(transform({sets}, c -> named_struct('d', abs({total} - {signal}), 'counts', c)))")
     return events.withColumn("_best", combos).withColumn("counts", F.col("_best.counts")).withColumn("residual", F.try_divide("_best.d", F.abs(signal))).drop("_best")
 
 

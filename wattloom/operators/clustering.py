@@ -26,6 +26,8 @@ MAX_K = 20
 WARD_BLOCK = 2000
 #: Rows among which a start chooses each of its centres.
 SEEN = 10
+#: Rows of a task that fits many clusterings.
+PART_ROWS = 5000
 
 
 def squared(a: list[Column], b: list[Column]) -> Column:
@@ -250,7 +252,7 @@ def search(rows: DataFrame, columns: list[str], score: str = "si", repeats: int
     if not len(ks):
         return best
     with_checkpoints(rows.sparkSession)
-    points = rows.select("id", *columns).checkpoint()
+    points = rows.select("id", *columns).repartition(max(1, math.ceil(n / PART_ROWS))).checkpoint()
     first = starts(points, columns, ks[-1], repeats)
     fits = all_kmeans(points, columns, [first[s, :k] for k in ks for s in range(repeats)])
     fine = [k for k, size in enumerate(fits.sizes) if size.min() >= min_samples]

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis, active, known, minutes
+from wattloom.functions.session import with_checkpoints
+
+#: Bins of a round of selection.
+BINS = 1024
 
 
 def runs(samples: DataFrame, axis: Axis, signal: str, threshold: float) -> DataFrame:
@@ -53,7 +57,7 @@ def classified(events: DataFrame, counted: DataFrame, axis: Axis, variance: floa
 
 def in_ranges(samples: DataFrame, ranges: DataFrame, time: str = "t") -> DataFrame:
     """Samples within (name, range_start, range_end), both ends included; ranges is a short list of fixed length."""
-    return samples.join(F.broadcast(ranges), F.col(time).between(F.col("range_start"), F.col("range_end")))
+    return samples.join(ranges, F.col(time).between(F.col("range_start"), F.col("range_end")))
 
 
 def pump_bound(samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
@@ -68,8 +72,36 @@ def most_pumps(event_samples: DataFrame, axis: Axis, signal: str) -> DataFrame:
     return pump_bound(event_samples, axis, signal).groupBy(*axis.key[:-1]).agg(F.max("levels").alias("levels"))
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, low, high, q1 ..): exact quantiles, linear between neighbours, by selection in rounds; missing values are skipped.
+
+    A round counts a group's values in BINS bins between the bounds of each rank that is sought, and keeps the bounds of
+    the bin that holds it; no buffer holds a group's values. Rounds end when all bounds have met.
+    """
+    with_checkpoints(rows.sparkSession)
+    base = rows.select(*by, known(F.col(value).cast("double")).alias("_v")).where("_v is not null")
+    ends = base.groupBy(*by).agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("_n"))
+    at = lambda k: F.lit(shares[k]) * (F.col("_n") - 1)
+    ranks = F.array(*(F.struct(F.lit(k).alias("_k"), F.lit(up).alias("_up"), (F.floor(at(k)) + up).alias("_r")) for k in range(len(shares)) for up in (0, 1)))
+    sought = ends.select(*by, "_n", F.col("low").alias("_a"), F.col("high").alias("_b"), F.lit(0).cast("long").alias("_below"), F.inline(ranks))
+    sought = sought.withColumn("_r", F.least("_r", F.col("_n") - 1)).checkpoint()
+    bounds = [*by, "_a", "_b", "_below"]
+    while not (left := sought.where("_a < _b")).isEmpty():
+        inside = base.join(left.select(*bounds).distinct(), by).where("_v between _a and _b")
+        bin_ = F.least(F.floor((F.col("_v") / 2 - F.col("_a") / 2) / (F.col("_b") / 2 - F.col("_a") / 2) * BINS), F.lit(BINS - 1))
+        counts = inside.groupBy(*bounds, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = Window.partitionBy(*bounds).orderBy("_bin")
+        counts = counts.withColumn("_first", F.col("_below") + F.sum("_c").over(upto) - F.col("_c"))
+        found = left.join(counts, bounds).where((F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_c")))
+        found = found.select(*by, "_n", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"), F.col("_first").alias("_below"), "_k", "_up", "_r")
+        sought = sought.where("_a >= _b").unionByName(found).checkpoint()
+    share = lambda k: at(k) - F.floor(at(k))
+    of = lambda k, up: F.max(F.when((F.col("_k") == k) & (F.col("_up") == up), F.col("_a")))
+    found = sought.groupBy(*by, "_n").agg(*(of(k, up).alias(f"_q{k}_{up}") for k in range(len(shares)) for up in (0, 1)))
+    lines = [(F.col(f"_q{k}_0") + (F.col(f"_q{k}_1") - F.col(f"_q{k}_0")) * share(k)).alias(f"q{k + 1}") for k in range(len(shares))]
+    return found.select(*by, *lines).join(ends.drop("_n"), by)
+
+
 def quartiles(events: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact quartiles and extremes of a value."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
-    found = events.groupBy(*by).agg(F.min(value).alias("low"), q, F.max(value).alias("high"))
-    return found.select(*by, "low", *(F.col("_q")[k].alias(f"q{k + 1}") for k in range(3)), "high")
+    return quantiles(events, by, value, (0.25, 0.5, 0.75)).select(*by, "low", "q1", "q2", "q3", "high")

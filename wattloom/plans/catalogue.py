@@ -478,7 +478,7 @@ def pca_scores(spark, sf):
 
 @query()
 def two_stage_fit(spark, sf):
-    labelled, _ = clustering.two_stage(points(spark, sf).drop("cluster"), COORDINATES[:2], COORDINATES[1:], 2)
+    labelled, _ = clustering.two_stage(points(spark, sf).drop("cluster"), COORDINATES[:2], COORDINATES[1:], 2, score="ch")
     return labelled.select("id", "stage1", "cluster")
 
 
@@ -611,3 +611,15 @@ def most_pumps(spark, sf):
 SELECT device, avg(residual) AS residual FROM d GROUP BY device""")
 def mean_residues(spark, sf):
     return blocks.mean_residues(readings(spark, sf), ["device"], "x", [37.5, 110.25, 240.125])
+
+
+#: Twelve powers: 16,777,216 combinations of up to three pumps each.
+TWELVE = [31.25 + 17.5 * k + k * k for k in range(12)]
+SUMS = " CROSS JOIN ".join(f"(SELECT n * {p!r}::DOUBLE AS s{k} FROM range(4) r(n))" for k, p in enumerate(TWELVE))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT {" + ".join(f"s{k}" for k in range(12))} AS s FROM {SUMS}), v AS (SELECT event_id, value * 12 AS value FROM events), a AS (SELECT v.*, s.s AS lo FROM v ASOF LEFT JOIN s ON v.value >= s.s), b AS (SELECT a.*, s.s AS hi FROM a ASOF LEFT JOIN s ON a.value <= s.s)
+SELECT event_id, round(least(coalesce(value - lo, 1e18), coalesce(hi - value, 1e18)) / nullif(abs(value), 0), 6) AS residual FROM b""")
+def residual_twelve(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", (F.col("value") * 12).alias("value"))
+    return blocks.residual_combinations(rows, "value", TWELVE).select("event_id", (F.round("residual", 6) + 0.0).alias("residual"))

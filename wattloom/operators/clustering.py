@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 from typing import NamedTuple
@@ -11,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ WARD_BLOCK = 2000
 SEEN = 10
 #: Rows of a task that fits many clusterings.
 PART_ROWS = 5000
+#: Searches of parts that run at once.
+AT_ONCE = 4
 
 
 def squared(a: list[Column], b: list[Column]) -> Column:
@@ -283,14 +287,21 @@ def two_stage(rows: DataFrame, first: list[str], second: list[str], components:
         top = rows.withColumn("cluster", F.lit(0))
     with_checkpoints(rows.sparkSession)
     top = top.withColumnRenamed("cluster", "stage1").checkpoint()
+    counts = top.groupBy("stage1").count().orderBy("stage1").collect()  # at most MAX_K
+    n = min(components, len(second))
+    names = [f"PC{i}" for i in range(n)]
+
+    def within(r) -> tuple[DataFrame | None, int]:
+        if r["count"] < 4:
+            return None, 1
+        labels, _, k = search(pca_scores(top.where(F.col("stage1") == r["stage1"]), ["id"], second, n), names, **how)
+        return labels, k
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # the searches of the parts are Spark jobs that do not need one another
+        found = list(pool.map(inheritable_thread_target(within), counts))
     out, mapping, used = None, {}, 0
-    for r in top.groupBy("stage1").count().orderBy("stage1").collect():  # at most MAX_K
+    for r, (labels, k) in zip(counts, found, strict=True):
         part = top.where(F.col("stage1") == r["stage1"])
-        labels, k = None, 1
-        if r["count"] >= 4:
-            n = min(components, len(second))
-            names = [f"PC{i}" for i in range(n)]
-            labels, _, k = search(pca_scores(part, ["id"], second, n), names, **how)
         part = part.join(labels.select("id", "cluster"), "id") if labels is not None else part.withColumn("cluster", F.lit(0))
         k = k if labels is not None else 1
         part = part.withColumn("cluster", F.col("cluster") + used)

@@ -113,5 +113,55 @@ def test_license_base_equals_plain_search(spark, odd_docs, folder):
 def test_rules_are_many_and_ordered():
     table = licenses.rules()
     by_hand = [r for r in table if r[0] in {label for _, label, _ in licenses.lines(licenses.NOTICES)} and r[3] == licenses.IDENTIFIED and r[1] != "spdx"]
-    assert len(by_hand) > 120 and len(table) > 500 and [r[3] for r in table[:5]] == [licenses.IDENTIFIED] * 5
+    assert len(by_hand) >= 250 and len(table) > 600 and [r[3] for r in table[:5]] == [licenses.IDENTIFIED] * 5
     assert all(key == key.lower() and "|" not in key for _, key, _, _ in table)
+
+
+def samples(parsed):
+    """Texts that a parsed pattern matches: every branch, with and without what is optional."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "NOT_LITERAL":
+            more = ["q"]
+        elif name == "IN":
+            first = next((a for o, a in arg if str(o) != "NEGATE"), None)
+            more = ["q"] if str(arg[0][0]) == "NEGATE" else [chr(first[0] if isinstance(first, tuple) else first)]
+            more = more if str(arg[0][0]) == "NEGATE" or len(arg) == 1 else [chr(a[0] if isinstance(a, tuple) else a) for _, a in arg]
+        elif name == "SUBPATTERN":
+            more = samples(arg[3])
+        elif name == "BRANCH":
+            more = [t for branch in arg[1] for t in samples(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            least, most, inner = arg
+            found = samples(inner)
+            more = ([""] if least == 0 else [t * least for t in found]) + ([t * (least + 1) for t in found[:2]] if most > least else [])
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in more][:3000]
+    return out
+
+
+def test_every_sample_of_a_rule_holds_its_keyword_and_is_found(spark):
+    import re._parser as parser
+
+    notices = licenses.lines(licenses.NOTICES)
+    assert len(notices) >= 250
+    texts = []
+    for key, *_, pattern in [*notices, *licenses.lines(licenses.DENIALS)]:
+        found = samples(parser.parse(pattern))
+        assert found and all(f" {key} ".strip() in f" {t} " for t in found), (key, pattern, next(t for t in found if key not in t))
+    for key, label, pattern in notices:
+        texts.append((label, min(samples(parser.parse(pattern)), key=len)))
+    docs = spark.createDataFrame([(k, f"Zyx. {t.capitalize()}, qed") for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scanned(docs).collect()}
+    missed = [(texts[k], got[k]) for k in got if got[k] == [""]]
+    assert not missed, missed
+    assert sum(texts[k][0] in got[k] for k in got) >= 0.85 * len(texts)  # some are parts of what a stronger or longer rule finds
+
+
+def test_no_documents_to_scan(spark, no_docs, folder):
+    at = folder(documents=no_docs)
+    assert licenses.query(spark, at).count() == 0 and personal_data.query(spark, at).count() == 0

@@ -8,7 +8,6 @@ it and gives no label. All of it stays within a row: no shuffle.
 
 from __future__ import annotations
 
-import re
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,7 +101,7 @@ compliance with the license | apache | you may not use this (?:file|work|softwar
 obtain a copy of the license | apache | you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses
 apache org | apache | (?:https? )?(?:www )?apache org licenses license [0-9](?: [0-9])?(?: (?:txt|html))?
 distributed on an | apache | distributed on an as is basis without warranties or conditions of any kind
-apache | apache | contributor license agreements? see the notice file
+contributor license | apache | contributor license agreements? see the notice file
 apache | apache | licensed to the apache software foundation asf
 apache | apache | (?:the )?apache 2(?: 0)? licen[cs]e
 apache | apache | apache software foundation licen[cs]e
@@ -115,15 +114,15 @@ copy of the gnu general public | gpl | you should have received a copy of the gn
 gnu org | gpl | (?:www )?gnu org licenses? (?:old licenses )?gpl(?: [0-9](?: [0-9])?)?(?: (?:html|txt))?
 gpl | gpl | (?:gnu )?gplv?[ ]?[123](?: [0-9])?(?: or (?:any )?later| only| plus)?
 gpl | gpl | licen[cs]ed under (?:the )?(?:gnu )?gpl(?:v?[123])?
-linking exception | gpl-linking-exception | as a special exception (?:[^ ]+ ){0,12}?permission to link
+permission to link | gpl-linking-exception | as a special exception (?:[^ ]+ ){0,12}?permission to link
 classpath | gpl-classpath-exception | gpl(?: [0-9]( [0-9])?)?(?: only| or later)? with classpath exception(?: [0-9] [0-9])?
 classpath exception | gpl-classpath-exception | classpath exception as provided by
 gcc runtime | gpl-gcc-exception | gcc runtime library exception
 bison exception | gpl-bison-exception | (?:with )?bison exception(?: 2 2)?
-autoconf exception | gpl-autoconf-exception | (?:with )?autoconf (?:configure script )?exception
+autoconf | gpl-autoconf-exception | (?:with )?autoconf (?:configure script )?exception
 font exception | gpl-font-exception | gpl(?: [0-9]( [0-9])?)? with font exception
 published by the free software foundation | lgpl | under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation
-copy of the gnu lesser | lgpl | you should have received a copy of the gnu (?:lesser|library) general public license along with
+you should have received | lgpl | you should have received a copy of the gnu (?:lesser|library) general public license along with
 gnu org | lgpl | (?:www )?gnu org licenses? (?:old licenses )?lgpl(?: [0-9](?: [0-9])?)?(?: (?:html|txt))?
 lgpl | lgpl | (?:gnu )?lgplv?[ ]?[23](?: [0-9])?(?: or (?:any )?later| only| plus)?
 published by the free software foundation | agpl | under the terms of the gnu affero general public license as published by the free software foundation
@@ -143,7 +142,7 @@ contents of this file are subject | cddl | the contents of this file are subject
 accompanying materials | epl | this program and the accompanying materials are made available under the terms of the eclipse public license
 eclipse org | epl | (?:www )?eclipse org legal epl(?: v?[12]0| [12] 0| 2 0| v[12] 0)?(?: html)?
 accompanying materials | cpl | this program and the accompanying materials are made available under the terms of the common public license
-european union public | eupl | licensed under the eupl(?: version)?(?: 1 [0-9])?(?: or as soon they will be approved by the european commission)?
+under the eupl | eupl | licensed under the eupl(?: version)?(?: 1 [0-9])?(?: or as soon they will be approved by the european commission)?
 altered source versions | zlib | altered source versions must be plainly marked as such
 origin of this software | zlib | the origin of this software must not be misrepresented
 boost software | boost | distributed under the boost software license version 1 0
@@ -156,7 +155,7 @@ wtfpl net | wtfpl | (?:www )?wtfpl net
 artistic | artistic | (?:the )?artistic licen[cs]e(?: version)? [12](?: 0)?
 same terms as perl | perl | under the same terms as perl(?: itself| 5)?
 same terms as ruby | ruby | under the same terms as ruby(?: itself)?
-same license as python | psf | under the same licen[cs]e as python(?: itself)?
+as python | psf | under the same licen[cs]e as python(?: itself)?
 python software foundation | psf | python software foundation license(?: version 2)?
 beer in return | beerware | you can buy me a beer in return
 this stuff is worth it | beerware | if we meet some day and you think this stuff is worth it
@@ -165,9 +164,10 @@ openssl toolkit | openssl | this product includes software developed by the open
 eric young | openssl | this product includes cryptographic software written by eric young
 reserved font name | ofl | with reserved font name
 sil open font | ofl | this font software is licensed under the sil open font license(?: version 1 1)?
-scripts sil org | ofl | (?:scripts sil org|openfontlicense org) ?(?:ofl)?
-postgresql | postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee
-w3c | w3c | (?:www )?w3 org consortium legal (?:[0-9]+ )?copyright software
+scripts sil org | ofl | scripts sil org(?: ofl)?
+openfontlicense org | ofl | openfontlicense org(?: ofl)?
+for any purpose without fee | postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee
+w3 org | w3c | (?:www )?w3 org consortium legal (?:[0-9]+ )?copyright software
 unicode | unicode | (?:www )?unicode org (?:copyright|license)(?: html| txt)?
 waived all copyright | cc0 | waived all copyright and related or neighboring rights
 publicdomain zero | cc0 | (?:https? )?creativecommons org publicdomain zero(?: 1 0)?
@@ -182,7 +182,7 @@ cc by | cc-by | cc by (?:[1-4] [05]|international|unported)
 cc by sa | cc-by-sa | cc by sa (?:[1-4] [05]|international|unported)
 cc by nc | cc-by-nc | cc by nc (?:[1-4] [05]|international|unported)
 cc by nc sa | cc-by-nc-sa | cc by nc sa (?:[1-4] [05]|international|unported)
-share alike | cc-by-sa | creative commons attribution share ?alike [1-4] [05](?: (?:international|unported|generic))?(?: public)?(?: license)?
+creative commons attribution share | cc-by-sa | creative commons attribution share ?alike [1-4] [05](?: (?:international|unported|generic))?(?: public)?(?: license)?
 creative commons | cc-by | this work is licensed under a creative commons attribution [1-4] [05](?: (?:international|unported|generic))?(?: public)? license
 creative commons | creative-commons | (?:a|the|under|some) creative commons licen[cs]e
 some rights reserved | creative-commons | some rights reserved
@@ -191,37 +191,168 @@ opendatacommons org | odc-by | (?:www )?opendatacommons org licenses? by(?: [^ ]
 opendatacommons org | pddl | (?:www )?opendatacommons org licenses? pddl(?: [^ ]+)?
 open government | ogl-uk | contains public sector information licensed under the open government licence(?: v[123](?: 0)?)?
 licence ouverte | etalab | licence ouverte(?: open licence)?(?: version)?(?: [12] 0)?
-change date | busl | change (?:date|license) (?:[^ ]+ ){0,8}?business source license
+business source license | busl | change (?:date|license) (?:[^ ]+ ){0,8}?business source license
 additional use grant | busl | additional use grant
 commons clause | commons-clause | (?:the )?commons clause(?: license condition)?(?: v?1 0)?
-mongodb | sspl | server side public license(?: version 1| v1)?
+server side public license | sspl | server side public license(?: version 1| v1)?
 elastic | elastic | elastic license(?: version)?(?: 2 0| v2)
 polyform | polyform | polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use)(?: license)?(?: 1 0 0)?
-open rail | openrail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: licen[cs]e)?
+open rail | openrail | (?:creativeml |bigscience |bigcode )?open rail(?: m)?(?: licen[cs]e)?
+openrail | openrail | (?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: licen[cs]e)?
 llama | llama | llama [23](?: [123])? community license(?: agreement)?
 gemma | gemma | gemma (?:terms of use|license)
 public domain | public-domain | (?:released|placed|dedicated|put|given|donated) (?:in|into|to) the public domain
 public domain | public-domain | (?:is|are|was|were) (?:hereby )?(?:in|part of) the public domain
 public domain | public-domain | public domain (?:dedication|software|work|notice)
-no copyright | public-domain | no (?:known )?copyright (?:restrictions|is claimed)
-us government work | public-domain | work of the (?:us|u s|united states) government
+copyright | public-domain | no (?:known )?copyright (?:restrictions|is claimed)
+government | public-domain | work of the (?:us|u s|united states) government
 all rights reserved | proprietary | all rights reserved
 confidential | proprietary | (?:proprietary and confidential|confidential and proprietary)
 unauthorized copying | proprietary | unauthorized copying of this file(?: via any medium)? is strictly prohibited
 may not be reproduced | proprietary | may not be reproduced (?:distributed )?(?:in whole or in part )?without (?:the )?(?:prior |express |written )*permission
-commercial license | commercial | (?:a )?commercial licen[cs]e (?:is|must be|can be|may be) (?:required|obtained|purchased|available)
+commercial licen | commercial | (?:a )?commercial licen[cs]e (?:is|must be|can be|may be) (?:required|obtained|purchased|available)
 end user | eula | end user licen[cs]e agreement
-personal use | non-commercial | (?:for )?(?:personal|educational|academic|research)(?: and| or)? (?:[^ ]+ )?(?:non ?commercial )?use only
-non commercial | non-commercial | for non ?commercial (?:use|purposes)(?: only)?
+use only | non-commercial | (?:for )?(?:personal|educational|academic|research)(?: and| or)? (?:[^ ]+ )?(?:non ?commercial )?use only
+commercial | non-commercial | for non ?commercial (?:use|purposes)(?: only)?
 freeware | freeware | (?:is|as|this) freeware
 shareware | shareware | (?:is|as|this) shareware
-dual licensed | dual-licensed | (?:is |are )?dual licen[cs]ed
+dual licen | dual-licensed | (?:is |are )?dual licen[cs]ed
+the software is provided as is | mit | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+authors or copyright holders be liable | mit | in no event shall the authors or copyright holders be liable for any claim damages or other liability
+mit no attribution | mit-0 | mit no attribution(?: licen[cs]e)?
+opensource org | mit-0 | (?:www )?opensource org licenses? mit 0
+spdx org | mit | (?:www )?spdx org licenses? mit(?: html)?
+choosealicense com | mit | (?:www )?choosealicense com licenses? mit
+choosealicense com | apache | (?:www )?choosealicense com licenses? apache 2 0
+choosealicense com | gpl | (?:www )?choosealicense com licenses? gpl [23] 0
+choosealicense com | mpl | (?:www )?choosealicense com licenses? mpl 2 0
+choosealicense com | unlicense | (?:www )?choosealicense com licenses? unlicense
+spdx org | apache | (?:www )?spdx org licenses? apache [12] [01](?: html)?
+spdx org | bsd | (?:www )?spdx org licenses? bsd [234] clause(?: html)?
+spdx org | gpl | (?:www )?spdx org licenses? gpl [123] 0(?: only| or later)?(?: html)?
+spdx org | lgpl | (?:www )?spdx org licenses? lgpl [23] [01](?: only| or later)?(?: html)?
+spdx org | mpl | (?:www )?spdx org licenses? mpl [12] [01](?: html)?
+opensource org | apache | (?:www )?opensource org licenses? apache(?: license)?(?: 2 0)?(?: php)?
+opensource org | gpl | (?:www )?opensource org licenses? gpl(?: license)?(?: [23] 0)?(?: php)?
+opensource org | lgpl | (?:www )?opensource org licenses? lgpl(?: license)?(?: [23] [01])?(?: php)?
+opensource org | mpl | (?:www )?opensource org licenses? mpl(?: 2 0| 1 1)?(?: php)?
+opensource org | epl | (?:www )?opensource org licenses? epl(?: 1 0| 2 0)?(?: php)?
+opensource org | zlib | (?:www )?opensource org licenses? zlib(?: license)?(?: php)?
+opensource org | artistic | (?:www )?opensource org licenses? artistic(?: license)?(?: 2 0)?(?: php)?
+opensource org | ncsa | (?:www )?opensource org licenses? ncsa
+opensource org | cddl | (?:www )?opensource org licenses? cddl(?: 1 0)?
+opensource org | osl | (?:www )?opensource org licenses? osl(?: 3 0)?
+opensource org | afl | (?:www )?opensource org licenses? afl(?: 3 0)?
+opensource org | upl | (?:www )?opensource org licenses? upl
+opensource org | boost | (?:www )?opensource org licenses? bsl 1 0
+opensource org | postgresql | (?:www )?opensource org licenses? postgresql
+opensource org | eupl | (?:www )?opensource org licenses? eupl(?: 1 [12])?
+opensource org | 0bsd | (?:www )?opensource org licenses? 0bsd
+opensource org | agpl | (?:www )?opensource org licenses? agpl(?: 3 0)?
+opensource org | ms-pl | (?:www )?opensource org licenses? ms pl
+microsoft public | ms-pl | (?:under the )?microsoft public licen[cs]e(?: ms pl)?
+microsoft reciprocal | ms-rl | (?:under the )?microsoft reciprocal licen[cs]e(?: ms rl)?
+isc license | isc | (?:the )?isc license(?: isc)?
+internet systems consortium | isc | internet systems consortium inc isc
+use of this source code is governed | bsd | use of this source code is governed by a bsd style license(?: that can be found in the license file)?
+use of this source code is governed | mit | use of this source code is governed by an mit style license(?: that can be found in the license file)?
+use of this source code is governed | apache | use of this source code is governed by (?:the|an) apache(?: license)?(?: version)? 2 0(?: license)?
+grant of patent license | apache | grant of patent license subject to the terms and conditions of this license
+grant of copyright license | apache | grant of copyright license subject to the terms and conditions of this license
+terms and conditions for use reproduction | apache | terms and conditions for use reproduction and distribution
+limitations under the license | apache | see the license for the specific language governing permissions and limitations under the license
+apache license version 1 1 | apache | (?:the )?apache license version 1 1
+everyone is permitted to copy | gpl | everyone is permitted to copy and distribute verbatim copies of this license document
+without even the implied warranty | gpl | this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty
+free software you can redistribute | gpl | (?:this program|this file|it) is free software you can redistribute it and or modify it
+library is free software | lgpl | this library is free software you can redistribute it and or modify it
+gnu library general | lgpl | gnu library general public license(?: as published by the free software foundation)?
+gnu lesser general public license version | lgpl | gnu lesser general public license version (?:2 1|3)(?: only| or later)?
+gnu affero general public license version | agpl | gnu affero general public license version 3(?: only| or later)?
+nonfree | proprietary | nonfree(?: software)? licen[cs]e
+qt commercial | qt-commercial | (?:under the )?qt commercial license(?: agreement)?
+universal foss exception | gpl-foss-exception | (?:the )?universal foss exception(?: version 1 0)?
+foss license exception | gpl-foss-exception | (?:mysql )?foss license exception
+linux syscall note | linux-syscall-note | (?:with )?linux syscall note
+u boot exception | gpl-uboot-exception | (?:with )?u boot exception(?: 2 0)?
+openssl exception | gpl-openssl-exception | (?:with )?(?:the )?openssl exception
+openjdk assembly exception | gpl-classpath-exception | openjdk assembly exception(?: 1 0)?
+swift exception | apache-swift-exception | (?:with )?swift exception
+runtime library exception | apache-swift-exception | apache license v2 0 with runtime library exception
+mozilla public license v 2 0 | mpl | mozilla public license v 2 0
+exhibit b incompatible | mpl-no-copyleft-exception | exhibit b incompatible with secondary licenses notice
+licenses this file to you under the mozilla | mpl | licenses this file to you under the mozilla public license
+netscape public license | npl | netscape public license(?: version)?(?: 1 [01])?(?: npl)?
+eclipse distribution | edl | eclipse distribution license(?: v| version)?(?: 1 0)?
+secondary licenses are | epl | secondary licenses are (?:the )?gnu general public license version 2
+sun public license | spl | (?:the )?sun public license(?: version)?(?: 1 0)?
+sun industry standards | sissl | sun industry standards source license(?: version)?(?: 1 [12])?
+ibm public license | ipl | ibm public license(?: version)?(?: 1 0)?
+lucent public license | lpl | lucent public license(?: version)?(?: 1 0 2| 1 02)?
+reciprocal public license | rpl | reciprocal public license(?: version)?(?: 1 [15])?
+apple public source | apsl | apple public source license(?: version)?(?: [12] [0-2])?
+nokia open source | nokia | nokia open source license(?: version)?(?: 1 0a)?
+intel open source | intel | intel open source license
+zope public license | zpl | zope public license(?: zpl)?(?: version)?(?: [12] [01])?
+cecill | cecill | (?:under the )?cecill(?: [bc])?(?: free software)?(?: licen[cs]e)?(?: agreement)?
+licence libre du quebec | liliq | licence libre du quebec(?: permissive| reciprocite)?
+gnu all permissive | fsfap | gnu all permissive licen[cs]e
+copying and distribution of this file | fsfap | copying and distribution of this file with or without modification are permitted in any medium without royalty
+imlib2 | imlib2 | imlib2 licen[cs]e
+info zip | info-zip | info zip licen[cs]e
+png | libpng | (?:the )?(?:png reference library|libpng) licen[cs]e(?: version)?(?: 2 0| 2)?
+libtiff | libtiff | libtiff licen[cs]e
+independent jpeg group | ijg | this software is based in part on the work of the independent jpeg group
+freetype project | ftl | (?:the )?freetype project licen[cs]e
+portions of this software are copyright | ftl | portions of this software are copyright [^ ]+ the freetype project
+bzip2 | bzip2 | bzip2(?: and libbzip2)? licen[cs]e
+sqlite blessing | blessing | sqlite blessing
+author disclaims copyright to this source | blessing | the author disclaims copyright to this source code
+may you do good and not evil | blessing | may you do good and not evil
+anti 996 | anti-996 | anti 996 licen[cs]e(?: version)?(?: 1 0)?
+hippocratic | hippocratic | hippocratic licen[cs]e(?: version)?(?: [123] [01])?
+parity public license | parity | parity public license(?: [67] 0 0)?
+prosperity public license | prosperity | prosperity public license(?: 3 0 0)?
+blue oak model | blueoak | blue oak model license(?: 1 0 0)?
+cern open hardware | cern-ohl | cern open hardware licen[cs]e(?: version)?(?: [12])?(?: (?:strongly|weakly) reciprocal| permissive)?
+solderpad | solderpad | solderpad hardware licen[cs]e(?: v| version)?(?: 2 [01])?
+tapr open hardware | tapr-ohl | tapr open hardware licen[cs]e
+free art license | lal | free art license(?: 1 [23])?
+licence art libre | lal | licence art libre(?: 1 [23])?
+design science license | dsl | design science license
+open publication license | opl | open publication license(?: v| version)?(?: 1 0)?
+open content license | opencontent | open content license
+open software license v | osl | open software license v ?[123] [0-2]
+educational community | ecl | educational community license(?: version)?(?: [12] 0)?
+university of illinois | ncsa | university of illinois ncsa open source license
+nasa open source | nasa | nasa open source agreement(?: version)?(?: 1 3)?
+open logistics | open-logistics | open logistics (?:foundation )?licen[cs]e(?: version)?(?: 1 3)?
+community data license | cdla | community data license agreement(?: permissive| sharing)?(?: version)?(?: [12] 0)?
+open data commons | odc | open data commons(?: open database| attribution| public domain dedication)? licen[cs]e
+open database license | odbl | open database license(?: odbl)?(?: v)?(?: 1 0)?
+data licence germany | dl-de | data licence germany(?: attribution| zero)?(?: version)?(?: 2 0)?
+datenlizenz deutschland | dl-de | datenlizenz deutschland(?: namensnennung| zero)?(?: version)?(?: 2 0)?
+crown copyright | ogl-uk | crown copyright(?: and database rights?)?
+norwegian | nlod | norwegian licen[cs]e for open government data nlod
+exclusive royalty free | royalty-free | non ?exclusive royalty free(?: worldwide| perpetual| irrevocable)* licen[cs]e
+royalty free | royalty-free | (?:worldwide|perpetual|irrevocable) royalty free(?: worldwide| perpetual| irrevocable| non exclusive)* licen[cs]e
+responsible ai license | openrail | responsible ai license(?:s)?(?: rail)?
+use based restrictions | openrail | use based restrictions(?: as referenced in paragraph 5)?
+llama materials | llama | (?:the )?llama materials
+acceptable use policy | aup | (?:the )?[^ ]+ acceptable use policy
+research purposes only | non-commercial | (?:for )?(?:non commercial )?research purposes only
+evaluation purposes only | evaluation | (?:for )?(?:internal )?evaluation purposes only
+internal use only | proprietary | (?:for )?internal use only
+trade secret | proprietary | (?:valuable |confidential )?trade secrets? of [^ ]+
+not for redistribution | proprietary | not for redistribution
+subscription agreement | proprietary | (?:terms of the|under (?:the|a)) (?:[^ ]+ ){0,3}?subscription agreement
+terms of service | terms-of-service | (?:subject to|governed by) (?:the |our |these )?terms of service
 """
 #: Statements that suppress the license that they name: keyword, words.
 DENIALS = """
 not | (?:is|are|was) not (?:licen[cs]ed|released|distributed|available|covered|published) under (?:the |an? )?(?:[^ ]+ ){1,6}?licen[cs]e
 no longer | no longer (?:licen[cs]ed|released|distributed|available|covered) under (?:the |an? )?(?:[^ ]+ ){1,6}?licen[cs]e
-incompatible | (?:in|not )compatible with (?:the )?(?:[^ ]+ ){1,6}?licen[cs]e
+compatible with | (?:in|not )compatible with (?:the )?(?:[^ ]+ ){1,6}?licen[cs]e
 unlike | unlike the (?:[^ ]+ ){1,4}?licen[cs]e
 instead of | instead of the (?:[^ ]+ ){1,4}?licen[cs]e
 """
@@ -282,7 +413,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     low = docs.withColumn("_body", F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
     low = low.withColumn("_words", F.concat(F.lit(" "), F.col("_body"), F.lit(" ")))
     words = F.col("_words")
-    gate = words.rlike("|".join([*KEYWORDS, *dict.fromkeys(re.escape(key) for key, *_ in lines(NOTICES) if not any(k in key for k in KEYWORDS[:4]))]))
+    keys = F.array(*(F.lit(key) for key in dict.fromkeys(key for key, *_ in lines(NOTICES)) if not any(k in key for k in KEYWORDS[:4])))
+    gate = words.rlike("|".join(KEYWORDS)) | F.exists(keys, lambda key: F.contains(words, key))
     base = low.withColumn("_base", F.when(F.contains(words, F.lit(" license ")), places(words, F.lit(BASE_RULE))).otherwise(F.expr("cast(array() as array<struct<start:bigint,text:string>>)")))
     base = base.withColumn("_rules", F.when(gate, F.filter(F.array(*table), lambda r: F.contains(words, r["key"]))))
 

@@ -161,3 +161,40 @@ def test_mix_of_odd_rows(spark, odd_docs, no_docs, folder):
     out = mixing.stage(spark, odd_docs, "")
     assert out.columns == odd_docs.columns and mixing.stage(spark, no_docs, "").count() == 0
     assert out.where("text is null or trim(text) = ''").count() >= 2
+
+
+def test_quotas_beyond_the_generator_are_drawn_too(monkeypatch):
+    quotas, sizes = np.array([5 * 10**9, 0, 3, 2 * 10**9 + 1, 999]), np.array([1750001001, 1750000000, 1750000002, 1750000000])
+    parts = mixing.split_quotas(quotas, sizes, [7])
+    assert (parts.sum(0) == quotas).all() and (parts.sum(1) == sizes).all() and (parts >= 0).all()
+    exact = quotas[3] * sizes / sizes.sum()
+    off = parts[:, 3] - exact
+    assert (off != np.floor(off)).any() and 100 < np.abs(off).max() < 10**6  # drawn, not dealt in proportion
+    few = mixing.split_quotas(np.array([40, 7, 0, 25]), np.array([30, 42]), [1])
+    monkeypatch.setattr(mixing, "MOST_DRAWN", 20)
+    many = mixing.split_quotas(np.array([40, 7, 0, 25]), np.array([30, 42]), [1])
+    assert (few.sum(0) == many.sum(0)).all() and (many.sum(1) == [30, 42]).all() and (many >= 0).all()
+
+
+def test_language_equals_a_plain_loop_over_dictionaries(spark, folder):
+    import zstandard
+
+    rng = random.Random(9)
+    rows = [(k, speech(rng, EN if k % 2 else FR, rng.randrange(60, 4000)), "en" if k % 2 else "fr") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(language_id.trained_on(docs))
+    got = {r["doc_id"]: r for r in language_id.query(spark, folder(documents=docs)).collect()}
+    for k, text, _ in rows:
+        sizes = {}
+        for name, raw in model.items():
+            how = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, min_match=language_id.MIN_MATCH, write_checksum=0, write_content_size=0, write_dict_id=0)
+            zip_ = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            data = text.lower().encode()
+            sizes[name] = sum(len(zip_.compress(data[i : i + 8192])) for i in range(0, len(data), 8192))
+        (a, first), (b, _) = sorted((n, name) for name, n in sizes.items())
+        assert got[k]["lang_pred"] == first and got[k]["score"] == pytest.approx(1 - a / b) and got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1)
+
+
+def test_queries_on_empty_tables(spark, no_docs, folder):
+    at = folder(documents=no_docs, labels=spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.query(spark, at).count() == 0 and language_id.query(spark, at).count() == 0 and mixing.query(spark, at).count() == 0

@@ -24,11 +24,31 @@ BLOCKS = 1024
 #: Groups of sources whose quotas are split together; the driver holds a row of shard quotas for each.
 CHUNKS = 1024
 SHARDS, SEED = 16, 20240229
-#: The generator draws from fewer than so many block draws in all; above, parts are proportional.
+#: The generator draws from fewer than so many block draws in all; more are drawn in strata of fewer, all sources in each.
 MOST_DRAWN = 10**9
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def shares(whole: np.ndarray, parts: int) -> list[np.ndarray]:
+    """whole in `parts` parts that add up to it and differ by one at most."""
+    have = np.asarray(whole, object)
+    ends = [have * k // parts for k in range(parts + 1)]
+    return [(b - a).astype(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def drawn_part(rng: np.random.Generator, have: np.ndarray, wanted: int) -> np.ndarray:
+    """Of `have` draws of each source, those among `wanted` ones: multivariate hypergeometric, in strata where there are very many."""
+    total = int(have.sum())
+    if not total:
+        return have
+    strata = shares(have, total // max(MOST_DRAWN - 1, 1) + 1 if total >= MOST_DRAWN else 1)
+    ends, seen = [0], 0
+    for part in strata:
+        seen += int(part.sum())
+        ends.append(wanted * seen // total)
+    return sum((rng.multivariate_hypergeometric(part, b - a, method="marginals") for part, a, b in zip(strata, ends[:-1], ends[1:], strict=True)), np.zeros(len(have), np.int64))
+
+
 def split_quotas(quotas: np.ndarray, sizes: np.ndarray, seed: list[int]) -> np.ndarray:
     """(shards, sources): quotas of sources split exactly over a binary tree of shards, which take `sizes` draws in all."""
     out = np.zeros((len(sizes), len(quotas)), np.int64)
@@ -37,12 +57,9 @@ def split_quotas(quotas: np.ndarray, sizes: np.ndarray, seed: list[int]) -> np.n
         if count == 1:
             out[first] = have
             return
-        left, total = count // 2, int(have.sum())
+        left = count // 2
         wanted = int(sizes[first : first + left].sum())
-        if total < MOST_DRAWN:
-            part = np.random.default_rng([*seed, node]).multivariate_hypergeometric(have, wanted, method="marginals") if total else have
-        else:
-            part = np.diff([int(x) * wanted // total for x in np.cumsum(np.concatenate([[0], have]))])
+        part = drawn_part(np.random.default_rng([*seed, node]), have, wanted)
         split(part, first, left, 2 * node)
         split(have - part, first + left, count - left, 2 * node + 1)
 

@@ -90,7 +90,7 @@ def window_accuracy(records: DataFrame, truth: DataFrame) -> DataFrame:
     asked = asked.groupBy("side", "t").agg(F.count(F.lit(1)).alias("n"))
     asked = asked.crossJoin(F.broadcast(names)).select(F.explode("cluster").alias("cluster"), "side", "t", "n")
     rows = marks.withColumn("mark", F.struct("t")).unionByName(asked, allowMissingColumns=True)
-    seen = scans.with_neighbours(rows, ["cluster", "side"], "t", "mark").where("n > 0")
+    seen = scans.with_neighbours(rows, ["cluster", "side"], "t", "mark", after=False).where("n > 0")
     right = F.col("_before")["t"] >= F.col("t") - hour
     counts = seen.groupBy("cluster").agg(*(F.sum(F.when((F.col("side") == c) & right, F.col("n")).otherwise(0)).alias(n) for c, n in (("s", "correct_starts"), ("e", "correct_ends"))))
     total = truth.agg(F.count(F.lit(1)).alias("total_validation_events"))

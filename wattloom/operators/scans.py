@@ -22,21 +22,19 @@ def bucket(time: str | Column, width: int = DAY) -> Column:
     return F.floor(micros(time) / width).cast("long")
 
 
-def with_neighbours(rows: DataFrame, key: list[str], time: str, value: str, width: int = DAY) -> DataFrame:
-    """rows with `_before` and `_after`: `value` (null where a row has none) of the last row that has one at or before, and of the first
-    at or after each row's time, wherever in the series they are; rows of one time see each other. Also `_bucket`."""
+def with_neighbours(rows: DataFrame, key: list[str], time: str, value: str, width: int = DAY, after: bool = True) -> DataFrame:
+    """rows with `_before` and (unless `after` is false) `_after`: `value` (null where a row has none) of the last row that has one at or
+    before, and of the first at or after each row's time, wherever in the series they are; rows of one time see each other. Also `_bucket`."""
     rows = rows.withColumn("_bucket", bucket(time, width))
-    part = Window.partitionBy(*key, "_bucket")
-    up = part.orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    down = part.orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, 0)  # a frame that only grows
-    inside = rows.withColumns({"_before": F.last(value, True).over(up), "_after": F.last(value, True).over(down)})
     has = F.col(value).isNotNull()
-    ends = rows.groupBy(*key, "_bucket").agg(F.max_by(value, F.when(has, F.col(time))).alias("_l"), F.min_by(value, F.when(has, F.col(time))).alias("_f"))
-    along = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(*key).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*key, "_bucket", F.last("_l", True).over(along).alias("_l"), F.last("_f", True).over(back).alias("_f"))
-    both = inside.join(ends, [*key, "_bucket"])
-    return both.withColumns({"_before": F.coalesce("_before", "_l"), "_after": F.coalesce("_after", "_f")}).drop("_l", "_f")
+    sides = {"_before": (F.col(time), F.max_by, F.col("_bucket"))} | ({"_after": (F.desc(time), F.min_by, F.desc("_bucket"))} if after else {})
+    inside, ends = rows, rows.groupBy(*key, "_bucket").agg(*(pick(value, F.when(has, F.col(time))).alias(f"_in{name}") for name, (_, pick, _) in sides.items()))
+    for name, (order, _, along) in sides.items():
+        frame = Window.partitionBy(*key, "_bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)  # a frame that only grows
+        inside = inside.withColumn(name, F.last(value, True).over(frame))
+        ends = ends.withColumn(f"_of{name}", F.last(f"_in{name}", True).over(Window.partitionBy(*key).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)))
+    both = inside.join(ends.drop(*(f"_in{name}" for name in sides)), [*key, "_bucket"])
+    return both.withColumns({name: F.coalesce(name, f"_of{name}") for name in sides}).drop(*(f"_of{name}" for name in sides))
 
 
 def with_lag(rows: DataFrame, key: list[str], order: list[str], value: str, name: str, width: int = DAY) -> DataFrame:

@@ -34,8 +34,25 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     assert hits / total >= 0.95
 
 
-def test_recall_of_a_graph_that_is_grown_by_search(monkeypatch):
-    monkeypatch.setattr(neighbours, "EXACT", 1024)
+def test_shards_grow_in_number_only():
+    assert [neighbours.shard_count(n, 64, 20) for n in (0, 1, 8192, 8193, 10**9)] == [0, 1, 1, 2, 122071]
+    fit = neighbours.SHARD_BYTES // (12 * 10_000 + 320)
+    assert neighbours.shard_count(100 * fit, 10_000, 20) == 100 and neighbours.shard_count(100 * fit + 1, 10_000, 20) == 101
+    assert neighbours.shard_count(3, 10**8, 20) == 3
+
+
+def test_more_shards_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 20 * (12 * 4 + 320))
+    x = np.random.default_rng(3).normal(size=(500, 4)).astype(np.float32)
+    df = table(spark, [(k, v, 1, 1, 1.0) for k, v in enumerate(x.tolist())])
+    rows = neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert len(rows) == 25 * 20 and neighbours.index(neighbours.usable(df), 20)[1] == {4: 25}
+    for q in range(0, 500, 20):  # shards smaller than a search's beam are searched whole
+        want = brute_force(dict(enumerate(x.tolist())), q)
+        assert [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])] == [k for _, k in want]
+
+
+def test_recall_of_a_graph_larger_than_a_shard():
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(40, 24))[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 24)) * 0.7).astype(np.float32)
     graph, q = neighbours.build(x), x[::400]

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, as flat neighbour arrays.
 
-Equal vectors are one node that carries its smallest ids, so a hot vector costs one node. There are as many shards as
-shuffle partitions at most; beyond, shards grow. A task loads a shard once and answers the queries that stream by; the
-shards' results are merged. Nearness is the inner product: vectors get one more component so that all of a shard have the
+Equal vectors are one node that carries its smallest ids, so a hot vector costs one node. Shards hold some thousand nodes
+each, whatever the table's size, so that a build, a graph's cell and a task's memory are bounded and recall does not fall as
+the table grows; their number grows. A task loads a shard once and answers the queries that stream by; the shards' results
+are merged. Nearness is the inner product: vectors get one more component so that all of a shard have the
 same length, which makes the largest inner product the nearest neighbour.
 """
 
@@ -21,13 +22,10 @@ from pyspark.sql.window import Window
 from wattloom.llm.common import read, written
 
 TOP = 20
-#: Nodes of a shard, about, while there are fewer shards than shuffle partitions; queries that are answered at a time.
-SHARD_NODES, TOGETHER = 8192, 256
-#: Nodes of a layer whose candidates are found by products with all; later ones search the graph of those before, in batches
-#: that grow it by a quarter, beside products with the others of their part of PART.
-EXACT, PART = 16384, 1024
+#: Nodes of a shard and bytes of its graph at most, about (by hash); queries that are answered at a time; rows of a product.
+SHARD_NODES, SHARD_BYTES, TOGETHER, PART = 8192, 1 << 26, 256, 1024
 #: Links of a node (twice as many on the ground), candidates for them, nodes kept in a search, and nodes expanded in a step.
-LINKS, CANDIDATES, BEAM, STEP = 16, 48, 96, 4
+LINKS, CANDIDATES, BEAM, STEP = 16, 48, 144, 4
 SEED = 7
 RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -55,30 +53,22 @@ def nearest_of(sim: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray
 
 
 def layer(x: np.ndarray, members: np.ndarray, most: int) -> np.ndarray:
-    """Links (members, most) among members, in the order in which they enter: each takes diverse near ones of those that have
-    entered before its batch or stand in its part of it; free places go to the nearest that have taken it."""
+    """Links (members, most) among members, in the order in which they enter: each takes diverse ones of the nearest that have
+    entered before it or with its batch, found by products of PART rows at a time; free places go to the nearest that have taken
+    it. Each batch doubles the layer."""
     n, pts = len(members), x[members]
     own = np.full((n, most), -1, np.int32)
     done, size = 0, 64
     while done < n:
-        end = min(n, max(size, done + 1))
-        links = returned(pts, own[:done], most) if end > EXACT else None
+        end = min(n, size)
         for lo in range(done, end, PART):
             part = np.arange(lo, min(end, lo + PART))
-            if links is None:
-                near = np.broadcast_to(np.arange(end), (len(part), end))
-                sim = pts[part] @ pts[:end].T
-                sim[np.arange(len(part)), part] = -np.inf
-            else:
-                entry = np.zeros((TOGETHER, 1), np.int64)
-                seen = [descend(pts, np.arange(done), links, pts[q], entry[: len(q)], CANDIDATES) for q in np.split(part, range(TOGETHER, len(part), TOGETHER))]
-                mates = pts[part] @ pts[part].T
-                np.fill_diagonal(mates, -np.inf)
-                near = np.concatenate([np.concatenate([f for f, _ in seen]), np.broadcast_to(part, (len(part), len(part)))], 1)
-                sim = np.concatenate([np.concatenate([v for _, v in seen]), mates], 1)
-            found, value = nearest_of(sim, near, min(CANDIDATES, near.shape[1]))
+            near = np.broadcast_to(np.arange(end), (len(part), end))
+            sim = pts[part] @ pts[:end].T
+            sim[np.arange(len(part)), part] = -np.inf
+            found, value = nearest_of(sim, near, min(CANDIDATES, end))
             own[part, : most // 2] = diverse(pts, part, found, value, most // 2)
-        done, size = end, 2 * end if 2 * end <= EXACT else max(EXACT, end + end // 4)
+        done, size = end, 2 * end
     return returned(pts, own, most)
 
 
@@ -182,8 +172,7 @@ def index(vectors: DataFrame, top: int) -> tuple[DataFrame, dict[int, int]]:
     first = Window.partitionBy("embedding").orderBy("vec_id")
     nodes = vectors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1)
     nodes = written(nodes.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("embedding")), "nodes")  # at most top + 1 ids
-    most = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = {r["dim"]: min(most, -(-r["count"] // SHARD_NODES)) for r in nodes.groupBy("dim").count().collect()}  # a row for each length of vectors
+    shards = {r["dim"]: shard_count(r["count"], r["dim"], top) for r in nodes.groupBy("dim").count().collect()}  # a row for each length of vectors
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), of_dim(shards)).cast("int"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -195,6 +184,12 @@ def index(vectors: DataFrame, top: int) -> tuple[DataFrame, dict[int, int]]:
     return written(dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, graph binary, ids array<array<long>>"), "graphs"), shards
 
 
+def shard_count(nodes: int, dim: int, top: int) -> int:
+    """Shards for so many nodes: of SHARD_NODES, or of as many as SHARD_BYTES hold (a node has its vector in double and in single
+    precision, some 36 links, and up to top + 1 ids)."""
+    return -(-nodes // max(1, min(SHARD_NODES, SHARD_BYTES // (12 * dim + 160 + 8 * top))))
+
+
 def of_dim(shards: dict[int, int]) -> Column:
     """The number of shards of a row's dim."""
     return F.coalesce(F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))[F.col("dim")], F.lit(1)) if shards else F.lit(1)

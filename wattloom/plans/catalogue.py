@@ -235,12 +235,42 @@ def nearest_cluster(spark, sf):
     return blocks.nearest_cluster(made_deltas(spark, sf), CENTRES).select("device", "block", "cluster")
 
 
-@query()
+def deltas_sql(rows: str, key: str, threshold: float, n: int) -> str:
+    """CTEs from `rows` (key, t, event_id, x) up to `deltas{n}`."""
+    order = f"(PARTITION BY {key} ORDER BY t, event_id"
+    return f"""s{n} AS (SELECT *, avg(x) OVER {order} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM {rows}), c{n} AS (SELECT *, coalesce(abs(sm - lag(sm) OVER {order})) > {threshold}, false) AS cut FROM s{n}),
+    n{n} AS (SELECT *, sum(cut::INT) OVER {order} ROWS UNBOUNDED PRECEDING)::BIGINT AS b FROM c{n}), d{n} AS (SELECT {key}, t, x, b AS block FROM n{n} UNION ALL SELECT {key}, t, x, b - 1 FROM n{n} WHERE cut),
+    blocks{n} AS (SELECT {key}, block, max(t) AS b_end, avg(x) AS b_mean FROM d{n} GROUP BY {key}, block HAVING min(t) < max(t)),
+    deltas{n} AS (SELECT *, coalesce(lead(b_mean) OVER (PARTITION BY {key} ORDER BY block) - b_mean, 0) AS delta FROM blocks{n})"""
+
+
+def paired_sql(key: str, n: int = 1) -> str:
+    """CTEs from `deltas{n}` and `centres` (k, p) up to `records{n}`: a row of the recursion for each step, with what is open after it and what it has closed."""
+    nearest = "list_position(list_transform(act, lambda a: abs(a.p + delta)), list_min(list_transform(act, lambda a: abs(a.p + delta))))"
+    return f"""steps{n} AS MATERIALIZED (SELECT {key}, delta, b_end, row_number() OVER (PARTITION BY {key} ORDER BY block) AS n, max(b_end) OVER (PARTITION BY {key}) AS last,
+        list_sort(list_transform((SELECT list(struct_pack(k := k, p := p)) FROM centres), lambda c: struct_pack(d := abs(delta - c.p), k := c.k)))[1].k AS k FROM deltas{n}),
+    fold{n} AS (SELECT DISTINCT {key}, 0::BIGINT AS n, NULL::TIMESTAMP AS last, []::STRUCT(k INT, p DOUBLE, t TIMESTAMP)[] AS act, NULL::STRUCT(k INT, t0 TIMESTAMP, t1 TIMESTAMP, agg INT) AS rec FROM steps{n} UNION ALL
+        SELECT {key}, n, last, CASE WHEN delta > 0 THEN list_append(act, struct_pack(k := k::INT, p := delta, t := b_end)) WHEN j IS NULL THEN act ELSE list_concat(act[1:j - 1], act[j + 1:]) END,
+            CASE WHEN j IS NOT NULL THEN struct_pack(k := act[j].k, t0 := act[j].t, t1 := b_end, agg := (len(list_filter(act, lambda a: a.k = act[j].k)) - 1)::INT) END
+        FROM (SELECT steps{n}.*, f.act, CASE WHEN delta < 0 AND len(f.act) > 0 THEN {nearest} END AS j FROM (SELECT {key}, n + 1 AS n, act FROM fold{n}) f JOIN steps{n} USING ({key}, n))),
+    ends{n} AS (SELECT {key}, arg_max(act, n) AS act, max(last) AS last, count(rec) AS closed FROM fold{n} GROUP BY {key}),
+    rest{n} AS (SELECT {key}, act, last, closed, unnest(range(1, len(act) + 1)) AS i FROM ends{n}),
+    records{n} AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY n) - 1)::INT AS emission, rec.k AS "clusterId", rec.t0 AS starttime, rec.t1 AS endtime, rec.agg AS "aggNum" FROM fold{n} WHERE rec IS NOT NULL UNION ALL
+        SELECT {key}, (closed + i - 1)::INT, act[i].k, act[i].t, last, len(list_filter(act[i + 1:], lambda a: a.k = act[i].k))::INT FROM rest{n})"""
+
+
+CENTRES_SQL = f"centres AS (SELECT * FROM (VALUES {', '.join(map(str, CENTRES))}) v(k, p))"
+PASSES = """both_ AS (SELECT *, 1 AS pass FROM records1 UNION ALL SELECT *, 2 FROM records2),
+    records AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY pass, seg, emission)::INT AS "recordId" FROM both_)"""
+
+
+@query(f"WITH RECURSIVE {EV}, {CENTRES_SQL}, {deltas_sql('ev', 'device', 60, 1)}, {paired_sql('device')} SELECT * FROM records1")
 def on_off_records(spark, sf):
     return blocks.on_off_records(made_deltas(spark, sf), DEVICE, CENTRES)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, {CENTRES_SQL}, all_ AS (SELECT *, 0 AS seg FROM ev), others AS (SELECT * FROM all_ WHERE x > 5), {deltas_sql("all_", "device, seg", 60, 1)}, {paired_sql("device, seg", 1)},
+    {deltas_sql("others", "device, seg", 30, 2)}, {paired_sql("device, seg", 2)}, {PASSES} SELECT * FROM records""")
 def two_pass_records(spark, sf):
     rows = readings(spark, sf).withColumn("seg", F.lit(0))
     return blocks.decomposed(rows, rows.where("x > 5"), EVENT, "x", CENTRES, 60.0, 30.0)

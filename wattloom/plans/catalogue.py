@@ -587,16 +587,36 @@ def chain(spark, sf):
     return ready, *pipeline.records_of(ready, DEVICE, "x", labels, "ave_curnt")
 
 
-@query()
+#: The chain's events with their kinds, labels by size of the mono events' mean, and the records of both passes.
+CHAIN = f"""WITH RECURSIVE {PHASED}, {segments_sql(5, 10)} {PULSES}, kinds AS (SELECT device, seg, variance < 20000 OR pulses = 1 AS is_mono FROM segs JOIN pulses USING (device, seg)),
+    ready AS (SELECT runs.*, is_mono FROM runs JOIN kinds USING (device, seg)), others AS (SELECT * FROM ready WHERE NOT is_mono),
+    r AS (SELECT device, seg, row_number() OVER (PARTITION BY device, seg ORDER BY ready.t, event_id) AS rn, pf * base AS a, i AS c FROM ready JOIN (SELECT event_id, i, pf, base FROM ev) USING (event_id) WHERE is_mono),
+    f AS (SELECT avg(a) FILTER (rn > 5) AS ave_real, avg(c) FILTER (rn > 5) AS ave_curnt FROM r GROUP BY device, seg HAVING count(*) FILTER (rn > 5) >= 10),
+    centres AS (SELECT CASE WHEN ave_real < 3 THEN 0 WHEN ave_real < 5 THEN 1 ELSE 2 END AS k, avg(ave_curnt) AS p FROM f GROUP BY 1),
+    {deltas_sql("ready", "device, seg", 10, 1)}, {paired_sql("device, seg", 1)}, {deltas_sql("others", "device, seg", 3, 2)}, {paired_sql("device, seg", 2)}, {PASSES}"""
+
+
+@query(f"{CHAIN} SELECT * FROM records")
 def decomposed_chain(spark, sf):
     return chain(spark, sf)[1]
 
 
-@query()
+def keyed_metrics_sql(key: str) -> str:
+    """CTE `scores` (key and all metrics) from `j` (key, p, v)."""
+    return f"""scores AS (SELECT {key}, 1 - coalesce(sum(v) FILTER (p < v), 0) / nullif(sum(v), 0) AS inclusion, (sum(v) - coalesce(sum(v) FILTER (p < v), 0)) / nullif(sum(p), 0) AS matching,
+        1 - count(*) FILTER (p < v) / nullif(count(*) FILTER (v > 0), 0) AS time_inclusion, count(*) FILTER (p > 0 AND v > 0) / nullif(count(*) FILTER (p > 0 OR v > 0), 0) AS time_matching,
+        least(count(*) FILTER (p > 0), count(*) FILTER (v > 0)) / nullif(count(*) FILTER (p > 0), 0) AS time_matching_ratio, sum(v) / nullif(sum(p), 0) AS information_ratio,
+        avg(abs(p - v)) FILTER (v > 0) AS active_error, avg(abs(p - v)) FILTER (v <= 0) AS inactive_error, avg((p - v) * (p - v)) AS mse, avg(abs(p - v)) AS mae FROM j GROUP BY {key})"""
+
+
+@query(f"""{CHAIN}, e AS (SELECT "clusterId", min(starttime) AS a, max(endtime) AS b FROM records GROUP BY 1), g AS (SELECT "clusterId" AS cluster, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS minute FROM e),
+    pr AS (SELECT g.cluster, g.minute, count(starttime) * any_value(centres.p) AS p FROM g JOIN centres ON k = cluster LEFT JOIN records ON "clusterId" = cluster AND minute BETWEEN starttime AND endtime GROUP BY 1, 2),
+    tr AS (SELECT date_trunc('minute', t) AS minute, avg(x) AS v FROM ev GROUP BY 1), a AS (SELECT cluster, minute FROM (SELECT DISTINCT cluster FROM pr), tr UNION SELECT cluster, minute FROM pr),
+    j AS (SELECT a.cluster, coalesce(p, 0) AS p, v FROM a LEFT JOIN pr USING (cluster, minute) LEFT JOIN tr USING (minute)), {keyed_metrics_sql("cluster")} SELECT cluster, {", ".join(f"round({c}, 4) AS {c}" for c in NAMES)} FROM scores""")
 def evaluated_chain(spark, sf):
     _, records, powers = chain(spark, sf)
     truth = readings(spark, sf).groupBy(F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute")).agg(F.avg("x").alias("value"))
-    return pipeline.evaluated(records, powers, truth)
+    return pipeline.evaluated(records, powers, truth).select("cluster", *(r4(c) for c in NAMES))
 
 
 #: The readings of a kind as the prediction of a file; the truth: the mean of all readings of a minute, in whole hundredths.
@@ -606,13 +626,10 @@ FILES = f"""{GRID}, p AS (SELECT g.kind, g.g, ev.t AS t0, ev.x AS x0 FROM g ASOF
     tr AS (SELECT date_trunc('minute', ts) AS minute, greatest(max(value) - 150, 0) AS v FROM events GROUP BY 1),
     a AS (SELECT file, minute FROM (SELECT DISTINCT file FROM pr), tr UNION SELECT file, minute FROM pr),
     j AS (SELECT a.file, coalesce(p, 0) AS p, v FROM a LEFT JOIN pr USING (file, minute) LEFT JOIN tr USING (minute)),
-    m AS (SELECT file, 1 - coalesce(sum(v) FILTER (p < v), 0) / nullif(sum(v), 0) AS inclusion, (sum(v) - coalesce(sum(v) FILTER (p < v), 0)) / nullif(sum(p), 0) AS matching,
-    1 - count(*) FILTER (p < v) / nullif(count(*) FILTER (v > 0), 0) AS time_inclusion, count(*) FILTER (p > 0 AND v > 0) / nullif(count(*) FILTER (p > 0 OR v > 0), 0) AS time_matching,
-    least(count(*) FILTER (p > 0), count(*) FILTER (v > 0)) / nullif(count(*) FILTER (p > 0), 0) AS time_matching_ratio, sum(v) / nullif(sum(p), 0) AS information_ratio,
-    avg(abs(p - v)) FILTER (v > 0) AS active_error, avg(abs(p - v)) FILTER (v <= 0) AS inactive_error, avg((p - v) * (p - v)) AS mse, avg(abs(p - v)) AS mae FROM j GROUP BY file)"""
+    {keyed_metrics_sql("file")}"""
 
 
-@query(f"{FILES} SELECT file, {', '.join(f'round({c}, 4) AS {c}' for c in NAMES)} FROM m")
+@query(f"{FILES} SELECT file, {', '.join(f'round({c}, 4) AS {c}' for c in NAMES)} FROM scores")
 def evaluated_files(spark, sf):
     rows = readings(spark, sf)
     pred = rows.select(F.col("kind").alias("file"), "t", F.col("x").alias("workingPower"))

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.operators import blocks, metrics, scans, segments
+from wattloom.functions.columns import Axis
+from wattloom.operators import blocks, metrics, scans, segments, series
 
 START = dt.datetime(2024, 1, 1)
 
@@ -34,6 +35,50 @@ def test_lag_across_buckets(spark):
     assert got == {float(k): float(k - 1) if k else None for k in range(50)}
 
 
+def test_runs_across_buckets_equal_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows, k = [], 0
+    for device in (1, 2, 3, None):
+        on, minute = False, 0
+        for _ in range(400):
+            on = on != (rng.random() < 0.03)
+            minute += rng.choice([1, 5, 60, 60, 2000])
+            rows.append((device, k, at(minute) if rng.random() < 0.98 else None, rng.choice([2.0, 9.0]) if on else rng.choice([0.0, None])))
+            k += 1
+    df = spark.createDataFrame(rows, "device int, id int, t timestamp_ntz, x double")
+    got = {(r["device"], r["id"]): r["seg"] for r in segments.runs(df, Axis(("device",), "t", ("id",)), "x", 1.0).collect()}
+    want = {}
+    for device in (1, 2, 3, None):
+        run, was, mine = 0, False, {}
+        for _, id_, _, x in sorted((r for r in rows if r[0] == device), key=lambda r: (r[2] is not None, r[2] or START, r[1])):
+            on = (x or 0) >= 1
+            run += on and not was
+            if on:
+                mine[device, id_] = run
+            was = on
+        want |= {at_: n for at_, n in mine.items() if not (was and n == run)}
+    assert got == want and len({n for n in want.values()}) > 3
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_truth_events_across_buckets_equal_a_plain_loop(spark, descending):
+    rng = random.Random(5)
+    rows, minute, q = [], 0, 0.0
+    for k in range(600):
+        minute += rng.choice([1, 30, 300])
+        q += rng.choice([0.0, 0.0, 1.0]) if k % 40 < 20 else 1.0
+        rows.append((1, at(minute), None if rng.random() < 0.02 else q))
+    got = series.truth_events(spark.createDataFrame(rows, "device int, t timestamp_ntz, q double"), Axis(), "q", descending).collect()
+    kept = [r for r in rows if descending or r[2] is not None]
+    changed = [k > 0 and not (kept[k][2] is not None and kept[k][2] == kept[k - 1][2]) for k in range(len(kept))]
+    want = []
+    for k, now in enumerate(changed):
+        if now and not changed[k - 1]:
+            last = next((n for n in range(k, len(kept)) if not changed[n]), len(kept))
+            want.append((kept[k][1], kept[last - 1][1] if descending or last == len(kept) else kept[last][1]))
+    assert sorted((r["starttime"], r["endtime"]) for r in got) == want
+
+
 def plain_matches(truth, signal, pumps):
     out = {}
     for pump in pumps:

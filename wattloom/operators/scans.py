@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+MONTH = 30 * DAY
+#: The bucket of rows without a time, which stand first.
+TIMELESS = -(2**62)
 
 
 def micros(c: str | Column) -> Column:
@@ -37,11 +40,33 @@ def with_neighbours(rows: DataFrame, key: list[str], time: str, value: str, widt
     return both.withColumns({name: F.coalesce(name, f"_of{name}") for name in sides}).drop(*(f"_of{name}" for name in sides))
 
 
-def with_lag(rows: DataFrame, key: list[str], order: list[str], value: str, name: str, width: int = DAY) -> DataFrame:
-    """rows with `name`: `value` of the row before, also where that lies in an earlier bucket; and `_bucket`. The first of `order` is the time."""
-    rows = rows.withColumn("_bucket", bucket(order[0], width))
-    w = Window.partitionBy(*key, "_bucket").orderBy(*order)
-    last = rows.groupBy(*key, "_bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_l"))
-    last = last.select(*key, "_bucket", F.lag("_l").over(Window.partitionBy(*key).orderBy("_bucket")).alias("_l"))
+def with_lag(rows: DataFrame, key: list[str], order: list[str], value: str, name: str, width: int = MONTH) -> DataFrame:
+    """rows with `name`: `value` of the row before, also where that lies in an earlier bucket; and `_bucket`. The first of `order` is the time.
+    Rows without a key are one series, rows without a time its first."""
+    rows = rows.withColumns({"_key": F.struct(*key), "_bucket": F.coalesce(bucket(order[0], width), F.lit(TIMELESS))})
+    w = Window.partitionBy("_key", "_bucket").orderBy(*order)
+    last = rows.groupBy("_key", "_bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_l"))
+    last = last.select("_key", "_bucket", F.lag("_l").over(Window.partitionBy("_key").orderBy("_bucket")).alias("_l"))
     inside = rows.withColumns({name: F.lag(value).over(w), "_n": F.row_number().over(w)})
-    return inside.join(last, [*key, "_bucket"]).withColumn(name, F.when(F.col("_n") == 1, F.col("_l")[value]).otherwise(F.col(name))).drop("_n", "_l")
+    return inside.join(last, ["_key", "_bucket"]).withColumn(name, F.when(F.col("_n") == 1, F.col("_l")[value]).otherwise(F.col(name))).drop("_n", "_l", "_key")
+
+
+def with_runs(rows: DataFrame, key: list[str], order: list[str], on: Column, name: str, width: int = MONTH) -> DataFrame:
+    """rows with `_on` (as `on` says, which is never null), `_was` (the row before is on), `name` (how many runs of rows that are on have
+    begun up to here, this row included) and `_open` (the last of these lasts to the series' end).
+
+    A bucket leaves behind how it begins and ends and how many runs begin in it; a run that goes on from the bucket before is
+    counted there. Rows without a key are one series, rows without a time its first.
+    """
+    rows = rows.withColumns({"_key": F.struct(*key), "_bucket": F.coalesce(bucket(order[0], width), F.lit(TIMELESS)), "_on": on})
+    w = Window.partitionBy("_key", "_bucket").orderBy(*order)
+    inside = rows.withColumns({"_was": F.lag("_on").over(w), "_end": F.lead("_on").over(w).isNull()})
+    inside = inside.withColumn("_k", F.sum((F.col("_on") & ~F.coalesce("_was", F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = inside.groupBy("_key", "_bucket").agg(F.bool_or(F.col("_was").isNull() & F.col("_on")).alias("_a"), F.bool_or(F.col("_end") & F.col("_on")).alias("_z"), F.max("_k").alias("_n"))
+    along = Window.partitionBy("_key").orderBy("_bucket")
+    ends = ends.withColumn("_before", F.lag("_z", 1, False).over(along)).withColumn("_new", F.col("_n") - (F.col("_a") & F.col("_before")).cast("int"))
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.withColumns({"_base": F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"), "_last": F.when(F.last("_z").over(whole), F.sum("_new").over(whole))})
+    both = inside.join(ends.select("_key", "_bucket", "_before", "_base", "_last"), ["_key", "_bucket"])
+    both = both.withColumns({"_was": F.coalesce("_was", "_before"), name: F.col("_base") + F.col("_k")}).withColumn("_open", F.coalesce(F.col(name) == F.col("_last"), F.lit(False)))
+    return both.drop("_key", "_bucket", "_end", "_k", "_before", "_base", "_last")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wattloom.functions.columns import Axis, active, known, minutes
 from wattloom.functions.session import with_checkpoints
+from wattloom.operators import scans
 
 #: Bins of a round of selection.
 BINS = 1024
@@ -16,14 +17,10 @@ BINS = 1024
 def runs(samples: DataFrame, axis: Axis, signal: str, threshold: float) -> DataFrame:
     """The active samples with `seg`, the number of their run in the series. A run that lasts to the series' end is unfinished and dropped.
 
-    One shuffle on the key serves this and all that groups by key and seg.
+    Series are scanned by 30 days (operators/scans.py), so that no task holds more of one, however long it is.
     """
-    w = axis.window()
-    marked = samples.withColumn("_on", active(signal, threshold)).withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
-    starts = marked.withColumn("_start", (F.col("_on") & ~F.lag("_on", 1, False).over(w)).cast("int"))
-    numbered = starts.withColumn("seg", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
-    whole = Window.partitionBy(*axis.key, "seg")
-    return numbered.withColumn("_open", F.max("_end").over(whole)).where("not _open").drop("_on", "_end", "_start", "_open")
+    found = scans.with_runs(samples, list(axis.key), [axis.time, *axis.tie], active(signal, threshold), "seg")
+    return found.where("_on and not _open").drop("_on", "_was", "_open")
 
 
 def segments(samples: DataFrame, axis: Axis, signal: str, threshold: float, more_minutes: float = 10.0, factors: tuple[str, ...] = ()) -> DataFrame:

@@ -93,10 +93,10 @@ def aligned_to_zero(pred: DataFrame, val: DataFrame, minute: str = "minute", by:
 
 def working_power(counter: DataFrame, axis: Axis, quantity: str) -> DataFrame:
     """counter with power: 10 times the quantity's increase by hours passed; 0 in the first row, null without time passed."""
-    w = axis.window()
-    hours = gap(F.lag(axis.time).over(w), F.col(axis.time)) / 3.6e9
-    rate = F.try_divide(10 * (F.col(quantity) - F.lag(quantity).over(w)), hours)
-    return counter.withColumn("power", F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise(rate))
+    rows = scans.with_lag(counter.withColumn("_row", F.struct(axis.time, quantity)), list(axis.key), [axis.time, *axis.tie], "_row", "_prior")
+    before = F.col("_prior")
+    rate = F.try_divide(10 * (F.col(quantity) - before[quantity]), gap(before[axis.time], F.col(axis.time)) / 3.6e9)
+    return rows.withColumn("power", F.when(before.isNull(), F.lit(0.0)).otherwise(rate)).drop("_row", "_prior", "_bucket")
 
 
 def truth_events(counter: DataFrame, axis: Axis, quantity: str, descending: bool = False) -> DataFrame:
@@ -108,11 +108,8 @@ def truth_events(counter: DataFrame, axis: Axis, quantity: str, descending: bool
     """
     rows = counter.withColumn(quantity, known(F.col(quantity).cast("double")))
     rows = rows if descending else rows.where(F.col(quantity).isNotNull())
-    w = axis.window()
-    before = F.lag(quantity).over(w)
-    change = (F.row_number().over(w) > 1) & ~F.coalesce(F.col(quantity) == before, F.lit(False))
-    marked = rows.withColumns({"_c": change, "_next": F.lead(axis.time).over(w)})
-    started = marked.withColumn("_s", (F.col("_c") & ~F.lag("_c", 1, False).over(w)).cast("int"))
-    numbered = started.withColumn("_run", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_c")
-    end = F.max(axis.time) if descending else F.max(F.coalesce("_next", axis.time))
-    return numbered.groupBy(*axis.key, "_run").agg(F.min(axis.time).alias("starttime"), end.alias("endtime")).drop("_run")
+    key, order = list(axis.key), [axis.time, *axis.tie]
+    rows = scans.with_lag(rows.withColumn("_row", F.struct(quantity)), key, order, "_row", "_prior").drop("_row", "_bucket")
+    change = F.col("_prior").isNotNull() & ~F.coalesce(F.col(quantity) == F.col("_prior")[quantity], F.lit(False))
+    found = scans.with_runs(rows, key, order, change, "_run").where("_on" if descending else "_on or _was")
+    return found.groupBy(*key, "_run").agg(F.min(F.when(F.col("_on"), F.col(axis.time))).alias("starttime"), F.max(axis.time).alias("endtime")).drop("_run")

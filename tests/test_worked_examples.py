@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,21 @@ def test_repairs_stream_through_small_batches(spark):
     assert [r["smoothed"] for r in gap] == [5, 5, None, 5, 5]
 
 
+def test_repairs_equal_a_plain_loop_whatever_the_chunks():
+    """Random series with equal values, gaps and long runs of rewritten windows, dealt in chunks of every size."""
+    rng = random.Random(11)
+    levels = [0, 0.4, 0.9, 5, 5.5, 9, 14, float("inf")]
+    for _ in range(300):
+        values = [float(rng.choice(levels[: rng.randint(2, 8)])) if rng.random() < 0.95 else float("nan") for _ in range(rng.randint(0, 60))]
+        for passes, plain in ((smoothing.repaired(), my_repair), (smoothing.levelled(), my2_repair)):
+            chain, done, at_ = smoothing.Chain(passes), [], 0
+            while at_ < len(values):
+                n = rng.randint(1, 9)
+                done += chain.push(np.array(values[at_ : at_ + n])).tolist()
+                at_ += n
+            assert done + chain.flush().tolist() == pytest.approx(plain(values), rel=0, abs=0, nan_ok=True)
+
+
 def test_smoothers_keep_a_constant(spark):
     for method in ("savgol", "gaussian", "centred"):
         got = smoothing.smoothed(signal(spark, [7.0] * 9), AXIS, "x", method).collect()

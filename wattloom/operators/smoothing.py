@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from wattloom.functions.columns import Axis, clipped
+from wattloom.functions.session import reachable
 
 #: Weights of a cubic fitted to five samples: in the middle, and at the first two places of an edge.
 MIDDLE = [x / 35 for x in (-3, 12, 17, 12, -3)]
@@ -66,26 +68,49 @@ def centred(signal: Column, w: WindowSpec, length: int = 5) -> Column:
     return F.avg(signal).over(w.rowsBetween(-half, half))
 
 
-Rule = Callable[..., tuple[float, ...]]
+#: Cases of a rule, the first that holds counts: when it holds for a window's values (one window's, or arrays of many windows'), and what it makes of one.
+Rule = list[tuple[Callable, Callable[..., tuple[float, ...]]]]
 
 
 class Slide:
-    """Rewrites each window of `width` values in turn by `rule`; a window sees what those before it wrote. One with a missing value stays as it is."""
+    """Rewrites each window of `width` values in turn by `rule`; a window sees what those before it wrote. One with a missing value (NaN) stays as it is.
+
+    Where the rule holds is looked up for all windows at once; only those that may see rewritten values are walked one by one.
+    """
 
     def __init__(self, width: int, rule: Rule):
-        self.width, self.rule, self.held = width, rule, []
+        self.width, self.rule, self.held = width, rule, np.empty(0)
 
-    def push(self, x: float | None) -> list[float | None]:
+    def push(self, values: np.ndarray) -> np.ndarray:
         """What no later window can change."""
-        self.held.append(x)
-        if len(self.held) < self.width:
-            return []
-        if not any(v is None or v != v for v in self.held):
-            self.held = list(self.rule(*self.held))
-        return [self.held.pop(0)]
-
-    def flush(self) -> list[float | None]:
-        out, self.held = self.held, []
+        held = np.concatenate([self.held, values])
+        n = len(held) - self.width + 1
+        if n > 0:
+            with np.errstate(invalid="ignore"):
+                sides = [held[k : k + n] for k in range(self.width)]
+                holds = np.logical_or.reduce([when(*sides) for when, _ in self.rule])
+            self.walk(held, np.flatnonzero(holds).tolist(), n)
+        self.held = held[max(n, 0) :]
+        return held[: max(n, 0)]
+
+    def walk(self, held: np.ndarray, starts: list[int], n: int) -> None:
+        """Rewrites held from each of `starts` on, until no window sees a rewritten value."""
+        k = 0
+        for start in starts:
+            if start < k:
+                continue  # walked already
+            k = last = start
+            while k <= last and k < n:
+                window = held[k : k + self.width].tolist()
+                for when, then in self.rule:
+                    if when(*window):
+                        held[k : k + self.width] = then(*window)
+                        last = k + self.width - 1
+                        break
+                k += 1
+
+    def flush(self) -> np.ndarray:
+        out, self.held = self.held, np.empty(0)
         return out
 
 
@@ -95,54 +120,38 @@ class Chain:
     def __init__(self, passes: list[tuple[int, Rule]]):
         self.slides = [Slide(width, rule) for width, rule in passes]
 
-    def push(self, values: list[float | None]) -> list[float | None]:
+    def push(self, values: np.ndarray) -> np.ndarray:
         for s in self.slides:
-            values = [y for x in values for y in s.push(x)]
+            values = s.push(values)
         return values
 
-    def flush(self) -> list[float | None]:
-        left: list[float | None] = []
+    def flush(self) -> np.ndarray:
+        left = np.empty(0)
         for s in self.slides:
-            left = [*(y for x in left for y in s.push(x)), *s.flush()]
+            left = np.concatenate([s.push(left), s.flush()])
         return left
 
 
 def single(trigger: float, delta: float) -> Rule:
-    def rule(a: float, b: float, c: float) -> tuple[float, ...]:
-        hit = abs(c - a) < trigger and abs(c + a - 2 * b) > delta
-        return a, a + (c - a) / 2 if hit else b, c
-
-    return rule
+    return [(lambda a, b, c: (abs(c - a) < trigger) & (abs(c + a - 2 * b) > delta), lambda a, b, c: (a, a + (c - a) / 2, c))]
 
 
 def double(trigger: float, delta: float) -> Rule:
-    def rule(a: float, b: float, c: float, d: float) -> tuple[float, ...]:
-        middle = a + (d - a) / 2
-        return (a, middle, middle, d) if abs(d - a) < trigger and abs(d + a - (b + c) / 2) > delta else (a, b, c, d)
+    def between(a: float, b: float, c: float, d: float) -> tuple[float, ...]:
+        return a, a + (d - a) / 2, a + (d - a) / 2, d
 
-    return rule
+    return [(lambda a, b, c, d: (abs(d - a) < trigger) & (abs(d + a - (b + c) / 2) > delta), between)]
 
 
 def triple(trigger: float, delta: float) -> Rule:
-    def rule(a: float, b: float, c: float) -> tuple[float, ...]:
-        if b - a < -trigger and b - c < -trigger:
-            return a, c, c
-        if b - a > trigger and b - c > trigger:
-            return a, a, c
-        if abs(c - a) < delta and abs(b - a) < delta:
-            mean = (a + b + c) / 3
-            return mean, mean, mean
-        return a, b, c
-
-    return rule
+    dip = (lambda a, b, c: (b - a < -trigger) & (b - c < -trigger), lambda a, b, c: (a, c, c))
+    spike = (lambda a, b, c: (b - a > trigger) & (b - c > trigger), lambda a, b, c: (a, a, c))
+    flat = (lambda a, b, c: (abs(c - a) < delta) & (abs(b - a) < delta), lambda a, b, c: ((a + b + c) / 3,) * 3)
+    return [dip, spike, flat]
 
 
 def bridged(trigger: float) -> Rule:
-    def rule(a: float, b: float, c: float, d: float) -> tuple[float, ...]:
-        hit = abs(a - d) < trigger and abs(b - a) > trigger and abs(b - c) > trigger
-        return (a, (a + d) / 2, (a + d) / 2, d) if hit else (a, b, c, d)
-
-    return rule
+    return [(lambda a, b, c, d: (abs(a - d) < trigger) & (abs(b - a) > trigger) & (abs(b - c) > trigger), lambda a, b, c, d: (a, (a + d) / 2, (a + d) / 2, d))]
 
 
 def repaired(trigger: float = 1.0, delta: float = 1.0) -> list[tuple[int, Rule]]:
@@ -167,25 +176,31 @@ def streamed(samples: DataFrame, axis: Axis, signal: str, passes: list[tuple[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, now, waiting = Chain(passes), None, None  # waiting: rows whose values the chain still holds
 
-        def given(rows: pa.Table, done: list[float | None]) -> Iterator[pa.RecordBatch]:
-            yield from rows.slice(0, len(done)).append_column("smoothed", pa.array(done, pa.float64())).combine_chunks().to_batches()
+        def given(rows: pa.Table, done: np.ndarray) -> Iterator[pa.RecordBatch]:
+            rows = rows.slice(0, len(done))
+            values = pa.array(done, pa.float64(), mask=rows.column(signal).is_null().to_numpy())  # a missing value stays missing
+            yield from rows.append_column("smoothed", values).combine_chunks().to_batches()
 
         for b in batches:
-            done: list[float | None] = []
+            if not b.num_rows:
+                continue
+            done = []
             series = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
-            values = b.column(signal).cast(pa.float64()).to_pylist()
+            values = b.column(signal).cast(pa.float64()).to_numpy(zero_copy_only=False)
             edges = [k for k in range(len(series)) if not k or series[k] != series[k - 1]]
             for lo, hi in zip(edges, [*edges[1:], len(series)], strict=True):
                 if series[lo] != now:
-                    done += chain.flush()
+                    done.append(chain.flush())
                     now = series[lo]
-                done += chain.push(values[lo:hi])
+                done.append(chain.push(values[lo:hi]))
             rows = pa.Table.from_batches([b]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([b])])
-            yield from given(rows, done)
-            waiting = rows.slice(len(done))
+            ready = np.concatenate(done)
+            yield from given(rows, ready)
+            waiting = rows.slice(len(ready))
         if waiting is not None:
             yield from given(waiting, chain.flush())
 
+    reachable(samples.sparkSession)
     rows = samples.repartition(*keys).sortWithinPartitions(*keys, axis.time, *axis.tie)
     return rows.mapInArrow(run, schema)
 

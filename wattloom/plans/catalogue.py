@@ -198,14 +198,42 @@ def conv_valid(spark, sf):
     return smoothing.smoothed(readings(spark, sf), DEVICE, "x", "conv").where("smoothed is not null").select("event_id", r4("smoothed"))
 
 
-@query()
+def slide_sql(name: str, source: str, made: list[str]) -> str:
+    """CTEs up to `name` (device, n, len, y): the windows of `source` one after the other, each value of a window (a, b, ...) as `made` says."""
+    width, names = len(made), "abcd"[: len(made)]
+    first = ", ".join(f"lead(y, {k}) OVER (PARTITION BY device ORDER BY n) AS {c}" for k, c in enumerate(names))
+    after = ", ".join(f"p.{b} AS {a}" for a, b in zip(names, names[1:], strict=False))
+    out = ", ".join(f"{m} AS {c}" for m, c in zip(made, names, strict=True))
+    ends = "".join(f" UNION ALL SELECT device, n + {k}, len, {c} FROM {name}_f WHERE n = len - {width - 1}" for k, c in enumerate(names) if k)
+    return f"""{name}_w AS (SELECT device, n, {out} FROM (SELECT device, n, len, {first} FROM {source}) WHERE n = 1 AND len >= {width}
+        UNION ALL SELECT device, n, {out} FROM (SELECT p.device, p.n + 1 AS n, {after}, s.y AS {names[-1]} FROM {name}_w p JOIN {source} s ON s.device = p.device AND s.n = p.n + {width})),
+    {name}_f AS (SELECT w.*, s.len FROM {name}_w w JOIN {source} s ON s.device = w.device AND s.n = w.n),
+    {name} AS MATERIALIZED (SELECT device, n, len, a AS y FROM {name}_f{ends} UNION ALL SELECT device, n, len, y FROM {source} WHERE len < {width})"""
+
+
+def repairs_sql(passes: list[list[str]]) -> str:
+    names = [f"s{k}" for k in range(len(passes) + 1)]
+    slides = ", ".join(slide_sql(names[k + 1], names[k], made) for k, made in enumerate(passes))
+    return f"""WITH RECURSIVE {EV}, s0 AS MATERIALIZED (SELECT device, event_id, row_number() OVER (PARTITION BY device ORDER BY t, event_id) AS n, count(*) OVER (PARTITION BY device) AS len, x::DOUBLE AS y FROM ev), {slides}
+SELECT s0.event_id, s.y AS smoothed, CASE WHEN s.y > 3 THEN s.y ELSE 0 END AS clipped FROM s0 JOIN {names[-1]} s ON s.device = s0.device AND s.n = s0.n"""
+
+
+ALONE = "abs(c - a) < 1 AND abs(c + a - 2 * b) > 1"
+PAIR = "CASE WHEN abs(d - a) < 1 AND abs(d + a - (b + c) / 2) > 1 THEN a + (d - a) / 2 ELSE"
+DIP, SPIKE, FLAT = "b - a < -3 AND b - c < -3", "b - a > 3 AND b - c > 3", "abs(c - a) < 1 AND abs(b - a) < 1"
+STEADY = f"WHEN {DIP} OR {SPIKE} THEN"
+MEAN = f"WHEN {FLAT} THEN (a + b + c) / 3"
+BRIDGE = "CASE WHEN abs(a - d) < 3 AND abs(b - a) > 3 AND abs(b - c) > 3 THEN (a + d) / 2 ELSE"
+
+
+@query(repairs_sql([["a", f"CASE WHEN {ALONE} THEN a + (c - a) / 2 ELSE b END", "c"], ["a", f"{PAIR} b END", f"{PAIR} c END", "d"]]))
 def repaired_signal(spark, sf):
-    return smoothing.smoothed(readings(spark, sf), DEVICE, "x", "my").select("event_id", r4("smoothed"), r4("clipped"))
+    return smoothing.smoothed(readings(spark, sf), DEVICE, "x", "my").select("event_id", "smoothed", "clipped")
 
 
-@query()
+@query(repairs_sql([[f"CASE {STEADY} a {MEAN} ELSE a END", f"CASE WHEN {DIP} THEN c WHEN {SPIKE} THEN a {MEAN} ELSE b END", f"CASE {STEADY} c {MEAN} ELSE c END"], ["a", f"{BRIDGE} b END", f"{BRIDGE} c END", "d"]] * 2))
 def levelled_signal(spark, sf):
-    return smoothing.smoothed(readings(spark, sf), DEVICE, "x", "my2").select("event_id", r4("smoothed"), r4("clipped"))
+    return smoothing.smoothed(readings(spark, sf), DEVICE, "x", "my2").select("event_id", "smoothed", "clipped")
 
 
 BLOCKS = f"""WITH {EV}, s AS (SELECT *, avg(x) OVER (PARTITION BY device ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM ev),

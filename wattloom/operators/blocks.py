@@ -38,7 +38,9 @@ def block_deltas(blocks: DataFrame, axis: Axis) -> DataFrame:
 
 
 def nearest_cluster(steps: DataFrame, centres: list[tuple[int, float]], delta: str = "delta") -> DataFrame:
-    """steps with cluster: that of the nearest centre, the first on ties. centres is a short list."""
+    """steps with cluster: that of the nearest centre, the first on ties; null without centres. centres is a short list."""
+    if not centres:
+        return steps.withColumn("cluster", F.lit(None).cast("int"))
     pairs = F.array(*(F.struct(F.abs(F.col(delta) - p).alias("d"), F.lit(c).alias("cluster")) for c, p in sorted(centres)))
     return steps.withColumn("cluster", F.when(F.col(delta).isNotNull(), F.array_min(pairs)["cluster"]))
 
@@ -49,7 +51,10 @@ def on_off_records(deltas: DataFrame, axis: Axis, centres: list[tuple[int, float
     A step up opens the nearest cluster at the block's end. A step down closes the open one whose step up is nearest in
     size (the first on ties); with none open it is ignored. What is left closes at the last block's end, in order.
     aggNum: how many of the cluster stay open after a closing. A well that is on when the event starts is never opened.
+    Without centres there are no records.
     """
+    if not centres:
+        deltas, centres = deltas.where(F.lit(False)), [(0, 0.0)]
     rows = deltas.groupBy(*axis.key).agg(F.sort_array(F.collect_list(F.struct("block", "delta", "b_end"))).alias("steps"), F.max("b_end").alias("last"))
     near = "array_min(array({}))".format(", ".join(f"named_struct('d', abs(d.delta - {p!r}D), 'k', {c})" for c, p in sorted(centres)))
     kind = deltas.schema["b_end"].dataType.simpleString()

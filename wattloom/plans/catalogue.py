@@ -608,9 +608,14 @@ def features12(spark, sf):
     return features.event_features(segments.runs(phased(spark, sf), DEVICE, "x", 5.0), DEVICE, MEASURES, "x")
 
 
-def chain(spark, sf):
+def whole_minutes(rows):
+    """Readings at the minute that they fall into: series by minute then meet the truth's minutes."""
+    return rows.withColumn("t", F.date_trunc("minute", "t").cast("timestamp_ntz"))
+
+
+def chain(rows):
     """Prepared events with labels by size of their mean, and their records."""
-    ready = pipeline.prepared(phased(spark, sf), DEVICE, "x", MEASURES, 5.0, variance=20000.0)
+    ready = pipeline.prepared(rows, DEVICE, "x", MEASURES, 5.0, variance=20000.0)
     labels = ready.features.select("device", "seg", F.when(F.col("ave_real") < 3, 0).when(F.col("ave_real") < 5, 1).otherwise(2).alias("cluster"))
     return ready, *pipeline.records_of(ready, DEVICE, "x", labels, "ave_curnt")
 
@@ -626,7 +631,7 @@ CHAIN = f"""WITH RECURSIVE {PHASED}, {segments_sql(5, 10)} {PULSES}, kinds AS (S
 
 @query(f"{CHAIN} SELECT * FROM records")
 def decomposed_chain(spark, sf):
-    return chain(spark, sf)[1]
+    return chain(phased(spark, sf))[1]
 
 
 def keyed_metrics_sql(key: str) -> str:
@@ -637,14 +642,24 @@ def keyed_metrics_sql(key: str) -> str:
         avg(abs(p - v)) FILTER (v > 0) AS active_error, avg(abs(p - v)) FILTER (v <= 0) AS inactive_error, avg((p - v) * (p - v)) AS mse, avg(abs(p - v)) AS mae FROM j GROUP BY {key})"""
 
 
-@query(f"""{CHAIN}, e AS (SELECT "clusterId", min(starttime) AS a, max(endtime) AS b FROM records GROUP BY 1), g AS (SELECT "clusterId" AS cluster, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS minute FROM e),
+@query(f"""{CHAIN.replace("ts AS t", "date_trunc('minute', ts) AS t")}, e AS (SELECT "clusterId", min(starttime) AS a, max(endtime) AS b FROM records GROUP BY 1), g AS (SELECT "clusterId" AS cluster, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS minute FROM e),
     pr AS (SELECT g.cluster, g.minute, count(starttime) * any_value(centres.p) AS p FROM g JOIN centres ON k = cluster LEFT JOIN records ON "clusterId" = cluster AND minute BETWEEN starttime AND endtime GROUP BY 1, 2),
     tr AS (SELECT date_trunc('minute', t) AS minute, avg(x) AS v FROM ev GROUP BY 1), a AS (SELECT cluster, minute FROM (SELECT DISTINCT cluster FROM pr), tr UNION SELECT cluster, minute FROM pr),
     j AS (SELECT a.cluster, coalesce(p, 0) AS p, v FROM a LEFT JOIN pr USING (cluster, minute) LEFT JOIN tr USING (minute)), {keyed_metrics_sql("cluster")} SELECT cluster, {", ".join(f"round({c}, 4) AS {c}" for c in NAMES)} FROM scores""")
 def evaluated_chain(spark, sf):
-    _, records, powers = chain(spark, sf)
-    truth = readings(spark, sf).groupBy(F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute")).agg(F.avg("x").alias("value"))
-    return pipeline.evaluated(records, powers, truth).select("cluster", *(r4(c) for c in NAMES))
+    _, records, powers = chain(whole_minutes(phased(spark, sf)))
+    return pipeline.evaluated(records, powers, minute_truth(spark, sf)).select("cluster", *(r4(c) for c in NAMES))
+
+
+def minute_truth(spark, sf):
+    return readings(spark, sf).groupBy(F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute")).agg(F.avg("x").alias("value"))
+
+
+@query()
+def auto_test(spark, sf):
+    """From readings to scores with the clusters found by the k-means search."""
+    scored = pipeline.auto_test(whole_minutes(phased(spark, sf)), DEVICE, "x", MEASURES, minute_truth(spark, sf), "ave_curnt", threshold=5.0, variance=20000.0)
+    return scored.select("cluster", *(r4(c) for c in NAMES))
 
 
 #: The readings of a kind as the prediction of a file; the truth: the mean of all readings of a minute, in whole hundredths.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.columns import Axis, power_estimate
+from wattloom.functions.session import with_checkpoints
 from wattloom.operators import blocks, clustering, features, metrics, segments, series
 
 POWER_FEATURES = ("std", "ave", "trend", "max")
@@ -67,10 +68,22 @@ def evaluated_files(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def auto_test(samples: DataFrame, axis: Axis, signal: str, measures: dict[str, str], truth: DataFrame, power: str, score: str = "si", **how) -> DataFrame:
-    """From readings to the clusters' metrics: k-means search on the scaled features, decomposition, evaluation."""
+    """From readings to the clusters' metrics: k-means search on the scaled features, decomposition, evaluation.
+
+    The events' features and their labels are checkpointed (a row for each event): the fits start from them, and the plans of
+    decomposition and evaluation do not hold the expressions of all features for each centre. No metrics where no labelling has
+    clusters of the least size.
+    """
+    with_checkpoints(samples.sparkSession)
     ready = prepared(samples, axis, signal, measures, **how)
-    names = [c for c in ready.scaled.columns if c not in (*axis.key, "seg")]
-    rows = ready.scaled.select(*axis.key, "seg", *names).fillna(0.0, names).withColumn("id", F.xxhash64(*axis.key, "seg"))
+    ready = ready._replace(features=ready.features.checkpoint())
+    names = [c for c in ready.features.columns if c not in (*axis.key, "seg")]
+    scaled = features.min_max(ready.features, names).select(*axis.key, "seg", *names).fillna(0.0, names)
+    rows = scaled.withColumn("id", F.xxhash64(*axis.key, "seg")).checkpoint()
     labelled, _, _ = clustering.search(rows, names, score)
-    records, powers = records_of(ready, axis, signal, labelled.select(*axis.key, "seg", "cluster"), power)
+    if labelled is None:
+        labels = ready.features.select(*axis.key, "seg", F.lit(None).cast("int").alias("cluster")).limit(0)
+    else:
+        labels = labelled.select(*axis.key, "seg", "cluster").checkpoint()
+    records, powers = records_of(ready, axis, signal, labels, power)
     return evaluated(records, powers, truth)

@@ -84,6 +84,23 @@ def test_two_stage_with_wards_criterion(blobs):
     assert labelled.count() == 36 and len(mapping) == 3
 
 
+def test_parts_are_searched_in_common_rounds(spark, blobs, monkeypatch):
+    calls, real = [], clustering.all_kmeans
+    monkeypatch.setattr(clustering, "all_kmeans", lambda *a, **k: calls.append(1) or real(*a, **k))
+    labelled, mapping = clustering.two_stage(blobs, ["a"], ["b", "a"], 1, repeats=2, max_k=3, score="ch")
+    assert labelled.count() == 36 and len(mapping) > 1 and len(calls) == 2  # one for each stage
+    parts = [blobs.where("id < 24"), blobs.where("id >= 12")]
+    together = clustering.search_parts(parts, [24, 24], COLUMNS, "ch", 2, max_k=3)
+    for part, (_, score, k) in zip(parts, together, strict=True):
+        alone = clustering.search(part, COLUMNS, "ch", 2, max_k=3)
+        assert (score, k) == (pytest.approx(alone[1]), alone[2])
+
+
+def test_equally_near_centres_go_to_the_first():
+    x = np.array([[0.5, 1.0 / 3], [7.0, 0.1]])
+    assert clustering.nearest_centres(x, np.array([[[0.1, 0.3]] * 3, [[1.0, 2.0], [0.0, 0.3], [0.0, 0.3]]])).tolist() == [[0, 0], [1, 0]]
+
+
 def test_two_stage_labels_follow_ids(blobs):
     labelled, mapping = clustering.two_stage(blobs, ["a"], ["b", "a"], 1, repeats=1, max_k=3)
     assert labelled.count() == 36 and sorted(c for cs in mapping.values() for c in cs) == list(range(sum(map(len, mapping.values()))))

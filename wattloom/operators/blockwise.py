@@ -18,6 +18,8 @@ from wattloom.functions.session import reachable, with_checkpoints
 
 #: Rows of a block, about.
 ROWS = 1000
+#: Clusters (of all labellings) whose distances are summed in one product.
+COLUMNS = 4096
 
 
 class Block(NamedTuple):
@@ -98,49 +100,71 @@ def all_silhouettes(points: DataFrame, columns: list[str], labels: DataFrame) ->
     of = labels.groupBy("id").agg(F.collect_list(F.struct(F.col("labelling").cast("int").alias("l"), F.col("cluster").cast("long").alias("c"))).alias("labels"))
     blocks = blocked(points.join(of, "id"), columns, {"w": F.col("weight").cast("long"), "labels": F.col("labels")})
 
-    def table(block: Block) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-        """Weights, and by labelling the rows that it labels with their clusters."""
+    def table(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each label its row and the place of its (labelling, cluster) among the block's, and these by ascending order."""
         lists = block.more["labels"]
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         flat = lists.flatten()
         labelling, cluster = flat.field("l").to_numpy(), flat.field("c").to_numpy()
-        order = np.argsort(labelling, kind="stable")
-        names, first = np.unique(labelling[order], return_index=True)
-        return block.more["w"].to_numpy(), {int(k): (row[part], cluster[part]) for k, part in zip(names, np.split(order, first[1:]), strict=True)}
+        order = np.lexsort((cluster, labelling))
+        labelling, cluster = labelling[order], cluster[order]
+        new = np.concatenate([[True], (labelling[1:] != labelling[:-1]) | (cluster[1:] != cluster[:-1])])[: len(order)]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return row, place, np.rec.fromarrays([labelling[new].astype(np.int64), cluster[new]], names="l,c")
 
     def start(own: Block):
-        return own, *table(own), {}
+        row, place, names = table(own)
+        return [own, row, place, names, names, np.zeros((len(own.ids), len(names))), np.zeros(len(names))]
 
     def step(kept, other: Block):
-        own, _, mine, sums = kept
-        weight, theirs = table(other)
+        own, _, _, mine, names, sums, total = kept
+        row, place, theirs = table(other)
+        use = np.isin(theirs.l, np.unique(mine.l))  # labellings of both
+        weight = other.more["w"].to_numpy()
+        if len(names) != len(theirs) or not (names == theirs).all():
+            every = np.unique(np.concatenate([names, theirs[use]]))
+            if len(every) > len(names):
+                wider, totals = np.zeros((len(own.ids), len(every))), np.zeros(len(every))
+                have = np.searchsorted(every, names)
+                wider[:, have], totals[have] = sums, total
+                kept[4:] = names, sums, total = every, wider, totals
+        at = np.searchsorted(names, theirs) if len(names) != len(theirs) else np.arange(len(names))
         apart = distances(own.x, other.x)
-        for k in mine.keys() & theirs.keys():
-            row, cluster = theirs[k]
-            names, code = np.unique(cluster, return_inverse=True)
-            share = np.zeros((len(other.ids), len(names)))
-            share[row, code] = weight[row]
-            found, total = apart @ share, share.sum(0)
-            for j, c in enumerate(names.tolist()):
-                have = sums.setdefault(k, {}).setdefault(c, [np.zeros(len(own.ids)), 0.0])
-                have[0] += found[:, j]
-                have[1] += total[j]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        for lo in range(0, len(theirs), COLUMNS):
+            hi = min(lo + COLUMNS, len(theirs))
+            part = slice(*np.searchsorted(place, [lo, hi]))
+            share = np.zeros((len(other.ids), hi - lo))
+            share[row[part], place[part] - lo] = weight[row[part]]
+            fine = use[lo:hi]
+            if not fine.all():
+                share = share[:, fine]
+            to = at[lo:hi][fine]
+            if not len(to):
+                continue
+            to = slice(to[0], to[-1] + 1) if to[-1] - to[0] == len(to) - 1 else to
+            sums[:, to] += apart @ share
+            total[to] += share.sum(0)
 
     def finish(kept):
-        own, weight, mine, sums = kept
-        out = []
-        for k, (row, cluster) in mine.items():
-            names = sorted(sums[k])
-            d, n = np.stack([sums[k][c][0] for c in names], 1)[row], np.array([sums[k][c][1] for c in names])
-            at = np.searchsorted(names, cluster)
-            a = d[np.arange(len(row)), at] / np.maximum(n[at] - 1, 1)
+        own, row, place, mine, names, sums, total = kept
+        weight, out = own.more["w"].to_numpy(), []
+        for k in np.unique(mine.l).tolist():
+            lo, hi = np.searchsorted(names.l, [k, k + 1])
+            labels = mine.l[place] == k
+            rows, cluster = row[labels], mine.c[place[labels]]
+            d, n = sums[rows, lo:hi], total[lo:hi]
+            at = np.searchsorted(names.c[lo:hi], cluster)
+            a = d[np.arange(len(rows)), at] / np.maximum(n[at] - 1, 1)
             mean = d / n
-            mean[np.arange(len(row)), at] = np.inf
+            mean[np.arange(len(rows)), at] = np.inf
             b = mean.min(1)
             most = np.maximum(a, b)
             with np.errstate(invalid="ignore", divide="ignore"):
                 s = np.where((n[at] > 1) & np.isfinite(b) & (most > 0), (b - a) / most, 0.0)
-            out.append(batch(SILHOUETTES, np.full(len(row), k), own.ids[row], cluster, weight[row], s))
+            out.append(batch(SILHOUETTES, np.full(len(rows), k), own.ids[rows], cluster, weight[rows], s))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
     return against_all(blocks, start, step, finish, "labelling int, id long, cluster long, weight long, silhouette double")

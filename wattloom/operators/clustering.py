@@ -29,8 +29,8 @@ WARD_BLOCK = 2000
 #: Rows among which a start chooses each of its centres.
 SEEN = 10
 #: Rows of a task that fits many clusterings.
-PART_ROWS = 5000
-#: Searches of parts that run at once.
+PART_ROWS = 1000
+#: Jobs of parts that run at once.
 AT_ONCE = 4
 
 
@@ -144,48 +144,98 @@ class Fits(NamedTuple):
     apart: list[np.ndarray]
 
 
-def all_kmeans(rows: DataFrame, columns: list[str], first: list[np.ndarray], rounds: int = 100) -> Fits:
-    """Lloyd's rounds of many fits together: a round is one pass over the rows and one aggregate. Ties go to the first centre, a centre
-    without rows stays. The driver holds the centres."""
+def nearest_centres(x: np.ndarray, centres: np.ndarray, at_once: int = 128) -> np.ndarray:
+    """(fits, rows): of each fit (fits, k, columns) the nearest centre of each row, the first of those equally near but for rounding; by
+    products of rows with centres, `at_once` rows a time."""
+    fits, k, d = centres.shape
+    middle = x.mean(0) if len(x) else np.zeros(d)
+    c, x = (centres - middle).transpose(1, 0, 2).reshape(-1, d), x - middle
+    half = (c * c).sum(1) / 2
+    rounding = 1e-14 * (half.max(initial=0.0) + (x * x).sum(1).max(initial=0.0))
+    c = np.concatenate([-c, (half + rounding * np.repeat(np.arange(k), fits))[:, None]], 1)
+    x = np.concatenate([x, np.ones((len(x), 1))], 1).T.copy()
+    out = np.zeros((fits, x.shape[1]), np.int64)
+    for lo in range(0, x.shape[1], at_once):
+        far = (c @ x[:, lo : lo + at_once]).reshape(k, fits, -1)
+        best, own, less = far[0], np.zeros(far.shape[1:], np.int32), np.empty(far.shape[1:], bool)
+        for j in range(1, k):
+            np.less(far[j], best, out=less)
+            np.copyto(own, j, where=less)
+            np.minimum(best, far[j], out=best)
+        out[:, lo : lo + at_once] = own
+    return out
+
+
+def by_size(work: list[tuple[int, np.ndarray, int]], most: int = 64) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """By part, (places, centres) of fits (place, centres, part) with equally many centres, at most `most` together: place is where a fit's
+    first centre is counted."""
+    same: dict[tuple[int, int], list] = {}
+    for at, c, part in work:
+        same.setdefault((part, len(c)), []).append((at, c))
+    out: dict[int, list] = {}
+    for (part, _), mine in sorted(same.items()):
+        for i in range(0, len(mine), most):
+            places, centres = zip(*mine[i : i + most], strict=True)
+            out.setdefault(part, []).append((np.array(places), np.array(centres)))
+    return out
+
+
+def centre_sums(base: DataFrame, d: int, work: list[tuple[int, np.ndarray, int]], width: int, apart: bool = False) -> np.ndarray:
+    """(width, columns): by centre the number of its rows and the sums of their coordinates; with `apart` instead of these the sums of squared
+    distances and of distances. A fit sees the rows of its part. One pass over base (part, x: array) and one aggregate."""
+    groups = by_size(work)
+    names = ["n", "w", "a"] if apart else ["n", *(f"s{j}" for j in range(d))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), width))
+        for b in batches:
+            every, number = np.array(b.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, d), b.column("part").to_numpy()
+            for p, i in ((p, i) for p in np.unique(number).tolist() for i in range(0, int((number == p).sum()), 1024)):
+                part = every[number == p][i : i + 1024]
+                for at, centres in groups.get(p, ()):
+                    own = nearest_centres(part, centres)
+                    k = centres.shape[1]
+                    flat = (own + np.arange(len(at))[:, None] * k).ravel()
+                    if apart:
+                        near = sum((part[:, j] - centres[:, :, j].ravel()[flat].reshape(own.shape)) ** 2 for j in range(d)).ravel()
+                        values = [None, near, np.sqrt(near)]
+                    else:
+                        values = [None, *(np.tile(part[:, j], len(at)) for j in range(d))]
+                    where = (at[:, None] + np.arange(k)).ravel()
+                    for t, v in zip(total, values, strict=True):
+                        t[where] += np.bincount(flat, v, len(where))
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(t[some]) for t in total)], names=["c", *names])
+
+    stats = base.mapInArrow(run, ", ".join(["c int", *(f"{c} double" for c in names)]))
+    found = stats.groupBy("c").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each centre
+    out = np.zeros((width, len(names)))
+    out[found.column("c").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], 1)
+    return out
+
+
+def all_kmeans(rows: DataFrame, columns: list[str], first: list[np.ndarray], rounds: int = 100, parts: list[int] | None = None) -> Fits:
+    """Lloyd's rounds of many fits together: a round is one pass over the rows and one aggregate, and a last pass gives what the final
+    centres hold. Ties go to the first centre, a centre without rows stays. With `parts` a fit sees the rows of its part (column part).
+    The driver holds the centres."""
     reachable(rows.sparkSession)
-    centres, done = [c.copy() for c in first], [False] * len(first)
+    centres, todo = [c.copy() for c in first], list(range(len(first)))
     edges = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
-    sizes, within, apart = ([np.zeros(len(c)) for c in centres] for _ in range(3))
-    base = rows.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
-    d = len(columns)
-    sums = [f"s{j}" for j in range(d)]
+    base = rows.select((F.col("part") if parts else F.lit(0)).cast("int").alias("part"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    d, width, parts = len(columns), int(edges[-1]), parts or [0] * len(first)
     for _ in range(rounds + 1):
-        todo = [k for k, over in enumerate(done) if not over]
         if not todo:
             break
-        now = [(int(edges[k]), centres[k]) for k in todo]
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = {at: np.zeros((len(c), d + 3)) for at, c in now}
-            for b in batches:
-                x = np.array(b.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
-                for k in range(0, len(x), 4096):
-                    part = x[k : k + 4096]
-                    for at, c in now:
-                        far = ((part[:, None] - c) ** 2).sum(2)
-                        own = far.argmin(1)
-                        near = far[np.arange(len(part)), own]
-                        stats = np.concatenate([np.ones((len(part), 1)), near[:, None], np.sqrt(near)[:, None], part], 1)
-                        np.add.at(total[at], own, stats)
-            where = np.concatenate([np.arange(at, at + len(c)) for at, c in now])
-            values = np.concatenate(list(total.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *(pa.array(values[:, j]) for j in range(d + 3))], names=["c", "n", "w", "a", *sums])
-
-        stats = base.mapInArrow(run, ", ".join(["c int", "n double", "w double", "a double", *(f"{s} double" for s in sums)]))
-        found = np.array([list(r) for r in stats.groupBy("c").agg(*(F.sum(v).alias(v) for v in ("n", "w", "a", *sums))).collect()])  # a row for each centre
-        found = found[np.argsort(found[:, 0])]
+        found, left = centre_sums(base, d, [(int(edges[k]), centres[k], parts[k]) for k in todo], width), []
         for k in todo:
-            mine = found[(found[:, 0] >= edges[k]) & (found[:, 0] < edges[k + 1])]
-            sizes[k], within[k], apart[k] = mine[:, 1], mine[:, 2], mine[:, 3]
-            new = np.where(mine[:, 1:2] > 0, mine[:, 4:] / np.maximum(mine[:, 1:2], 1), centres[k])
-            done[k] = bool(np.abs(new - centres[k]).max() <= 1e-12 * (1 + np.abs(new).max()))
-            centres[k] = centres[k] if done[k] else new
-    return Fits(centres, sizes, within, apart)
+            mine = found[edges[k] : edges[k + 1]]
+            new = np.where(mine[:, :1] > 0, mine[:, 1:] / np.maximum(mine[:, :1], 1), centres[k])
+            if np.abs(new - centres[k]).max() > 1e-12 * (1 + np.abs(new).max()):
+                centres[k] = new
+                left.append(k)
+        todo = left
+    n, within, apart = centre_sums(base, d, [(int(edges[k]), c, parts[k]) for k, c in enumerate(centres)], width, apart=True).T
+    return Fits(centres, *(np.split(v, edges[1:-1]) for v in (n, within, apart)))
 
 
 def labelled_by(rows: DataFrame, columns: list[str], centres: list[np.ndarray]) -> DataFrame:
@@ -196,8 +246,8 @@ def labelled_by(rows: DataFrame, columns: list[str], centres: list[np.ndarray])
         for b in batches:
             x, ids = np.array(b.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, d), b.column("id")
             for k, c in enumerate(centres):
-                far = sum((x[:, j, None] - c[None, :, j]) ** 2 for j in range(d))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), ids, pa.array(far.argmin(1), pa.int64())], names=["labelling", "id", "cluster"])
+                own = nearest_centres(x, c[None])[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), ids, pa.array(own, pa.int64())], names=["labelling", "id", "cluster"])
 
     return rows.select("id", F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).mapInArrow(run, "labelling int, id long, cluster long")
 
@@ -253,27 +303,44 @@ def search(rows: DataFrame, columns: list[str], score: str = "si", repeats: int
                 if found is not None and found > best[1]:
                     best = (labelled, found, k)
         return best
-    if not len(ks):
+    return search_parts([rows], [n], columns, score, repeats, min_samples, weights, max_k)[0]
+
+
+def search_parts(parts: list[DataFrame], counts: list[int], columns: list[str], score: str = "si", repeats: int = 50, min_samples: int = 2, weights: tuple[float, float] = (1.0, 0.0), max_k: int = MAX_K) -> list[tuple[DataFrame | None, float, int]]:
+    """The k-means search of each of few parts (rows without missing columns, with their counts), all rounds of all parts together."""
+    spark = parts[0].sparkSession
+    with_checkpoints(spark)
+    best: list[tuple[DataFrame | None, float, int]] = [(None, -math.inf, 0)] * len(parts)
+    points = reduce(DataFrame.unionByName, (r.select(F.lit(p).alias("part"), "id", *columns) for p, r in enumerate(parts)))
+    points = points.repartition(max(1, math.ceil(sum(counts) / PART_ROWS))).checkpoint()
+    begun: list[np.ndarray] = []
+    of: list[int] = []
+    for p, n in enumerate(counts):
+        ks = range(2, min(math.ceil(math.sqrt(n)), max_k) + 1)
+        if len(ks):
+            first = starts(points.where(F.col("part") == p), columns, ks[-1], repeats)
+            begun += [first[s, :k] for k in ks for s in range(repeats)]
+            of += [p] * (len(ks) * repeats)
+    if not begun:
         return best
-    with_checkpoints(rows.sparkSession)
-    points = rows.select("id", *columns).repartition(max(1, math.ceil(n / PART_ROWS))).checkpoint()
-    first = starts(points, columns, ks[-1], repeats)
-    fits = all_kmeans(points, columns, [first[s, :k] for k in ks for s in range(repeats)])
-    fine = [k for k, size in enumerate(fits.sizes) if size.min() >= min_samples]
+    fits = all_kmeans(points, columns, begun, parts=of)
     # Starts that end in the same groups are scored once.
     seen: dict[tuple, int] = {}
-    for k in fine:
-        seen.setdefault(tuple(sorted(map(tuple, np.round(fits.centres[k], 9).tolist()))), k)
-    chosen = list(seen.values())
-    if not chosen:
-        return best
-    scores = fit_scores(points, columns, Fits(*([v[k] for k in chosen] for v in fits)), score, weights)
-    for k, found in zip(chosen, scores, strict=True):
-        if found is not None and found > best[1] + 1e-12 * abs(found):
-            best = (k, found, len(fits.centres[k]))
-    if best[0] is None:
-        return best
-    return assign(rows, columns, fits.centres[best[0]].tolist()), best[1], best[2]
+    for k, size in enumerate(fits.sizes):
+        if size.min() >= min_samples:
+            seen.setdefault((of[k], *sorted(map(tuple, np.round(fits.centres[k], 9).tolist()))), k)
+    for p in range(len(parts)):
+        chosen = [k for k in seen.values() if of[k] == p]
+        if not chosen:
+            continue
+        scores = fit_scores(points.where(F.col("part") == p), columns, Fits(*([v[k] for k in chosen] for v in fits)), score, weights)
+        at, top = -1, -math.inf
+        for k, found in zip(chosen, scores, strict=True):
+            if found is not None and found > top + (1e-12 * abs(found) if at >= 0 else 0):
+                at, top = k, found
+        if at >= 0:
+            best[p] = assign(parts[p], columns, fits.centres[at].tolist()), top, len(fits.centres[at])
+    return best
 
 
 def two_stage(rows: DataFrame, first: list[str], second: list[str], components: int = 3, **how) -> tuple[DataFrame, dict[int, list[int]]]:
@@ -291,14 +358,18 @@ def two_stage(rows: DataFrame, first: list[str], second: list[str], components:
     n = min(components, len(second))
     names = [f"PC{i}" for i in range(n)]
 
-    def within(r) -> tuple[DataFrame | None, int]:
-        if r["count"] < 4:
-            return None, 1
-        labels, _, k = search(pca_scores(top.where(F.col("stage1") == r["stage1"]), ["id"], second, n), names, **how)
-        return labels, k
+    def scores_of(r) -> DataFrame:
+        return pca_scores(top.where(F.col("stage1") == r["stage1"]), ["id"], second, n).dropna(subset=names).checkpoint()
 
-    with ThreadPoolExecutor(AT_ONCE) as pool:  # the searches of the parts are Spark jobs that do not need one another
-        found = list(pool.map(inheritable_thread_target(within), counts))
+    split = [r for r in counts if r["count"] >= 4]
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # the parts are Spark jobs that do not need one another
+        made = list(pool.map(inheritable_thread_target(scores_of), split))
+        if how.get("clusterer") is None:
+            results = search_parts(made, [m.count() for m in made], names, **{k: v for k, v in how.items() if k != "clusterer"}) if made else []
+        else:
+            results = list(pool.map(inheritable_thread_target(lambda m: search(m, names, **how)), made))
+    by_part = {r["stage1"]: (labels, k) for r, (labels, _, k) in zip(split, results, strict=True)}
+    found = [by_part.get(r["stage1"], (None, 1)) for r in counts]
     out, mapping, used = None, {}, 0
     for r, (labels, k) in zip(counts, found, strict=True):
         part = top.where(F.col("stage1") == r["stage1"])

@@ -161,6 +161,16 @@ def test_halves_meet_in_the_middle():
         assert d == pytest.approx(best[0], abs=1e-9) and (abs(total(c) - v) == pytest.approx(best[0], abs=1e-9))
 
 
+def test_many_rows_look_at_a_table_of_sums(monkeypatch):
+    powers = [31.25 + 17.5 * k + k * k for k in range(7)]
+    x = np.random.default_rng(3).uniform(-10, 1500, 300).round(2)
+    table = blocks.nearest_combinations(x, powers, 3)
+    assert blocks.nearest_combinations(np.resize(x, 200_000), powers, 3)[1].shape == (200_000,)  # took half a minute row by row
+    monkeypatch.setattr(blocks, "different_sums", lambda *a: None)
+    plain = blocks.nearest_combinations(x, powers, 3)
+    assert (table[0] == plain[0]).all() and (table[1] == plain[1]).all()
+
+
 def test_combinations_of_missing_values(spark):
     df = spark.createDataFrame([(1, 100.0), (2, None), (3, float("nan")), (4, 0.0)], "id int, x double")
     got = {r["id"]: (r["counts"], r["residual"]) for r in blocks.residual_combinations(df, "x", [10.0] * 7, 3).collect()}

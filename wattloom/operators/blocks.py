@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -109,8 +110,10 @@ def cluster_power(features: DataFrame, cluster: str, feature: str) -> DataFrame:
     return features.groupBy(F.col(cluster).alias("cluster")).agg(F.avg(feature).alias("power"), F.count(F.lit(1)).alias("size"))
 
 
-#: Combinations that are tried for each row as they are; of more, halves meet in the middle.
+#: Combinations that are tried for each row as they are; of more, a table of different sums is looked up, or halves meet in the middle.
 TRIED = 4096
+#: Different sums of a table.
+SUMS = 1 << 20
 
 
 def half_sums(powers: list[float], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +122,42 @@ def half_sums(powers: list[float], most: int) -> tuple[np.ndarray, np.ndarray]:
     return counts, counts @ np.array(powers)
 
 
+@functools.lru_cache(4)
+def different_sums(powers: tuple[float, ...], most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(sums, counts) of all combinations by ascending sum, of equal ones (to nine digits) the smallest counts; None if there are more than SUMS
+    different ones."""
+    if (most + 1) ** len(powers) >= 1 << 62:
+        return None
+    sums, codes = np.zeros(1), np.zeros(1, np.int64)  # counts as digits of a number: one power after the other, the smaller number first
+    for p in powers:
+        sums = (sums[:, None] + np.arange(most + 1) * p).ravel()
+        codes = (codes[:, None] * (most + 1) + np.arange(most + 1)).ravel()
+        near = np.round(sums, 9)
+        order = np.lexsort((codes, near))
+        order = order[np.concatenate([[True], np.diff(near[order]) > 0])]
+        sums, codes = sums[order], codes[order]
+        if len(sums) > SUMS:
+            return None
+    counts = codes[:, None] // (most + 1) ** np.arange(len(powers) - 1, -1, -1) % (most + 1)
+    return sums, counts
+
+
+def from_table(x: np.ndarray, powers: list[float], sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, distance) of the sum nearest to each of x, the smallest counts on ties."""
+    at = np.searchsorted(sums, x)
+    low, high = counts[np.maximum(at - 1, 0)], counts[np.minimum(at, len(sums) - 1)]
+    miss_low, miss_high = (np.abs(sum((c[:, k] * p for k, p in enumerate(powers[1:], 1)), c[:, 0] * powers[0]) - x) for c in (low, high))
+    first = np.argmax(low != high, 1)[:, None]
+    smaller = (np.take_along_axis(low, first, 1) <= np.take_along_axis(high, first, 1))[:, 0]
+    take = (miss_low < miss_high) | ((miss_low == miss_high) & smaller)
+    return np.where(take[:, None], low, high), np.where(take, miss_low, miss_high)
+
+
 def nearest_combinations(x: np.ndarray, powers: list[float], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, distance) of the combination nearest to each of x, the smallest counts on ties: for every sum of one half of the powers
-    the nearest sum of the other half."""
+    """(counts, distance) of the combination nearest to each of x, the smallest counts on ties: from a table where few sums are different,
+    else for every sum of one half of the powers the nearest sum of the other half."""
+    if (table := different_sums(tuple(powers), most)) is not None:
+        return from_table(x, powers, *table)
     half = len(powers) // 2
     first, a = half_sums(powers[:half], most)
     second, b = half_sums(powers[half:], most)
@@ -145,7 +181,8 @@ def nearest_combinations(x: np.ndarray, powers: list[float], most: int) -> tuple
 def residual_combinations(events: DataFrame, signal: str, powers: list[float], most: int = 3) -> DataFrame:
     """events with counts (pumps of each power, up to `most` each) whose sum comes nearest to the signal, and the residual share.
 
-    Of many powers, sums of one half meet sums of the other: (most + 1) ** (n / 2) looks a row instead of (most + 1) ** n.
+    Of many powers whose sums often agree, a row is one look at a table of the different sums; else sums of one half meet sums of the
+    other: (most + 1) ** (n / 2) looks a row instead of (most + 1) ** n.
     """
     if (most + 1) ** len(powers) > TRIED:
         reachable(events.sparkSession)
@@ -155,7 +192,7 @@ def residual_combinations(events: DataFrame, signal: str, powers: list[float], m
             v = x.to_numpy(float)
             fine = np.isfinite(v)
             counts, off = nearest_combinations(v[fine], powers, most)
-            found = iter(zip(off.tolist(), counts.tolist(), strict=True))
+            found = iter(zip(off.tolist(), counts.astype(np.int32), strict=True))
             return pd.DataFrame([next(found) if ok else (None, None) for ok in fine], columns=["d", "counts"])
 
         combos = F.when(F.col(signal).isNotNull(), best(F.col(signal).cast("double")))

@@ -147,6 +147,26 @@ def as_rows(spark, x):
     return spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "id long, a double, b double")
 
 
+def test_of_many_points_only_near_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr("wattloom.operators.blockwise.ROWS", 12)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 0.1, (60, 2)) for c in ((0, 0), (4, 0), (0, 6))] + [rng.uniform(-9, 9, (12, 2))])
+    rows, met = as_rows(spark, x), []
+    plain = density.Forest(rows, COLUMNS, (2, 5))
+    monkeypatch.setattr(density, "MANY", 20)
+    real = density.against_all
+    monkeypatch.setattr(density, "against_all", lambda blocks, *a, pairs=None, **k: met.append((blocks.count() ** 2, pairs and pairs.count())) or real(blocks, *a, pairs=pairs, **k))
+    forest = density.Forest(rows, COLUMNS, (2, 5))
+    assert min(n / every for every, n in met[1:3]) < 0.4  # the nearest points, and the trees of pairs
+    near = [{r["id"]: [(e["id"], e["d"], e["w"]) for e in r["near"]] for r in f.near.collect()} for f in (plain, forest)]
+    assert near[0] == near[1]
+    for m in (2, 5):
+        trees = [sorted(r["reach"] for r in f.trees.where(f"m = {m}").collect()) for f in (plain, forest)]
+        assert len(trees[1]) == len(x) - 1 and trees[1] == pytest.approx(trees[0])  # all minimum trees have the same edges' lengths
+    labels = [sorted(map(tuple, f.labellings((0.05, 0.2, 1.0, 3.0)).collect())) for f in (plain, forest)]
+    assert labels[0] == labels[1]
+
+
 @pytest.mark.parametrize("block", [1000, 16])
 def test_one_forest_gives_every_dbscan(spark, monkeypatch, lumps, block):
     monkeypatch.setattr("wattloom.operators.blockwise.ROWS", block)

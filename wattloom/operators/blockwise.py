@@ -38,16 +38,74 @@ def blocked(rows: DataFrame, columns: list[str], more: dict[str, Column] | None
     return rows.groupBy(F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(n)).cast("int").alias("b")).agg(F.sort_array(F.collect_list(each)).alias("rows"))
 
 
-def against_all(blocks: DataFrame, start: Callable[[Block], Any], step: Callable[[Any, Block], pa.RecordBatch | None], finish: Callable[[Any], pa.RecordBatch | None], schema: str, half: bool = False) -> DataFrame:
-    """Each block against every one (with `half`, those with its number or a higher one): start(own) gives what step(kept, other) updates
+def cut_tree(sample: np.ndarray, n: int) -> list[tuple[int, float, int, int]]:
+    """(axis, edge, below, above) of a tree that cuts a sample into n parts at medians of its widest axis; a child under 0 is part -child - 1."""
+    nodes: list = []
+    parts = iter(range(n))
+
+    def cut(x: np.ndarray, n: int) -> int:
+        if n == 1:
+            return -next(parts) - 1
+        at, axis = len(nodes), int(np.ptp(x, axis=0).argmax()) if len(x) else 0
+        nodes.append(None)
+        edge = float(np.quantile(x[:, axis], (n // 2) / n)) if len(x) else 0.0
+        below = x[:, axis] <= edge
+        nodes[at] = (axis, edge, cut(x[below], n // 2), cut(x[~below], n - n // 2))
+        return at
+
+    cut(sample, n)
+    return nodes
+
+
+def near_blocked(rows: DataFrame, columns: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """(b, rows, lo, hi) of rows (id, columns): blocks of about ROWS rows that lie beside one another, and their boxes. A sample of 32 rows a
+    block (200,000 at most) places the edges, on which no result depends."""
+    reachable(rows.sparkSession)
+    count = rows.count()
+    n = max(1, math.ceil(count / ROWS))
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    most = min(32 * n, 200_000)
+    sample = rows.select(x.alias("x"), F.xxhash64(F.col("id").cast("long")).alias("h")).orderBy("h").limit(most).toArrow()
+    tree = cut_tree(np.array(sample.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(columns)), n)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(columns))
+            at = np.full(len(x), 0 if tree else -1)
+            while (inner := at >= 0).any():
+                for k in np.unique(at[inner]).tolist():
+                    axis, edge, below, above = tree[k]
+                    mine = np.flatnonzero(at == k)
+                    at[mine] = np.where(x[mine, axis] <= edge, below, above)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((-at - 1).astype(np.int32))], names=["_id", "_block"])
+
+    dealt = rows.select(F.col("id").cast("long").alias("id"), x.alias("x")).mapInArrow(deal, "_id long, _block int")
+    each = F.struct(F.col("id").cast("long").alias("id"), x.alias("x"), *(c.alias(k) for k, c in (more or {}).items()))
+    ends = {n: F.array(*(f(c).cast("double") for c in columns)) for n, f in (("lo", F.min), ("hi", F.max))}
+    made = rows.join(dealt, F.col("id").cast("long") == F.col("_id")).groupBy(F.col("_block").alias("b")).agg(F.sort_array(F.collect_list(each)).alias("rows"), *(c.alias(k) for k, c in ends.items()))
+    with_checkpoints(rows.sparkSession)
+    return made.checkpoint()
+
+
+def near_pairs(blocks: DataFrame, reach: Column | str, half: bool = False) -> DataFrame:
+    """(to, b) of blocks (b, lo, hi, and what `reach` needs) whose boxes are at most `reach` of `to` apart; with `half`, b is not below to."""
+    own = blocks.drop("rows").select(F.col("b").alias("to"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), (F.expr(reach) if isinstance(reach, str) else reach).alias("_reach"))
+    gap = F.expr("aggregate(zip_with(zip_with(_lo, hi, (a, b) -> a - b), zip_with(lo, _hi, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, d) -> s + d * d)")
+    on = (F.sqrt(gap) <= F.col("_reach") * (1 + 1e-9)) & ((F.col("b") >= F.col("to")) if half else F.lit(True))
+    return own.join(blocks.select("b", "lo", "hi"), on).select("to", "b")
+
+
+def against_all(blocks: DataFrame, start: Callable[[Block], Any], step: Callable[[Any, Block], pa.RecordBatch | None], finish: Callable[[Any], pa.RecordBatch | None], schema: str, half: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """Each block against every one (with `half`, those with its number or a higher one; with `pairs` (to, b), those that it is paired with): start(own) gives what step(kept, other) updates
     and finish(kept) turns into rows; step may give rows as well."""
     spark = blocks.sparkSession
     reachable(spark)
     with_checkpoints(spark)
-    blocks = blocks.checkpoint()
+    blocks = blocks.checkpoint() if pairs is None else blocks
     n = (blocks.agg(F.max("b")).first()[0] or 0) + 1
     last = F.col("b") if half else F.lit(n - 1)
-    others = blocks.select(F.explode(F.sequence(F.lit(0), last)).alias("to"), F.lit(1).alias("turn"), "b", "rows")
+    others = blocks.select("b", "rows", F.explode(F.sequence(F.lit(0), last)).alias("to")) if pairs is None else pairs.join(blocks, "b")
+    others = others.select("to", F.lit(1).alias("turn"), "b", "rows")
     work = blocks.select(F.col("b").alias("to"), F.lit(0).alias("turn"), "b", "rows").unionByName(others)
     work = work.repartition(n, "to").sortWithinPartitions("to", "turn", "b")
 

@@ -4,7 +4,7 @@ Points that are equal are one point with a weight. For each min_samples, points
 holds so many rows), and pairs a reach: the largest of their distance and both core distances. A minimum spanning tree
 over reaches holds the components of every radius, and the order of OPTICS (whose
 reach is thus the same from both sides: at least the core distance of either). Trees of two blocks are made in tasks from
-coordinates; an edge that is not in the tree of a part is not in that of the whole, so trees of parts merge. The tree
+coordinates (of many points only those of near blocks, see spanning_trees); an edge that is not in the tree of a part is not in that of the whole, so trees of parts merge. The tree
 of one min_samples (24 bytes a point) and its nearest few points end up in one task.
 """
 
@@ -17,17 +17,19 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wattloom.functions.session import reachable, with_checkpoints
-from wattloom.operators.blockwise import Block, against_all, all_silhouettes, batch, blocked, distances
+from wattloom.operators.blockwise import Block, against_all, all_silhouettes, batch, blocked, distances, near_blocked, near_pairs
 
 EPS = tuple(k / 100 for k in range(1, 100))
 MIN_SAMPLES = tuple(range(2, 11))
 XI = tuple(round(0.01 + 0.05 * k, 2) for k in range(10))
 #: Trees that a task merges.
 TREES = 8
+#: Points from which on blocks lie beside one another and meet only where they are near.
+MANY = 8000
 
 
 def weighted(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,27 +39,47 @@ def weighted(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def nearest(points: DataFrame, columns: list[str], most: int) -> DataFrame:
     """(id, weight, columns, near: array of (d, id, w)): the `most` nearest points of each, itself included, the smaller id on ties."""
-    blocks = blocked(points, columns, {"w": F.col("weight").cast("long")})
+    weight, many = {"w": F.col("weight").cast("long")}, points.count() > MANY
+    blocks = near_blocked(points, columns, weight) if many else blocked(points, columns, weight)
 
     def start(own: Block):
         n = len(own.ids)
-        return own, [np.full((n, 0), np.inf), np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)]
+        return own, [np.full((n, most), np.inf), np.full((n, most), np.iinfo(np.int64).max), np.zeros((n, most), np.int64)]
 
     def step(kept, other: Block):
         own, near = kept
-        n = len(own.ids)
-        d = np.concatenate([near[0], distances(own.x, other.x)], 1)
-        ids = np.concatenate([near[1], np.broadcast_to(other.ids, (n, len(other.ids)))], 1)
-        w = np.concatenate([near[2], np.broadcast_to(other.more["w"].to_numpy(), (n, len(other.ids)))], 1)
-        order = np.lexsort((ids, d), axis=1)[:, :most]
-        near[:] = [np.take_along_axis(v, order, 1) for v in (d, ids, w)]
+        off = np.maximum(np.maximum(other.x.min(0) - own.x, own.x - other.x.max(0)), 0)
+        row = np.flatnonzero(np.sqrt((off * off).sum(1)) * (1 - 1e-9) <= near[0][:, -1])
+        if not len(row):
+            return
+        apart, last = distances(own.x[row], other.x), near[0][row, -1]
+        if len(other.ids) > most:
+            last = np.minimum(last, np.partition(apart, most - 1, axis=1)[:, most - 1])
+        r, c = np.nonzero(apart <= last[:, None])
+        old = np.repeat(np.arange(len(row)), most)
+        d = np.concatenate([near[0][row].ravel(), apart[r, c]])
+        ids = np.concatenate([near[1][row].ravel(), other.ids[c]])
+        w = np.concatenate([near[2][row].ravel(), other.more["w"].to_numpy()[c]])
+        of = np.concatenate([old, r])
+        order = np.lexsort((ids, d, of))
+        first = np.searchsorted(of[order], np.arange(len(row)))
+        take = order[first[:, None] + np.arange(most)]  # every row has at least `most` places
+        near[0][row], near[1][row], near[2][row] = d[take], ids[take], w[take]
 
     def finish(kept):
         own, (d, ids, w) = kept
-        near = [[{"d": a, "id": b, "w": c} for a, b, c in zip(*row, strict=True)] for row in zip(d.tolist(), ids.tolist(), w.tolist(), strict=True)]
+        near = [[{"d": a, "id": b, "w": c} for a, b, c in zip(*row, strict=True) if c] for row in zip(d.tolist(), ids.tolist(), w.tolist(), strict=True)]
         return batch({"id": pa.int64(), "near": pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("w", pa.int64())]))}, own.ids, near)
 
-    found = against_all(blocks, start, step, finish, "id long, near array<struct<d:double,id:long,w:long>>")
+    pairs = None
+    if many:  # how far the nearest points of a block's own lie bounds where nearer ones can be
+        def bound(kept):
+            own, (d, _, _) = kept
+            return batch({"b": pa.int32(), "far": pa.float64()}, [own.number], [d[:, -1].max()])
+
+        alone = against_all(blocks, start, step, bound, "b int, far double", pairs=blocks.select(F.col("b").alias("to"), "b"))
+        pairs = near_pairs(blocks.join(alone, "b"), "far")
+    found = against_all(blocks, start, step, finish, "id long, near array<struct<d:double,id:long,w:long>>", pairs=pairs)
     return points.join(found, "id")
 
 
@@ -118,26 +140,107 @@ def lightest(edges: pd.DataFrame) -> pd.DataFrame:
     return edges[keep]
 
 
+KINDS = {"m": pa.int32(), "part": pa.int32(), "a": pa.int64(), "b": pa.int64(), "reach": pa.float64()}
+
+
+def endless() -> Column:
+    """Core distances, endless where there is none."""
+    return F.transform("cores", lambda c: F.coalesce(c, F.lit(float("inf"))))
+
+
 def spanning_trees(points: DataFrame, columns: list[str], min_samples: list[int]) -> DataFrame:
-    """(m, part, a, b, reach): for each of min_samples, the edges of a minimum spanning tree of points with cores."""
-    reachable(points.sparkSession)
-    blocks = blocked(points, columns, {"cores": F.transform("cores", lambda c: F.coalesce(c, F.lit(float("inf"))))})
-    kinds = {"m": pa.int32(), "part": pa.int32(), "a": pa.int64(), "b": pa.int64(), "reach": pa.float64()}
+    """(m, part, a, b, reach): for each of min_samples, the edges of a minimum spanning tree of points with cores.
+
+    Of many points, blocks that are near give all edges up to a reach that joins most points. What lies outside of the largest
+    component then needs its lightest edge into it and a tree of its own.
+    """
+    if points.count() <= MANY:
+        return merged(block_trees(points, columns, min_samples).checkpoint())
+    reach = points.select(F.element_at("cores", -1).alias("c")).agg(F.percentile_approx("c", 0.9)).first()[0]
+    if reach is None:
+        return merged(block_trees(points, columns, min_samples).checkpoint())
+    edges = merged(block_trees(points, columns, min_samples, 2 * reach).checkpoint()).checkpoint()
+    inside = edges.groupBy("m").applyInPandas(largest, "m int, id long")
+    flags = inside.groupBy("id").agg(F.collect_set("m").alias("_in"))
+    marked = points.join(flags, "id", "left").withColumn("out", F.array(*(~F.coalesce(F.array_contains("_in", m), F.lit(False)) for m in min_samples))).drop("_in").checkpoint()
+    blocks = near_blocked(marked, columns, {"cores": endless(), "out": F.col("out")})
+    outside = blocks.where(F.exists("rows", lambda r: F.exists(r["out"], lambda o: o))).select(F.col("b").alias("to"))
+    pairs = outside.crossJoin(F.broadcast(blocks.select("b")))  # a number for each block
+
+    def table(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array(block.more[k].flatten().to_numpy(zero_copy_only=False)).reshape(len(block.ids), -1) for k in ("cores", "out"))
 
-    def start(own: Block) -> Block:
-        return own
+    def start(own: Block):
+        return own, *table(own), np.full((len(own.ids), len(min_samples)), np.inf), np.full((len(own.ids), len(min_samples)), -1)
+
+    def step(kept, other: Block) -> None:
+        own, cores, out, best, to = kept
+        theirs, far = table(other)
+        some = np.flatnonzero(out.any(1))
+        apart = distances(own.x[some], other.x)
+        for j in range(len(min_samples)):
+            mine, into = out[some, j].astype(bool), np.flatnonzero(~far[:, j].astype(bool))
+            if mine.any() and len(into):
+                way = np.maximum(apart[mine][:, into], theirs[into, j])
+                least = way.argmin(1)
+                w = np.maximum(way[np.arange(len(way)), least], cores[some[mine], j])
+                nearer = w < best[some[mine], j]
+                at = some[mine][nearer]
+                best[at, j], to[at, j] = w[nearer], other.ids[into[least[nearer]]]
+
+    def finish(kept) -> pa.RecordBatch:
+        own, _, _, best, to = kept
+        r, j = np.nonzero(np.isfinite(best))
+        ends = own.ids[r], to[r, j]
+        return batch(KINDS, np.array(min_samples)[j], np.zeros(len(r), int), np.minimum(*ends), np.maximum(*ends), best[r, j])
+
+    more = against_all(blocks, start, step, finish, EDGES, pairs=pairs)
+    every = edges.unionByName(more)
+    for j, m in enumerate(min_samples):
+        left = marked.where(F.col("out")[j]).select("id", "cores", *columns).checkpoint()
+        if not left.isEmpty():
+            every = every.unionByName(merged(block_trees(left.withColumn("cores", F.array(F.col("cores")[j])), columns, [m]).checkpoint()))
+    return every.withColumn("part", F.lit(0)).groupBy("m", "part").applyInPandas(lightest, EDGES)
+
+
+def largest(edges: pd.DataFrame) -> pd.DataFrame:
+    """(m, id) of the largest component of a forest."""
+    names, codes = np.unique(edges[["a", "b"]].to_numpy(), return_inverse=True)
+    sets = Sets(len(names))
+    for a, b in codes.reshape(-1, 2).tolist():
+        sets.join(a, b)
+    return pd.DataFrame({"m": edges["m"].iloc[0], "id": names[max(sets.members, key=len)]})
+
+
+def block_trees(points: DataFrame, columns: list[str], min_samples: list[int], most: float | None = None) -> DataFrame:
+    """Edges of the trees of all pairs of blocks; with `most` those up to that reach, from blocks that are near."""
+    reachable(points.sparkSession)
+    blocks = blocked(points, columns, {"cores": endless()}) if most is None else near_blocked(points, columns, {"cores": endless()})
 
     def step(own: Block, other: Block) -> pa.RecordBatch | None:
         both = [own] if own.number == other.number else [own, other]
         ids, x = np.concatenate([b.ids for b in both]), np.concatenate([b.x for b in both])
         cores = np.concatenate([b.more["cores"].flatten().to_numpy().reshape(len(b.ids), -1) for b in both])
+        if most is not None and len(both) == 2:  # an edge that joins the two has both ends near the other's box
+            off = [np.maximum(np.maximum(o.x.min(0) - b.x, b.x - o.x.max(0)), 0) for b, o in (both, both[::-1])]
+            near = np.concatenate([np.sqrt((v * v).sum(1)) * (1 - 1e-9) <= most for v in off])
+            ids, x, cores = ids[near], x[near], cores[near]
+        if len(ids) < 2:
+            return None
         out = []
         for j, m in enumerate(min_samples):
             a, b, w = prim(x, cores[:, j])
-            out.append(batch(kinds, np.full(len(a), m), np.full(len(a), own.number), np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), w))
+            if most is not None:
+                a, b, w = (v[w <= most] for v in (a, b, w))
+            out.append(batch(KINDS, np.full(len(a), m), np.full(len(a), own.number), np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), w))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(o.num_rows for o in out) else None
 
-    edges = against_all(blocks, start, step, lambda own: None, EDGES, half=True).checkpoint()
+    pairs = None if most is None else near_pairs(blocks, F.lit(most), half=True)
+    return against_all(blocks, lambda own: own, step, lambda own: None, EDGES, half=True, pairs=pairs)
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """The trees of parts as one for each m."""
     parts = (edges.agg(F.max("part")).first()[0] or 0) + 1
     first = True
     while first or parts > 1:

@@ -96,6 +96,20 @@ def test_parts_are_searched_in_common_rounds(spark, blobs, monkeypatch):
         assert (score, k) == (pytest.approx(alone[1]), alone[2])
 
 
+def test_silhouettes_of_clusters_that_few_blocks_have(spark, monkeypatch):
+    from wattloom.operators import blockwise
+
+    x = np.random.default_rng(5).normal(size=(40, 2))
+    points = as_rows(spark, x).selectExpr("id", "a", "b", "1 + id % 2 as weight")
+    labels = spark.createDataFrame([(m, k, c) for k in range(40) for m, c in ((0, k // 3), (1, k % 2), (2 + k // 20, k % 4)) if (k + m) % 7], "labelling int, id long, cluster long")
+    found = []
+    for rows in (1000, 5):
+        monkeypatch.setattr(blockwise, "ROWS", rows)
+        found.append({(r["labelling"], r["id"]): (r["cluster"], r["silhouette"]) for r in blockwise.all_silhouettes(points, COLUMNS, labels).collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == labels.count()
+    assert all(found[1][k] == (c, pytest.approx(s)) for k, (c, s) in found[0].items())
+
+
 def test_equally_near_centres_go_to_the_first():
     x = np.array([[0.5, 1.0 / 3], [7.0, 0.1]])
     assert clustering.nearest_centres(x, np.array([[[0.1, 0.3]] * 3, [[1.0, 2.0], [0.0, 0.3], [0.0, 0.3]]])).tolist() == [[0, 0], [1, 0]]

@@ -178,16 +178,17 @@ def all_silhouettes(points: DataFrame, columns: list[str], labels: DataFrame) ->
     def step(kept, other: Block):
         own, _, _, mine, names, sums, total = kept
         row, place, theirs = table(other)
-        use = np.isin(theirs.l, np.unique(mine.l))  # labellings of both
+        use = np.isin(theirs["l"], np.unique(mine["l"]))  # labellings of both
         weight = other.more["w"].to_numpy()
-        if len(names) != len(theirs) or not (names == theirs).all():
+        same = len(names) == len(theirs) and bool((names == theirs).all())
+        if not same:
             every = np.unique(np.concatenate([names, theirs[use]]))
             if len(every) > len(names):
                 wider, totals = np.zeros((len(own.ids), len(every))), np.zeros(len(every))
                 have = np.searchsorted(every, names)
                 wider[:, have], totals[have] = sums, total
                 kept[4:] = names, sums, total = every, wider, totals
-        at = np.searchsorted(names, theirs) if len(names) != len(theirs) else np.arange(len(names))
+        at = np.arange(len(names)) if same else np.searchsorted(names, theirs)
         apart = distances(own.x, other.x)
         order = np.argsort(place, kind="stable")
         row, place = row[order], place[order]
@@ -209,12 +210,12 @@ def all_silhouettes(points: DataFrame, columns: list[str], labels: DataFrame) ->
     def finish(kept):
         own, row, place, mine, names, sums, total = kept
         weight, out = own.more["w"].to_numpy(), []
-        for k in np.unique(mine.l).tolist():
-            lo, hi = np.searchsorted(names.l, [k, k + 1])
-            labels = mine.l[place] == k
-            rows, cluster = row[labels], mine.c[place[labels]]
+        for k in np.unique(mine["l"]).tolist():
+            lo, hi = np.searchsorted(names["l"], [k, k + 1])
+            labels = mine["l"][place] == k
+            rows, cluster = row[labels], mine["c"][place[labels]]
             d, n = sums[rows, lo:hi], total[lo:hi]
-            at = np.searchsorted(names.c[lo:hi], cluster)
+            at = np.searchsorted(names["c"][lo:hi], cluster)
             a = d[np.arange(len(rows)), at] / np.maximum(n[at] - 1, 1)
             mean = d / n
             mean[np.arange(len(rows)), at] = np.inf

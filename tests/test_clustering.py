@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from wattloom.operators import clustering, density, mixture
+from wattloom.operators import blockwise, clustering, density, mixture
 
 COLUMNS = ["a", "b"]
 
@@ -256,6 +256,22 @@ def test_ward_merges_equal_and_tied_rows_in_few_rounds(spark, monkeypatch):
     assert clustering.ward(grid, COLUMNS, 3).count() == 64 and len(rounds) <= 12
 
 
+def test_ward_over_many_blocks_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "WARD_BLOCK", 20)
+    monkeypatch.setattr(clustering, "WARD_LEAF", 4, raising=False)
+    monkeypatch.setattr(blockwise, "ROWS", 10)
+    x = np.random.default_rng(5).normal(size=(50, 2)) * np.linspace(0.2, 3, 50)[:, None]
+    tables = []
+    real = clustering.nearest_clusters
+    monkeypatch.setattr(clustering, "nearest_clusters", lambda c, *a: tables.append(len(c.inputFiles())) or real(c, *a))
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "id long, a double, b double")
+    found = {}
+    for r in clustering.ward(rows, COLUMNS, 6).collect():
+        found.setdefault(r["cluster"], set()).add(r["id"])
+    assert set(map(frozenset, found.values())) == plain_ward(x, 6)
+    assert len(tables) > 2 and min(tables) > 0  # a round starts from a table: no plan that grows with the rounds
+
+
 def plain_em(x, parts, family, rounds):
     for _ in range(rounds):
         logs = parts.logs(x)

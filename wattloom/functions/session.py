@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def with_checkpoints(spark: SparkSession) -> None:
@@ -20,6 +21,16 @@ def with_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(found or f"{tempfile.gettempdir()}/wattloom-checkpoints")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, read again. A checkpoint keeps what is known about its columns; in a loop of joins
+    that grows with every round, until planning takes longer than the jobs."""
+    spark = df.sparkSession
+    with_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def reachable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it (a cluster gets it by --py-files)."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

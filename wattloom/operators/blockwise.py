@@ -31,6 +31,20 @@ class Block(NamedTuple):
     more: dict[str, pa.Array]
 
 
+def as_block(number: int, values: pa.StructArray) -> Block:
+    """A block of rows (id, x, and further fields)."""
+    ids = values.field("id").to_numpy()
+    x = np.array(values.field("x").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
+    return Block(number, ids, x, {f.name: values.field(f.name) for f in list(values.type)[2:]})
+
+
+def one_list(fields: dict[str, Any]) -> pa.ListArray:
+    """One list of structs with these fields; a field with two dimensions is one of lists."""
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+    rows = pa.StructArray.from_arrays([lists(v) if v.ndim == 2 else pa.array(v) for v in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+
+
 def blocked(rows: DataFrame, columns: list[str], more: dict[str, Column] | None = None) -> DataFrame:
     """(b, rows) of rows (id, columns): blocks of about ROWS rows each, dealt by a hash of the id. An id stands for one row."""
     n = max(1, math.ceil(rows.count() / ROWS))
@@ -116,11 +130,7 @@ def against_all(blocks: DataFrame, start: Callable[[Block], Any], step: Callable
             for k, (turn, number) in enumerate(zip(turns, numbers, strict=True)):
                 if turn and to[k] != of:  # a number without a block
                     continue
-                values = batch.column("rows").slice(k, 1).flatten()
-                names = [f.name for f in values.type]
-                ids = values.field("id").to_numpy()
-                x = np.array(values.field("x").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
-                block = Block(number, ids, x, {c: values.field(c) for c in names[2:]})
+                block = as_block(number, batch.column("rows").slice(k, 1).flatten())
                 if turn == 0:
                     if kept is not None and (out := finish(kept)) is not None:
                         yield out

@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.functions.session import reachable, with_checkpoints
-from wattloom.operators.blockwise import Block, against_all, all_silhouettes, blocked, distances
+from wattloom.functions.session import reachable, settled, with_checkpoints
+from wattloom.operators.blockwise import Block, against_all, all_silhouettes, as_block, blocked, distances, near_blocked, one_list
 from wattloom.operators.density import dbscan, density_search, optics, optics_search  # noqa: F401
 from wattloom.operators.features import assembled, pca_scores
 
 MAX_K = 20
-#: Clusters that Ward's criterion merges in one task, and those of a block that meet.
-WARD_BLOCK = 2000
+#: Clusters that Ward's criterion merges in one task (a few numbers each).
+WARD_BLOCK = 8192
+#: Clusters of a block that are searched together.
+WARD_LEAF = 64
 #: Rows among which a start chooses each of its centres.
 SEEN = 10
 #: Rows of a task that fits many clusterings.
@@ -383,15 +385,21 @@ def two_stage(rows: DataFrame, first: list[str], second: list[str], components:
 
 def merge_order(x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float]]:
     """(kept, gone, height) of Ward's merges of clusters with centres x and sizes n, by chains of nearest neighbours."""
-    left, x, n = np.ones(len(n), bool), x.astype(float).copy(), n.astype(float).copy()
+    x, n, names, left = x.T.astype(float).copy(), n.astype(float).copy(), np.arange(len(n)), len(n)  # a cluster that has gone has no size
     out, chain = [], []
-    for _ in range(len(n) - 1):
+    while left > 1:
         if not chain:
-            chain = [int(np.flatnonzero(left)[0])]
+            if left < len(n) / 2:
+                here = n > 0
+                x, n, names = x[:, here].copy(), n[here], names[here]
+            chain = [int(np.argmax(n > 0))]
         while True:
             k = chain[-1]
-            d = n * n[k] / (n + n[k]) * ((x - x[k]) ** 2).sum(1)
-            d[~left] = np.inf
+            d = (x[0] - x[0, k]) ** 2
+            for v in x[1:]:
+                d += (v - v[k]) ** 2
+            d *= n * n[k] / (n + n[k])
+            d[n == 0] = np.inf
             d[k] = np.inf
             j = int(d.argmin())
             if len(chain) > 1 and d[chain[-2]] <= d[j]:
@@ -400,10 +408,11 @@ def merge_order(x: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float]]:
             chain.append(j)
         chain = chain[:-2]
         a, b = min(k, j), max(k, j)
-        out.append((a, b, float(d[j])))
-        x[a] = (n[a] * x[a] + n[b] * x[b]) / (n[a] + n[b])
+        out.append((int(names[a]), int(names[b]), float(d[j])))
+        x[:, a] = (n[a] * x[:, a] + n[b] * x[:, b]) / (n[a] + n[b])
         n[a] += n[b]
-        left[b] = False
+        n[b] = 0
+        left -= 1
     return out
 
 
@@ -414,35 +423,107 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(27))
 
 
+def leaf_order(x: np.ndarray) -> np.ndarray:
+    """An order of the rows of x in which every WARD_LEAF of them lie together: cut at the widest axis, again and again."""
+    out, left = [], [np.arange(len(x))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= WARD_LEAF:
+            out.append(rows)
+            continue
+        half = (len(rows) // WARD_LEAF + 1) // 2 * WARD_LEAF
+        rows = rows[np.argsort(x[rows, np.ptp(x[rows], axis=0).argmax()], kind="stable")]
+        left += [rows[half:], rows[:half]]
+    return np.concatenate(out)
+
+
+def cheaper(own: Block, best: list[np.ndarray], rows: np.ndarray, other: Block, part: slice) -> None:
+    """Lets `rows` of a block meet a part of another one; best (heights, orders, partners of the block's rows) is brought up to date."""
+    height, order, which = best
+    n, m, ids = own.more["n"][rows][:, None], other.more["n"][part], other.ids[part]
+    cost = np.zeros((len(rows), len(ids)))
+    for k in range(own.x.shape[1]):
+        d = own.x[rows, k, None] - other.x[part, k]
+        cost += d * d
+    cost *= n * m / (n + m)
+    if own.number == other.number:
+        cost[own.ids[rows][:, None] == ids] = np.inf
+    least = cost.min(1)
+    some = np.flatnonzero(np.isfinite(least) & (least <= height[rows]))
+    r, k = np.nonzero(cost[some] == least[some, None])
+    at = rows[some[r]]
+    h = pair_hash(own.ids[at], ids[k])
+    first = np.lexsort((h, at))
+    at, once = np.unique(at[first], return_index=True)
+    new, partner, least = h[first][once], ids[k[first][once]], least[some[r[first][once]]]
+    better = (least < height[at]) | (new < order[at])
+    at = at[better]
+    height[at], order[at], which[at] = least[better], new[better], partner[better]
+
+
 def nearest_clusters(clusters: DataFrame, columns: list[str]) -> DataFrame:
     """(c, other, height) of clusters (c, n, columns): the cheapest partner by Ward's criterion; of equal ones that whose pair comes first
-    in an order by hash, so that many pairs choose each other even where all are equally far apart."""
-    blocks = blocked(clusters.withColumnRenamed("c", "id"), columns, {"n": F.col("n")})
+    in an order by hash, so that many pairs choose each other even where all are equally far apart.
+
+    Blocks hold clusters that lie together. Each is first searched in itself; then a row meets those leaves of other blocks
+    that may hold a partner as cheap, by its distance from a leaf's box and the leaf's smallest cluster.
+    """
+    spark = clusters.sparkSession
+    with_checkpoints(spark)
+    reachable(spark)
+    dims = range(len(columns))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = as_block(batch.column("b")[i].as_py(), batch.column("rows").slice(i, 1).flatten())
+                order = leaf_order(own.x)
+                own = Block(own.number, own.ids[order], own.x[order], {"n": own.more["n"].to_numpy()[order]})
+                best = [np.full(len(order), np.inf), np.full(len(order), np.iinfo(np.uint64).max, np.uint64), np.full(len(order), -1)]
+                for at in range(0, len(order), WARD_LEAF):
+                    cheaper(own, best, np.arange(len(order)), own, slice(at, at + WARD_LEAF))
+                ends = np.arange(0, len(order), WARD_LEAF)
+                lo, hi, n, top = np.minimum.reduceat(own.x, ends), np.maximum.reduceat(own.x, ends), np.minimum.reduceat(own.more["n"], ends), np.maximum.reduceat(best[0], ends)
+                rows = {"id": own.ids, "x": own.x, "n": own.more["n"], "height": best[0], "first": best[1].view(np.int64), "which": best[2]}
+                yield pa.RecordBatch.from_arrays([pa.array([own.number], pa.int32()), one_list(rows), one_list({"lo": lo, "hi": hi, "n": n, "top": top})], names=["b", "rows", "leaves"])
+
+    near = near_blocked(clusters.withColumnRenamed("c", "id"), columns, {"n": F.col("n")})
+    row, leaf = "struct<id:long,x:array<double>,n:double,height:double,first:long,which:long>", "struct<lo:array<double>,hi:array<double>,n:double,top:double>"
+    blocks = near.select("b", "rows").mapInArrow(inside, f"b int, rows array<{row}>, leaves array<{leaf}>").join(near.select("b", "lo", "hi"), "b").checkpoint()
+    own = blocks.select(F.col("b").alias("to"), F.inline("leaves")).toDF("to", "_lo", "_hi", "_n", "_top")
+    others = blocks.select("b", "lo", "hi", F.array_min("leaves.n").alias("n"))
+    sides = [F.greatest(F.col("_lo")[k] - F.col("hi")[k], F.col("lo")[k] - F.col("_hi")[k], F.lit(0.0)) for k in dims]
+    least = F.col("_n") * F.col("n") / (F.col("_n") + F.col("n")) * squared(sides, [F.lit(0.0)] * len(sides))
+    pairs = own.join(others, (F.col("to") != F.col("b")) & (least * (1 - 1e-9) <= F.col("_top"))).select("to", "b").distinct()
 
     def start(own: Block):
-        return own, [np.full(len(own.ids), np.inf), np.full(len(own.ids), np.iinfo(np.uint64).max, np.uint64), np.full(len(own.ids), -1)]
+        m = own.more
+        own = own._replace(more={"n": m["n"].to_numpy()})
+        return own, [m["height"].to_numpy().copy(), m["first"].to_numpy().view(np.uint64).copy(), m["which"].to_numpy().copy()]
 
     def step(kept, other: Block) -> None:
-        own, (height, order, which) = kept
-        n, m = own.more["n"].to_numpy()[:, None], other.more["n"].to_numpy()[None]
-        cost = n * m / (n + m) * distances(own.x, other.x) ** 2
-        cost[own.ids[:, None] == other.ids] = np.inf
-        least = cost.min(1)
-        r, k = np.nonzero((cost == least[:, None]) & np.isfinite(cost) & (least <= height)[:, None])
-        h = pair_hash(own.ids[r], other.ids[k])
-        first = np.lexsort((h, r))
-        at, once = np.unique(r[first], return_index=True)
-        new, which_new = h[first][once], other.ids[k[first][once]]
-        better = (least[at] < height[at]) | (new < order[at])
-        at, new, which_new = at[better], new[better], which_new[better]
-        height[at], order[at], which[at] = least[at], new, which_new
+        own, best = kept
+        other = other._replace(more={"n": other.more["n"].to_numpy()})
+        ends = np.arange(0, len(other.ids), WARD_LEAF)
+        lo, hi = np.minimum.reduceat(other.x, ends), np.maximum.reduceat(other.x, ends)
+        n, m = own.more["n"][:, None], np.minimum.reduceat(other.more["n"], ends)
+        least = np.zeros((len(own.ids), len(ends)))
+        for k in dims:
+            x = own.x[:, k, None]
+            side = np.maximum(np.maximum(lo[:, k] - x, x - hi[:, k]), 0.0)
+            least += side * side
+        least *= n * m / (n + m) * (1 - 1e-9)
+        for j in np.argsort(least.min(0)).tolist():
+            rows = np.flatnonzero(least[:, j] <= best[0])
+            if len(rows):
+                cheaper(own, best, rows, other, slice(int(ends[j]), int(ends[j]) + WARD_LEAF))
 
     def finish(kept) -> pa.RecordBatch:
         own, (height, _, which) = kept
         has = which >= 0
         return pa.RecordBatch.from_arrays([pa.array(own.ids[has]), pa.array(which[has]), pa.array(height[has])], names=["c", "other", "height"])
 
-    return against_all(blocks, start, step, finish, "c long, other long, height double")
+    return against_all(blocks.select("b", "rows"), start, step, finish, "c long, other long, height double", pairs=pairs)
 
 
 def ward(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFrame:
@@ -456,16 +537,16 @@ def ward(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFram
     reachable(rows.sparkSession)
     base = rows.dropna(subset=columns)
     same = base.groupBy(*(F.col(c).cast("double").alias(c) for c in columns)).agg(F.min(F.col("id").cast("long")).alias("c"), F.count(F.lit(1)).cast("double").alias("n"))
-    now = points = same.select("c", "n", *columns).checkpoint()
+    now = points = settled(same.select("c", "n", *columns))
     merges = None
     while now.count() > WARD_BLOCK:
-        near = nearest_clusters(now, columns).checkpoint()
+        near = settled(nearest_clusters(now, columns))
         back = near.select(F.col("c").alias("other"), F.col("other").alias("c"))
-        mutual = near.join(back, ["c", "other"]).where("c < other").checkpoint()
+        mutual = settled(near.join(back, ["c", "other"]).where("c < other"))
         merges = mutual if merges is None else merges.unionByName(mutual)
         into = mutual.select(F.col("other").alias("c"), F.col("c").alias("_to"))
         moved = now.join(into, "c", "left").withColumn("c", F.coalesce("_to", "c"))
-        now = moved.groupBy("c").agg(F.sum("n").alias("_n"), *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in columns)).withColumnRenamed("_n", "n").checkpoint()
+        now = settled(moved.groupBy("c").agg(F.sum("n").alias("_n"), *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in columns)).withColumnRenamed("_n", "n"))
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(parts)).sort_values("c")
@@ -474,13 +555,13 @@ def ward(rows: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFram
         yield pd.DataFrame([(ids[a], ids[b], h) for a, b, h in found], columns=["c", "other", "height"]).astype({"c": "int64", "other": "int64", "height": "float64"})
 
     last = now.select("c", "n", *columns).coalesce(1).mapInPandas(finish, "c long, other long, height double")  # WARD_BLOCK rows at most
-    merges = (last if merges is None else merges.unionByName(last)).checkpoint()
+    merges = settled(last if merges is None else merges.unionByName(last))
     undone = merges.orderBy(F.desc("height"), F.desc("other")).limit(max(k - 1, 0))
     kept = merges.join(F.broadcast(undone.select("other")), "other", "left_anti")  # k - 1 rows
     # A cluster goes into another once at most: roots by doubling.
-    up = points.select("c").join(kept.select(F.col("other").alias("c"), F.col("c").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("to")).checkpoint()
+    up = settled(points.select("c").join(kept.select(F.col("other").alias("c"), F.col("c").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("to")))
     while True:
-        further = up.join(up.select(F.col("c").alias("to"), F.col("to").alias("_next")), "to").select("c", F.col("_next").alias("to")).checkpoint()
+        further = settled(up.join(up.select(F.col("c").alias("to"), F.col("to").alias("_next")), "to").select("c", F.col("_next").alias("to")))
         if further.join(up, ["c", "to"], "left_anti").isEmpty():
             break
         up = further

@@ -175,3 +175,15 @@ def test_combinations_of_missing_values(spark):
     df = spark.createDataFrame([(1, 100.0), (2, None), (3, float("nan")), (4, 0.0)], "id int, x double")
     got = {r["id"]: (r["counts"], r["residual"]) for r in blocks.residual_combinations(df, "x", [10.0] * 7, 3).collect()}
     assert sum(got[1][0]) == 10 and got[1][1] == 0 and got[2] == got[3] == (None, None) and got[4] == ([0] * 7, None)
+
+
+def test_pump_matches_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(scans, "TASK_ROWS", 40, raising=False)
+    start = "timestamp_ntz'2024-01-01 00:00:00'"
+    signal = spark.range(240).select(F.lit("p").alias("pump"), F.expr(f"{start} + make_interval(0, 0, 0, 0, 0, id * 15)").alias("t"), (F.col("id") % 7).cast("double").alias("value"))
+    truth = spark.range(20).select(F.col("id").alias("vid"), F.expr(f"{start} + make_interval(0, 0, 0, 0, id * 3)").alias("vs"), F.expr(f"{start} + make_interval(0, 0, 0, 0, id * 3 + 2)").alias("ve"))
+    looks, real = [], scans.with_neighbours
+    monkeypatch.setattr(scans, "with_neighbours", lambda *a, **k: looks.append(real(*a, **k)) or looks[-1])
+    found = metrics.pump_matches(truth, signal).first()
+    assert found["start_detection_rate"] == 0.95  # no change before the first event
+    assert looks[0].select(F.spark_partition_id()).distinct().count() > 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.functions.columns import inverse_score, known
+from wattloom.functions.session import settled
 from wattloom.operators import scans
 
 WEIGHTS = {"start_detection_rate": 0.3, "end_detection_rate": 0.3, "time_accuracy": 0.2, "avg_power_pattern_similarity": 0.2}
@@ -99,7 +100,7 @@ def window_accuracy(records: DataFrame, truth: DataFrame) -> DataFrame:
     return out.select("cluster", s.alias("start_accuracy"), e.alias("end_accuracy"), ((s + e) / 2).alias("avg_accuracy"), "total_validation_events", "correct_starts", "correct_ends")
 
 
-def running_steps(signal: DataFrame, pump: str) -> DataFrame:
+def running_steps(signal: DataFrame, pump: str, tasks: int = 0) -> DataFrame:
     """(pump, t, mark) of each sample, from which any window of steps |value - the one before| follows by differences.
 
     mark: hour, the running count, sum and sum of squares of the hour's steps up to the sample and in all, those of all hours before, and
@@ -108,6 +109,7 @@ def running_steps(signal: DataFrame, pump: str) -> DataFrame:
     """
     steps = scans.with_lag(signal.select(pump, "t", F.col("value").cast("double").alias("value")), [pump], ["t"], "value", "_p", scans.HOUR)
     steps = steps.withColumn("d", F.abs(F.col("value") - F.col("_p")))
+    steps = steps.repartition(tasks, pump, "_bucket") if tasks else steps
     hour = Window.partitionBy(pump, "_bucket").orderBy("t")
     upto, whole = hour.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(pump, "_bucket")
     big = F.when(F.col("d").isNotNull(), F.struct("d", (-scans.micros("t")).alias("early"), "t"))
@@ -157,15 +159,18 @@ def pump_matches(truth: DataFrame, signal: DataFrame, pump: str = "pump", thresh
     their mean within the event. Events without a sample add 0; undefined similarities count as missing ones.
 
     Every pump meets every event, at four times each: looks at running sums and maxima there give all windows, so that
-    rows grow with samples and with events times pumps, however many samples an event has.
+    rows grow with samples and with events times pumps, however many samples an event has; the tasks that hold them grow in number.
     """
     hour = F.expr("interval 1 hour")
-    marks = running_steps(signal, pump)
+    truth = settled(truth.select("vid", "vs", "ve"))
+    pumps, samples, events = *signal.agg(F.count_distinct(pump), F.count(F.lit(1))).first(), truth.count()
+    marks = running_steps(signal, pump, scans.tasks_for(samples))
+    asking = scans.tasks_for(samples + 4 * pumps * events)
     names = signal.agg(F.collect_set(pump).alias("pumps"))  # one row
     points = F.array(*(F.struct(F.lit(k).alias("point"), c.alias("t")) for k, c in (("a", F.col("vs") - hour), ("b", F.col("vs")), ("c", F.col("ve") - hour), ("d", F.col("ve")))))
     asked = truth.select("vid", "vs", "ve", F.inline(points)).crossJoin(F.broadcast(names)).select(F.explode("pumps").alias(pump), "t", "vid", "vs", "ve", "point")
     rows = marks.unionByName(asked, allowMissingColumns=True)
-    seen = scans.with_neighbours(rows, [pump], "t", "mark", scans.HOUR).where("point is not null")
+    seen = scans.with_neighbours(rows, [pump], "t", "mark", scans.HOUR, tasks=asking).where("point is not null").repartition(asking, pump, "vid")
     at = lambda point, side: F.max(F.when(F.col("point") == point, F.struct(side))).getField(side)
     each = seen.groupBy(pump, "vid").agg(F.max("vs").alias("vs"), F.max("ve").alias("ve"), *(at(p, s).alias(p + s) for p, s in (("a", "_after"), ("b", "_before"), ("b", "_after"), ("c", "_after"), ("d", "_before"))))
     out = {}

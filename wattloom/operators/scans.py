@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 MONTH = 30 * DAY
+#: Wide rows of a task, about.
+TASK_ROWS = 200_000
 #: The bucket of rows without a time, which stand first.
 TIMELESS = -(2**62)
 
@@ -25,10 +27,17 @@ def bucket(time: str | Column, width: int = DAY) -> Column:
     return F.floor(micros(time) / width).cast("long")
 
 
-def with_neighbours(rows: DataFrame, key: list[str], time: str, value: str, width: int = DAY, after: bool = True) -> DataFrame:
+def tasks_for(rows: int) -> int:
+    """How many tasks share rows that are wide: a number that grows with them. Left to itself, adaptive execution joins tasks by their
+    compressed bytes, and many alike rows end up in few."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def with_neighbours(rows: DataFrame, key: list[str], time: str, value: str, width: int = DAY, after: bool = True, tasks: int = 0) -> DataFrame:
     """rows with `_before` and (unless `after` is false) `_after`: `value` (null where a row has none) of the last row that has one at or
-    before, and of the first at or after each row's time, wherever in the series they are; rows of one time see each other. Also `_bucket`."""
+    before, and of the first at or after each row's time, wherever in the series they are; rows of one time see each other. Also `_bucket`. Buckets are dealt to `tasks`, if given."""
     rows = rows.withColumn("_bucket", bucket(time, width))
+    rows = rows.repartition(tasks, *key, "_bucket") if tasks else rows
     has = F.col(value).isNotNull()
     sides = {"_before": (F.col(time), F.max_by, F.col("_bucket"))} | ({"_after": (F.desc(time), F.min_by, F.desc("_bucket"))} if after else {})
     inside, ends = rows, rows.groupBy(*key, "_bucket").agg(*(pick(value, F.when(has, F.col(time))).alias(f"_in{name}") for name, (_, pick, _) in sides.items()))

@@ -313,3 +313,16 @@ def test_a_mixture_labels_new_rows(spark, blobs):
     new = spark.createDataFrame([(1, 0.0, 0.1), (2, 5.1, 0.0), (3, 0.1, 5.0), (4, None, 1.0), (5, 0.05, 0.0)], "id long, a double, b double")
     got = {r["id"]: r["cluster"] for r in model.predict(new).collect()}
     assert got[1] == got[5] and len({got[1], got[2], got[3]}) == 3 and got[4] is None
+
+
+def test_silhouettes_of_parts_let_only_their_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr(blockwise, "ROWS", 10)
+    rng = np.random.default_rng(8)
+    points = spark.createDataFrame([(k, k % 3, 1, float(a), float(b)) for k, (a, b) in enumerate(rng.normal(size=(90, 2)))], "id long, fold int, weight int, a double, b double")
+    labels = spark.createDataFrame([(3 * l + k % 3, k, int(c)) for l in range(2) for k, c in enumerate(rng.integers(0, 3, 90))], "labelling int, id long, cluster long")
+    met, real = [], blockwise.against_all
+    monkeypatch.setattr(blockwise, "against_all", lambda *a, pairs=None, **k: met.append(pairs) or real(*a, pairs=pairs, **k))
+    whole = {(r["labelling"], r["id"]): r["silhouette"] for r in blockwise.all_silhouettes(points, COLUMNS, labels).collect()}
+    parts = {(r["labelling"], r["id"]): r["silhouette"] for r in blockwise.all_silhouettes(points, COLUMNS, labels, "fold").collect()}
+    assert len(whole) == 180 and parts == pytest.approx(whole)
+    assert met[1].count() <= 27  # three parts of at most three blocks each, instead of 81 pairs

@@ -45,11 +45,15 @@ def one_list(fields: dict[str, Any]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
 
 
-def blocked(rows: DataFrame, columns: list[str], more: dict[str, Column] | None = None) -> DataFrame:
-    """(b, rows) of rows (id, columns): blocks of about ROWS rows each, dealt by a hash of the id. An id stands for one row."""
-    n = max(1, math.ceil(rows.count() / ROWS))
+def blocked(rows: DataFrame, columns: list[str], more: dict[str, Column] | None = None, part: str | None = None) -> DataFrame:
+    """(b, rows) of rows (id, columns): blocks of about ROWS rows each, dealt by a hash of the id. An id stands for one row. With `part` (a
+    column of small whole numbers from 0 on) a block holds rows of one part: (b, part, rows)."""
     each = F.struct(F.col("id").cast("long").alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), *(c.alias(k) for k, c in (more or {}).items()))
-    return rows.groupBy(F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(n)).cast("int").alias("b")).agg(F.sort_array(F.collect_list(each)).alias("rows"))
+    most = rows.count() if part is None else rows.groupBy(part).count().agg(F.max("count")).first()[0] or 0
+    n = max(1, math.ceil(most / ROWS))
+    at = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(n)).cast("int")
+    by = [at.alias("b")] if part is None else [(F.col(part) * n + at).cast("int").alias("b"), F.col(part).alias("part")]
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(each)).alias("rows"))
 
 
 def cut_tree(sample: np.ndarray, n: int) -> list[tuple[int, float, int, int]]:
@@ -159,14 +163,20 @@ def batch(schema: dict[str, pa.DataType], *columns: Any) -> pa.RecordBatch:
 SILHOUETTES = {"labelling": pa.int32(), "id": pa.int64(), "cluster": pa.int64(), "weight": pa.int64(), "silhouette": pa.float64()}
 
 
-def all_silhouettes(points: DataFrame, columns: list[str], labels: DataFrame) -> DataFrame:
+def all_silhouettes(points: DataFrame, columns: list[str], labels: DataFrame, part: str | None = None) -> DataFrame:
     """(labelling, id, cluster, weight, silhouette) of points (id, weight, columns) under many labellings (labelling, id, cluster).
 
     Points without a cluster in a labelling (noise) take no part in it. A point counts `weight` times; 0 in a cluster of one. The
-    distances of two blocks are worked out once for all labellings.
+    distances of two blocks are worked out once for all labellings. `part` names a column of small whole numbers from 0 on, where no
+    labelling has points of several parts: blocks then hold one part and meet those of the same part only.
     """
     of = labels.groupBy("id").agg(F.collect_list(F.struct(F.col("labelling").cast("int").alias("l"), F.col("cluster").cast("long").alias("c"))).alias("labels"))
-    blocks = blocked(points.join(of, "id"), columns, {"w": F.col("weight").cast("long"), "labels": F.col("labels")})
+    blocks, pairs = blocked(points.join(of, "id"), columns, {"w": F.col("weight").cast("long"), "labels": F.col("labels")}, part), None
+    if part is not None:
+        with_checkpoints(points.sparkSession)
+        blocks = blocks.checkpoint()
+        pairs = blocks.select(F.col("b").alias("to"), "part").join(blocks.select("b", "part"), "part").select("to", "b")
+        blocks = blocks.select("b", "rows")
 
     def table(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each label its row and the place of its (labelling, cluster) among the block's, and these by ascending order."""
@@ -236,4 +246,4 @@ def all_silhouettes(points: DataFrame, columns: list[str], labels: DataFrame) ->
             out.append(batch(SILHOUETTES, np.full(len(rows), k), own.ids[rows], cluster, weight[rows], s))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
-    return against_all(blocks, start, step, finish, "labelling int, id long, cluster long, weight long, silhouette double")
+    return against_all(blocks, start, step, finish, "labelling int, id long, cluster long, weight long, silhouette double", pairs=pairs)

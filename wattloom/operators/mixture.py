@@ -157,13 +157,13 @@ def labelled(points: DataFrame, d: int, fits: list[Fit], parts: list[Parts]) ->
 
 def fit_scores(points: DataFrame, d: int, fits: list[Fit], parts: list[Parts]) -> dict[Fit, float]:
     """Mean of silhouette, Calinski-Harabasz / 1000, -BIC / 10000 and -AIC / 10000 of each fit over the rows that it has left out;
-    fits that give one group there have none."""
+    fits that give one group there have none. A labelling has rows of one fold, so only these meet."""
     labels = labelled(points, d, fits, parts).checkpoint()
     columns = [f"x{j}" for j in range(d)]
-    wide = points.select("id", *(F.col("x")[j].alias(c) for j, c in enumerate(columns)))
+    wide = points.select("id", "fold", *(F.col("x")[j].alias(c) for j, c in enumerate(columns)))
     square = sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0]))
     stats = labels.join(wide, "id").groupBy("labelling", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("like").alias("like"), F.sum(square).alias("q"), *(F.sum(c).alias(c) for c in columns)).collect()  # a row for each component
-    sil = {r["labelling"]: r["s"] for r in all_silhouettes(wide.withColumn("weight", F.lit(1)), columns, labels.select("labelling", "id", "cluster")).groupBy("labelling").agg(F.avg("silhouette").alias("s")).collect()}  # a row for each fit
+    sil = {r["labelling"]: r["s"] for r in all_silhouettes(wide.withColumn("weight", F.lit(1)), columns, labels.select("labelling", "id", "cluster"), "fold" if all(f.fold >= 0 for f in fits) else None).groupBy("labelling").agg(F.avg("silhouette").alias("s")).collect()}  # a row for each fit
     out = {}
     for k, f in enumerate(fits):
         rows = [r for r in stats if r["labelling"] == k]

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from wattloom.llm import ngram_join, shingles
+from wattloom.llm import common, ngram_join, shingles
 
 
 def shingle_set(text):
@@ -90,3 +90,33 @@ def test_stage_keeps_one_of_each_group(spark, odd_docs):
     ids = [r["doc_id"] for r in kept]
     assert set(odd_docs.columns) == set(kept[0].asDict()) and ids.count(None) == 1
     assert 6 in ids and 7 not in ids and 8 not in ids and len(ids) == len(set(ids))
+
+
+def test_only_few_texts_are_shuffled(spark):
+    rows = [(k, f"w{k} " * 3 + "text") for k in range(400)]
+    docs = ngram_join.placed(spark.createDataFrame(rows, "doc_id long, text string"))
+    maybe, sure = ngram_join.parted(docs, docs.where("doc_id < 10").select(ngram_join.PLACE))
+    assert sorted(r["doc_id"] for r in maybe.unionByName(sure).collect()) == list(range(400))
+    assert set(range(10)) <= {r["doc_id"] for r in maybe.collect()} and maybe.count() < 20
+    everything, nothing = ngram_join.parted(docs, docs.select(ngram_join.PLACE))
+    assert (everything.count(), nothing.count()) == (400, 0)
+    none, all_ = ngram_join.parted(docs, docs.where("doc_id < 0").select(ngram_join.PLACE))
+    assert (none.count(), all_.count()) == (0, 400)
+
+
+def test_a_small_group_meets_at_once(spark):
+    members = spark.createDataFrame([(1, c, c // 2, 10) for c in range(6)] + [(2, c, c // 300, 10) for c in range(600)], 'group long, class long, component long, n long')
+    met = ngram_join.dealt(members, 1000)
+    assert met.where("group = 1").count() == 6
+    pairs = met.where("group = 2").alias("x").join(met.where("group = 2").alias("y"), ngram_join.KEYS).where("x.component < y.component")
+    assert pairs.select("x.class", "y.class").distinct().count() == 300 * 300
+
+
+def test_a_worker_keeps_what_one_operator_remembers():
+    gone = []
+    common.worker_of("a", lambda: gone.append("a"))
+    common.worker_of("a", lambda: gone.append("a"))
+    assert gone == []
+    common.worker_of("b")
+    common.worker_of("b")
+    assert gone == ["a"]

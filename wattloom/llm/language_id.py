@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import extended, id_remainder, reachable, read
+from wattloom.llm.common import extended, id_remainder, reachable, read, worker_of
 
 #: Documents of a language that its dictionary is cut from, and the characters each may give.
 DOCS_PER_LANG = 256
@@ -113,6 +113,7 @@ def identify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     sent = base.sparkSession.sparkContext.broadcast(model)  # at most about MODEL_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("language_id")
         models = compressors(sent.value)
         for b in batches:
             rows = [classify(t, models) for t in b.column("text").to_pylist()]

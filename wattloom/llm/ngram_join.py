@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm import shingles
-from wattloom.llm.common import extended, forget, read, written
+from wattloom.llm.common import extended, forget, read, worker_of, written
 
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
@@ -44,6 +44,8 @@ HOT, MAX_HUBS = 1024, 10_000
 BUCKETS = 16
 #: Names a row by its id and text.
 PLACE = "_place"
+#: Bits of the bitmap that tells which texts need no shuffle (a broadcast of a row for 64 of them at most); of more places it tells less.
+PLACE_BITS = 1 << 25
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,6 +97,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     one), bitmap, minimum hashes, and (on one row of each batch) the shingles that several of the batch hold, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("ngram_join")
         for b in parts(batches):
             n, cls, bits, keys, everything = [], [], [], [], []
             for _, h, at in shingles.sets(b.column("text").to_pylist()):
@@ -136,6 +139,7 @@ def posted(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, buckets: int)
     sent = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.sort(shingles.mixed(hot, 11))))  # at most MAX_FREQUENT hashes each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("ngram_join")
         last, hottest = sent.value
         for b in parts(batches):
             key, cls, code = [], [], []
@@ -395,7 +399,8 @@ KEYS = ["group", "left", "right"]
 def dealt(members: DataFrame, block: int) -> DataFrame:
     """members (group, class, component, n) of the groups with several components, with KEYS and side: the blocks of a group that meet.
 
-    The members of a group's main component (that with most shingles) need to meet the others only, not each other.
+    The members of a group's main component (that with most shingles) need to meet the others only, not each other. Where they and the
+    others are a block each, all meet at once, so that a small group's members are sent once.
     """
     by_component = members.groupBy("group", "component").agg(F.sum("n").alias("n"))
     top = F.max(F.struct("n", "component"))
@@ -403,9 +408,10 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
     blocks = lambda c: F.ceil(c / block).cast("int")
     found = found.select("group", F.col("top.component").alias("main"), blocks(F.col("top.n")).alias("bm"), blocks(F.col("all") - F.col("top.n")).alias("br"))
     inside = members.join(written(found, "several"), "group")  # a table of its own, so that a large group's join can be split
+    inside = inside.withColumn("small", F.expr("bm = 1 and br = 1"))
     is_main = F.col("component") == F.col("main")
-    inside = inside.withColumn("side", F.when(is_main, F.pmod(F.xxhash64("class"), F.col("bm"))).otherwise(F.col("bm") + F.pmod(F.xxhash64("class"), F.col("br"))).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.when(is_main, F.expr("sequence(bm, bm + br - 1)")).otherwise(F.expr("sequence(0, bm + br - 1)"))))
+    inside = inside.withColumn("side", F.when(F.col("small"), F.lit(0)).when(is_main, F.pmod(F.xxhash64("class"), F.col("bm"))).otherwise(F.col("bm") + F.pmod(F.xxhash64("class"), F.col("br"))).cast("int"))
+    inside = inside.withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).when(is_main, F.expr("sequence(bm, bm + br - 1)")).otherwise(F.expr("sequence(0, bm + br - 1)"))))
     inside = inside.withColumns({"left": F.least("side", "other"), "right": F.greatest("side", "other")})
     return inside.select(*KEYS, "side", "class", "component", "n")
 
@@ -457,8 +463,20 @@ def joined(members: DataFrame) -> DataFrame:
     return met(members, ["class", "side", "n", "hashes", "component", "groups"], work, ["a", "b"])
 
 
+def parted(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (with PLACE) in two: rows that may be among the places (PLACE), and rows that are not, as a bitmap of the places tells."""
+    bit = F.pmod(F.col(PLACE), F.lit(PLACE_BITS))
+    rows = lambda df: df.withColumns({"_word": F.shiftright(bit, 6), "_mask": F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))})
+    words = rows(places).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))  # PLACE_BITS / 64 rows at most
+    marked = rows(docs).join(F.broadcast(words), "_word", "left")
+    among = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")), F.lit(0)) != 0
+    return marked.where(among).select(docs.columns), marked.where(~among).select(docs.columns)
+
+
 def set_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, hashes) of the classes (class, PLACE) asked for, once each: hashes as packed sorted 64-bit numbers."""
+    asked = written(classes.select(PLACE, "class"), "asked")
+    maybe, _ = parted(docs.select(PLACE, "text"), asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -466,7 +484,7 @@ def set_table(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 blobs = [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("class").slice(first, len(blobs)), pa.array(blobs, pa.binary())], names=["class", "hashes"])
 
-    return docs.select(PLACE, "text").join(classes.select(PLACE, "class"), PLACE).mapInArrow(run, "class long, hashes binary")
+    return maybe.join(asked, PLACE).mapInArrow(run, "class long, hashes binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -596,9 +614,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = rows.where("root is not null").groupBy("root").agg(F.min_by(PLACE, order).alias(PLACE)).select(PLACE)
     repeated = rows.where("root is not null").groupBy(PLACE).agg(F.count(F.lit(1)).alias("_repeats")).where("_repeats > 1")
     empty = rows.where("root is null").select(PLACE).distinct().withColumn("_repeats", F.lit(None).cast("long"))
-    kept = placed(docs).join(written(chosen.join(repeated, PLACE, "left").unionByName(empty), "kept"), PLACE)
+    fates = written(chosen.join(repeated, PLACE, "left").unionByName(empty), "kept")
+    dropped = rows.where("root is not null").select(PLACE).join(fates, PLACE, "left_anti")
+    doubtful, sure = parted(placed(docs), dropped.unionByName(fates.where("_repeats is not null").select(PLACE)))
+    kept = doubtful.join(fates, PLACE)
     once = kept.where("_repeats is not null").dropDuplicates([PLACE])  # rows that are equal in id and text
-    return kept.where("_repeats is null").unionByName(once).select(docs.columns)
+    return sure.select(docs.columns).unionByName(kept.where("_repeats is null").unionByName(once).select(docs.columns))
 
 
 QUERIES = {"op1_ngram_join": query}

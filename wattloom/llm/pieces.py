@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm.common import Remembered, extended, reachable, read
+from wattloom.llm.common import Remembered, extended, reachable, read, worker_of
 
 MARK = "▁"
 #: Encoded words, parts of words and tested pairs that a worker remembers, at most twice so many of each (about 40 MB each when full).
@@ -168,6 +168,7 @@ def encoded(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False)
     base = docs.select([*(docs[c] for c in keep), docs["text"].alias("_text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("pieces", coder.cache_clear)
         c = coder(path)
         for b in batches:
             all_ids, texts = [], b.column(len(keep)).to_pylist()

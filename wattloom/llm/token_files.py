@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import Remembered, read, written
+from wattloom.llm.common import Remembered, read, worker_of, written
 
 MAGIC = b"WLTOKEN1"
 HEAD = struct.Struct("<8s16sBI")
@@ -160,6 +160,7 @@ def write_files(docs: DataFrame, path: str) -> tuple[DataFrame, bytes]:
     sent = docs.sparkSession.sparkContext.broadcast(dictionary)  # at most DICT_BYTES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("token_files", words.cache_clear)
         w = words(path)
         kind = {"dict_data": zstandard.ZstdCompressionDict(sent.value)} if sent.value else {}
         z = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, **kind)

@@ -64,3 +64,13 @@ def test_token_files(spark, odd_docs, no_docs, folder, monkeypatch):
     with pytest.raises(ValueError):
         token_files.TokenFile(bytes(blob), dictionary + b"x")
     assert token_files.query(spark, folder(documents=no_docs)).count() == 0
+
+
+def test_a_word_is_encoded_once_with_and_without_marks(monkeypatch):
+    coder = token_files.Words(token_files.tokenizer_path())
+    seen, alone = [], coder.alone
+    monkeypatch.setattr(coder, "alone", lambda unit: seen.append(unit) or alone(unit))
+    text = "a zebra zebra, zebra.\nZebra zebra?! überté überté, x\n\ny zebra\n"
+    ids = np.frombuffer(coder.encode(text), coder.dtype).tolist()
+    assert ids == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert seen.count(" zebra") == 1 and seen.count(" überté") == 1

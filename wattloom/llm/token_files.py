@@ -15,8 +15,9 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ END_ID = 0
 REMEMBERED = 250_000
 # The code points of Unicode's White_Space property, where the tokenizer's pattern always cuts.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ID = attrgetter("id")
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 #: Parts that the pattern cuts around, whatever stands beside them; blanks run up to the one that the next word takes.
 UNITS = re.compile(
@@ -51,6 +53,8 @@ UNUSUAL = re.compile("[\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 
 #: One part of the pattern, whole: what the library's model takes without its pattern.
 ALONE = re.compile(f" ?(?:[{LETTERS}]+|[0-9]+|[{MARKS}]+)")
+#: A word that is one part, and marks that often end one; the pattern cuts between them.
+ONE_PART, ENDS = re.compile(f"[{LETTERS}]+"), ".,;:!?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,27 +73,35 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.space = self.letters[ord(" ")]
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.units = Remembered(self.unit, REMEMBERED)
         self.words = Remembered(self.word, REMEMBERED)  # each behind a space
 
-    def packed(self, ids: list[int]) -> bytes:
+    def packed(self, ids: Iterable[int]) -> bytes:
         out = array(self.kind, ids)
         if sys.byteorder == "big":
             out.byteswap()
         return out.tobytes()
 
     def alone(self, unit: str) -> bytes:
-        return self.packed([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))])
+        letters = unit.replace(" ", self.space) if unit.isascii() and unit.isprintable() else unit.encode().decode("latin-1").translate(self.letters)
+        return self.packed(map(ID, self.model.tokenize(letters)))
 
     def unit(self, unit: str) -> bytes:
         return self.alone(unit) if ALONE.fullmatch(unit) else self.packed(self.tokenizer.encode(unit, add_special_tokens=False).ids)
 
     def word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
+        if ONE_PART.fullmatch(word):
             return self.alone(f" {word}")
+        core = word.rstrip(ENDS)
+        if len(core) < len(word) and ONE_PART.fullmatch(core):
+            return self.words[core] + self.units[word[len(core) :]]
+        line, feed, then = word.partition("\n")
+        if line and then and "\n" not in then:
+            return self.words[line] + self.units[feed] + b"".join(map(self.units.__getitem__, UNITS.findall(then)))
         return b"".join(map(self.units.__getitem__, UNITS.findall(f" {word}")))
 
     def encode(self, text: str | None) -> bytes:

@@ -100,7 +100,7 @@ class Words:
         if len(core) < len(word) and ONE_PART.fullmatch(core):
             return self.words[core] + self.units[word[len(core) :]]
         line, feed, then = word.partition("\n")
-        if line and then and "\n" not in then:
+        if line and feed and "\n" not in then:
             return self.words[line] + self.units[feed] + b"".join(map(self.units.__getitem__, UNITS.findall(then)))
         return b"".join(map(self.units.__getitem__, UNITS.findall(f" {word}")))
 

@@ -165,3 +165,17 @@ def test_every_sample_of_a_rule_holds_its_keyword_and_is_found(spark):
 def test_no_documents_to_scan(spark, no_docs, folder):
     at = folder(documents=no_docs)
     assert licenses.query(spark, at).count() == 0 and personal_data.query(spark, at).count() == 0
+
+
+def test_rules_besides_notices_need_a_keyword(spark):
+    """What is skipped for texts without KEYWORDS cannot match there; notices that need none of them are still found."""
+    skipped = [r for r in licenses.rules() if r not in licenses.notices()]
+    assert len(skipped) > 400 and len(licenses.notices()) > 150
+    for _, key, pattern, _ in skipped:
+        assert any(k in key for k in licenses.KEYWORDS[:4]) or "under " in pattern or "licen" in pattern
+        if "|" in pattern and "licen" not in pattern.replace("licensed", "") and not any(k in key for k in licenses.KEYWORDS[:4]):
+            assert licenses.UNDER in pattern and all(re.search(licenses.KEYWORDS[4], f"{w} under ") for w in licenses.UNDER[3:].split(") under")[0].split("|"))
+    texts = ["used under mit", "Available under the Apache Software 2.0", "Dual Licensed under GPL", "all rights reserved", "used for good, not evil: The Software shall be used for Good, not Evil", "something unlike the rest"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scanned(docs).collect()}
+    assert got == {0: "mit", 1: "apache", 2: "dual-licensed,gpl", 3: "proprietary", 4: "json", 5: ""}

@@ -362,7 +362,7 @@ UNDER = r"(?:released|licensed|used|distributed|available|provided|published|off
 #: Tiers from strong to weak.
 IDENTIFIED, NOTICED, TITLED, GENERIC = range(4)
 CONFIDENCE = (0.99, 0.95, 0.9, 0.5)
-#: A text that holds none of these is not scanned further.
+#: A text that holds none of these is scanned for some of the notices only.
 KEYWORDS = ("licen", "public domain", "spdx", "all rights reserved", "(?:d|available) under ")
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_RULE = f"(?<= )(?:{'|'.join(BASE)})(?= )"
@@ -391,6 +391,13 @@ def rules() -> list[tuple[str, str, str, int]]:
     return [(label, key, f"(?<= ){pattern}(?= )", tier) for label, key, pattern, tier in out]
 
 
+def notices() -> list[tuple[str, str, str, int]]:
+    """Those of the rules that can match a text without KEYWORDS: notices whose keyword holds none of them. All others name a license, or
+    something that is licensed or available under one."""
+    own = {(label, key, f"(?<= ){words}(?= )") for key, label, words in lines(NOTICES) if not any(k in key for k in KEYWORDS[:4])}
+    return [r for r in rules() if r[:3] in own and r[3] == IDENTIFIED]
+
+
 def spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -407,16 +414,17 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     A null text is empty: no words, no labels (empty strings), score 0. Score: the confidence of the strongest match left.
     """
-    table = [F.struct(F.lit(a).alias("label"), F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(t).alias("tier")) for a, k, p, t in rules()]
+    table = {k: [F.struct(F.lit(a).alias("label"), F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(t).alias("tier")) for a, k, p, t in some] for k, some in (("all", rules()), ("notices", notices()))}
     text = F.coalesce("text", F.lit(""))
     lower = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(text))  # A-Z only
     low = docs.withColumn("_body", F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
     low = low.withColumn("_words", F.concat(F.lit(" "), F.col("_body"), F.lit(" ")))
     words = F.col("_words")
-    keys = F.array(*(F.lit(key) for key in dict.fromkeys(key for key, *_ in lines(NOTICES)) if not any(k in key for k in KEYWORDS[:4])))
-    gate = words.rlike("|".join(KEYWORDS)) | F.exists(keys, lambda key: F.contains(words, key))
+    keys = F.array(*(F.lit(key) for key in dict.fromkeys(key for _, key, *_ in notices())))
     base = low.withColumn("_base", F.when(F.contains(words, F.lit(" license ")), places(words, F.lit(BASE_RULE))).otherwise(F.expr("cast(array() as array<struct<start:bigint,text:string>>)")))
-    base = base.withColumn("_rules", F.when(gate, F.filter(F.array(*table), lambda r: F.contains(words, r["key"]))))
+    base = base.withColumn("_keys", F.when(words.rlike("|".join(KEYWORDS)), F.lit(None)).otherwise(F.filter(keys, lambda key: F.contains(words, key))))
+    of_notices = F.when(F.size("_keys") > 0, F.filter(F.array(*table["notices"]), lambda r: F.array_contains("_keys", r["key"])))
+    base = base.withColumn("_rules", F.when(F.col("_keys").isNull(), F.filter(F.array(*table["all"]), lambda r: F.contains(words, r["key"]))).otherwise(of_notices))
 
     def detections(r: Column) -> Column:
         return F.transform(places(words, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), (-m["start"] - spaces(m["text"])).alias("minus_end"), r["tier"].alias("tier"), r["label"].alias("label")))

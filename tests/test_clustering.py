@@ -326,3 +326,20 @@ def test_silhouettes_of_parts_let_only_their_blocks_meet(spark, monkeypatch):
     parts = {(r["labelling"], r["id"]): r["silhouette"] for r in blockwise.all_silhouettes(points, COLUMNS, labels, "fold").collect()}
     assert len(whole) == 180 and parts == pytest.approx(whole)
     assert met[1].count() <= 27  # three parts of at most three blocks each, instead of 81 pairs
+
+
+def test_scores_of_fits_make_no_row_for_a_point_and_a_labelling(spark, lumps, monkeypatch):
+    monkeypatch.setattr(blockwise, "ROWS", 12)
+    monkeypatch.setattr(clustering, "SCORED", 9)  # several passes
+    monkeypatch.setattr(clustering, "COLUMNS", 3)
+    sent, real = [], clustering.against_all
+    monkeypatch.setattr(clustering, "against_all", lambda blocks, *a, **k: sent.append([f.name for f in blocks.schema["rows"].dataType.elementType]) or real(blocks, *a, **k))
+    rows = as_rows(spark, lumps)
+    first = [lumps[at].astype(float) for at in ([0, 30, 60], [0, 30, 60, 69], [1, 2], [20, 40, 50, 55, 65])]
+    fits = clustering.all_kmeans(rows, COLUMNS, first, rounds=5)
+    got = clustering.fit_scores(rows, COLUMNS, fits, "si", (0.7, 0.3))
+    want = [clustering.SCORES["si"](clustering.assign(rows, COLUMNS, c.tolist()), COLUMNS, (0.7, 0.3)) for c in fits.centres]
+    assert got == pytest.approx(want) and sent and all(s == ["id", "x"] for s in sent)
+    some = clustering.fit_scores(rows, COLUMNS, fits, "si", (0.7, 0.3), best=True)
+    assert some[int(np.argmax(want))] == pytest.approx(max(want)) and None in some
+    assert all(v is None or v == pytest.approx(w) for v, w in zip(some, want, strict=True))

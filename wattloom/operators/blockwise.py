@@ -125,7 +125,7 @@ def against_all(blocks: DataFrame, start: Callable[[Block], Any], step: Callable
     others = blocks.select("b", "rows", F.explode(F.sequence(F.lit(0), last)).alias("to")) if pairs is None else pairs.join(blocks, "b")
     others = others.select("to", F.lit(1).alias("turn"), "b", "rows")
     work = blocks.select(F.col("b").alias("to"), F.lit(0).alias("turn"), "b", "rows").unionByName(others)
-    work = work.repartition(n, "to").sortWithinPartitions("to", "turn", "b")
+    work = work.repartitionById(n, F.col("to")).sortWithinPartitions("to", "turn", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, of = None, -1
@@ -149,11 +149,11 @@ def against_all(blocks: DataFrame, start: Callable[[Block], Any], step: Callable
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows of a to rows of b; a column at a time, so that equal rows are exactly 0 apart."""
-    total = np.zeros((len(a), len(b)))
+    total, d = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
     for k in range(a.shape[1]):
-        d = a[:, k, None] - b[None, :, k]
-        total += d * d
-    return np.sqrt(total)
+        np.subtract(a[:, k, None], b[None, :, k], out=d)
+        total += np.multiply(d, d, out=d)
+    return np.sqrt(total, out=total)
 
 
 def batch(schema: dict[str, pa.DataType], *columns: Any) -> pa.RecordBatch:

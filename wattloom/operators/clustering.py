@@ -30,8 +30,16 @@ WARD_BLOCK = 8192
 WARD_LEAF = 64
 #: Rows among which a start chooses each of its centres.
 SEEN = 10
-#: Rows of a task that fits many clusterings.
-PART_ROWS = 1000
+#: Rows of a task that fits many clusterings, at most so many where there are tasks enough for all cores.
+PART_ROWS, PART_MOST = 1000, 16384
+#: Tasks whose sums by centre the driver adds up.
+FEW_TASKS = 64
+#: Distances that are worked on at once (numbers that a core's cache holds).
+CACHED = 131072
+#: Clusters of labellings that are scored in one pass over the pairs, and those whose distances are summed in one product.
+SCORED, COLUMNS = 16384, 2048
+#: Rows whose distances are summed in single precision.
+SINGLE = 1024
 #: Jobs of parts that run at once.
 AT_ONCE = 4
 
@@ -146,25 +154,25 @@ class Fits(NamedTuple):
     apart: list[np.ndarray]
 
 
-def nearest_centres(x: np.ndarray, centres: np.ndarray, at_once: int = 128) -> np.ndarray:
-    """(fits, rows): of each fit (fits, k, columns) the nearest centre of each row, the first of those equally near but for rounding; by
-    products of rows with centres, `at_once` rows a time."""
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(fits, rows): of each fit (fits, k, columns) the nearest centre of each row, the first of those equally near but for rounding. Half
+    the squared distances come from products of rows with centres, some rows at a time; their last bits are made the centre's number, so
+    that the least of a row names its centre."""
     fits, k, d = centres.shape
     middle = x.mean(0) if len(x) else np.zeros(d)
     c, x = (centres - middle).transpose(1, 0, 2).reshape(-1, d), x - middle
-    half = (c * c).sum(1) / 2
-    rounding = 1e-14 * (half.max(initial=0.0) + (x * x).sum(1).max(initial=0.0))
-    c = np.concatenate([-c, (half + rounding * np.repeat(np.arange(k), fits))[:, None]], 1)
-    x = np.concatenate([x, np.ones((len(x), 1))], 1).T.copy()
-    out = np.zeros((fits, x.shape[1]), np.int64)
+    half, own = (c * c).sum(1) / 2, (x * x).sum(1) / 2
+    rounding = 2e-14 * (half.max(initial=0.0) + own.max(initial=0.0)) + 1e-300
+    c = np.concatenate([-c, (half + rounding * (1 + np.repeat(np.arange(k), fits)))[:, None], np.ones((len(c), 1))], 1)
+    x = np.concatenate([x, np.ones((len(x), 1)), own[:, None]], 1).T.copy()
+    at_once, names, numbers = max(16, CACHED // len(c)), (1 << (k - 1).bit_length()) - 1, np.arange(k)[:, None, None]
+    out, room = np.zeros((fits, x.shape[1]), np.int64), np.empty(len(c) * at_once)
     for lo in range(0, x.shape[1], at_once):
-        far = (c @ x[:, lo : lo + at_once]).reshape(k, fits, -1)
-        best, own, less = far[0], np.zeros(far.shape[1:], np.int32), np.empty(far.shape[1:], bool)
-        for j in range(1, k):
-            np.less(far[j], best, out=less)
-            np.copyto(own, j, where=less)
-            np.minimum(best, far[j], out=best)
-        out[:, lo : lo + at_once] = own
+        n = min(at_once, x.shape[1] - lo)
+        far = np.dot(c, x[:, lo : lo + n], out=room[: len(c) * n].reshape(len(c), n)).view(np.int64).reshape(k, fits, n)  # none is negative
+        np.bitwise_and(far, ~names, out=far)
+        np.bitwise_or(far, numbers, out=far)
+        np.bitwise_and(np.minimum.reduce(far, axis=0), names, out=out[:, lo : lo + n])
     return out
 
 
@@ -182,9 +190,10 @@ def by_size(work: list[tuple[int, np.ndarray, int]], most: int = 64) -> dict[int
     return out
 
 
-def centre_sums(base: DataFrame, d: int, work: list[tuple[int, np.ndarray, int]], width: int, apart: bool = False) -> np.ndarray:
+def centre_sums(base: DataFrame, d: int, work: list[tuple[int, np.ndarray, int]], width: int, apart: bool = False, tasks: int | None = None) -> np.ndarray:
     """(width, columns): by centre the number of its rows and the sums of their coordinates; with `apart` instead of these the sums of squared
-    distances and of distances. A fit sees the rows of its part. One pass over base (part, x: array) and one aggregate."""
+    distances and of distances. A fit sees the rows of its part. One pass over base (part, x: array) and one aggregate; the sums of few tasks
+    (`tasks` of base, FEW_TASKS at most) are added up by the driver, which saves a shuffle in every round."""
     groups = by_size(work)
     names = ["n", "w", "a"] if apart else ["n", *(f"s{j}" for j in range(d))]
 
@@ -210,10 +219,11 @@ def centre_sums(base: DataFrame, d: int, work: list[tuple[int, np.ndarray, int]]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(t[some]) for t in total)], names=["c", *names])
 
     stats = base.mapInArrow(run, ", ".join(["c int", *(f"{c} double" for c in names)]))
-    found = stats.groupBy("c").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each centre
-    out = np.zeros((width, len(names)))
-    out[found.column("c").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], 1)
-    return out
+    if tasks is None or tasks > FEW_TASKS:
+        stats = stats.groupBy("c").agg(*(F.sum(c).alias(c) for c in names))
+    found = stats.toArrow()  # a row for each centre (and task)
+    at = found.column("c").to_numpy()
+    return np.stack([np.bincount(at, found.column(c).to_numpy(), width) for c in names], 1)
 
 
 def all_kmeans(rows: DataFrame, columns: list[str], first: list[np.ndarray], rounds: int = 100, parts: list[int] | None = None) -> Fits:
@@ -224,11 +234,11 @@ def all_kmeans(rows: DataFrame, columns: list[str], first: list[np.ndarray], rou
     centres, todo = [c.copy() for c in first], list(range(len(first)))
     edges = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
     base = rows.select((F.col("part") if parts else F.lit(0)).cast("int").alias("part"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
-    d, width, parts = len(columns), int(edges[-1]), parts or [0] * len(first)
+    d, width, parts, tasks = len(columns), int(edges[-1]), parts or [0] * len(first), base.rdd.getNumPartitions()
     for _ in range(rounds + 1):
         if not todo:
             break
-        found, left = centre_sums(base, d, [(int(edges[k]), centres[k], parts[k]) for k in todo], width), []
+        found, left = centre_sums(base, d, [(int(edges[k]), centres[k], parts[k]) for k in todo], width, tasks=tasks), []
         for k in todo:
             mine = found[edges[k] : edges[k + 1]]
             new = np.where(mine[:, :1] > 0, mine[:, 1:] / np.maximum(mine[:, :1], 1), centres[k])
@@ -236,35 +246,106 @@ def all_kmeans(rows: DataFrame, columns: list[str], first: list[np.ndarray], rou
                 centres[k] = new
                 left.append(k)
         todo = left
-    n, within, apart = centre_sums(base, d, [(int(edges[k]), c, parts[k]) for k, c in enumerate(centres)], width, apart=True).T
+    n, within, apart = centre_sums(base, d, [(int(edges[k]), c, parts[k]) for k, c in enumerate(centres)], width, True, tasks).T
     return Fits(centres, *(np.split(v, edges[1:-1]) for v in (n, within, apart)))
 
 
-def labelled_by(rows: DataFrame, columns: list[str], centres: list[np.ndarray]) -> DataFrame:
-    """(labelling, id, cluster) of rows by the nearest centre of each fit, the first on ties."""
-    d = len(columns)
+def fit_silhouettes(points: DataFrame, columns: list[str], centres: list[np.ndarray], kind: type) -> DataFrame:
+    """(labelling, cluster, n, s, q) of points (id, columns), by block, of the labellings by the nearest centre of each fit: number, sum and
+    squared deviations of the silhouettes of a cluster's points.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, ids = np.array(b.column("x").flatten().to_numpy(zero_copy_only=False)).reshape(-1, d), b.column("id")
-            for k, c in enumerate(centres):
-                own = nearest_centres(x, c[None])[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), ids, pa.array(own, pa.int64())], names=["labelling", "id", "cluster"])
+    A task holds the sums of distances of its block's rows to each cluster; labels are worked out where they are needed, and no row is
+    made for a point and a labelling. With kind float32, sums over SINGLE rows are of single precision.
+    """
+    edges = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
+    width, groups = int(edges[-1]), by_size([(k, c, 0) for k, c in enumerate(centres)])[0]
 
-    return rows.select("id", F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).mapInArrow(run, "labelling int, id long, cluster long")
+    def places(block: Block) -> np.ndarray:
+        """(labellings, rows): the place of a row's cluster among those of all labellings."""
+        out = np.zeros((len(centres), len(block.ids)), np.int64)
+        for which, c in groups:
+            out[which] = nearest_centres(block.x, c) + edges[which, None]
+        return out
 
+    def start(own: Block):
+        return own, places(own), np.zeros((len(own.ids), width)), np.zeros(width)
 
-def fit_scores(rows: DataFrame, columns: list[str], fits: Fits, score: str, weights: tuple[float, float]) -> list[float | None]:
-    """The score of each fit; those of one group, or where it is not defined, have none."""
+    def step(kept, other: Block) -> None:
+        own, mine, sums, total = kept
+        apart = distances(own.x, other.x)
+        theirs = mine if own.number == other.number else places(other)
+        total += np.bincount(theirs.ravel(), minlength=width)
+        single = kind is np.float32 and apart.max(initial=0) < 1e30 and not ((apart > 0) & (apart < 1e-30)).any()
+        apart = apart.astype(np.float32) if single else apart
+        rows, at_once, first = np.arange(len(other.ids)), SINGLE if single else len(other.ids), 0
+        widest = max(COLUMNS, int(np.diff(edges).max()))
+        room = [np.empty(len(v) * widest, apart.dtype) for v in (own.ids, other.ids)]
+        while first < len(centres):
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + COLUMNS, "right")) - 1)
+            lo, hi = int(edges[first]), int(edges[last])
+            product, share = (r[: len(r) // widest * (hi - lo)].reshape(-1, hi - lo) for r in room)
+            share[:] = 0
+            share[rows, theirs[first:last] - lo] = 1
+            for at in range(0, len(rows), at_once):
+                sums[:, lo:hi] += np.dot(apart[:, at : at + at_once], share[at : at + at_once], out=product)
+            first = last
+
+    def finish(kept) -> pa.RecordBatch:
+        own, mine, sums, total = kept
+        row, out = np.arange(len(own.ids)), []
+        for k, c in enumerate(centres):
+            lo, hi = edges[k], edges[k + 1]
+            d, n, at = sums[:, lo:hi], total[lo:hi], mine[k] - lo
+            a = d[row, at] / np.maximum(n[at] - 1, 1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = np.where(n > 0, d / n, np.inf)
+                mean[row, at] = np.inf
+                b = mean.min(1)
+                most = np.maximum(a, b)
+                s = np.where((n[at] > 1) & np.isfinite(b) & (most > 0), (b - a) / most, 0.0)
+            count, total_s = np.bincount(at, minlength=len(c)), np.bincount(at, s, len(c))
+            q = np.bincount(at, (s - (total_s / np.maximum(count, 1))[at]) ** 2, len(c))
+            some = np.flatnonzero(count)
+            out.append((np.full(len(some), k), some, count[some], total_s[some], q[some]))
+        columns = [np.concatenate(v) for v in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["labelling", "cluster", "n", "s", "q"])
+
+    return against_all(blocked(points, columns), start, step, finish, "labelling int, cluster long, n long, s double, q double")
+
+
+def silhouette_scores(points: DataFrame, columns: list[str], centres: list[np.ndarray], weights: tuple[float, float], kind: type = np.float64) -> np.ndarray:
+    """The score of the labelling by each fit: mean silhouette less the mean over clusters of their deviation."""
+    out, lo = np.zeros(len(centres)), 0
+    while lo < len(centres):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum([len(c) for c in centres[lo:]]), SCORED, "right")))
+        each = fit_silhouettes(points, columns, centres[lo:hi], kind)
+        by = Window.partitionBy("labelling", "cluster")
+        mean = F.sum("s").over(by) / F.sum("n").over(by)
+        each = each.withColumn("_q", F.col("q") + F.col("n") * F.pow(F.col("s") / F.col("n") - mean, F.lit(2.0)))
+        parts = each.groupBy("labelling", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sqrt(F.sum("_q") / F.sum("n")).alias("sd"))
+        value = weights[0] * F.sum("s") / F.sum("n") - weights[1] * F.avg("sd")
+        for r in parts.groupBy("labelling").agg(value.alias("v")).collect():  # a row for each fit
+            out[lo + r["labelling"]] = r["v"]
+        lo = hi
+    return out
+
+
+def fit_scores(rows: DataFrame, columns: list[str], fits: Fits, score: str, weights: tuple[float, float], best: bool = False) -> list[float | None]:
+    """The score of each fit; those of one group, or where it is not defined, have none. With `best`, silhouettes of many fits are summed in
+    single precision first, and fits that cannot be the best by the bound of its error have none."""
     if score == "si":
         base = rows.select(F.col("id").cast("long").alias("id"), *columns)
-        labels = labelled_by(base, columns, fits.centres).checkpoint()
-        each = all_silhouettes(base.withColumn("weight", F.lit(1)), columns, labels)
-        parts = each.groupBy("labelling", "cluster").agg(F.sum("silhouette").alias("s"), F.count(F.lit(1)).alias("n"), F.stddev_pop("silhouette").alias("sd"))
-        value = weights[0] * F.sum("s") / F.sum("n") - weights[1] * F.avg("sd")
-        found = {r["labelling"]: r["v"] for r in parts.groupBy("labelling").agg(value.alias("v")).collect()}  # a row for each fit
-        return [found.get(k) for k in range(len(fits.centres))]
-    out: list[float | None] = []
+        which = np.arange(len(fits.centres))
+        if best and len(which) > 1:
+            # A sum of SINGLE rounded terms is off by SINGLE roundings at most, a silhouette then by twice that; so is a deviation.
+            error = 3 * (SINGLE + 2) * 2.0**-24 * (abs(weights[0]) + abs(weights[1]))
+            found = silhouette_scores(base, columns, fits.centres, weights, np.float32)
+            which = np.flatnonzero(found >= found.max() - 2 * error)
+        out: list[float | None] = [None] * len(fits.centres)
+        for k, v in zip(which.tolist(), silhouette_scores(base, columns, [fits.centres[k] for k in which], weights).tolist(), strict=True):
+            out[k] = v
+        return out
+    out = []
     for c, n, w, a in zip(*fits, strict=True):
         k, total = len(c), n.sum()
         if score == "ch":
@@ -314,7 +395,8 @@ def search_parts(parts: list[DataFrame], counts: list[int], columns: list[str],
     with_checkpoints(spark)
     best: list[tuple[DataFrame | None, float, int]] = [(None, -math.inf, 0)] * len(parts)
     points = reduce(DataFrame.unionByName, (r.select(F.lit(p).alias("part"), "id", *columns) for p, r in enumerate(parts)))
-    points = points.repartition(max(1, math.ceil(sum(counts) / PART_ROWS))).checkpoint()
+    n, tasks = sum(counts), 2 * spark.sparkContext.defaultParallelism
+    points = points.repartition(max(1, min(math.ceil(n / PART_ROWS), max(tasks, math.ceil(n / PART_MOST))))).checkpoint()
     begun: list[np.ndarray] = []
     of: list[int] = []
     for p, n in enumerate(counts):
@@ -335,7 +417,7 @@ def search_parts(parts: list[DataFrame], counts: list[int], columns: list[str],
         chosen = [k for k in seen.values() if of[k] == p]
         if not chosen:
             continue
-        scores = fit_scores(points.where(F.col("part") == p), columns, Fits(*([v[k] for k in chosen] for v in fits)), score, weights)
+        scores = fit_scores(points.where(F.col("part") == p), columns, Fits(*([v[k] for k in chosen] for v in fits)), score, weights, best=True)
         at, top = -1, -math.inf
         for k, found in zip(chosen, scores, strict=True):
             if found is not None and found > top + (1e-12 * abs(found) if at >= 0 else 0):

@@ -343,3 +343,16 @@ def test_scores_of_fits_make_no_row_for_a_point_and_a_labelling(spark, lumps, mo
     some = clustering.fit_scores(rows, COLUMNS, fits, "si", (0.7, 0.3), best=True)
     assert some[int(np.argmax(want))] == pytest.approx(max(want)) and None in some
     assert all(v is None or v == pytest.approx(w) for v, w in zip(some, want, strict=True))
+
+
+def test_rounds_of_few_tasks_need_no_shuffle(spark, lumps, monkeypatch):
+    rows, first = as_rows(spark, lumps).repartition(3), [lumps[:3].astype(float), lumps[[0, 30, 60, 69]].astype(float)]
+    base, grouped, real = type(rows), [], type(rows).groupBy
+    monkeypatch.setattr(base, "groupBy", lambda df, *a: grouped.append(a) or real(df, *a))
+    fits = [clustering.all_kmeans(rows, COLUMNS, first)]
+    assert not grouped
+    monkeypatch.setattr(clustering, "FEW_TASKS", 0)
+    fits.append(clustering.all_kmeans(rows, COLUMNS, first))
+    assert grouped
+    for a, b in zip(*fits, strict=True):
+        assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))

@@ -356,3 +356,44 @@ def test_rounds_of_few_tasks_need_no_shuffle(spark, lumps, monkeypatch):
     assert grouped
     for a, b in zip(*fits, strict=True):
         assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_labellings_of_many_clusters_are_scored_in_bounded_passes(spark, monkeypatch):
+    monkeypatch.setattr(blockwise, "ROWS", 9)
+    monkeypatch.setattr(density, "CLUSTERS", 30)
+    monkeypatch.setattr(density, "MEETING", 4)
+    monkeypatch.setattr(density, "COLUMNS", 7)
+    rng = np.random.default_rng(6)
+    points = as_rows(spark, rng.normal(size=(60, 2))).selectExpr("id", "a", "b", "1 + id % 2 as weight")
+    made = [(l, k, int(c)) for l, n in enumerate((2, 25, 40, 3)) for k, c in enumerate(rng.integers(0, n, 60)) if (k + l) % 5]
+    labels = spark.createDataFrame([(l, k, 0 if l == 3 and c else c) for l, k, c in made], "labelling int, id long, cluster long")
+    widths, real = [], density.pass_scores
+    monkeypatch.setattr(density, "pass_scores", lambda p, c, ls, n, some, least: widths.append([k for _, k in some]) or real(p, c, ls, n, some, least))
+    got = {}
+    for r in density.block_scores(points, COLUMNS, labels).collect():
+        got.setdefault(r["labelling"], []).append((r["n"], r["s"], r["q"]))
+    want = {}
+    for r in blockwise.all_silhouettes(points, COLUMNS, labels).collect():
+        want.setdefault(r["labelling"], []).append((r["weight"], r["silhouette"]))
+    assert len(widths) > 1 and all(len(w) == 1 or sum(w) <= 30 for w in widths) and got.keys() == want.keys()
+    for l, parts in got.items():
+        n, s, q = np.array(parts).T
+        w, v = np.array(want[l]).T
+        assert n.sum() == w.sum() and s.sum() == pytest.approx((w * v).sum())
+        assert (q + n * (s / n - s.sum() / n.sum()) ** 2).sum() == pytest.approx((w * (v - (w * v).sum() / w.sum()) ** 2).sum())
+
+
+def test_boxes_of_blocks_meet_without_a_task_for_each_pair_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(blockwise, "ROWS", 10)
+    x = np.random.default_rng(3).uniform(size=(200, 2))
+    blocks = blockwise.near_blocked(as_rows(spark, x), COLUMNS)
+    boxes = {r["b"]: (np.array(r["lo"]), np.array(r["hi"])) for r in blocks.collect()}
+    gap = lambda i, j: np.linalg.norm(np.maximum(np.maximum(boxes[i][0] - boxes[j][1], boxes[j][0] - boxes[i][1]), 0))
+    far = blocks.join(blocks.select("b"), "b").checkpoint()  # as where a block's reach is joined to it; its size is not known
+    pairs = blockwise.near_pairs(far, "0.1D")
+    assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
+    near = {(i, j) for i in boxes for j in boxes if gap(i, j) <= 0.1}
+    assert {tuple(r) for r in pairs.collect()} == near
+    half = [tuple(r) for r in blockwise.near_pairs(far, "0.1D", half=True).collect()]
+    assert len(half) == len(set(half)) and {tuple(sorted(p)) for p in half} == {tuple(sorted(p)) for p in near} and len(half) == (len(near) + len(boxes)) // 2
+    assert max(sum(to == i for to, _ in half) for i in boxes) < max(sum(p == i for p, _ in near) for i in boxes)

@@ -20,6 +20,8 @@ from wattloom.functions.session import reachable, with_checkpoints
 ROWS = 1000
 #: Clusters (of all labellings) whose distances are summed in one product.
 COLUMNS = 4096
+#: Distances that are worked on at once (numbers that a core's cache holds).
+CACHED = 16384
 
 
 class Block(NamedTuple):
@@ -106,11 +108,12 @@ def near_blocked(rows: DataFrame, columns: list[str], more: dict[str, Column] |
 
 
 def near_pairs(blocks: DataFrame, reach: Column | str, half: bool = False) -> DataFrame:
-    """(to, b) of blocks (b, lo, hi, and what `reach` needs) whose boxes are at most `reach` of `to` apart; with `half`, b is not below to."""
+    """(to, b) of blocks (b, lo, hi, and what `reach` needs) whose boxes are at most `reach` of `to` apart; with `half`, either of two blocks
+    gets the other, in turns, so that no block has most of the work."""
     own = blocks.drop("rows").select(F.col("b").alias("to"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), (F.expr(reach) if isinstance(reach, str) else reach).alias("_reach"))
     gap = F.expr("aggregate(zip_with(zip_with(_lo, hi, (a, b) -> a - b), zip_with(lo, _hi, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, d) -> s + d * d)")
-    on = (F.sqrt(gap) <= F.col("_reach") * (1 + 1e-9)) & ((F.col("b") >= F.col("to")) if half else F.lit(True))
-    return own.join(blocks.select("b", "lo", "hi"), on).select("to", "b")
+    on = (F.sqrt(gap) <= F.col("_reach") * (1 + 1e-9)) & (((F.col("b") == F.col("to")) | ((F.col("b") > F.col("to")) == ((F.col("b") + F.col("to")) % 2 == 0))) if half else F.lit(True))
+    return own.join(F.broadcast(blocks.select("b", "lo", "hi")), on).select("to", "b")  # a number and a box for each block
 
 
 def against_all(blocks: DataFrame, start: Callable[[Block], Any], step: Callable[[Any, Block], pa.RecordBatch | None], finish: Callable[[Any], pa.RecordBatch | None], schema: str, half: bool = False, pairs: DataFrame | None = None) -> DataFrame:
@@ -148,12 +151,18 @@ def against_all(blocks: DataFrame, start: Callable[[Block], Any], step: Callable
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows of a to rows of b; a column at a time, so that equal rows are exactly 0 apart."""
-    total, d = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
-    for k in range(a.shape[1]):
-        np.subtract(a[:, k, None], b[None, :, k], out=d)
-        total += np.multiply(d, d, out=d)
-    return np.sqrt(total, out=total)
+    """Euclidean distances of rows of a to rows of b; a column at a time, so that equal rows are exactly 0 apart, and few rows at once."""
+    total, b = np.zeros((len(a), len(b))), b.T.copy()
+    at_once = max(1, CACHED // max(1, b.shape[1]))
+    room = np.empty((at_once, b.shape[1]))
+    for lo in range(0, len(a), at_once):
+        some = total[lo : lo + at_once]
+        d = room[: len(some)]
+        for x, y in zip(a[lo : lo + at_once].T, b, strict=True):
+            np.subtract(x[:, None], y, out=d)
+            some += np.multiply(d, d, out=d)
+        np.sqrt(some, out=some)
+    return total
 
 
 def batch(schema: dict[str, pa.DataType], *columns: Any) -> pa.RecordBatch:

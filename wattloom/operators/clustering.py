@@ -576,7 +576,7 @@ def nearest_clusters(clusters: DataFrame, columns: list[str]) -> DataFrame:
     others = blocks.select("b", "lo", "hi", F.array_min("leaves.n").alias("n"))
     sides = [F.greatest(F.col("_lo")[k] - F.col("hi")[k], F.col("lo")[k] - F.col("_hi")[k], F.lit(0.0)) for k in dims]
     least = F.col("_n") * F.col("n") / (F.col("_n") + F.col("n")) * squared(sides, [F.lit(0.0)] * len(sides))
-    pairs = own.join(others, (F.col("to") != F.col("b")) & (least * (1 - 1e-9) <= F.col("_top"))).select("to", "b").distinct()
+    pairs = own.join(F.broadcast(others), (F.col("to") != F.col("b")) & (least * (1 - 1e-9) <= F.col("_top"))).select("to", "b").distinct()
 
     def start(own: Block):
         m = own.more

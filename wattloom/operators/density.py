@@ -13,15 +13,17 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wattloom.functions.session import reachable, with_checkpoints
-from wattloom.operators.blockwise import Block, against_all, all_silhouettes, batch, blocked, distances, near_blocked, near_pairs
+from wattloom.operators.blockwise import COLUMNS, Block, against_all, batch, blocked, distances, near_blocked, near_pairs
 
 EPS = tuple(k / 100 for k in range(1, 100))
 MIN_SAMPLES = tuple(range(2, 11))
@@ -30,6 +32,10 @@ XI = tuple(round(0.01 + 0.05 * k, 2) for k in range(10))
 TREES = 8
 #: Points from which on blocks lie beside one another and meet only where they are near.
 MANY = 8000
+#: Clusters whose sums of distances a task holds for its rows.
+CLUSTERS = 32768
+#: A cluster with this share of all points, or more, is summed by products.
+MEETING = 32
 
 
 def weighted(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,8 +74,10 @@ def nearest(points: DataFrame, columns: list[str], most: int) -> DataFrame:
 
     def finish(kept):
         own, (d, ids, w) = kept
-        near = [[{"d": a, "id": b, "w": c} for a, b, c in zip(*row, strict=True) if c] for row in zip(d.tolist(), ids.tolist(), w.tolist(), strict=True)]
-        return batch({"id": pa.int64(), "near": pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("w", pa.int64())]))}, own.ids, near)
+        has = w > 0
+        each = pa.StructArray.from_arrays([pa.array(v[has]) for v in (d, ids, w)], names=["d", "id", "w"])
+        near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(1))]), pa.int32()), each)
+        return pa.RecordBatch.from_arrays([pa.array(own.ids), near], names=["id", "near"])
 
     pairs = None
     if many:  # how far the nearest points of a block's own lie bounds where nearer ones can be
@@ -91,21 +99,26 @@ def core_distances(near: DataFrame, min_samples: Iterable[int]) -> DataFrame:
     return near.withColumn("_upto", upto).withColumn("cores", cores).drop("_upto")
 
 
-def prim(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, reach) of the edges of a minimum spanning tree over reaches."""
-    n = len(x)
-    best, of, left = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
-    out_a, out_b, out_w = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), np.zeros(n - 1)
-    at = 0
-    for k in range(n - 1):
-        left[at] = False
-        reach = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core[at]), core)
-        closer = left & (reach < best)
-        best[closer], of[closer] = reach[closer], at
-        at = int(np.where(left, best, np.inf).argmin()) if np.isfinite(best[left]).any() else int(np.flatnonzero(left)[0])
-        out_a[k], out_b[k], out_w[k] = of[at], at, best[at]
-    keep = np.isfinite(out_w)
-    return out_a[keep], out_b[keep], out_w[keep]
+def prim(apart: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, reach) of the edges of a minimum spanning tree over reaches, from the distances of all pairs."""
+    n = len(core)
+    best, of, row, closer = np.full(n, np.inf), np.zeros(n, np.int64), np.empty(n), np.empty(n, bool)
+    left, out = core.copy(), []  # endless for what the tree has
+    at, has = 0, np.zeros(n, bool)
+    for _ in range(n - 1):
+        has[at], left[at], best[at] = True, np.inf, np.inf
+        np.maximum(apart[at], left, out=row)
+        np.maximum(row, core[at], out=row)
+        np.less(row, best, out=closer)
+        np.copyto(best, row, where=closer)
+        np.copyto(of, at, where=closer)
+        at = int(best.argmin())
+        if best[at] == np.inf:
+            at = int(has.argmin())
+        else:
+            out.append((of[at], at, best[at]))
+    a, b, w = zip(*out, strict=True) if out else ((), (), ())
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(w, float)
 
 
 class Sets:
@@ -227,9 +240,9 @@ def block_trees(points: DataFrame, columns: list[str], min_samples: list[int], m
             ids, x, cores = ids[near], x[near], cores[near]
         if len(ids) < 2:
             return None
-        out = []
+        out, apart = [], distances(x, x)
         for j, m in enumerate(min_samples):
-            a, b, w = prim(x, cores[:, j])
+            a, b, w = prim(apart, cores[:, j])
             if most is not None:
                 a, b, w = (v[w <= most] for v in (a, b, w))
             out.append(batch(KINDS, np.full(len(a), m), np.full(len(a), own.number), np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), w))
@@ -250,6 +263,15 @@ def merged(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def padded(lists: pa.ChunkedArray, fill: float) -> np.ndarray:
+    """Lists of numbers as a matrix, shorter ones filled up."""
+    lists = lists.combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(n), n.max(initial=0)), fill)
+    out[np.arange(out.shape[1]) < n[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
 class Forest:
     """Points with their nearest ones and core distances, and their trees, for many fits."""
 
@@ -289,9 +311,7 @@ class Forest:
             if not len(ids):
                 return batch_table(kinds)
             m = cores.column("m")[0].as_py()
-            width = max((len(v) for v in cores.column("ids")), default=0)
-            near = np.array([v.as_py() + [v.as_py()[0]] * (width - len(v)) for v in cores.column("ids")], np.int64).reshape(len(ids), width)
-            ds = np.array([v.as_py() + [np.inf] * (width - len(v)) for v in cores.column("ds")]).reshape(len(ids), width)
+            near, ds = padded(cores.column("ids"), ids[0]), padded(cores.column("ds"), np.inf)
             near = np.searchsorted(ids, near)
             tree = tree.sort_by("reach")
             a, b = (np.searchsorted(ids, tree.column(c).to_numpy()) for c in "ab")
@@ -451,6 +471,95 @@ def dbscan(rows: DataFrame, columns: list[str], eps: float, min_samples: int) ->
     return forest.of_rows(forest.labellings([eps]))
 
 
+def block_scores(points: DataFrame, columns: list[str], labels: DataFrame) -> DataFrame:
+    """(labelling, n, s, q) of points (id, weight, columns), by block, under many labellings (labelling, id, cluster): weight, sum and squared
+    deviations of silhouettes. Points without a cluster in a labelling take no part in it.
+
+    Labellings are scored in passes of at most CLUSTERS clusters, of which a task holds the sums of its rows' distances. Those of a
+    cluster with many rows in a block come from products of matrices, those of others by adding up the rows' distances, so that the work of a
+    pair of blocks does not grow with the number of clusters.
+    """
+    named = labels.groupBy("labelling", "cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("at", F.row_number().over(Window.partitionBy("labelling").orderBy("cluster")) - 1).checkpoint()
+    sizes = sorted((r["labelling"], r["k"]) for r in named.groupBy("labelling").agg(F.count(F.lit(1)).alias("k")).collect())  # a row for each labelling
+    least, passes = points.count() / MEETING, []
+    for labelling, k in sizes:
+        if not passes or sum(n for _, n in passes[-1]) + k > CLUSTERS:
+            passes.append([])
+        passes[-1].append((labelling, k))
+    out = [pass_scores(points, columns, labels, named, some, least) for some in passes]
+    return reduce(DataFrame.unionByName, out)
+
+
+def pass_scores(points: DataFrame, columns: list[str], labels: DataFrame, named: DataFrame, some: list[tuple[int, int]], least: float) -> DataFrame:
+    """Block_scores of labellings (number, clusters); clusters of `least` points or more are large."""
+    edges = np.concatenate([[0], np.cumsum([k for _, k in some])]).tolist()
+    width, numbers = edges[-1], [labelling for labelling, _ in some]
+    first = points.sparkSession.createDataFrame(list(zip(numbers, edges, strict=False)), "labelling int, first int")
+    placed = named.join(F.broadcast(first), "labelling").select("labelling", "cluster", "size", (F.col("first") + F.col("at")).cast("int").alias("place"))  # a row for each labelling
+    large = np.array(sorted(r["place"] for r in placed.where(F.col("size") >= least).select("place").collect()), np.int64)  # MEETING of each labelling at most
+    of = labels.join(placed, ["labelling", "cluster"]).groupBy("id").agg(F.collect_list("place").alias("places"))
+    blocks = blocked(points.join(of, "id"), columns, {"w": F.col("weight").cast("long"), "places": F.col("places")})
+
+    def table(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each label its row and its cluster's place, by ascending place, and the rows' weights."""
+        lists = block.more["places"]
+        row, place = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        order = np.argsort(place, kind="stable")
+        return row[order], place[order].astype(np.int64), block.more["w"].to_numpy().astype(float)
+
+    def start(own: Block):
+        return own, np.zeros((width, len(own.ids))), np.zeros(width)
+
+    def step(kept, other: Block) -> None:
+        own, sums, total = kept
+        row, place, weight = table(other)
+        total += np.bincount(place, weight[row], width)
+        apart = distances(other.x, own.x)
+        at = np.searchsorted(large, place)
+        is_large = large[np.minimum(at, len(large) - 1)] == place if len(large) else np.zeros(len(place), bool)
+        for lo in range(0, len(large), COLUMNS):
+            here = is_large & (at >= lo) & (at < lo + COLUMNS)
+            share = np.zeros((min(COLUMNS, len(large) - lo), len(other.ids)))
+            share[at[here] - lo, row[here]] = weight[row[here]]
+            sums[large[lo : lo + COLUMNS]] += share @ apart
+        row, place = row[~is_large], place[~is_large]
+        ends = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+        k = 0
+        while k < len(ends) - 1:
+            last = max(k + 1, int(np.searchsorted(ends, ends[k] + COLUMNS, "right")) - 1)
+            mine = row[ends[k] : ends[last]]
+            far = apart[mine]
+            if (weight[mine] != 1).any():
+                far *= weight[mine, None]
+            sums[place[ends[k:last]]] += np.add.reduceat(far, ends[k:last] - ends[k], axis=0)
+            k = last
+
+    def finish(kept) -> pa.RecordBatch:
+        own, sums, total = kept
+        row, place, weight = table(own)
+        out = []
+        for j, number in enumerate(numbers):
+            lo, hi = edges[j], edges[j + 1]
+            here = slice(*np.searchsorted(place, [lo, hi]))
+            rows, at = row[here], place[here] - lo
+            if not len(rows):
+                continue
+            n, k = total[lo:hi], np.arange(len(rows))
+            d = sums[lo:hi] if len(rows) == sums.shape[1] and (rows == k).all() else sums[lo:hi, rows]
+            a = d[at, k] / np.maximum(n[at] - 1, 1)
+            mean = d / n[:, None]
+            mean[at, k] = np.inf
+            b = mean.min(0)
+            most = np.maximum(a, b)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.where((n[at] > 1) & np.isfinite(b) & (most > 0), (b - a) / most, 0.0)
+            w = weight[rows]
+            out.append((number, w.sum(), (w * s).sum(), (w * (s - (w * s).sum() / w.sum()) ** 2).sum()))
+        return batch({"labelling": pa.int32(), "n": pa.float64(), "s": pa.float64(), "q": pa.float64()}, *(zip(*out, strict=True) if out else [[]] * 4))
+
+    return against_all(blocks, start, step, finish, "labelling int, n double, s double, q double")
+
+
 def scored(forest: Forest, labels: DataFrame, by: list[str], weights: tuple[float, float]) -> tuple[Row | None, DataFrame]:
     """The best labelling's row (by, score), the first of equal ones; and labels with `labelling`. Score: mean silhouette less its deviation."""
     labels = labels.checkpoint()
@@ -461,10 +570,10 @@ def scored(forest: Forest, labels: DataFrame, by: list[str], weights: tuple[floa
     kinds = [f"{c} {labels.schema[c].dataType.simpleString()}" for c in by]
     numbers = spark.createDataFrame([(k, *n) for k, n in enumerate(names)], ", ".join(["labelling int", *kinds]))
     labels = labels.join(F.broadcast(numbers), by)  # a row for each pair of parameters
-    each = all_silhouettes(forest.points, forest.columns, labels)
-    s, w = F.col("silhouette"), F.col("weight")
-    sums = each.groupBy("labelling").agg(F.sum(w).alias("n"), F.sum(s * w).alias("s"))
-    spread = each.join(sums.select("labelling", (F.col("s") / F.col("n")).alias("mean")), "labelling").groupBy("labelling").agg((F.sum(s * w) / F.sum(w)).alias("mean"), F.sqrt(F.sum(w * (s - F.col("mean")) * (s - F.col("mean"))) / F.sum(w)).alias("sd"))
+    parts = block_scores(forest.points, forest.columns, labels.select("labelling", "id", "cluster"))
+    by_labelling = Window.partitionBy("labelling")
+    mean = F.sum("s").over(by_labelling) / F.sum("n").over(by_labelling)
+    spread = parts.withColumn("_q", F.col("q") + F.col("n") * F.pow(F.col("s") / F.col("n") - mean, F.lit(2.0))).groupBy("labelling").agg((F.sum("s") / F.sum("n")).alias("mean"), F.sqrt(F.sum("_q") / F.sum("n")).alias("sd"))
     score = spread.select("labelling", (weights[0] * F.col("mean") - weights[1] * F.col("sd")).alias("score"))
     best = score.join(F.broadcast(numbers), "labelling").orderBy(F.desc(F.round("score", 12)), *by).first()  # a row for each pair of parameters
     return best, labels
